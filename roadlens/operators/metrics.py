@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import physics as ph
+from ..functions.numeric import rnd
 
 
 def mpg_from_sums(speed_sum: Column, fuel_sum: Column, dt: float = ph.DT) -> Column:
@@ -34,6 +35,6 @@ def mpg_metrics(df: DataFrame, group: list[str], speed="speed", fuel="fuel", id_
     """A2: system and AV MPG per group."""
     av = is_av_substring(id_col)
     return df.groupBy(*group).agg(
-        F.round(mpg_from_sums(F.sum(speed), F.sum(fuel), dt), 6).alias("system_mpg"),
-        F.round(mpg_from_sums(F.sum(F.when(av, F.col(speed))), F.sum(F.when(av, F.col(fuel))), dt), 6).alias("av_mpg"),
+        rnd(mpg_from_sums(F.sum(speed), F.sum(fuel), dt), 6).alias("system_mpg"),
+        rnd(mpg_from_sums(F.sum(F.when(av, F.col(speed))), F.sum(F.when(av, F.col(fuel))), dt), 6).alias("av_mpg"),
     )

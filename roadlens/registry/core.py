@@ -92,9 +92,56 @@ def with_views(body: str, views=(), ctes: list[tuple[str, str]] | None = None) -
     """Prefix ``body`` with the adapter CTEs it needs plus query-specific ``ctes``."""
     parts = [f"{v} AS ({ADAPTER_SQL[v]}\n)" for v in _closure(views)]
     parts += [f"{n} AS ({s}\n)" for n, s in (ctes or [])]
+    body = body.strip()
     if not parts:
-        return body.strip()
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+        return body
+    if body[:4].upper() == "WITH":
+        return "WITH " + ",\n".join(parts) + ",\n" + body[4:].lstrip()
+    return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+def rs(expr: str, d: int = 6) -> str:
+    """SQL twin of ``roadlens.functions.numeric.rnd``: floor(x * 10^d + 0.5) / 10^d."""
+    return f"(floor(({expr}) * 1e{d} + 5e-1) / 1e{d})"
+
+
+def _split_args(s: str) -> list[str]:
+    out, depth, cur = [], 0, ""
+    for ch in s:
+        if ch == "," and depth == 0:
+            out.append(cur)
+            cur = ""
+            continue
+        depth += ch == "("
+        depth -= ch == ")"
+        cur += ch
+    out.append(cur)
+    return out
+
+
+def floor_rounds(sql: str) -> str:
+    """Rewrite every two-argument ``round(x, d)`` into ``rs(x, d)`` so the oracle rounds
+    exactly like ``functions.numeric.rnd`` on the Spark side."""
+    import re
+
+    out, i = "", 0
+    pat = re.compile(r"(?<![A-Za-z0-9_])round\(", re.IGNORECASE)
+    while True:
+        m = pat.search(sql, i)
+        if not m:
+            return out + sql[i:]
+        out += sql[i:m.start()]
+        j, depth = m.end(), 1
+        while depth:
+            depth += sql[j] == "("
+            depth -= sql[j] == ")"
+            j += 1
+        args = _split_args(sql[m.end():j - 1])
+        if len(args) == 2:
+            out += rs(floor_rounds(args[0]), int(args[1]))
+        else:
+            out += "round(" + floor_rounds(sql[m.end():j - 1]) + ")"
+        i = j
 
 
 @dataclass
@@ -118,7 +165,7 @@ def register(name: str, survey: str, sql: str | None = None, views=(), ctes=None
         REGISTRY[name] = Query(
             name=name,
             run=fn,
-            sql=with_views(sql, views, ctes) if sql is not None else None,
+            sql=floor_rounds(with_views(sql, views, ctes)) if sql is not None else None,
             survey=[s.strip() for s in survey.split(",")],
             note=note,
         )
