@@ -25,9 +25,15 @@ def _cols(xs):
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def time_bucket(ts: str, seconds: int = 3600) -> Column:
-    """Monotone coarse bucket of a timestamp column (default: hour)."""
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
+def time_bucket(ts: str, unit: str = "hour") -> Column:
+    """Monotone coarse bucket of a timestamp (``date_trunc``; no time-zone shift, so
+    it stays monotone for TIMESTAMP_NTZ under any session zone)."""
+    return F.date_trunc(unit, F.col(ts))
+
+
+def value_bucket(x: str, width: float) -> Column:
+    """Monotone coarse bucket of a numeric order column."""
+    return F.floor(F.col(x) / F.lit(width)).cast("long")
 
 
 def dense_position(

@@ -64,6 +64,13 @@ ADAPTER_SQL: dict[str, str] = {
                       CAST(o_custkey % 60 AS VARCHAR), ', ', CAST(o_custkey % 7 AS VARCHAR), ',3,',
                       CASE WHEN o_orderkey % 11 = 0 THEN 'bad' ELSE '4' END, '</future_speeds>') AS response
         FROM orders""",
+    # judge responses: two integer score tags, one unparsable in thirteen
+    "judge": """
+        SELECT o_orderkey AS window_id,
+               concat('<user_friendly_score> ', CAST(o_custkey % 11 AS VARCHAR), ' </user_friendly_score><coherence_score>',
+                      CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE CAST(o_orderkey % 10 AS VARCHAR) END,
+                      '</coherence_score>') AS judge_response
+        FROM orders""",
 }
 
 ADAPTER_DEPS: dict[str, list[str]] = {

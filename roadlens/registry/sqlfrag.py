@@ -39,3 +39,25 @@ LEAD_CTE = (
 )
 LOG_CTES = [ACC_CTE, FUEL_CTE]
 LEAD_CTES = [ACC_CTE, FUEL_CTE, LEAD_CTE]
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def tag_sql(t: str, tag: str) -> str:
+    pat = f"'(?s)<{tag}>(.*?)</{tag}>'"
+    return f"(CASE WHEN regexp_matches({t}, {pat}) THEN {strip_sql(f'regexp_extract({t}, {pat}, 1)')} END)"
+
+
+def tags_all_sql(t: str, tag: str) -> str:
+    pat = f"'(?s)<{tag}>(.*?)</{tag}>'"
+    return f"list_transform(regexp_extract_all({t}, {pat}, 1), lambda x: {strip_sql('x')})"
+
+
+def values_sql(raw: str) -> str:
+    """F3 on a raw string: list of doubles, NULL when any token is bad or raw is NULL."""
+    vals = (f"list_transform(list_filter(list_transform(string_split({raw}, ','), lambda x: {strip_sql('x')}),"
+            f" lambda x: x <> ''), lambda x: TRY_CAST(x AS DOUBLE))")
+    return (f"(CASE WHEN {raw} IS NULL THEN NULL WHEN len(list_filter({vals}, lambda v: v IS NULL)) > 0 THEN NULL"
+            f" ELSE {vals} END)")

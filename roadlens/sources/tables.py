@@ -135,3 +135,17 @@ def answer(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("</future_speeds>"),
         ).alias("response"),
     )
+
+
+def judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge responses: two integer score tags, one unparsable in thirteen."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("window_id"),
+        F.concat(
+            F.lit("<user_friendly_score> "), (F.col("o_custkey") % 11).cast("string"),
+            F.lit(" </user_friendly_score><coherence_score>"),
+            F.when(F.col("o_orderkey") % 13 == 0, "x").otherwise((F.col("o_orderkey") % 10).cast("string")),
+            F.lit("</coherence_score>"),
+        ).alias("judge_response"),
+    )
