@@ -80,7 +80,7 @@ def w3(spark, d):
              SELECT traj_id, seq, time, velocity_kmh, lat,
                     lead(time) OVER w AS nt, lead(velocity_kmh) OVER w AS nv, lead(lat) OVER w AS nl
              FROM raw_drive_gaps WINDOW w AS (PARTITION BY traj_id ORDER BY seq)),
-           m AS (SELECT *, CASE WHEN abs(nt - time - 1e-1) > 1e-3 THEN CAST(round((nt - time) / 1e-1, 3) AS INT) ELSE 1 END AS miss FROM g),
+           m AS (SELECT *, CASE WHEN abs(nt - time - 1e-1) > 1e-3 THEN CAST(floor(round((nt - time) / 1e-1, 3)) AS INT) ELSE 1 END AS miss FROM g),
            e AS (SELECT traj_id, seq AS src, k,
                    CASE WHEN k = 0 THEN time ELSE time + (nt - time) * k / miss END AS t,
                    CASE WHEN k = 0 THEN velocity_kmh ELSE velocity_kmh + (nv - velocity_kmh) * k / miss END AS v,
