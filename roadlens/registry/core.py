@@ -102,6 +102,8 @@ def with_views(body: str, views=(), ctes: list[tuple[str, str]] | None = None) -
     body = body.strip()
     if not parts:
         return body
+    if body[:14].upper() == "WITH RECURSIVE":
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[14:].lstrip()
     if body[:4].upper() == "WITH":
         return "WITH " + ",\n".join(parts) + ",\n" + body[4:].lstrip()
     return "WITH " + ",\n".join(parts) + "\n" + body
