@@ -55,7 +55,8 @@ def _c(x) -> Column:
     return F.lit(x)
 
 
-INF = F.lit(float("inf"))
+def _inf() -> Column:
+    return F.lit(float("inf"))
 
 
 def fuel_rate(speed, accel, grade=0.0, c: dict = FUEL_COEFFS) -> Column:
@@ -120,7 +121,7 @@ def headway(leader_pos, pos, length=VEHICLE_LENGTH) -> Column:
 
 def time_gap(hw, speed) -> Column:
     """headway / speed, +inf at speed 0, NULL without leader."""
-    return F.when(_c(hw).isNull(), F.lit(None).cast("double")).when(_c(speed) == 0, INF).otherwise(
+    return F.when(_c(hw).isNull(), F.lit(None).cast("double")).when(_c(speed) == 0, _inf()).otherwise(
         F.try_divide(_c(hw), _c(speed))
     )
 
@@ -128,7 +129,7 @@ def time_gap(hw, speed) -> Column:
 def time_to_collision(hw, speed, leader_speed) -> Column:
     """headway / (v - v_leader) when closing, else +inf; NULL without leader."""
     dv = _c(speed) - _c(leader_speed)
-    return F.when(_c(hw).isNull() | dv.isNull(), F.lit(None).cast("double")).when(dv <= 0, INF).otherwise(
+    return F.when(_c(hw).isNull() | dv.isNull(), F.lit(None).cast("double")).when(dv <= 0, _inf()).otherwise(
         F.try_divide(_c(hw), dv)
     )
 
@@ -175,7 +176,7 @@ def safe_ttc_velocity(speed, leader_speed, hw, max_decel=FS["max_decel"], dt=DT)
     """TTC-based safe velocity (slow down when the scaled TTC < 6 s)."""
     v = _c(speed)
     dv = (v + 1 + v * 4 / 30) - _c(leader_speed)
-    ttc = F.when(dv <= 0, INF).otherwise(F.try_divide(_c(hw), dv))
+    ttc = F.when(dv <= 0, _inf()).otherwise(F.try_divide(_c(hw), dv))
     return F.when(ttc < 6, v - dt * max_decel).otherwise(v + dt * max_decel)
 
 
