@@ -224,3 +224,116 @@ def miles_per_step(speed, dt=DT) -> Column:
 def gallons_per_step(rate_gph, dt=DT) -> Column:
     """gal/h over one step -> gallons."""
     return _c(rate_gph) / 3600.0 * dt
+
+
+# ---- fixed values: second (simplified) fuel model, reward weights, ACC law ------
+SIMPLE_FUEL = {"p0": 0.014702037699570, "p1": 0.051202817419139, "p2": 0.001873784068826, "q0": 0.0,
+               "q1": 0.018538661491842, "C0": 0.245104874164936, "C1": 0.003891740295745, "C2": 0.0,
+               "C3": 3.300502213720286e-05, "beta0": 0.194462963040005}
+REWARD = {"crash": -50.0, "energy_penalty": 0.1, "accel_penalty": 0.2, "intervention_penalty": 0.0,
+          "headway_penalty": 0.0, "min_headway_penalty_gap": 10.0, "min_headway_penalty_speed": 1.0,
+          "speed_diff_weight": 0.0, "accel_delta_weight": 0.0, "max_headway": 120.0, "max_time_headway": 0.0,
+          "scale": 10.0}
+ACC = {"p3": 0.824, "p4": -0.827, "p20": 0.45657109, "p21": -0.2367410149228702,
+       "p22": 0.32107542, "p23": -0.20247014575942673, "switch": 0.6}
+IDM_EQ = {"v0": 35.0, "T": 1.24, "delta": 4, "s0": 2.0, "veh_len": 4.0}
+LINEAR_FD = {"k_max": 0.147, "v_max": 31.2}
+# ------------------------------------------------------------------------------
+
+
+def simple_fuel(speed, accel, c: dict = SIMPLE_FUEL) -> Column:
+    """simplified fuel model, speed floored at 0, result floored at beta0."""
+    v = F.greatest(_c(speed), F.lit(0.0))
+    a = _c(accel)
+    ap = F.greatest(a, F.lit(0.0))
+    fc = (F.lit(c["C0"]) + F.lit(c["C1"]) * v + F.lit(c["C2"]) * v * v + F.lit(c["C3"]) * v * v * v
+          + F.lit(c["p0"]) * a + F.lit(c["p1"]) * a * v + F.lit(c["p2"]) * a * v * v
+          + F.lit(c["q0"]) * ap * ap + F.lit(c["q1"]) * ap * ap * v)
+    return F.greatest(fc, F.lit(c["beta0"]))
+
+
+def reward_components(hw, speed, leader_speed, accel, fuel, prev_accel=None, target_speed=None, w: dict = REWARD) -> dict:
+    """per-step reward terms of an AV row; total is divided by ``scale``."""
+    h, v, a = _c(hw), _c(speed), _c(accel)
+    crash = F.when(h < 0, F.lit(w["crash"])).otherwise(F.lit(0.0))
+    energy = -w["energy_penalty"] * F.greatest(_c(fuel), F.lit(0.0))
+    accel_r = -w["accel_penalty"] * (a * a)
+    gap_closing = h > gap_closing_threshold(v, w["max_headway"], w["max_time_headway"])
+    failsafe = h < failsafe_threshold(v, leader_speed)
+    interv = F.when(gap_closing | failsafe, F.lit(-w["accel_penalty"] * w["intervention_penalty"])).otherwise(F.lit(0.0))
+    head = F.when((h > w["min_headway_penalty_gap"]) & (v > w["min_headway_penalty_speed"]),
+                  -w["headway_penalty"] * time_gap(h, v)).otherwise(F.lit(0.0))
+    sdiff = F.lit(0.0) if target_speed is None else -w["speed_diff_weight"] * (_c(target_speed) - v) * (_c(target_speed) - v)
+    adelta = F.lit(0.0) if prev_accel is None else -w["accel_delta_weight"] * (_c(prev_accel) - a) * (_c(prev_accel) - a)
+    total = (crash + energy + accel_r + interv + head + sdiff + adelta) / w["scale"]
+    return {"reward": total, "energy_reward": energy, "accel_reward": accel_r, "intervention_reward": interv,
+            "headway_reward": head, "speed_diff_reward": sdiff, "accel_delta_reward": adelta}
+
+
+def acc_settings(speed, leader_speed, target_speed=None, max_headway=True) -> dict:
+    """ACC speed setting (snapped to whole mph, at least 20 mph; Python round is
+    half-to-even, hence bround) and gap setting 1..3."""
+    v, vl = _c(speed), _c(leader_speed)
+    if target_speed is None:
+        slow = vl < 20 * MPH
+        speed_set = F.when(slow, vl).when(v > vl + 2, vl).otherwise((v + vl) / 2.0)
+        gap = (F.when(slow & (F.abs(v - vl) < 2.0), 2).when(slow & (v > vl), 1).when(slow, 3)
+               .when(v > vl + 2, 1).otherwise(3))
+    else:
+        ts = _c(target_speed)
+        speed_set = F.when(ts < vl, ts * 0.6 + vl * 0.4).otherwise(ts)
+        gap = F.lit(1 if max_headway else 3)
+    snapped = F.bround(speed_set / MPH, 0) * MPH
+    return {"speed_setting": F.greatest(snapped, F.lit(MPH * 20)), "gap_setting": gap.cast("int")}
+
+
+def acc_residual(speed_setting, speed, accel, p: dict = ACC) -> Column:
+    """F32: two-branch speed-control law of the speed error, clipped, minus the logged accel."""
+    err = _c(speed_setting) - _c(speed)
+    ctl = F.when(err > p["switch"], F.least(F.lit(p["p3"]), p["p20"] * err + p["p21"])).otherwise(
+        F.greatest(F.lit(p["p4"]), p["p22"] * err + p["p23"]))
+    return ctl - _c(accel)
+
+
+def density_idm(speed, p: dict = IDM_EQ) -> Column:
+    """IDM-equilibrium density of a speed (NULL at or above v0)."""
+    v = _c(speed)
+    r = v / p["v0"]
+    s = (p["s0"] + p["T"] * v) / F.sqrt(1 - r * r * r * r)
+    return F.when(v < p["v0"], 1 / (s + p["veh_len"]))
+
+
+def density_linear(speed, p: dict = LINEAR_FD) -> Column:
+    """linear fundamental diagram k(v)."""
+    return p["k_max"] * (1 - _c(speed) / p["v_max"])
+
+
+def speed_linear(density, p: dict = LINEAR_FD) -> Column:
+    """linear fundamental diagram v(k)."""
+    return p["v_max"] * (1 - _c(density) / p["k_max"])
+
+
+def policy_postprocess(raw_accel, speed, leader_speed, hw) -> Column:
+    """logged raw policy accel bounded, blended towards 0.75 above a 120 m gap and
+    towards -3 at small TTC (logistic weights), bounded again."""
+    def clamp(x):
+        return F.least(F.greatest(x, F.lit(-3.0)), F.lit(1.5))
+
+    rl = clamp(_c(raw_accel))
+    sd = F.greatest(F.lit(0.1), _c(speed) - _c(leader_speed))
+    ttc = _c(hw) / sd
+    small = 1 / (1.0 + F.exp(-1.5 * (6.5 - ttc)))
+    large = 1 / (1.0 + F.exp(-0.1 * (_c(hw) - 120.0)))
+    mod = rl * (1 - large) + 0.75 * large
+    mod = (1 - small) * mod + small * -3.0
+    return clamp(mod)
+
+
+def cut_probabilities(space_gap, leader_speed) -> dict:
+    """per-step cut-in and cut-out probabilities (base rates, before the
+    vehicle-count multiplier)."""
+    g, vl = _c(space_gap), _c(leader_speed)
+    cin = F.when(vl <= 25.0, (1.9e-2 + -8.975e-4 * g + 1.002e-4 * g * g) / 100.0).otherwise(
+        (-5.068e-3 + 1.347e-3 * g + 8.912e-6 * g * g) / 500.0)
+    cout = (-8.98e-3 + 8.763e-3 * vl - 2.1e-4 * vl * vl) / 500.0
+    return {"cutin_proba": cin, "cutout_proba": cout}

@@ -2,8 +2,10 @@
 
 The oracle SQL reads the pre-registered driver tables; the adapter views of
 FIXTURES.md are prepended as CTEs (``views=``). The adapters here differ from the
-fixture text in two deliberate points: ``veh_log0`` keeps every row of each user
-drive (no ``seq < 40`` cap) and ``tse.t`` is cast to BIGINT (Spark ``day`` is INT).
+fixture text in three deliberate points: ``veh_log0`` keeps every row of each user
+drive (no ``seq < 40`` cap), ``tse.t`` is cast to BIGINT (Spark ``day`` is INT) and
+``veh_log.position`` sums speeds in integer cm/s (exact, so both engines agree to the
+last bit whatever their summation order).
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ ADAPTER_SQL: dict[str, str] = {
         SELECT run_id, id_num, step, t, speed,
                concat(CAST(id_num AS VARCHAR), CASE WHEN id_num = 0 THEN '_trajectory_leader'
                       WHEN id_num IN (1, 8) THEN '_rl_av' ELSE '_idm_human' END) AS id,
-               coalesce(sum(speed * 1e-1) OVER (PARTITION BY run_id, id_num ORDER BY step
-                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) - 3e1 * id_num AS position
+               coalesce(sum(CAST(round(speed * 100) AS BIGINT)) OVER (PARTITION BY run_id, id_num ORDER BY step
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1e3 - 3e1 * id_num AS position
         FROM veh_log0""",
     "tse": """
         SELECT CAST(day(ts) AS BIGINT) AS t, CAST(floor(hour(ts) / 3) AS INT) AS seg_idx,

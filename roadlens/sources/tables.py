@@ -73,8 +73,9 @@ def vehicle_id(id_num) -> F.Column:
 def veh_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emission-like log: id, position from speeds (W1), leader of n is n-1."""
     v = veh_log0(spark, sf_dir).withColumn("id", vehicle_id(F.col("id_num")))
-    v = running_sum(v, ["run_id", "id_num"], "step", {"_pos": F.col("speed") * 0.1}, exclusive=True)
-    return v.withColumn("position", F.col("_pos") - 30.0 * F.col("id_num")).drop("_pos")
+    # W1 in exact integer arithmetic: sum of cm/s, then one division (cm/s * 0.1 s = mm)
+    v = running_sum(v, ["run_id", "id_num"], "step", {"_pos": F.round(F.col("speed") * 100).cast("long")}, exclusive=True)
+    return v.withColumn("position", F.col("_pos").cast("long") / 1e3 - 30.0 * F.col("id_num")).drop("_pos")
 
 
 def tse(spark: SparkSession, sf_dir: str) -> DataFrame:
