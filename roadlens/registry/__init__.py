@@ -6,7 +6,7 @@ import importlib
 
 from .core import REGISTRY, Query, register  # noqa: F401
 
-_MODULES = ["logs_q", "windows_q", "text_q", "joins_q", "metrics_q", "traffic_q", "phys_q"]
+_MODULES = ["logs_q", "windows_q", "text_q", "joins_q", "metrics_q", "traffic_q", "phys_q", "retr_q"]
 
 
 def load_all() -> dict:
