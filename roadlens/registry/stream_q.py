@@ -101,3 +101,19 @@ def x8(spark, d):
     a, b = st.read_events_stream(spark, d), st.read_events_stream(spark, d)
     dedup = st.run_append(st.drop_late_duplicates(a.unionByName(b), ["event_id"]).select("event_id", "user_id"), "x8")
     return dedup.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_distinct"))
+
+
+@register(
+    "x5_stream_traffic_segments", "X-5,D2",
+    sql=__import__("roadlens.registry.traffic_q", fromlist=["D2_SQL"]).D2_SQL + """,
+  ends AS (SELECT event_type AS traj_id, max(ts) AS last_ts FROM events GROUP BY event_type)
+SELECT seg.traj_id, s.st AS state, seg.start, seg."end" FROM seg JOIN s ON s.traj_id = seg.traj_id AND s.seq = seg.lab
+JOIN ends e ON e.traj_id = seg.traj_id
+WHERE seg.lab = seg."end" - 1 OR e.last_ts < (SELECT max(ts) FROM events) - INTERVAL 1 second""",
+    views=["drive_type"],
+    note="closed segments at once; the open one when the event-time timeout fires (every drive but the one "
+         "holding the last event of the stream)",
+)
+def x5(spark, d):
+    ev = st.read_events_stream(spark, d).withColumn("velocity_kmh", F.least(F.col("value"), F.lit(120.0)))
+    return st.run_append(st.stream_segments(ev, "event_type", F.col("velocity_kmh")), "x5")

@@ -124,3 +124,54 @@ def attach_profile(events: DataFrame, profiles: DataFrame, key_expr, profile_key
 def drop_late_duplicates(events: DataFrame, keys: list[str], delay: str = "10 minutes") -> DataFrame:
     """X-8: duplicate rows within the watermark removed (state bounded by the delay)."""
     return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(keys)
+
+
+SEGMENT_OUT = "traj_id string, state string, start long, end long"
+SEGMENT_STATE = "start long, cur string, n long"
+
+
+def _fold_segments(min_rows: int):
+    """X-5 processor: the D2 fold carried across micro-batches in group state; a closed
+    segment is emitted at once, the open one when the event-time timeout fires."""
+    import numpy as np
+    import pandas as pd
+
+    def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            start, cur, n = state.get
+            state.remove()
+            yield pd.DataFrame({"traj_id": [key[0]], "state": [cur], "start": [start], "end": [n - 1]})
+            return
+        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_us", "event_id"])
+        labels = rows["label"].to_numpy()
+        start, cur, n = state.get if state.exists else (0, None, 0)
+        if cur is None:
+            cur = labels[0]
+        prev = np.concatenate([[cur], labels[:-1]])
+        out = []
+        for j in np.nonzero(labels != prev)[0]:  # only the flips are visited
+            i = n + int(j)
+            if i - start >= min_rows:
+                out.append((key[0], cur, start, i))
+                start = i
+            cur = labels[j]
+        n += len(labels)
+        state.update((int(start), str(cur), int(n)))
+        state.setTimeoutTimestamp(int(rows["ts_us"].max() // 1000) + 1)
+        yield pd.DataFrame(out, columns=["traj_id", "state", "start", "end"])
+
+    return fn
+
+
+def stream_segments(events: DataFrame, key: str, velocity, min_rows: int = 100, delay: str = "0 seconds") -> DataFrame:
+    """X-5: traffic-state segmentation of each drive as a stateful stream
+    (``applyInPandasWithState``, event-time timeout flushes the open segment)."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from ..operators.traffic import traffic_state
+
+    x = events.withWatermark("event_time", delay).select(
+        F.col(key).cast("string").alias("_k"), "event_id", F.unix_micros("event_time").alias("ts_us"),
+        traffic_state(velocity).alias("label"), "event_time")
+    return x.groupBy("_k").applyInPandasWithState(
+        _fold_segments(min_rows), SEGMENT_OUT, SEGMENT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
