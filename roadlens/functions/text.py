@@ -106,3 +106,43 @@ def pad_to(arr, k: int, fill=-1.0) -> Column:
     """first k elements, padded with ``fill`` to length k."""
     a = F.slice(_c(arr), 1, k)
     return F.concat(a, F.array_repeat(F.lit(fill).cast("double"), F.greatest(F.lit(k) - F.size(a), F.lit(0))))
+
+
+PLATOON_GROUP = r"\(([a-z0-9\s\*#]+)\)\*([0-9]+)"
+PLATOON_TOKEN = r"\([a-z0-9\s\*#]+\)\*[0-9]+|[a-z]+(?:#[a-z]+)*(?:\*[0-9]+)?"
+VEHICLE_TOKEN = r"[a-z]+(?:#[a-z]+)*(?:\*[0-9]+)?"
+
+
+def expand_platoon(spec) -> Column:
+    """platoon string -> ordered ARRAY<STRUCT<kind, tags>> with one element per
+    vehicle: ``(sub)*n`` repeats sub n times, ``veh#tag*n`` repeats a vehicle n times."""
+    toks = F.regexp_extract_all(_c(spec), F.lit(PLATOON_TOKEN), 0)
+
+    def unfold(tok):
+        grp = tok.startswith("(")
+        body = F.regexp_extract(tok, PLATOON_GROUP, 1)
+        n = F.regexp_extract(tok, PLATOON_GROUP, 2).cast("int")
+        return F.when(grp, F.flatten(F.array_repeat(F.regexp_extract_all(body, F.lit(VEHICLE_TOKEN), 0), n))).otherwise(F.array(tok))
+
+    vehicle_tokens = F.flatten(F.transform(toks, unfold))
+
+    def vehicles(tok):
+        kind = F.regexp_extract(tok, r"^([a-z]+)", 1)
+        tags = F.filter(F.split(F.regexp_extract(tok, r"^[a-z]+((?:#[a-z]+)*)", 1), "#"), lambda t: t != "")
+        cnt = F.coalesce(F.regexp_extract(tok, r"\*([0-9]+)$", 1).try_cast("int"), F.lit(1))
+        return F.array_repeat(F.struct(kind.alias("kind"), tags.alias("tags")), cnt)
+
+    return F.flatten(F.transform(vehicle_tokens, vehicles))
+
+
+def merge_config(defaults: Column, overrides: Column) -> Column:
+    """defaults overridden by the config (last wins) without relying on the
+    session's map-key dedup policy."""
+    keep = F.map_filter(defaults, lambda k, v: ~F.array_contains(F.map_keys(overrides), k))
+    return F.map_concat(keep, overrides)
+
+
+def markdown_rows(rows: Column, cols: list[str]) -> Column:
+    """'| a | b |' per row of an ordered ARRAY<STRUCT>, newline joined."""
+    return F.array_join(F.transform(rows, lambda r: F.concat(
+        F.lit("| "), F.concat_ws(" | ", *[r[c].cast("string") for c in cols]), F.lit(" |"))), "\n")
