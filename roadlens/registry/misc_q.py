@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..functions.numeric import rnd
@@ -274,7 +275,7 @@ def k7(spark, d):
 _NUM = re.compile(r"[-+]?[0-9]*\.?[0-9]+")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def numeric_embedding_udf(texts: pd.Series) -> pd.Series:
     """Batch embedding model as an Arrow-batched pandas UDF (the numeric embedding;
     a sentence model plugs in the same way)."""
