@@ -202,3 +202,65 @@ def switch_pairs(df, keys, seq, flag: Column, direction: Column) -> DataFrame:
     pairs = starts.join(ends, on=[*keys, "_sw"], how="inner").filter(F.col("_dir") == "West")
     pairs = dense_position(pairs, keys, ["_sw"], bucket=F.floor(F.col("_sw") / block).cast("long"), name="k")
     return pairs.select(*keys, "k", "start_row", "end_row", (F.col("end_row") - F.col("start_row")).alias("n_rows"))
+
+
+def relative_speed_from_gap(df, keys, seq, time, velocity_kmh, gap, delta=10, acc_lo=-20.0, acc_hi=10.0,
+                            v_lo=0.0, v_hi=140.0, name="relative_velocity") -> DataFrame:
+    """W13 (dormant in the source): central difference of the gap over +/-delta rows,
+    blanked when the implied leader accel leaves [acc_lo, acc_hi] (checked only when the
+    previous row survived) or the implied leader speed leaves [v_lo, v_hi].
+
+    The row-to-row dependency is a 2-state automaton: a row with a bad speed is NaN; with
+    a good accel it is kept; with a bad accel it is kept iff the previous row was NaN. So
+    kept[i] = value of the last 'constant' row XOR the parity of 'flip' rows since - one
+    carry-forward and one running count over blocks, no per-drive fold.
+    """
+    v, t, g = F.col(velocity_kmh), F.col(time), F.col(gap)
+    x = over_blocks(df, keys, seq, delta + 1, delta, lambda w: {
+        "_g2": F.lead(gap, delta).over(w), "_g0": F.lag(gap, delta).over(w),
+        "_t2": F.lead(time, delta).over(w), "_t0": F.lag(time, delta).over(w),
+        "_g2p": F.lead(gap, delta - 1).over(w), "_g0p": F.lag(gap, delta + 1).over(w),
+        "_t2p": F.lead(time, delta - 1).over(w), "_t0p": F.lag(time, delta + 1).over(w),
+        "_vp": F.lag(velocity_kmh, 1).over(w), "_tp": F.lag(time, 1).over(w)})
+    raw = (F.col("_g2") - F.col("_g0")) / (F.col("_t2") - F.col("_t0"))
+    rawp = (F.col("_g2p") - F.col("_g0p")) / (F.col("_t2p") - F.col("_t0p"))
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    x = x.join(n, keys).withColumn("_raw", raw).withColumn("_rawp", rawp)
+    inside = (F.col(seq) >= delta) & (F.col(seq) < F.col("_n") - delta)
+    prev_inside = (F.col(seq) - 1 >= delta)
+    acc = (v + F.col("_raw") - F.col("_vp") - F.col("_rawp")) / (t - F.col("_tp")) / 3.6
+    acc_bad = prev_inside & ((acc < acc_lo) | (acc > acc_hi))
+    spd = v + F.col("_raw")
+    spd_bad = (spd < v_lo) | (spd > v_hi)
+    # function kind per row: 0 = const False, 1 = const True, 2 = NOT
+    kind = F.when(~inside | spd_bad, 0).when(~acc_bad, 1).otherwise(2)
+    x = x.withColumn("_kind", kind)
+    x = carry_forward(x, keys, seq, {"_cseq": F.when(F.col("_kind") < 2, F.col(seq)),
+                                     "_cval": F.when(F.col("_kind") < 2, F.col("_kind") == 1)})
+    x = running_sum(x, keys, seq, {"_flips": F.when(F.col("_kind") == 2, 1).otherwise(0)})
+    flips_at_c = running_sum(x.select(*keys, seq, "_kind"), keys, seq,
+                             {"_fc": F.when(F.col("_kind") == 2, 1).otherwise(0)}).select(*keys, F.col(seq).alias("_cseq"), "_fc")
+    x = x.join(flips_at_c, on=[*keys, "_cseq"], how="left")
+    parity = (F.col("_flips") - F.coalesce(F.col("_fc"), F.lit(0))) % 2 == 1
+    # before any constant row the state is the initial NaN (False)
+    ok = F.when(F.col("_cval").isNull(), parity).otherwise(F.col("_cval") != parity)
+    x = x.withColumn(name, F.when(inside & ok, F.col("_raw")))
+    return x.drop("_g2", "_g0", "_t2", "_t0", "_g2p", "_g0p", "_t2p", "_t0p", "_vp", "_tp", "_n", "_raw", "_rawp",
+                  "_kind", "_cseq", "_cval", "_flips", "_fc")
+
+
+def lane_change_flags(df, keys, seq, headway="headway", accel="accel", speed="speed", leader_speed="leader_speed",
+                      lc_thresh=3.5, dt=0.1, th_safe=2.0, ttc_safe=4.5, name="lane_change") -> DataFrame:
+    """-1 cut-in (gap drops by >= 3.5 m), +1 cut-out (gap grows by >= 3.5 m), when the
+    accel changed by more than 0.9 * dt and the time headway / TTC is safe; else 0."""
+    x = over_blocks(df, keys, seq, 1, 0, lambda w: {"_ph": F.lag(headway, 1).over(w), "_pa": F.lag(accel, 1).over(w)})
+    h, v, vl = F.col(headway), F.col(speed), F.col(leader_speed)
+    rv = vl - v
+    da = F.abs(F.col(accel) - F.col("_pa"))
+    th = F.when(v > 0, h / v).otherwise(F.lit(60.0))
+    ttc = F.when(rv < 0, -h / rv).otherwise(F.lit(60.0))
+    safe = ((rv > 0) & (th > th_safe)) | ((rv < 0) & (ttc > ttc_safe))
+    diff = h - F.col("_ph")
+    flag = (F.when((diff <= -lc_thresh) & (da > 0.9 * dt) & safe, -1)
+            .when((diff >= lc_thresh) & (da > 0.9 * dt) & safe, 1).otherwise(0))
+    return x.withColumn(name, F.coalesce(flag, F.lit(0))).drop("_ph", "_pa")
