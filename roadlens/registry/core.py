@@ -5,7 +5,8 @@ FIXTURES.md are prepended as CTEs (``views=``). The adapters here differ from th
 fixture text in three deliberate points: ``veh_log0`` keeps every row of each user
 drive (no ``seq < 40`` cap), ``tse.t`` is cast to BIGINT (Spark ``day`` is INT) and
 ``veh_log.position`` sums speeds in integer cm/s (exact, so both engines agree to the
-last bit whatever their summation order).
+last bit whatever their summation order); ``tse.avg_speed`` is rounded to 9 decimals
+for the same reason.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ ADAPTER_SQL: dict[str, str] = {
     "tse": """
         SELECT CAST(day(ts) AS BIGINT) AS t, CAST(floor(hour(ts) / 3) AS INT) AS seg_idx,
                CAST(floor(hour(ts) / 3) AS INT) * 1e3 - 1e3 AS seg_start,
-               avg(least(value, 4e1)) AS avg_speed
+               round(avg(least(value, 4e1)), 9) AS avg_speed
         FROM events GROUP BY 1, 2, 3""",
     "raw_drive": """
         SELECT traj_id, seq, seq * 1e-1 AS time, velocity_kmh,

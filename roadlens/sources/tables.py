@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import rnd
 from ..plans.blocks import running_sum
 from ..plans.ordering import dense_position, time_bucket
 
@@ -86,7 +87,7 @@ def tse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.dayofmonth("ts").cast("long").alias("t"),
         seg.alias("seg_idx"),
         (seg * 1000.0 - 1000.0).alias("seg_start"),
-    ).agg(F.avg(F.least(F.col("value"), F.lit(40.0))).alias("avg_speed"))
+    ).agg(rnd(F.avg(F.least(F.col("value"), F.lit(40.0))), 9).alias("avg_speed"))
 
 
 def raw_drive(spark: SparkSession, sf_dir: str, with_gaps: bool = False) -> DataFrame:
