@@ -49,3 +49,9 @@ def nan_mean(values: list[Column]) -> Column:
     arr = F.filter(F.array(*values), lambda x: x.isNotNull() & ~F.isnan(x))
     return F.when(F.size(arr) == 0, F.lit(float("nan"))).otherwise(
         F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v) / F.size(arr))
+
+
+def unit(a) -> Column:
+    """a / |a| (zero vector stays zero) - normalise once per vector, then cosine = dot."""
+    n = norm(a)
+    return F.when(n == 0, F.transform(_c(a), lambda x: x * 0.0)).otherwise(F.transform(_c(a), lambda x: x / n))

@@ -38,10 +38,11 @@ def admit(docs: DataFrame, doc_id: str, score: str, arrival: str, max_size: int
 def top_k(queries: DataFrame, qid: str, qvec: str, store: DataFrame, did: str, dvec: str, k: int,
           store_bound: int = STORE_LIMIT, vec_bytes: int = 1024) -> DataFrame:
     """R2: cosine top-k per query, best first, ties by document id; empty store -> empty."""
-    st = maybe_broadcast(store.select(F.col(did).alias("doc_id"), vx.as_double(dvec).alias("_dv")), store_bound, vec_bytes)
-    q = queries.select(F.col(qid).alias("query_id"), vx.as_double(qvec).alias("_qv"))
-    # every query meets at most ``store_bound`` documents (the store capacity)
-    pairs = q.crossJoin(st).withColumn("score", vx.cosine("_qv", "_dv"))
+    st = maybe_broadcast(store.select(F.col(did).alias("doc_id"), vx.unit(vx.as_double(dvec)).alias("_dv")), store_bound, vec_bytes)
+    q = queries.select(F.col(qid).alias("query_id"), vx.unit(vx.as_double(qvec)).alias("_qv"))
+    # every query meets at most ``store_bound`` documents (the store capacity);
+    # vectors are normalised once per side, so a pair costs one dot product
+    pairs = q.crossJoin(st).withColumn("score", vx.dot("_qv", "_dv"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("_qv", "_dv")
 
@@ -51,10 +52,10 @@ def two_stage(queries: DataFrame, qid: str, qvec: str, qstate: str, store: DataF
     """Top ``k1`` by cosine of the text vectors, then ``k2`` of those by squared L2 of
     the state vectors; ``order='nearest'`` (ruling Q2) or ``'reference'`` (the source's
     farthest-first slice). k capped by the store size."""
-    st = maybe_broadcast(store.select(F.col(did).alias("doc_id"), vx.as_double(dvec).alias("_dv"),
+    st = maybe_broadcast(store.select(F.col(did).alias("doc_id"), vx.unit(vx.as_double(dvec)).alias("_dv"),
                                       vx.as_double(dstate).alias("_ds")), store_bound, 1024)
-    q = queries.select(F.col(qid).alias("query_id"), vx.as_double(qvec).alias("_qv"), vx.as_double(qstate).alias("_qs"))
-    pairs = q.crossJoin(st).withColumn("text_score", vx.cosine("_qv", "_dv"))
+    q = queries.select(F.col(qid).alias("query_id"), vx.unit(vx.as_double(qvec)).alias("_qv"), vx.as_double(qstate).alias("_qs"))
+    pairs = q.crossJoin(st).withColumn("text_score", vx.dot("_qv", "_dv"))
     w1 = Window.partitionBy("query_id").orderBy(F.col("text_score").desc(), F.col("doc_id"))
     s1 = pairs.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k1)
     diff = F.zip_with("_qs", "_ds", lambda a, b: a - b)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import emissions as em
 from ..operators import metrics as mt
+from ..session import materialize
 from ..sources import tables as tb
 from .core import register
 from .sqlfrag import LEAD_CTES, LOG_CTES
@@ -24,7 +25,7 @@ def mpg_sql(speed="speed", fuel="fuel", where=None):
 
 def fuel_log(spark, d):
     """veh_log + W11 realized accel + F9 fuel rate."""
-    return em.with_fuel(em.realized_accel(tb.veh_log(spark, d)))
+    return materialize(em.with_fuel(em.realized_accel(tb.veh_log(spark, d, keep=False))))
 
 
 @register(

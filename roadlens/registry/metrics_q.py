@@ -11,6 +11,7 @@ from ..operators import emissions as em
 from ..operators import metrics as mt
 from ..operators import series as sr
 from ..plans.broadcast import maybe_broadcast
+from ..session import materialize
 from ..sources import tables as tb
 from .core import register
 from .logs_q import fuel_log
@@ -29,7 +30,7 @@ CUM_CTES = LOG_CTES + [CUM_CTE]
 
 
 def cum_log(spark, d):
-    return em.cumulative_fuel(fuel_log(spark, d))
+    return materialize(em.cumulative_fuel(fuel_log(spark, d)))
 
 
 @register(

@@ -23,10 +23,17 @@ def _cos(a, b):
     return f"(CASE WHEN {na} = 0 OR {nb} = 0 THEN 0e0 ELSE {_dot(a, b)} / ({na} * {nb}) END)"
 
 
-STORE_CTE = ("store", """SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS dv, list_slice(CAST(embedding AS DOUBLE[]), 1, 3) AS ds
-                        FROM embeddings ORDER BY label DESC, vec_id ASC LIMIT 100""")
-QUERY_CTE = ("q", """SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv, list_slice(CAST(embedding AS DOUBLE[]), 1, 3) AS qs
-                    FROM embeddings""")
+def _unit(a):
+    n = f"sqrt({_dot(a, a)})"
+    return f"(CASE WHEN {n} = 0 THEN list_transform({a}, lambda x: x * 0e0) ELSE list_transform({a}, lambda x: x / {n}) END)"
+
+
+STORE_CTE = ("store", f"""SELECT vec_id AS doc_id, {_unit('CAST(embedding AS DOUBLE[])')} AS dv,
+                                list_slice(CAST(embedding AS DOUBLE[]), 1, 3) AS ds
+                         FROM embeddings ORDER BY label DESC, vec_id ASC LIMIT 100""")
+QUERY_CTE = ("q", f"""SELECT vec_id AS query_id, {_unit('CAST(embedding AS DOUBLE[])')} AS qv,
+                            list_slice(CAST(embedding AS DOUBLE[]), 1, 3) AS qs
+                     FROM embeddings""")
 
 
 def store(spark, d):
@@ -52,7 +59,7 @@ def r5(spark, d):
     "r2_f22_cosine_top_k", "R2,F22,J11",
     sql=f"""SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM (
               SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
-              FROM (SELECT query_id, doc_id, {_cos('qv', 'dv')} AS score FROM q CROSS JOIN store)) WHERE rank <= 5""",
+              FROM (SELECT query_id, doc_id, {_dot('qv', 'dv')} AS score FROM q CROSS JOIN store)) WHERE rank <= 5""",
     ctes=[STORE_CTE, QUERY_CTE],
 )
 def r2(spark, d):
@@ -64,7 +71,7 @@ R3_SQL = f"""SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, round(text_s
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY state_l2 {{order}}, doc_id) AS rank FROM (
     SELECT *, {_dot('list_transform(qs, lambda x, i: x - ds[i])', 'list_transform(qs, lambda x, i: x - ds[i])')} AS state_l2 FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY text_score DESC, doc_id) AS r1 FROM (
-        SELECT query_id, doc_id, qs, ds, {_cos('qv', 'dv')} AS text_score FROM q CROSS JOIN store)) WHERE r1 <= 30))
+        SELECT query_id, doc_id, qs, ds, {_dot('qv', 'dv')} AS text_score FROM q CROSS JOIN store)) WHERE r1 <= 30))
 WHERE rank <= 5"""
 
 

@@ -59,3 +59,14 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df):
+    """Write a derived frame that several branches of a plan read (its lineage would
+    otherwise be recomputed once per branch - column pruning makes the branches differ,
+    so Spark cannot reuse their exchanges) to the shared checkpoint folder.
+
+    ``roadlens.materialize=false`` turns this off (plans then recompute).
+    """
+    flag = df.sparkSession.conf.get("roadlens.materialize", "true").lower()
+    return cut_lineage(df) if flag != "false" else df

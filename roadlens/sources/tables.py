@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import rnd
 from ..plans.blocks import running_sum
 from ..plans.ordering import dense_position, time_bucket
+from ..session import materialize
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -28,25 +29,25 @@ def drive_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One short drive per user (speeds in m/s, capped at 40)."""
     ev = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value", "event_type")
     ev = dense_position(ev, ["user_id"], ["ts", "event_id"], bucket=time_bucket("ts"))
-    return ev.select(
+    return materialize(ev.select(
         F.col("user_id").alias("traj_id"),
         "event_id",
         "seq",
         F.least(F.col("value"), F.lit(40.0)).alias("speed"),
         "event_type",
-    )
+    ))
 
 
 def drive_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One long drive per event type (velocity in km/h, capped at 120)."""
     ev = table(spark, sf_dir, "events").select("event_type", "event_id", "ts", "value")
     ev = dense_position(ev, ["event_type"], ["ts", "event_id"], bucket=time_bucket("ts"))
-    return ev.select(
+    return materialize(ev.select(
         F.col("event_type").alias("traj_id"),
         "event_id",
         "seq",
         F.least(F.col("value"), F.lit(120.0)).alias("velocity_kmh"),
-    )
+    ))
 
 
 def veh_log0(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,12 +72,14 @@ def vehicle_id(id_num) -> F.Column:
     return F.concat(id_num.cast("string"), kind)
 
 
-def veh_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def veh_log(spark: SparkSession, sf_dir: str, keep: bool = True) -> DataFrame:
     """Emission-like log: id, position from speeds (W1), leader of n is n-1."""
     v = veh_log0(spark, sf_dir).withColumn("id", vehicle_id(F.col("id_num")))
     # W1 in exact integer arithmetic: sum of cm/s, then one division (cm/s * 0.1 s = mm)
     v = running_sum(v, ["run_id", "id_num"], "step", {"_pos": F.round(F.col("speed") * 100).cast("long")}, exclusive=True)
-    return v.withColumn("position", F.col("_pos").cast("long") / 1e3 - 30.0 * F.col("id_num")).drop("_pos")
+    v = v.withColumn("position", F.col("_pos").cast("long") / 1e3 - 30.0 * F.col("id_num")).drop("_pos")
+    # ``keep``: materialize for callers that read it from several branches
+    return materialize(v) if keep else v
 
 
 def tse(spark: SparkSession, sf_dir: str) -> DataFrame:
