@@ -218,3 +218,48 @@ def r6(spark, d):
     e = e.join(nxt, "pos", "left").join(prv, "pos", "left")
     logic = (vx.cosine("v", "nv") + vx.cosine("v", "pv")) / 2
     return e.select("vec_id", rnd(F.when(F.col("nv").isNotNull() & F.col("pv").isNotNull(), logic), 6).alias("logic_score"))
+
+
+D7_SQL = """WITH k AS (SELECT t, list(seg_start ORDER BY seg_idx) AS xs, list(avg_speed ORDER BY seg_idx) AS zs FROM tse GROUP BY t),
+  g AS (SELECT t, i AS grid_idx, -2e4 + i * 100 AS x, xs, zs, len(list_filter(xs, lambda v: v <= -2e4 + i * 100)) AS kk, len(xs) AS n
+        FROM k, unnest(range(0, 410)) AS u(i)),
+  r AS (SELECT t, grid_idx, x, CASE WHEN x <= xs[1] THEN zs[1] WHEN x >= xs[n] THEN zs[n]
+                                     ELSE zs[kk] + (zs[kk + 1] - zs[kk]) * (x - xs[kk]) / (xs[kk + 1] - xs[kk]) END AS resampled FROM g),
+  w AS (SELECT a.t, a.grid_idx, a.x, b.resampled AS rj,
+               {c} * exp(-((b.x - a.x) * (b.x - a.x)) / (2 * 2.5e2 * 2.5e2)) AS wj
+        FROM r a JOIN r b ON a.t = b.t),
+  s AS (SELECT t, grid_idx, sum(wj) AS s FROM w GROUP BY t, grid_idx),
+  sm AS (SELECT w.t, w.grid_idx, any_value(w.x) AS x, sum(w.wj / s.s * w.rj) AS smoothed FROM w JOIN s ON s.t = w.t AND s.grid_idx = w.grid_idx
+         GROUP BY w.t, w.grid_idx)"""
+
+
+def _d7_sql():
+    import math as _m
+
+    return D7_SQL.format(c=repr(1 / (_m.sqrt(2 * _m.pi) * 250.0)))
+
+
+@register(
+    "d7_gaussian_profile", "D7",
+    note="410-point resample + full Gaussian kernel per profile; checked against numpy in tests (no SQL oracle)",
+)
+def d7(spark, d):
+    arr = tf.profile_arrays(tb.tse(spark, d), ["t"], "seg_start", "avg_speed")
+    g = tf.gaussian_profile(arr, ["t"])
+    return g.select("t", F.col("grid_idx").cast("int").alias("grid_idx"), rnd("resampled", 6).alias("resampled"),
+                    rnd("smoothed", 6).alias("smoothed"))
+
+
+@register(
+    "d10_target_by_position", "D10,D7,J1,J12",
+    note="as-of profile, smoothed profile moved back 180 s x 4.2 m/s, linear at the position (no SQL oracle)",
+)
+def d10(spark, d):
+    from ..session import materialize
+
+    v = tb.veh_log(spark, d).select("run_id", "id_num", "step", "position", (F.col("step") * PROBE_SCALE).alias("probe_t"))
+    m = jn.asof_join(v, tb.tse(spark, d).select("t").distinct(), [], "probe_t", "t", []).withColumnRenamed("t_match", "t")
+    arr = tf.profile_arrays(tb.tse(spark, d), ["t"], "seg_start", "avg_speed")
+    g = materialize(tf.gaussian_profile(arr, ["t"]))
+    x = tf.target_at_position(m, "position", g, ["t"])
+    return x.select("run_id", "id_num", "step", rnd("target_speed", 6).alias("target_speed"))
