@@ -81,12 +81,13 @@ def smoothing_kernel(passes: int = 50, mu: float = 0.9) -> np.ndarray:
 
 
 def smooth(df, keys, seq="seq", value="value", passes=50, mu=0.9, name="smoothed") -> DataFrame:
-    """``passes`` rounds of 3-tap smoothing with replicated edges, as one window.
+    """``passes`` rounds of 3-tap smoothing with replicated edges, as one kernel.
 
-    Replicated-edge iteration equals one kernel over the half-sample-mirrored series,
-    so each row is copied to the mirrored positions it occupies within ``passes`` of an
-    end (any length: the fold is periodic with period 2n), then a +/-passes window
-    with fixed weights gives the result. One shuffle instead of ``passes`` windows.
+    Replicated-edge iteration equals one (2*passes+1)-tap kernel over the
+    half-sample-mirrored series, so each row is copied to the mirrored positions it
+    occupies within ``passes`` of an end (any length: the fold is periodic with period
+    2n); blocks of the extended series with their halos are then correlated with the
+    kernel in numpy. One shuffle instead of ``passes`` windows.
     """
     kern = smoothing_kernel(passes, mu)
     r = passes
@@ -101,16 +102,37 @@ def smooth(df, keys, seq="seq", value="value", passes=50, mu=0.9, name="smoothed
     cands = F.array_distinct(F.filter(cands, lambda j: (j >= -r) & (j < n + r)))
     x = x.withColumn("_j", F.explode(cands)).withColumn("_e", F.col("_j") + r)
 
-    def build(w):
-        total = None
-        for d in range(-r, r + 1):
-            v = F.col(value) if d == 0 else (F.lag(value, -d) if d < 0 else F.lead(value, d)).over(w)
-            term = F.lit(float(kern[d + r])) * v
-            total = term if total is None else total + term
-        return {name: total}
-
-    y = over_blocks(x, keys, "_e", r, r, build)
-    return y.filter((F.col("_j") >= 0) & (F.col("_j") < F.col("_n"))).select(*keys, F.col("_j").alias(seq), value, name)
+    # rows of each (key, block) plus the r-row halos on both sides go to one pandas call;
+    # the 101-tap kernel is one numpy correlation there (the halo makes every own row's
+    # neighbourhood complete, so blocks never see each other)
+    from pyspark.sql import types as T
+
+    from ..plans.blocks import block_size, with_halo
+
+    block = block_size(df.sparkSession)
+    wide = with_halo(x.select(*keys, "_j", "_e", "_n", value), "_e", r, r, block)
+    key_fields = [df.schema[k] for k in keys]
+    out_schema = T.StructType(key_fields + [T.StructField(seq, T.LongType()), T.StructField(value, T.DoubleType()),
+                                            T.StructField(name, T.DoubleType())])
+    kern_list = [float(v) for v in kern]
+
+    def per_block(pdf):
+        import numpy as np
+
+        pdf = pdf.sort_values("_e")
+        v = pdf[value].to_numpy(dtype=float)
+        own = pdf["_own"].to_numpy() & (pdf["_j"].to_numpy() >= 0) & (pdf["_j"].to_numpy() < pdf["_n"].to_numpy())
+        pos = np.nonzero(own)[0]
+        valid = np.correlate(v, np.asarray(kern_list), mode="valid") if len(v) > 2 * r else np.zeros(0)
+        sm = valid[pos - r] if len(pos) else np.zeros(0)  # centre p <-> valid index p - r
+        sel = pdf.iloc[pos]
+        res = sel[keys].copy()
+        res[seq] = sel["_j"].to_numpy(dtype=np.int64)
+        res[value] = sel[value].to_numpy(dtype=float)
+        res[name] = sm
+        return res
+
+    return wide.groupBy(*keys, "_blk").applyInPandas(per_block, out_schema)
 
 
 def moving_sum(df, keys, seq, value, n: int, name="moving_sum", average=False) -> DataFrame:
