@@ -263,3 +263,21 @@ def d10(spark, d):
     g = materialize(tf.gaussian_profile(arr, ["t"]))
     x = tf.target_at_position(m, "position", g, ["t"])
     return x.select("run_id", "id_num", "step", rnd("target_speed", 6).alias("target_speed"))
+
+
+@register(
+    "d8_d9_speed_limit_profiles", "D8,D9,D6",
+    note="per-profile numpy (applyInPandas): Gaussian profile, equilibrium target from standing/moving bottlenecks (D6 flags), "
+         "fixed-start bottleneck location; invariants checked in tests (no SQL oracle)",
+)
+def d8(spark, d):
+    prof = tb.tse(spark, d)
+    flags = tf.standing_bottlenecks(tf.bottleneck_flags(prof, ["t"], "seg_idx", "avg_speed"), [], "seg_idx", "t")
+    bn = flags.groupBy("t").agg(
+        F.array_sort(F.collect_list(F.when(F.col("standing"), F.col("seg_start")))).alias("stand"),
+        F.array_sort(F.collect_list(F.when(F.col("moving"), F.col("seg_start")))).alias("move"))
+    arr = tf.profile_arrays(prof, ["t"], "seg_start", "avg_speed").join(bn, "t", "left")
+    out = tf.speed_limit_profiles(arr, ["t"])
+    return out.groupBy("t").agg(
+        rnd(F.avg("target_speed"), 6).alias("mean_target"), rnd(F.avg("raw"), 6).alias("mean_raw"),
+        F.count_if("max_headway").cast("long").alias("n_headway_flags"), F.first("fixed_bn_loc").alias("fixed_bn_loc"))

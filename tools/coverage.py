@@ -17,8 +17,6 @@ EXTRA = {
     "S7": "`sources.files.read_road_fit` (unit test)",
     "R8": "not built (approximate; the bounded store makes exact top-k linear)",
     "L12": "composed from F1/F3 + R3 + J4 (no separate query)",
-    "D8": "not built this round (speed-limit profile with equilibrium bottlenecks)",
-    "D9": "not built this round (constant-decel / fixed-start profiles)",
 }
 
 
