@@ -21,12 +21,14 @@ PROBE_SCALE = 0.35  # log step -> profile clock (scaled parameter: steps 0..86 c
 
 
 def profiles(spark, d):
-    return tb.tse(spark, d).groupBy("t").agg(F.avg("avg_speed").alias("profile_mean"))
+    # mean as denoised sum / count: the sum of 9-decimal values is rounded first, so both
+    # engines divide the same double
+    return tb.tse(spark, d).groupBy("t").agg((rnd(F.sum("avg_speed"), 9) / F.count(F.lit(1))).alias("profile_mean"))
 
 
 @register(
     "j1_asof_profile", "J1",
-    sql="""WITH prof AS (SELECT t, avg(avg_speed) AS profile_mean FROM tse GROUP BY t),
+    sql="""WITH prof AS (SELECT t, round(sum(avg_speed), 9) / count(*) AS profile_mean FROM tse GROUP BY t),
                 first_prof AS (SELECT arg_min(t, t) AS t0, arg_min(profile_mean, t) AS m0 FROM prof),
                 probe AS (SELECT run_id, id_num, step, step * 3.5e-1 AS probe_t FROM veh_log)
            SELECT p.run_id, p.id_num, p.step, coalesce(a.t, f.t0) AS t_match, round(coalesce(a.profile_mean, f.m0), 6) AS profile_mean

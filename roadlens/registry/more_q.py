@@ -65,9 +65,9 @@ def w17(spark, d):
                 j AS (SELECT m.*, xs, zs, len(list_filter(xs, lambda s: s <= m.position)) - 1 AS i, len(xs) AS n FROM m JOIN k ON k.t = m.t)
            SELECT run_id, id_num, step, CAST(i AS INT) AS seg_idx,
                   round(xs[i + 2] - position, 6) AS next_dist,
-                  round(list_avg(list_slice(zs, greatest(i, 0) + 1, least(i + 3, n))), 6) AS down_mean,
-                  round(list_avg(list_slice(zs, greatest(i - 3, 0) + 1, least(i, n))), 6) AS up_mean,
-                  round(list_avg(list_slice(zs, greatest(i - 3, 0) + 1, least(i + 3, n))), 6) AS local_mean
+                  round(CASE WHEN len(list_slice(zs, greatest(i, 0) + 1, least(i + 3, n))) > 0 THEN round(list_reduce(list_prepend(0e0, list_slice(zs, greatest(i, 0) + 1, least(i + 3, n))), lambda u, w: u + w), 9) / len(list_slice(zs, greatest(i, 0) + 1, least(i + 3, n))) END, 6) AS down_mean,
+                  round(CASE WHEN len(list_slice(zs, greatest(i - 3, 0) + 1, least(i, n))) > 0 THEN round(list_reduce(list_prepend(0e0, list_slice(zs, greatest(i - 3, 0) + 1, least(i, n))), lambda u, w: u + w), 9) / len(list_slice(zs, greatest(i - 3, 0) + 1, least(i, n))) END, 6) AS up_mean,
+                  round(CASE WHEN len(list_slice(zs, greatest(i - 3, 0) + 1, least(i + 3, n))) > 0 THEN round(list_reduce(list_prepend(0e0, list_slice(zs, greatest(i - 3, 0) + 1, least(i + 3, n))), lambda u, w: u + w), 9) / len(list_slice(zs, greatest(i - 3, 0) + 1, least(i + 3, n))) END, 6) AS local_mean
            FROM j""",
     views=["veh_log", "tse"],
     note="k = 3 segments; slices as in the source (down [i, i+k), up [i-k, i), local [i-k, i+k))",
@@ -83,7 +83,7 @@ def d3(spark, d):
 
     def mean_slice(lo, hi):  # python slice [lo, hi) -> mean, NULL when empty
         sl = F.slice("zs", lo + 1, F.greatest(hi - lo, F.lit(0)))
-        return F.when(F.size(sl) > 0, F.aggregate(sl, F.lit(0.0), lambda a, b: a + b) / F.size(sl))
+        return F.when(F.size(sl) > 0, rnd(F.aggregate(sl, F.lit(0.0), lambda a, b: a + b), 9) / F.size(sl))
 
     k = 3
     ic = F.col("i")
