@@ -311,8 +311,15 @@ def t5(spark, d):
 )
 def t7(spark, d):
     m = mt.mpg_metrics(fuel_log(spark, d), ["run_id"]).select("run_id", "system_mpg")
-    w = Window.orderBy(F.col("system_mpg").desc_nulls_last(), "run_id")
-    return m.withColumn("place", F.rank().over(w).cast("long")).orderBy("place")
+    # places over all runs without a single-task global window: bucketed dense position
+    # on (-mpg, run_id); NULL mpg sorts last (run_id breaks ties, so rank = row number)
+    from ..plans.ordering import dense_position
+
+    key = F.coalesce(-F.col("system_mpg"), F.lit(float("inf")))
+    m = m.withColumn("_one", F.lit(0)).withColumn("_k", key)
+    bucket = F.when(F.col("system_mpg").isNull(), F.lit(1 << 62)).otherwise(F.floor(-F.col("system_mpg") / 10.0))
+    m = dense_position(m, ["_one"], ["_k", "run_id"], bucket=bucket.cast("long"), name="_p")
+    return m.select("run_id", "system_mpg", (F.col("_p") + 1).alias("place")).orderBy("place")
 
 
 @register(
