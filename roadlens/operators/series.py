@@ -210,7 +210,7 @@ def last_row(df, keys, order, cols) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col(order)).alias("_r")).select(*keys, "_r.*")
 
 
-def switch_pairs(df, keys, seq, flag: Column, direction: Column) -> DataFrame:
+def switch_pairs(df, keys, seq, flag: Column, direction: Column, keep: str = "West") -> DataFrame:
     """Switch points ``flag[i] <> flag[i+1]``, paired (1st,2nd), (3rd,4th), ...;
     rows ``[start, end)``; pairs whose start direction is West numbered k = 0, 1, ..
     (unpaired last switch ignored, ruling Q9)."""
@@ -221,7 +221,7 @@ def switch_pairs(df, keys, seq, flag: Column, direction: Column) -> DataFrame:
     sw = dense_position(sw, keys, [seq], bucket=F.floor(F.col(seq) / block).cast("long"), name="_sw")
     starts = sw.filter(F.col("_sw") % 2 == 0).select(*keys, F.col("_sw"), F.col(seq).alias("start_row"), F.col("_dir"))
     ends = sw.filter(F.col("_sw") % 2 == 1).select(*keys, (F.col("_sw") - 1).alias("_sw"), F.col(seq).alias("end_row"))
-    pairs = starts.join(ends, on=[*keys, "_sw"], how="inner").filter(F.col("_dir") == "West")
+    pairs = starts.join(ends, on=[*keys, "_sw"], how="inner").filter(F.col("_dir") == keep)
     pairs = dense_position(pairs, keys, ["_sw"], bucket=F.floor(F.col("_sw") / block).cast("long"), name="k")
     return pairs.select(*keys, "k", "start_row", "end_row", (F.col("end_row") - F.col("start_row")).alias("n_rows"))
 

@@ -229,6 +229,29 @@ def w19(spark, d):
     return sr.switch_pairs(x, ["traj_id"], "seq", ph.in_geofence("lat", "lon"), F.col("driving_dir"))
 
 
+@register(
+    "w19_valid_switch_pairs_east", "W19,P6,P10",
+    sql=f"""WITH b AS (
+              SELECT traj_id, seq, lat, lon,
+                     (lon < -86.58e0 AND lon > -86.685e0 AND lat > 35.98e0 AND lat < 36.07e0) AS valid,
+                     coalesce({bearing_sql('radians(lat)', 'radians(lon)', 'radians(lead(lat) OVER w)', 'radians(lead(lon) OVER w)')}, 0e0) AS bearing
+              FROM raw_drive WINDOW w AS (PARTITION BY traj_id ORDER BY seq)),
+            s AS (SELECT traj_id, seq, valid, lead(valid) OVER (PARTITION BY traj_id ORDER BY seq) AS nv,
+                         CASE WHEN bearing > 270 AND bearing < 360 THEN 'West' WHEN bearing > 90 AND bearing < 190 THEN 'East' END AS dir
+                  FROM b),
+            sw AS (SELECT traj_id, seq, dir, row_number() OVER (PARTITION BY traj_id ORDER BY seq) - 1 AS n FROM s WHERE nv IS NOT NULL AND valid <> nv),
+            p AS (SELECT a.traj_id, a.n, a.seq AS start_row, c.seq AS end_row FROM sw a JOIN sw c
+                    ON a.traj_id = c.traj_id AND c.n = a.n + 1 WHERE a.n % 2 = 0 AND a.dir = 'East')
+            SELECT traj_id, CAST(row_number() OVER (PARTITION BY traj_id ORDER BY n) - 1 AS BIGINT) AS k, start_row, end_row,
+                   end_row - start_row AS n_rows FROM p""",
+    views=["raw_drive"],
+    note="direction parameter East: the synthetic drives move east, so this variant exercises the pairing",
+)
+def w19e(spark, d):
+    x = sr.bearing_next(tb.raw_drive(spark, d), ["traj_id"], "seq")
+    return sr.switch_pairs(x, ["traj_id"], "seq", ph.in_geofence("lat", "lon"), F.col("driving_dir"), keep="East")
+
+
 @register(
     "w20_last_row_per_vehicle", "W20",
     sql="""SELECT run_id, id_num, arg_max(step, step) AS step, round(arg_max(position, step), 6) AS position,
