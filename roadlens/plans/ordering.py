@@ -42,6 +42,7 @@ def dense_position(
     order: list[str | Column],
     bucket: Column | None = None,
     name: str = "seq",
+    prefix_sums: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add ``name`` = 0-based position of each row inside its ``keys`` group by ``order``.
 
@@ -50,14 +51,25 @@ def dense_position(
     total order inside a group (append a unique id).
     """
     order_cols = _cols(order)
+    sums = prefix_sums or {}
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(*order_cols)
-        return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
-    x = df.withColumn("_bk", bucket)
+        x = df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
+        ex = w.rowsBetween(Window.unboundedPreceding, -1)
+        return x.withColumns({k: F.coalesce(F.sum(v).over(ex), F.lit(0)) for k, v in sums.items()})
+    x = df.withColumn("_bk", bucket).withColumns({f"_v_{k}": v for k, v in sums.items()})
     w = Window.partitionBy(*keys, "_bk").orderBy(*order_cols)
     x = x.withColumn("_loc", (F.row_number().over(w) - 1).cast("long"))
-    counts = df.withColumn("_bk", bucket).groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_n"))
+    # exclusive prefix sums ride on the same window and the same count table
+    ex = w.rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumns({f"_l_{k}": F.coalesce(F.sum(f"_v_{k}").over(ex), F.lit(0)) for k in sums})
+    counts = (df.withColumn("_bk", bucket).withColumns({f"_v_{k}": v for k, v in sums.items()})
+              .groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums]))
     wb = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_bk", F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_before"))
+    offsets = counts.select(*keys, "_bk", F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_before"),
+                            *[F.coalesce(F.sum(f"_t_{k}").over(wb), F.lit(0)).alias(f"_c_{k}") for k in sums])
     out = x.join(offsets, on=[*keys, "_bk"], how="inner")
-    return out.withColumn(name, F.col("_before") + F.col("_loc")).drop("_bk", "_loc", "_before")
+    out = out.withColumn(name, F.col("_before") + F.col("_loc"))
+    out = out.withColumns({k: F.col(f"_c_{k}") + F.col(f"_l_{k}") for k in sums})
+    drop = ["_bk", "_loc", "_before"] + [f"_{p}_{k}" for k in sums for p in ("v", "l", "c")]
+    return out.drop(*drop)

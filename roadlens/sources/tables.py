@@ -25,17 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _user_drives(spark: SparkSession, sf_dir: str, with_positions: bool = False) -> DataFrame:
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value", "event_type")
+    speed = F.least(F.col("value"), F.lit(40.0))
+    # W1 in exact integer arithmetic, on the same ordered pass: exclusive sum of cm/s
+    sums = {"_cm": F.round(speed * 100).cast("long")} if with_positions else None
+    ev = dense_position(ev, ["user_id"], ["ts", "event_id"], bucket=time_bucket("ts"), prefix_sums=sums)
+    cols = [F.col("user_id").alias("traj_id"), "event_id", "seq", speed.alias("speed"), "event_type"]
+    return ev.select(*cols, *(["_cm"] if with_positions else []))
+
+
 def drive_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One short drive per user (speeds in m/s, capped at 40)."""
-    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value", "event_type")
-    ev = dense_position(ev, ["user_id"], ["ts", "event_id"], bucket=time_bucket("ts"))
-    return materialize(ev.select(
-        F.col("user_id").alias("traj_id"),
-        "event_id",
-        "seq",
-        F.least(F.col("value"), F.lit(40.0)).alias("speed"),
-        "event_type",
-    ))
+    return materialize(_user_drives(spark, sf_dir))
 
 
 def drive_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +75,21 @@ def vehicle_id(id_num) -> F.Column:
 
 
 def veh_log(spark: SparkSession, sf_dir: str, keep: bool = True) -> DataFrame:
-    """Emission-like log: id, position from speeds (W1), leader of n is n-1."""
-    v = veh_log0(spark, sf_dir).withColumn("id", vehicle_id(F.col("id_num")))
-    # W1 in exact integer arithmetic: sum of cm/s, then one division (cm/s * 0.1 s = mm)
-    v = running_sum(v, ["run_id", "id_num"], "step", {"_pos": F.round(F.col("speed") * 100).cast("long")}, exclusive=True)
-    v = v.withColumn("position", F.col("_pos").cast("long") / 1e3 - 30.0 * F.col("id_num")).drop("_pos")
+    """Emission-like log: id, position from speeds (W1), leader of n is n-1.
+
+    Positions come out of the same ordered pass that numbers the rows (one window
+    stage and one small count table), summed in integer cm/s then divided once
+    (cm/s * 0.1 s = mm)."""
+    d = _user_drives(spark, sf_dir, with_positions=True)
+    v = d.select(
+        F.floor(F.col("traj_id") / 15).cast("long").alias("run_id"),
+        (F.col("traj_id") % 15).alias("id_num"),
+        F.col("seq").alias("step"),
+        (F.col("seq") * 0.1).alias("t"),
+        "speed",
+        (F.col("_cm").cast("long") / 1e3 - 30.0 * (F.col("traj_id") % 15)).alias("position"),
+    ).withColumn("id", vehicle_id(F.col("id_num")))
+    v = v.select("run_id", "id_num", "step", "t", "speed", "id", "position")
     # ``keep``: materialize for callers that read it from several branches
     return materialize(v) if keep else v
 

@@ -58,3 +58,14 @@ def test_running_sum_and_carry(spark):
     bad = j.filter((F.abs(F.col("cs") - F.col("r_cs")) > 1e-9) | (F.abs(F.col("cx") - F.col("r_cx")) > 1e-9)
                    | ~F.col("lc").eqNullSafe(F.col("r_lc")))
     assert bad.count() == 0
+
+
+def test_dense_position_prefix_sums(spark):
+    df = _series(spark).withColumn("t", F.col("seq") * 3 + 1).withColumn("iv", (F.col("seq") % 7).cast("long"))
+    got = dense_position(df.drop("seq"), ["k"], ["t"], bucket=value_bucket("t", 10.0), name="pos",
+                         prefix_sums={"cs": F.col("iv")})
+    w = Window.partitionBy("k").orderBy("t")
+    ref = df.withColumn("cs2", F.coalesce(F.sum("iv").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    j = got.join(ref, ["k", "t"])
+    assert j.count() == df.count()
+    assert j.filter("cs <> cs2").count() == 0
