@@ -46,7 +46,9 @@ def extract_values(text, tag: str) -> Column:
     return parse_values(extract_tag(text, tag))
 
 
+# ---- fixed values (must equal the studied code base): number pattern of the numeric embedding
 NUMBER_PATTERN = r"[-+]?[0-9]*\.?[0-9]+"
+# ------------------------------------------------------------------------------
 
 
 def numeric_embedding(text) -> Column:
@@ -108,9 +110,11 @@ def pad_to(arr, k: int, fill=-1.0) -> Column:
     return F.concat(a, F.array_repeat(F.lit(fill).cast("double"), F.greatest(F.lit(k) - F.size(a), F.lit(0))))
 
 
+# ---- fixed values (must equal the studied code base): platoon string grammar ----
 PLATOON_GROUP = r"\(([a-z0-9\s\*#]+)\)\*([0-9]+)"
 PLATOON_TOKEN = r"\([a-z0-9\s\*#]+\)\*[0-9]+|[a-z]+(?:#[a-z]+)*(?:\*[0-9]+)?"
 VEHICLE_TOKEN = r"[a-z]+(?:#[a-z]+)*(?:\*[0-9]+)?"
+# ------------------------------------------------------------------------------
 
 
 def expand_platoon(spec) -> Column:
