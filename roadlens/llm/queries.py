@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import substring_dedup, suffix_dedup
 
 QUERIES = {
     "op3_substring_dedup": substring_dedup.query,
+    "op5_suffix_dedup": suffix_dedup.query,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables.
