@@ -34,9 +34,9 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
 
 
 def block_counts(docs: DataFrame, total: int) -> tuple[int, int]:
-    """(blocks, buckets) for ``total`` bytes of text; never fewer than fill the shuffle partitions."""
+    """(blocks, buckets) for ``total`` bytes of text; never fewer than the shuffle partitions."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2 * parts, math.ceil(total / BLOCK_BYTES)), max(2 * parts, math.ceil(total / BUCKET_BYTES))
+    return max(parts, math.ceil(total / BLOCK_BYTES)), max(parts, math.ceil(total / BUCKET_BYTES))
 
 
 def key_width(total: int) -> int:
@@ -69,6 +69,29 @@ def process_cache(name: str) -> dict:
     return mod.__dict__.setdefault(name, {})
 
 
+def remembered(cache: dict, wanted: set, solve, limit: int) -> dict:
+    """{key: solve(key)} for ``wanted``. ``solve`` takes a list of keys that are not remembered.
+
+    Two generations of at most ``limit`` keys: what is asked for again moves to the young one.
+    """
+    young, old = cache.setdefault("young", {}), cache.setdefault("old", {})
+    out, new = {}, []
+    for k in wanted:
+        v = young.get(k)
+        if v is None:
+            v = old.get(k)
+            if v is None:
+                new.append(k)
+                continue
+            young[k] = v
+        out[k] = v
+    for k, v in zip(new, solve(new)):
+        out[k] = young[k] = v
+    if len(young) > limit:
+        cache["old"], cache["young"] = young, {}
+    return out
+
+
 # ---- 64-bit fingerprints (all arithmetic wraps modulo 2^64) ----
 
 _BASE = 0x9E3779B97F4A7C15 | 1
