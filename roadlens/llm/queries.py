@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import substring_dedup, suffix_dedup
+from . import packing, substring_dedup, suffix_dedup, token_count
 
 QUERIES = {
+    "op1_token_counts": token_count.query,
     "op3_substring_dedup": substring_dedup.query,
     "op5_suffix_dedup": suffix_dedup.query,
+    "op6_best_fit_packing": packing.query,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables.
