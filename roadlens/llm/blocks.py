@@ -178,29 +178,43 @@ def bucket_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def key_bytes(keys: np.ndarray, width: int) -> np.ndarray:
-    """The leading ``width`` bytes of each key, as rows of bytes."""
-    return keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width]
+def truncate(keys: np.ndarray, width: int) -> np.ndarray:
+    """Keep the leading ``width`` bytes."""
+    return keys if width >= 8 else keys >> np.uint64(64 - 8 * width) << np.uint64(64 - 8 * width)
 
 
-def keys_from(raw: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, :width] = raw.reshape(-1, width)
-    return out.view(">u8").ravel().astype(np.uint64)
+def pack_sorted(keys: np.ndarray, width: int) -> bytes:
+    """Sorted distinct keys of ``width`` leading bytes as gaps of a fixed number of bytes; a
+    gap of all ones adds its value and goes on."""
+    k = keys >> np.uint64(64 - 8 * width)
+    gaps = np.diff(k)
+    mean = int(gaps.mean()) if len(gaps) else 0
+    size = min(8, max(1, -(-(3 * mean + 1).bit_length() // 8)))
+    more = np.uint64((1 << 8 * size) - 1)
+    over = (gaps // more).astype(np.int64)
+    symbols = np.full(len(gaps) + int(over.sum()), more, "<u8")
+    symbols[np.cumsum(over) + np.arange(len(gaps))] = gaps % more
+    head = np.array([len(keys), len(symbols), size, k[0] if len(k) else 0], "<u8")
+    return head.tobytes() + symbols.view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
-def truncate(keys: np.ndarray, width: int) -> np.ndarray:
-    return keys if width >= 8 else keys >> np.uint64(64 - 8 * width) << np.uint64(64 - 8 * width)
+def unpack_sorted(blob: bytes) -> tuple[np.ndarray, int]:
+    """(the keys, as integers of their leading bytes; bytes read)."""
+    n, m, size, first = (int(x) for x in np.frombuffer(blob, "<u8", 4))
+    raw = np.zeros((m, 8), np.uint8)
+    raw[:, :size] = np.frombuffer(blob, np.uint8, m * size, 32).reshape(m, size)
+    symbols = raw.view("<u8").ravel()
+    sums = np.cumsum(symbols)[symbols != np.uint64((1 << 8 * size) - 1)]
+    return np.concatenate([[np.uint64(first)], np.uint64(first) + sums])[:n], 32 + m * size
 
 
 def key_blobs(blk: int, uniq: np.ndarray, n_buckets: int, width: int, extra: np.ndarray | None = None) -> list[tuple]:
-    """Rows of BLOB_SCHEMA for sorted distinct ``uniq``: count, keys, then ``extra`` bytes (one per key)."""
+    """Rows of BLOB_SCHEMA for sorted distinct ``uniq``: the packed keys, then ``extra`` (a byte per key)."""
     cut = np.searchsorted(bucket_of(uniq, n_buckets), np.arange(n_buckets + 1))
-    raw = key_bytes(uniq, width)
     out = []
     for b in np.flatnonzero(np.diff(cut)):
         s, e = cut[b], cut[b + 1]
-        blob = np.int64(e - s).tobytes() + raw[s:e].tobytes()
+        blob = pack_sorted(uniq[s:e], width)
         out.append((int(b), int(blk), blob + extra[s:e].tobytes() if extra is not None else blob))
     return out
 
@@ -219,17 +233,16 @@ def blobs_in(table: pa.Table) -> list[tuple[int, bytes]]:
     return sorted(zip(table.column("blk").to_pylist(), table.column("blob").to_pylist()))
 
 
-def counts_over_blocks(table: pa.Table, width: int) -> tuple[list[int], list[int], np.ndarray]:
+def counts_over_blocks(table: pa.Table) -> tuple[list[int], list[int], np.ndarray]:
     """For each key of each blob, in order: in how many documents it stands, summed over
     the blocks' own (clipped) counts when sent, else one a block. Returns blocks, sizes, counts."""
     blks, sizes, keys, weights = [], [], [], []
     for blk, blob in blobs_in(table):
-        n = int(np.frombuffer(blob, np.int64, 1)[0])
-        raw = np.frombuffer(blob, np.uint8, offset=8)
+        k, read = unpack_sorted(blob)
         blks.append(blk)
-        sizes.append(n)
-        keys.append(keys_from(raw[:n * width], width))
-        weights.append(raw[n * width:n * width + n].astype(np.int64) if len(raw) > n * width else np.ones(n, np.int64))
+        sizes.append(len(k))
+        keys.append(k)
+        weights.append(np.frombuffer(blob, np.uint8, len(k), read).astype(np.int64) if len(blob) > read else np.ones(len(k), np.int64))
     all_keys = np.concatenate(keys)
     _, inv = np.unique(all_keys, return_inverse=True)
     total = np.bincount(inv, weights=np.concatenate(weights)).astype(np.int64)
@@ -259,12 +272,12 @@ def bucket_cuts(sorted_keys: np.ndarray, n_buckets: int) -> np.ndarray:
     return np.searchsorted(bucket_of(sorted_keys, n_buckets), np.arange(n_buckets + 1))
 
 
-def repeated_in_blocks(n_buckets: int, width: int):
+def repeated_in_blocks():
     """Bucket side of a filter: a bit per key, set where a second block has it or where a
     block sent a count of two or more."""
 
     def reduce(key, table):
-        blks, sizes, counts = counts_over_blocks(table, width)
+        blks, sizes, counts = counts_over_blocks(table)
         return answer_rows(key[0].as_py(), blks, sizes, counts >= 2, True)
 
     return reduce

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, substring_dedup, suffix_dedup, token_count
+from . import jaccard_join, packing, substring_dedup, suffix_dedup, token_count
 
 QUERIES = {
     "op1_token_counts": token_count.query,
     "op3_substring_dedup": substring_dedup.query,
     "op5_suffix_dedup": suffix_dedup.query,
     "op6_best_fit_packing": packing.query,
+    "op10_jaccard_join": jaccard_join.query,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables.

@@ -150,7 +150,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
         return B.table_of(B.key_blobs(key[0].as_py(), b.uniq, n_buckets, width), B.BLOB)
 
     shared = by_block.applyInArrow(send_keys, B.BLOB_SCHEMA).groupBy("bucket").applyInArrow(
-        B.repeated_in_blocks(n_buckets, width), B.ANSWER_SCHEMA)
+        B.repeated_in_blocks(), B.ANSWER_SCHEMA)
 
     def send_windows(key, table, answers):
         if not table.num_rows:

@@ -237,7 +237,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, hot: int = HOT, id
         return B.table_of(B.key_blobs(key[0].as_py(), b.uniq, nb, width, _clipped(b.local)), B.BLOB)
 
     def count_keys(key, table):
-        blks, sizes, counts = B.counts_over_blocks(table, width)
+        blks, sizes, counts = B.counts_over_blocks(table)
         return B.answer_rows(key[0].as_py(), blks, sizes, np.where(counts >= hot, 2, counts >= 2), False)
 
     shared = by_block.applyInArrow(send_keys, B.BLOB_SCHEMA).groupBy("bucket").applyInArrow(count_keys, B.ANSWER_SCHEMA)
@@ -270,7 +270,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, hot: int = HOT, id
         bucket = key[0].as_py()
         if bucket < nb:
             return _order_bucket(table, min_bytes, sub, bucket + nb)
-        blks, sizes, counts = B.counts_over_blocks(table, 8)
+        blks, sizes, counts = B.counts_over_blocks(table)
         return B.answer_rows(bucket + nb, blks, sizes, counts >= 2, True)
 
     masks = by_block.cogroup(shared.groupBy("blk")).applyInArrow(send_units, B.BLOB_SCHEMA).groupBy("bucket").applyInArrow(
