@@ -171,6 +171,65 @@ class Words:
         return span_hash(prefix_sums(v, base), i, i + k, base), self.doc[:n] == self.doc[k - 1:k - 1 + n]
 
 
+def letter_table(marks: bool = False) -> np.ndarray:
+    """Byte -> class: 0 other, 1 ASCII letter or digit or part of a longer character; with
+    ``marks`` 2 for visible ASCII marks."""
+    kind = np.zeros(256, np.int8)
+    if marks:
+        kind[33:127] = 2
+    for a, b in (("0", "9"), ("A", "Z"), ("a", "z")):
+        kind[ord(a):ord(b) + 1] = 1
+    kind[128:] = 1
+    return kind
+
+
+class Runs:
+    """Runs of bytes of one class (see ``letter_table``) in texts: positions, documents, hashes.
+
+    ``data`` is folded to ASCII lower case if ``lower``.
+    """
+
+    def __init__(self, texts: list[bytes], lower: bool = True, marks: bool = False):
+        joined = b"\n".join(texts) + b"\n"
+        self.data = np.frombuffer(joined.lower() if lower else joined, np.uint8)
+        kind = np.zeros(len(self.data) + 1, np.int8)
+        kind[1:] = letter_table(marks)[self.data]
+        edge = np.flatnonzero(np.diff(kind))  # a class ends or begins
+        nxt = np.append(edge[1:], len(self.data))
+        inside = kind[edge + 1] > 0
+        self.starts, self.ends = edge[inside], nxt[inside]
+        self.kind = kind[self.starts + 1]
+        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        self.first = np.searchsorted(self.starts, at)
+        self.count = np.diff(self.first)
+        self.doc = np.repeat(np.arange(len(texts)), self.count)
+        self.sums = prefix_sums(byte_values()[self.data])
+        self.h = span_hash(self.sums, self.starts, self.ends)
+
+    def heads(self, n: int) -> np.ndarray:
+        """Hashes of the first n bytes (of the whole run where shorter)."""
+        return span_hash(self.sums, self.starts, np.minimum(self.starts + n, self.ends))
+
+
+def text_chunks(texts: list[bytes], limit: int = BLOCK_BYTES):
+    """(start, end) ranges of texts with about ``limit`` bytes, one text at least."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > limit:
+            yield start, i
+            start, size = i, 0
+        size += len(t) + 1
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def utf8(column) -> list[bytes]:
+    """UTF-8 bytes of an Arrow text column or of Python strings; null is empty."""
+    values = column.to_pylist() if isinstance(column, (pa.Array, pa.ChunkedArray)) else column
+    return [b"" if v is None else v.encode() for v in values]
+
+
 # ---- the two-way exchange ----
 
 def bucket_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:

@@ -85,9 +85,9 @@ def set_classes(docs: DataFrame, n_blocks: int, k: int, id_col: str, text_col: s
     def fingerprint(batches):
         for batch in batches:
             rows = ([], [], [])
-            texts = batch.column("_text")
-            for at in range(0, batch.num_rows, 512):
-                part = _Sets([t.as_py().encode() for t in texts[at:at + 512]], k)
+            texts = B.utf8(batch.column("_text"))
+            for start, end in B.text_chunks(texts):
+                part = _Sets(texts[start:end], k)
                 for r, v in zip(rows, (part.size.astype(np.int64), part.sums(1), part.sums(7))):
                     r.append(v)
             n, s1, s2 = (np.concatenate(r) if r else np.zeros(0, np.int64) for r in rows)

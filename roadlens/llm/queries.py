@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, packing, substring_dedup, suffix_dedup, token_count
+from . import decontamination, jaccard_join, line_dedup, packing, substring_dedup, suffix_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_token_counts": token_count.query,
+    "op2_toxicity": toxicity.query,
     "op3_substring_dedup": substring_dedup.query,
+    "op4_line_dedup": line_dedup.query,
     "op5_suffix_dedup": suffix_dedup.query,
     "op6_best_fit_packing": packing.query,
+    "op9_decontamination": decontamination.query,
     "op10_jaccard_join": jaccard_join.query,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": line_dedup.ORACLE_SQL,
+}
