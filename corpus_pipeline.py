@@ -1,17 +1,85 @@
-"""Training-data pipeline over ``documents``: STAGES run in order, each on what the last kept."""
+"""Training-data pipeline over ``documents``: STAGES run in order, each on what the last kept.
+
+1. toxicity - drops documents that the ordinal model calls toxic (operator 2);
+2. line_dedup - drops boilerplate lines by source (operator 4);
+3. near_duplicates - keeps the smallest id of each group of documents whose 5-word shingle
+   sets are linked by a Jaccard similarity of 0.8 or more (operator 10);
+4. decontamination - drops documents that overlap a benchmark item (operator 9);
+5. packing - token pieces placed in sequences (operator 6).
+
+All but the last return the columns of ``documents`` (any further ones pass through);
+``n_chars`` follows the text where lines went. Nulls, empty texts, ties and repeated rows
+follow the operators' rules; of rows with equal ids and equal place in a group, the one with
+the smallest text hash stays.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadlens.llm.decontamination import decontaminate
+from roadlens.llm.jaccard_join import jaccard_join
+from roadlens.llm.line_dedup import drop_boilerplate
+from roadlens.llm.packing import best_fit_packing
+from roadlens.llm.toxicity import severity, train
+from roadlens.session import ensure_checkpoint_dir
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.filter(~severity(model)(F.col("text"))["toxic"])
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = drop_boilerplate(docs, "source", "text")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document without words is linked with nothing and stays."""
+    groups = jaccard_join(docs).select(F.col("doc_id").alias("_id"), "component_id").distinct()
+    gone = groups.filter(~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
+    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    first = left.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("_least"), F.count("*").alias("_rows")).filter("_rows > 1")
+    first = first.select(F.col("doc_id").alias("_id"), "_least")
+    twice = left.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    single = twice.filter("_least is null").select(*docs.columns)
+    chosen = twice.filter("_least is not null").filter(F.xxhash64("text") == F.col("_least")).select(*docs.columns).dropDuplicates(["doc_id"])
+    return single.unionByName(chosen)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return best_fit_packing(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_dedup_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
-#: No SQL: the stages fit a model and join sets; tests hold them against brute force.
+#: No SQL: the stages fit a model, tokenize and pack; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    place = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{place}/{k}-{name}")
+            docs = spark.read.parquet(f"{place}/{k}-{name}")
     return docs

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, line_dedup, packing, substring_dedup, suffix_dedup, token_count, toxicity
+from . import (decontamination, jaccard_join, line_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup,
+               token_count, toxicity)
 
 QUERIES = {
     "op1_token_counts": token_count.query,
@@ -11,6 +12,8 @@ QUERIES = {
     "op4_line_dedup": line_dedup.query,
     "op5_suffix_dedup": suffix_dedup.query,
     "op6_best_fit_packing": packing.query,
+    "op7_quality_rules": quality_rules.query,
+    "op8_quality_classifier": quality_classifier.query,
     "op9_decontamination": decontamination.query,
     "op10_jaccard_join": jaccard_join.query,
 }
