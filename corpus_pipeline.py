@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadlens.llm.decontamination import decontaminate
-from roadlens.llm.jaccard_join import jaccard_join
+from roadlens.llm.jaccard_join import BROADCAST_IDS, jaccard_join
 from roadlens.llm.line_dedup import drop_boilerplate
 from roadlens.llm.packing import best_fit_packing
 from roadlens.llm.toxicity import severity, train
-from roadlens.session import ensure_checkpoint_dir
+from roadlens.session import cut_lineage, ensure_checkpoint_dir
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,15 +42,19 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document without words is linked with nothing and stays."""
-    groups = jaccard_join(docs).select(F.col("doc_id").alias("_id"), "component_id").distinct()
-    gone = groups.filter(~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
+    groups = jaccard_join(docs).select(F.col("doc_id").alias("_id"), "component_id")
+    gone = cut_lineage(groups.filter(~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    first = left.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("_least"), F.count("*").alias("_rows")).filter("_rows > 1")
-    first = first.select(F.col("doc_id").alias("_id"), "_least")
-    twice = left.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    single = twice.filter("_least is null").select(*docs.columns)
-    chosen = twice.filter("_least is not null").filter(F.xxhash64("text") == F.col("_least")).select(*docs.columns).dropDuplicates(["doc_id"])
-    return single.unionByName(chosen)
+    # rows that share an id: the smallest text hash stays
+    twice = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.min(F.xxhash64("text")).alias("_least"))
+    twice = cut_lineage(twice.filter("_rows > 1").drop("_rows"))
+    if twice.isEmpty():
+        return left
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    chosen = left.join(twice, same & (F.xxhash64("text") == F.col("_least")), "left_semi").dropDuplicates(["doc_id"])
+    return left.join(twice, same, "left_anti").unionByName(chosen)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ occurrences per thousand words).
 *Model*: P(grade >= k) = sigmoid(w.x - c_k) with one w and ordered cut points c_1 < c_2 <
 c_3 (first cut, then positive steps), by full-batch Newton-like gradient steps on the
 negative log likelihood with an L2 penalty. Expected severity is the sum of the three
-probabilities (0 to 3). A document is toxic when its grade is more likely above 0 than not.
+probabilities (0 to 3). A document is toxic when its
+probability of a grade above 0 exceeds ``TOXIC``.
 
 Training reads a sample of at most ``max_rows`` labelled documents, chosen by a hash of
 the id (a documented bound); scoring covers every whole text.
@@ -37,6 +38,7 @@ MAX_ROWS = 10_000
 MAX_FEATURES = 1024
 MIN_Z = 5.0
 GRADES = 3
+TOXIC = 0.3
 HEAD = 4
 
 
@@ -159,7 +161,7 @@ def severity(model: dict):
     def score(texts: pd.Series) -> pd.DataFrame:
         p = probabilities(model, values(B.utf8(texts.tolist()), model["h"]))
         mass = np.hstack([np.ones((len(p), 1)), p]) - np.hstack([p, np.zeros((len(p), 1))])
-        return pd.DataFrame({"expected_severity": p.sum(axis=1), "grade": mass.argmax(axis=1).astype("int32"), "toxic": p[:, 0] > 0.5})
+        return pd.DataFrame({"expected_severity": p.sum(axis=1), "grade": mass.argmax(axis=1).astype("int32"), "toxic": p[:, 0] > TOXIC})
 
     return F.pandas_udf(score, "expected_severity double, grade int, toxic boolean")
 
