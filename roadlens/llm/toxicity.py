@@ -36,7 +36,7 @@ from . import blocks as B
 
 MAX_ROWS = 10_000
 MAX_FEATURES = 1024
-MIN_Z = 5.0
+MIN_Z = 3.2
 GRADES = 3
 TOXIC = 0.3
 HEAD = 4
