@@ -156,15 +156,17 @@ def brake_distance(speed, max_decel=FS["max_decel"], dt=DT) -> Column:
 
 
 def safe_stop_speed(dist, max_decel=FS["max_decel"], dt=DT) -> Column:
-    """largest speed that can stop within ``dist`` under Euler steps."""
-    g = _c(dist)
-    r = max_decel * dt
-    s = t = dt
-    root = F.sqrt(F.lit(s * s) + 4.0 * ((s * (2.0 * g / r - t)) + t * t)) * -0.5
-    n = F.floor(0.5 - ((t + root) / s))
-    h = 0.5 * n * (n - 1) * r * s + n * r * t
-    rem = (g - h) / (n * s + t)
-    return F.when(g <= 0, F.lit(0.0)).otherwise(n * r + rem)
+    """largest speed that can stop within ``dist`` when each step of ``dt`` takes
+    ``r = max_decel dt`` off the speed.
+
+    ``k`` whole steps of braking from ``k r`` cover ``r dt k (k + 1) / 2``; the largest such
+    ``k`` that fits solves a quadratic, and what is left of the distance is spread over the
+    ``k + 1`` steps."""
+    unit = max_decel * dt * dt
+    steps = _c(dist) / unit
+    k = F.floor((F.sqrt(1 + 8 * steps) - 1) / 2)
+    rest = steps - k * (k + 1) / 2
+    return F.when(_c(dist) <= 0, F.lit(0.0)).otherwise(max_decel * dt * (k + rest / (k + 1)))
 
 
 def safe_velocity(speed, leader_speed, hw, max_decel=FS["max_decel"], dt=DT, min_gap=2.5) -> Column:

@@ -80,11 +80,10 @@ def _brake_sql(v):
 
 
 def _safe_stop_sql(g):
-    r = lit(R_)
-    root = f"(sqrt(1e-1 * 1e-1 + 4e0 * ((1e-1 * (2e0 * {g} / {r} - 1e-1)) + 1e-1 * 1e-1)) * -5e-1)"
-    n = f"floor(5e-1 - ((1e-1 + {root}) / 1e-1))"
-    h = f"(5e-1 * {n} * ({n} - 1) * {r} * 1e-1 + {n} * {r} * 1e-1)"
-    return f"(CASE WHEN {g} <= 0 THEN 0e0 ELSE {n} * {r} + ({g} - {h}) / ({n} * 1e-1 + 1e-1) END)"
+    """k whole braking steps fit where unit k (k + 1) / 2 <= g; the rest is spread over k + 1 steps."""
+    steps = f"(({g}) / ({lit(R_)} * 1e-1))"
+    k = f"floor((sqrt(1 + 8 * {steps}) - 1) / 2)"
+    return f"(CASE WHEN ({g}) <= 0 THEN 0e0 ELSE {lit(R_)} * ({k} + ({steps} - {k} * ({k} + 1) / 2) / ({k} + 1)) END)"
 
 
 @register(
