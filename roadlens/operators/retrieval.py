@@ -1,10 +1,8 @@
 """Situation retrieval and the document store.
 
-Scale shape: the document store has a hard capacity (the admission operator R5 keeps
-at most ``max_size`` documents, 100 in the studied experiments), so it is the
-broadcast side of every retrieval join - each query meets at most ``max_size``
-partners - and queries stream through partitioned. Top-k per query is a window over
-those bounded partners.
+Scale shape: retrieval searches the whole store. Queries are a stated set, broadcast in
+counted blocks; the store streams past them in its own partitions and each task keeps its
+best k per query before the exchange. Admission (R5) alone has a capacity.
 """
 
 from __future__ import annotations
@@ -15,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..plans.blocks import over_blocks
-from ..plans.broadcast import maybe_broadcast
 from ..plans.ordering import dense_position
 
 # ---- fixed values (must equal the studied code base) -------------------------
@@ -26,6 +23,9 @@ LOGIC_WEIGHT = 0.5
 SCENARIO_SCALE = 5.0
 # ------------------------------------------------------------------------------
 
+#: queries broadcast at a time (a vector of 64 doubles each: about 10 MB)
+QUERY_BLOCK = 20_000
+
 
 def admit(docs: DataFrame, doc_id: str, score: str, arrival: str, max_size: int = STORE_LIMIT) -> DataFrame:
     """R5 (batch ruling): the store fills in arrival order, then a newcomer replaces the
@@ -35,27 +35,38 @@ def admit(docs: DataFrame, doc_id: str, score: str, arrival: str, max_size: int
     return docs.orderBy(F.col(score).desc(), F.col(arrival).asc(), F.col(doc_id).asc()).limit(max_size)
 
 
-def top_k(queries: DataFrame, qid: str, qvec: str, store: DataFrame, did: str, dvec: str, k: int,
-          store_bound: int = STORE_LIMIT, vec_bytes: int = 1024) -> DataFrame:
-    """R2: cosine top-k per query, best first, ties by document id; empty store -> empty."""
-    st = maybe_broadcast(store.select(F.col(did).alias("doc_id"), vx.unit(vx.as_double(dvec)).alias("_dv")), store_bound, vec_bytes)
+def against_all(queries: DataFrame, store: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """Every query with every document. Queries are a stated set; they are broadcast in
+    blocks of about ``block`` rows (counted first), each block passing over the store, so
+    neither side is gathered whole and the store is never shuffled."""
+    n_blocks = max(1, -(-queries.count() // block))
+    out = None
+    for i in range(n_blocks):
+        part = queries if n_blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i)
+        pairs = store.crossJoin(F.broadcast(part))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def top_k(queries: DataFrame, qid: str, qvec: str, store: DataFrame, did: str, dvec: str, k: int) -> DataFrame:
+    """R2: cosine top-k per query over the whole store, best first, ties by document id;
+    empty store -> empty. Vectors are normalised once a side, so a pair costs one dot
+    product; the rank limit is applied per task before the exchange."""
+    st = store.select(F.col(did).alias("doc_id"), vx.unit(vx.as_double(dvec)).alias("_dv"))
     q = queries.select(F.col(qid).alias("query_id"), vx.unit(vx.as_double(qvec)).alias("_qv"))
-    # every query meets at most ``store_bound`` documents (the store capacity);
-    # vectors are normalised once per side, so a pair costs one dot product
-    pairs = q.crossJoin(st).withColumn("score", vx.dot("_qv", "_dv"))
+    pairs = against_all(q, st).select("query_id", "doc_id", vx.dot("_qv", "_dv").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("_qv", "_dv")
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def two_stage(queries: DataFrame, qid: str, qvec: str, qstate: str, store: DataFrame, did: str, dvec: str, dstate: str,
-              k1: int = INTERMEDIATE_K, k2: int = FINAL_K, order: str = "nearest", store_bound: int = STORE_LIMIT) -> DataFrame:
-    """Top ``k1`` by cosine of the text vectors, then ``k2`` of those by squared L2 of
-    the state vectors; ``order='nearest'`` (ruling Q2) or ``'reference'`` (the source's
-    farthest-first slice). k capped by the store size."""
-    st = maybe_broadcast(store.select(F.col(did).alias("doc_id"), vx.unit(vx.as_double(dvec)).alias("_dv"),
-                                      vx.as_double(dstate).alias("_ds")), store_bound, 1024)
+              k1: int = INTERMEDIATE_K, k2: int = FINAL_K, order: str = "nearest") -> DataFrame:
+    """Top ``k1`` of the whole store by cosine of the text vectors, then ``k2`` of those
+    by squared L2 of the state vectors; ``order='nearest'`` (ruling Q2) or ``'reference'``
+    (the source's farthest-first slice). k capped by the store size."""
+    st = store.select(F.col(did).alias("doc_id"), vx.unit(vx.as_double(dvec)).alias("_dv"), vx.as_double(dstate).alias("_ds"))
     q = queries.select(F.col(qid).alias("query_id"), vx.unit(vx.as_double(qvec)).alias("_qv"), vx.as_double(qstate).alias("_qs"))
-    pairs = q.crossJoin(st).withColumn("text_score", vx.dot("_qv", "_dv"))
+    pairs = against_all(q, st).select("query_id", "doc_id", "_qs", "_ds", vx.dot("_qv", "_dv").alias("text_score"))
     w1 = Window.partitionBy("query_id").orderBy(F.col("text_score").desc(), F.col("doc_id"))
     s1 = pairs.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k1)
     diff = F.zip_with("_qs", "_ds", lambda a, b: a - b)

@@ -155,17 +155,17 @@ def d20(spark, d):
 
 @register(
     "d21_parameter_grid", "D21,J10",
-    sql="""WITH b AS (SELECT DISTINCT p_brand FROM part), s AS (SELECT DISTINCT p_size FROM part WHERE p_size <= 5)
+    sql="""WITH b AS (SELECT DISTINCT p_brand FROM part), s AS (SELECT DISTINCT p_size FROM part)
            SELECT 'brand=' || b.p_brand || '_size=' || CAST(s.p_size AS VARCHAR) AS gs_str,
                   (SELECT count(*) FROM part p WHERE p.p_brand = b.p_brand AND p.p_size = s.p_size) AS n_parts
            FROM b CROSS JOIN s""",
-    note="list-valued options from the part table (brands x sizes up to 5); label k=v_k=v",
+    note="list-valued options from the part table (brands x sizes); label k=v_k=v",
 )
 def d21(spark, d):
     p = tb.table(spark, d, "part")
     brands = p.select("p_brand").distinct()
-    sizes = p.filter("p_size <= 5").select("p_size").distinct()
-    grid = brands.crossJoin(maybe_broadcast(sizes, 5))
+    sizes = p.select("p_size").distinct()
+    grid = brands.crossJoin(sizes)  # the grid itself is the result
     cnt = p.groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n_parts"))
     g = grid.join(cnt, ["p_brand", "p_size"], "left")
     return g.select(F.concat_ws("_", F.concat(F.lit("brand="), F.col("p_brand")), F.concat(F.lit("size="), F.col("p_size").cast("string"))).alias("gs_str"),

@@ -9,6 +9,7 @@ from ..functions.numeric import rnd
 from ..sources import tables as tb
 from ..streaming import ops as st
 from .core import register
+from .traffic_q import D2_SQL
 
 
 def speed_stream(spark, d):
@@ -49,12 +50,12 @@ def x2(spark, d):
                 s AS (SELECT user_id, ts, sum(new_s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
            SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start,
                   strftime(max(ts) + INTERVAL '5 minutes', '%Y-%m-%d %H:%M:%S') AS session_end, user_id, count(*) AS n
-           FROM s GROUP BY user_id, sid
-           HAVING max(ts) + INTERVAL '5 minutes' <= (SELECT max(ts) FROM events)""",
-    note="append mode: a session is emitted once the watermark (max event time, no delay) passes its end",
+           FROM s GROUP BY user_id, sid""",
+    note="append mode: a session is emitted once the watermark passes its end; an end marker closes the open ones",
 )
 def x3(spark, d):
-    return st.run_append(st.sessions(st.read_events_stream(spark, d), "user_id", delay="0 seconds"), "x3")
+    events = st.read_events_stream(spark, d)
+    return st.run_append_to_end(lambda end: st.sessions(events.unionByName(end), "user_id"), spark, "x3").filter("user_id is not null")
 
 
 @register(
@@ -105,15 +106,11 @@ def x8(spark, d):
 
 @register(
     "x5_stream_traffic_segments", "X-5,D2",
-    sql=__import__("roadlens.registry.traffic_q", fromlist=["D2_SQL"]).D2_SQL + """,
-  ends AS (SELECT event_type AS traj_id, max(ts) AS last_ts FROM events GROUP BY event_type)
-SELECT seg.traj_id, s.st AS state, seg.start, seg."end" FROM seg JOIN s ON s.traj_id = seg.traj_id AND s.seq = seg.lab
-JOIN ends e ON e.traj_id = seg.traj_id
-WHERE seg.lab = seg."end" - 1 OR e.last_ts < (SELECT max(ts) FROM events) - INTERVAL 1 second""",
+    sql=D2_SQL + """
+SELECT seg.traj_id, s.st AS state, seg.start, seg."end" FROM seg JOIN s ON s.traj_id = seg.traj_id AND s.seq = seg.lab""",
     views=["drive_type"],
-    note="closed segments at once; the open one when the event-time timeout fires (every drive but the one "
-         "holding the last event of the stream)",
+    note="closed segments and the open one as it stands; the last version of a segment counts",
 )
 def x5(spark, d):
     ev = st.read_events_stream(spark, d).withColumn("velocity_kmh", F.least(F.col("value"), F.lit(120.0)))
-    return st.run_append(st.stream_segments(ev, "event_type", F.col("velocity_kmh")), "x5")
+    return st.run_update(st.stream_segments(ev, "event_type", F.col("velocity_kmh")), "x5", ["traj_id", "start"])

@@ -31,12 +31,13 @@ EVENTS_SCHEMA = T.StructType([
 
 
 def read_events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
-    """Stream the events table of a folder (only its file, via pathGlobFilter); event
-    time as TIMESTAMP for watermarks."""
-    r = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
+    """Stream the events table, a file or a folder of parts; event time as TIMESTAMP for
+    watermarks. (The pattern matches the one name; a pattern keeps the file source from
+    taking a single file for a partition root.)"""
+    r = spark.readStream.schema(EVENTS_SCHEMA)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir).withColumn("event_time", F.col("ts").cast("timestamp"))
+    return r.parquet(f"{sf_dir}/events.parque[t]").withColumn("event_time", F.col("ts").cast("timestamp"))
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -54,6 +55,30 @@ def run_append(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
+def run_append_to_end(make, spark: SparkSession, name: str) -> DataFrame:
+    """Run an append-mode stream over a finite source and flush its open windows.
+
+    ``make(markers)`` builds the stream from a stream of end markers (rows of EVENTS_SCHEMA
+    to be united with the events). The query runs to the end of the source, then again from
+    its own checkpoint with one marker far beyond any event: the watermark passes all open
+    windows, which are emitted by the rule that emits all others. The marker's own rows have
+    null keys and must be filtered out of the result."""
+    root = _scratch(spark, name)
+    end = spark.createDataFrame([], EVENTS_SCHEMA)
+    end.write.parquet(f"{root}/marker")
+    markers = spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{root}/marker").withColumn("event_time", F.col("ts").cast("timestamp"))
+    df = make(markers)
+    for last in (False, True):
+        if last:
+            spark.range(1).select(F.lit("9000-01-01").cast("timestamp_ntz").alias("ts")).select(
+                *(F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in EVENTS_SCHEMA)
+            ).write.mode("append").parquet(f"{root}/marker")
+        q = (df.writeStream.format("parquet").option("path", f"{root}/out")
+             .option("checkpointLocation", f"{root}/chk").outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{root}/out")
+
+
 def run_update(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """Run an update-mode stream to completion through foreachBatch; the latest version
     of each key wins when read back."""
@@ -131,22 +156,17 @@ SEGMENT_STATE = "start long, cur string, n long"
 
 
 def _fold_segments(min_rows: int):
-    """X-5 processor: the D2 fold carried across micro-batches in group state; a closed
-    segment is emitted at once, the open one when the event-time timeout fires."""
+    """X-5 processor: the D2 fold carried across micro-batches in group state. Each call
+    gives the segments it closed and the open one as it stands; a later version of a
+    segment (same drive and start) replaces an earlier one. The state (start, label, rows
+    so far) lives as long as the drive, so a pause changes neither numbers nor cuts."""
     import numpy as np
     import pandas as pd
 
     def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            start, cur, n = state.get
-            state.remove()
-            yield pd.DataFrame({"traj_id": [key[0]], "state": [cur], "start": [start], "end": [n - 1]})
-            return
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_us", "event_id"])
         labels = rows["label"].to_numpy()
-        start, cur, n = state.get if state.exists else (0, None, 0)
-        if cur is None:
-            cur = labels[0]
+        start, cur, n = state.get if state.exists else (0, labels[0], 0)
         prev = np.concatenate([[cur], labels[:-1]])
         out = []
         for j in np.nonzero(labels != prev)[0]:  # only the flips are visited
@@ -157,21 +177,19 @@ def _fold_segments(min_rows: int):
             cur = labels[j]
         n += len(labels)
         state.update((int(start), str(cur), int(n)))
-        state.setTimeoutTimestamp(int(rows["ts_us"].max() // 1000) + 1)
+        out.append((key[0], cur, start, n - 1))
         yield pd.DataFrame(out, columns=["traj_id", "state", "start", "end"])
 
     return fn
 
 
-def stream_segments(events: DataFrame, key: str, velocity, min_rows: int = 100, delay: str = "0 seconds") -> DataFrame:
-    """X-5: traffic-state segmentation of each drive as a stateful stream
-    (``applyInPandasWithState``, event-time timeout flushes the open segment)."""
+def stream_segments(events: DataFrame, key: str, velocity, min_rows: int = 100) -> DataFrame:
+    """X-5: traffic-state segmentation of each drive as a stateful stream, for update mode
+    with (traj_id, start) as the key of a segment. Rows of a drive must come in time order
+    over micro-batches (inside one they are sorted)."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     from ..operators.traffic import traffic_state
 
-    x = events.withWatermark("event_time", delay).select(
-        F.col(key).cast("string").alias("_k"), "event_id", F.unix_micros("event_time").alias("ts_us"),
-        traffic_state(velocity).alias("label"), "event_time")
-    return x.groupBy("_k").applyInPandasWithState(
-        _fold_segments(min_rows), SEGMENT_OUT, SEGMENT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    x = events.select(F.col(key).cast("string").alias("_k"), "event_id", F.unix_micros("event_time").alias("ts_us"), traffic_state(velocity).alias("label"))
+    return x.groupBy("_k").applyInPandasWithState(_fold_segments(min_rows), SEGMENT_OUT, SEGMENT_STATE, "update", GroupStateTimeout.NoTimeout)
