@@ -1,7 +1,7 @@
 """Join shapes the domain needs beyond a plain equi-join.
 
-* as-of (J1): union + carry-forward over a blocked order, never an inequality join
-  (``rt <= t`` alone plans as a nested-loop join);
+* as-of (J1): an equi-join on time cells with the interval as its condition, never a bare
+  inequality join (``rt <= t`` alone plans as a nested-loop join);
 * point-in-segment (J2): the segment starts of a road are a bounded list (one row per
   road, array of starts); a row finds its segment by counting starts <= position;
 * interval payload (J3/J12): bounded dimension (road map, knot list) broadcast behind
@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.blocks import carry_forward
 from ..plans.broadcast import join_small, maybe_broadcast
-from ..plans.ordering import dense_position
+
+
+#: coarse cells of the right side's own ordering (rows of a small table per key)
+COARSE = 256
 
 
 def asof_join(
@@ -26,38 +28,50 @@ def asof_join(
     right_t: str,
     payload: list[str],
     clamp_first: bool = True,
-    bucket_width: float = 1e6,
 ) -> DataFrame:
     """For each left row, the right row with the largest ``right_t <= left_t`` per key
     (``bisect_right - 1``); before the first right row, the first one when ``clamp_first``
-    (the source's ``max(i, 0)``), else NULL.
-
-    Plan: one ordered union per key (right rows sort before left rows at equal time),
-    dense positions by (time bucket, time, side), carry-forward of the right payload over
-    blocks. No row of either side is duplicated and no key lands in one task.
+    (the source's ``max(i, 0)``), else NULL. Of right rows with equal times one is taken.
+
+    A right row holds from its time to the next one's. The time axis is cut into as many
+    cells as a key has right rows on average (count and span are read first), so these
+    intervals meet about two cells per right row, and the join is an equi-join on (keys,
+    cell) with the interval as its condition: the left side is neither sorted nor
+    gathered, whatever its size, and Spark may broadcast a small right side or split a
+    hot cell. The next time is found inside coarse cells and, across them, in a table of
+    ``COARSE`` rows per key.
     """
-    pk = "_pk"
-    lcols = left.columns
-    lt = left.withColumn("_t", F.col(left_t).cast("double")).withColumn("_side", F.lit(1))
-    lt = lt.withColumn(pk, F.struct(*[F.col(c) for c in lcols]))
-    rt = right.select(*keys, F.col(right_t).cast("double").alias("_t"), F.lit(0).alias("_side"),
-                      F.struct(F.col(right_t).alias(right_t + "_match"), *[F.col(c) for c in payload]).alias("_rp"))
-    u = lt.select(*keys, "_t", "_side", F.col(pk), F.lit(None).cast(rt.schema["_rp"].dataType).alias("_rp"))
-    u = u.unionByName(rt.select(*keys, "_t", "_side", F.lit(None).cast(lt.schema[pk].dataType).alias(pk), "_rp"))
-    u = dense_position(u, keys, ["_t", "_side"], bucket=F.floor(F.col("_t") / bucket_width).cast("long"), name="_o")
-    # _side breaks ties between sides only; equal times inside one side keep any order,
-    # the carried value is then the same time's payload either way.
-    u = carry_forward(u, keys, "_o", {"_m": F.col("_rp")})
-    out = u.filter(F.col("_side") == 1)
-    if clamp_first:
-        first = right.groupBy(*keys).agg(
-            F.min_by(F.struct(F.col(right_t).alias(right_t + "_match"), *[F.col(c) for c in payload]), F.col(right_t)).alias("_f")
-        ) if keys else right.agg(
-            F.min_by(F.struct(F.col(right_t).alias(right_t + "_match"), *[F.col(c) for c in payload]), F.col(right_t)).alias("_f")
-        )
-        out = out.join(first, on=keys, how="left") if keys else out.crossJoin(F.broadcast(first))
-        out = out.withColumn("_m", F.coalesce(F.col("_m"), F.col("_f"))).drop("_f")
-    return out.select(F.col(f"{pk}.*"), F.col("_m.*"))
+    match = right_t + "_match"
+    kinds = {f.name: f.dataType for f in right.schema.fields}
+    r = right.select(*keys, F.col(right_t).cast("double").alias("_rt"), F.col(right_t).alias(match), *payload).filter("_rt is not null")
+    r = r.dropDuplicates([*keys, "_rt"])
+    n_keys = F.approx_count_distinct(F.struct(*keys)) if keys else F.lit(1)
+    n, lo, hi, k = r.agg(F.count(F.lit(1)), F.min("_rt"), F.max("_rt"), F.max(F.lit(1)) if not keys else n_keys).first()
+    if not n:
+        return left.select("*", F.lit(None).cast(kinds[right_t]).alias(match), *(F.lit(None).cast(kinds[c]).alias(c) for c in payload))
+    cells = max(1, -(-n // max(1, k)))
+    width = (hi - lo) / cells or 1.0
+
+    def cell(t):
+        return F.least(F.greatest(F.floor((t - lo) / width), F.lit(0)), F.lit(cells)).cast("long")
+
+    r = r.withColumn("_g", F.floor(cell(F.col("_rt")) / (cells // COARSE + 1)).cast("long"))
+    inner = Window.partitionBy(*keys, "_g").orderBy("_rt")
+    outer = Window.partitionBy(*keys).orderBy("_g")
+    firsts = r.groupBy(*keys, "_g").agg(F.min("_rt").alias("_f"))
+    firsts = firsts.select(*keys, "_g", F.lead("_f").over(outer).alias("_nf"), F.lag("_f").over(outer).isNull().alias("_head"))
+    r = r.withColumn("_n", F.lead("_rt").over(inner)).withColumn("_p", F.lag("_rt").over(inner)).join(firsts, [*keys, "_g"])
+    r = r.withColumn("_n", F.coalesce("_n", "_nf")).withColumn("_first", F.col("_head") & F.col("_p").isNull() & F.lit(clamp_first))
+    start = F.when(F.col("_first"), F.lit(0).cast("long")).otherwise(cell(F.col("_rt")))
+    stop = F.when(F.col("_n").isNull(), F.lit(cells).cast("long")).otherwise(cell(F.col("_n")))
+    r = r.withColumn("_c", F.explode(F.sequence(start, stop))).drop("_g", "_nf", "_head", "_p")
+    rk = {c: f"_k_{c}" for c in keys}
+    r = r.withColumnsRenamed(rk)
+    x = left.withColumn("_lt", F.col(left_t).cast("double")).withColumn("_lc", cell(F.col("_lt")))
+    on = (F.col("_lc") == F.col("_c")) & (F.col("_first") | (F.col("_lt") >= F.col("_rt"))) & (F.col("_n").isNull() | (F.col("_lt") < F.col("_n")))
+    for c, kc in rk.items():
+        on = on & (x[c] == r[kc])
+    return x.join(r, on, "left").select(*left.columns, match, *payload)
 
 
 def segment_index(df: DataFrame, pos: str, starts: DataFrame, start_col: str, keys: list[str] | None = None,

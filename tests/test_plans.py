@@ -69,3 +69,28 @@ def test_dense_position_prefix_sums(spark):
     j = got.join(ref, ["k", "t"])
     assert j.count() == df.count()
     assert j.filter("cs <> cs2").count() == 0
+
+
+def test_asof_join_is_the_last_earlier_row(spark):
+    import bisect
+    import random
+
+    from roadlens.operators.joins import asof_join
+
+    r = random.Random(4)
+    right = sorted({(k, round(r.expovariate(0.01), 1)) for k in "ab" for _ in range(60)})
+    left = [(i, r.choice("abc"), round(r.uniform(-20, 700), 1)) for i in range(500)]
+    ldf = spark.createDataFrame(left, "i long, k string, t double")
+    rdf = spark.createDataFrame([(k, t, f"{k}{t}") for k, t in right], "k string, rt double, name string")
+    for clamp in (True, False):
+        got = {x.i: (x.rt_match, x.name) for x in asof_join(ldf, rdf, ["k"], "t", "rt", ["name"], clamp).collect()}
+        assert len(got) == len(left)
+        for i, k, t in left:
+            times = [x for kk, x in right if kk == k]
+            at = bisect.bisect_right(times, t) - 1
+            at = max(at, 0) if clamp else at
+            want = (times[at], f"{k}{times[at]}") if times and at >= 0 else (None, None)
+            assert got[i] == want
+    plan = asof_join(ldf, rdf, ["k"], "t", "rt", ["name"])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert asof_join(ldf, rdf.limit(0), ["k"], "t", "rt", ["name"]).filter("name is null").count() == len(left)
