@@ -92,16 +92,13 @@ def vehicle_parts(vid) -> dict[str, Column]:
 
 
 def leaderboard_id(vid) -> Column:
-    """Leaderboard prefix rewrite: sensor_/human_/av_ + number, unmatched -> error."""
+    """The whole id behind the prefix of its kind - a tagged sensor, a human, an AV;
+    the recorded leader counts as human. Null stays null, an unknown kind is an error."""
     v = _c(vid)
-    num = F.split(v, "_").getItem(0)
-    return (
-        F.when(v.contains("sensor"), F.concat(F.lit("sensor_"), num))
-        .when(v.contains("human"), F.concat(F.lit("human_"), num))
-        .when(v.contains("av"), F.concat(F.lit("av_"), num))
-        .when(v.contains("leader"), F.concat(F.lit("leader_"), num))
-        .otherwise(F.raise_error(F.concat(F.lit("unknown vehicle kind: "), v)))
-    )
+    kind = (F.when(v.contains("#sensor"), "sensor_").when(v.contains("human"), "human_").when(v.contains("av"), "av_")
+            .when(v.contains("trajectory"), "human_"))
+    return F.when(v.isNull(), F.lit(None).cast("string")).when(kind.isNotNull(), F.concat(kind, v)).otherwise(
+        F.raise_error(F.concat(F.lit("unknown vehicle kind: "), v)))
 
 
 def pad_to(arr, k: int, fill=-1.0) -> Column:

@@ -65,7 +65,10 @@ ADAPTER_SQL: dict[str, str] = {
         SELECT o_orderkey AS window_id,
                concat('<reasoning>', o_orderstatus, ' ', o_orderpriority, '</reasoning><future_speeds>',
                       CAST(o_custkey % 60 AS VARCHAR), ', ', CAST(o_custkey % 7 AS VARCHAR), ',3,',
-                      CASE WHEN o_orderkey % 11 = 0 THEN 'bad' ELSE '4' END, '</future_speeds>') AS response
+                      CASE WHEN o_orderkey % 11 = 0 THEN 'bad' ELSE '4' END, '</future_speeds><future_headway>',
+                      CAST(o_custkey % 230 AS VARCHAR), ',10,20,30</future_headway><future_leader_speed>',
+                      CAST(o_custkey % 55 AS VARCHAR), ',1,2,3</future_leader_speed><future_reward>0.1,0.2,0.3,0.4</future_reward><reward_coefficients>',
+                      CASE WHEN o_orderkey % 7 = 0 THEN '1,2,3' ELSE '1,2,3,4' END, '</reward_coefficients>') AS response
         FROM orders""",
     # judge responses: two integer score tags, one unparsable in thirteen
     "judge": """

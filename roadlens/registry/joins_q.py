@@ -13,6 +13,7 @@ from ..operators import joins as jn
 from ..operators import metrics as mt
 from ..plans.broadcast import maybe_broadcast
 from ..sources import tables as tb
+from ..sources.road_map import ELEVATION_FIT, GRADE_FIT, elevation_table, grade_table
 from .core import register
 from .logs_q import fuel_log, mpg_sql
 from .sqlfrag import LEAD_CTES, LOG_CTES
@@ -54,33 +55,6 @@ def j2(spark, d):
     return x.select("run_id", "id_num", "step", F.col("seg_idx").cast("int"))
 
 
-# ---- fixed values: first four intervals of the eastbound grade and elevation fits ----
-GRADE_FIT = [
-    (1, 0.000000, 0.206254, 0.988805, 0.003773),
-    (2, 0.206254, 0.340589, 22.654981, -4.464967),
-    (3, 0.340589, 0.649388, -18.794861, 9.652402),
-    (4, 0.649388, 0.809214, 34.385286, -24.882170),
-]
-ELEVATION_FIT = [
-    (1, 0.000000, 0.206254, 26.104452, 0.199214, 512.072935),
-    (2, 0.206254, 0.340589, 598.091498, -235.750258, 536.405721),
-    (3, 0.340589, 0.649388, -496.184330, 509.646826, 409.468619),
-    (4, 0.649388, 0.809214, 907.771550, -1313.778576, 1001.524295),
-]
-# ---------------------------------------------------------------------------------------
-
-
-def grade_table(spark):
-    return spark.createDataFrame(GRADE_FIT, "interval_number int, interval_start double, interval_end double, slope double, intercept double")
-
-
-def elevation_table(spark):
-    return spark.createDataFrame(
-        ELEVATION_FIT,
-        "interval_number int, interval_start double, interval_end double, quadratic_term double, linear_term double, intercept double",
-    )
-
-
 def _values_sql(rows):
     return ", ".join("(" + ", ".join(f"{v!r}e0" if isinstance(v, float) else str(v) for v in r) + ")" for r in rows)
 
@@ -98,22 +72,21 @@ END_MI = GRADE_FIT[-1][2]
                    round((e.quadratic_term * x.x_mi * x.x_mi + e.linear_term * x.x_mi + e.intercept) / 3.2808e0, 6) AS altitude
             FROM x
             LEFT JOIN g ON x.position >= 0 AND x.position <= {END_MI!r}e0 * 1609.344e0 AND x.x_mi >= g.interval_start
-                 AND (x.x_mi < g.interval_end OR (g.interval_number = 4 AND x.x_mi <= g.interval_end))
+                 AND (x.x_mi < g.interval_end OR (g.interval_number = {len(GRADE_FIT)} AND x.x_mi <= g.interval_end))
             LEFT JOIN e ON x.position >= 0 AND x.position <= {END_MI!r}e0 * 1609.344e0 AND x.x_mi >= e.interval_start
-                 AND (x.x_mi < e.interval_end OR (e.interval_number = 4 AND x.x_mi <= e.interval_end))""",
+                 AND (x.x_mi < e.interval_end OR (e.interval_number = {len(ELEVATION_FIT)} AND x.x_mi <= e.interval_end))""",
     views=["veh_log"],
-    note="road map: first four intervals of the shipped eastbound fits; positions outside the map give grade 0 / altitude NULL",
+    note="road map: all intervals of the eastbound fits; positions outside the map give grade 0 / altitude NULL",
 )
 def j3(spark, d):
     v = tb.veh_log(spark, d).select("run_id", "id_num", "step", "position")
     end_m = END_MI * ph.METERS_PER_MILE_ROAD
     v = v.withColumn("x_mi", F.lit(END_MI) - F.col("position") / ph.METERS_PER_MILE_ROAD)
     inside = (F.col("position") >= 0) & (F.col("position") <= end_m)
-    n = len(GRADE_FIT)
 
     def cond(p):
         return inside & (F.col("x_mi") >= F.col(f"{p}_start")) & (
-            (F.col("x_mi") < F.col(f"{p}_end")) | ((F.col(f"{p}_num") == n) & (F.col("x_mi") <= F.col(f"{p}_end"))))
+            (F.col("x_mi") < F.col(f"{p}_end")) | ((F.col(f"{p}_num") == len(GRADE_FIT)) & (F.col("x_mi") <= F.col(f"{p}_end"))))
 
     g = grade_table(spark).select(F.col("interval_number").alias("g_num"), F.col("interval_start").alias("g_start"),
                                   F.col("interval_end").alias("g_end"), "slope", F.col("intercept").alias("g_icpt"))

@@ -14,11 +14,13 @@ from ..functions import text as tx
 from ..functions.numeric import rnd
 from ..operators import retrieval as rt
 from ..operators import series as sr
+from ..operators import joins as jn
 from ..operators import sinks as sk
 from ..operators import traffic as tf
 from ..session import ensure_checkpoint_dir
 from ..sources import tables as tb
 from .core import register
+from .joins_q import PROBE_SCALE
 from .metrics_q import CUM_CTES, cum_log
 from .phys_q import with_leader
 from .sqlfrag import LEAD_CTES
@@ -191,19 +193,41 @@ def f6(spark, d):
     return x.select("run_id", "id_num", "step", F.format_string("Current situation: %s", text).alias("prompt"))
 
 
+F31_K = 3
+
+
+def _f31_sql():
+    pairs = ", ".join(
+        f"CASE WHEN n_real > {j} THEN round(sp[{j + 2}], 6) ELSE -1e0 END AS seg_{j}_speed, "
+        f"CASE WHEN n_real > {j} THEN round(di[{j + 1}] - position, 6) ELSE -1e0 END AS seg_{j}_dist" for j in range(F31_K))
+    return f"""WITH prof AS (SELECT DISTINCT t FROM tse),
+      probe AS (SELECT run_id, id_num, step, position, step * 3.5e-1 AS probe_t FROM veh_log),
+      m AS (SELECT p.*, coalesce(a.t, (SELECT min(t) FROM prof)) AS t FROM probe p ASOF LEFT JOIN prof a ON p.probe_t >= a.t),
+      k AS (SELECT t, list(seg_start ORDER BY seg_idx) AS xs, list(avg_speed ORDER BY seg_idx) AS zs FROM tse GROUP BY t),
+      j AS (SELECT m.*, xs, zs, len(list_filter(xs, lambda s: s <= m.position)) - 1 AS i FROM m JOIN k ON k.t = m.t),
+      s AS (SELECT *, list_slice(zs, greatest(i, 0) + 1, i + {F31_K} + 1) AS sp, list_slice(xs, i + 2, i + {F31_K} + 1) AS di FROM j),
+      n AS (SELECT *, greatest(least(len(sp) - 1, len(di)), 0) AS n_real FROM s)
+      SELECT run_id, id_num, step, CAST(n_real AS INT) AS n_real, CASE WHEN len(sp) > 0 THEN round(sp[1], 6) ELSE -1e0 END AS local_speed, {pairs} FROM n"""
+
+
 @register(
-    "f31_padded_profile_features", "F31,D3",
-    sql="""WITH a AS (SELECT t, list(avg_speed ORDER BY seg_idx) AS v FROM tse GROUP BY t),
-                p AS (SELECT t, len(v) AS n_real, list_concat(list_slice(v, 1, 10), list_transform(range(greatest(10 - len(v), 0)), lambda x: -1e0)) AS f FROM a)
-           SELECT t, CAST(least(n_real, 10) AS INT) AS n_real, CAST(len(f) AS INT) AS n_features,
-                  round(list_reduce(f, lambda u, w: u + w), 6) AS feature_sum FROM p""",
-    views=["tse"],
+    "f31_padded_profile_features", "F31,D3,J1,J2",
+    sql=_f31_sql(), views=["veh_log", "tse"],
+    note="per logged row: speed of the own segment, then (speed, distance) of the next 3, -1 beyond the profile",
 )
 def f31(spark, d):
-    arr = tf.profile_arrays(tb.tse(spark, d), ["t"], "seg_idx", "avg_speed")
-    f = tx.pad_to(F.col("zs"), 10)
-    return arr.select("t", F.least(F.size("zs"), F.lit(10)).alias("n_real"), F.size(f).alias("n_features"),
-                      rnd(F.aggregate(f, F.lit(0.0), lambda u, w: u + w), 6).alias("feature_sum"))
+    v = tb.veh_log(spark, d).select("run_id", "id_num", "step", "position", (F.col("step") * PROBE_SCALE).alias("probe_t"))
+    m = jn.asof_join(v, tb.tse(spark, d).select("t").distinct(), [], "probe_t", "t", []).withColumnRenamed("t_match", "t")
+    x = m.join(tf.profile_arrays(tb.tse(spark, d), ["t"], "seg_start", "avg_speed"), "t")
+    x = x.withColumn("i", F.size(F.filter("xs", lambda s: s <= F.col("position"))) - 1)
+    x = x.withColumn("sp", F.slice("zs", F.greatest(F.col("i"), F.lit(0)) + 1, F.col("i") + F31_K + 1 - F.greatest(F.col("i"), F.lit(0))))
+    x = x.withColumn("di", F.transform(F.slice("xs", F.col("i") + 2, F31_K), lambda s: s - F.col("position")))
+    x = x.withColumn("n_real", F.greatest(F.least(F.size("sp") - 1, F.size("di")), F.lit(0)))
+    speeds = tx.pad_to(F.slice(F.slice("sp", 2, F31_K), F.lit(1), F.col("n_real")), F31_K)
+    dists = tx.pad_to(F.slice("di", F.lit(1), F.col("n_real")), F31_K)
+    x = x.withColumn("fs", speeds).withColumn("fd", dists)
+    pairs = [c for j in range(F31_K) for c in (rnd(F.col("fs")[j], 6).alias(f"seg_{j}_speed"), rnd(F.col("fd")[j], 6).alias(f"seg_{j}_dist"))]
+    return x.select("run_id", "id_num", "step", "n_real", rnd(F.coalesce(F.get("sp", F.lit(0)), F.lit(-1.0)), 6).alias("local_speed"), *pairs)
 
 
 @register(

@@ -109,9 +109,8 @@ def f24(spark, d):
     "f4_vehicle_id_parse", "F4,K2",
     sql="""SELECT DISTINCT id, CAST(split_part(split_part(id, '#', 1), '_', 1) AS INT) AS id_num,
                   split_part(split_part(id, '#', 1), '_', 2) AS controller, split_part(split_part(id, '#', 1), '_', 3) AS kind,
-                  CASE WHEN id LIKE '%sensor%' THEN 'sensor_' WHEN id LIKE '%human%' THEN 'human_'
-                       WHEN id LIKE '%av%' THEN 'av_' WHEN id LIKE '%leader%' THEN 'leader_' END
-                  || split_part(id, '_', 1) AS leaderboard_id
+                  CASE WHEN id LIKE '%#sensor%' THEN 'sensor_' WHEN id LIKE '%human%' THEN 'human_'
+                       WHEN id LIKE '%av%' THEN 'av_' WHEN id LIKE '%trajectory%' THEN 'human_' END || id AS leaderboard_id
            FROM veh_log""",
     views=["veh_log"],
 )
@@ -122,18 +121,18 @@ def f4(spark, d):
                     tx.leaderboard_id("id").alias("leaderboard_id"))
 
 
+_FIVE = " AND ".join(f"coalesce(len({values_sql(tag_sql('response', t))}) = {n}, false)" for t, n in sc.ANSWER_TAGS.items())
+
+
 @register(
     "l5_format_check", "L5,F1,F3",
-    sql=f"""SELECT window_id,
-                   coalesce(len({values_sql(tag_sql('response', 'future_speeds'))}) = 4, false)
+    sql=f"""SELECT window_id, {_FIVE}
                    AND coalesce(length({strip_sql(tag_sql('response', 'reasoning'))}) >= 5, false) AS format_ok
             FROM answer""",
     views=["answer"],
-    note="tag set limited to the tags present in the answer fixture: future_speeds (4 numbers) + reasoning",
 )
 def l5(spark, d):
-    a = tb.answer(spark, d)
-    return a.select("window_id", sc.format_ok(F.col("response"), {"future_speeds": 4}).alias("format_ok"))
+    return tb.answer(spark, d).select("window_id", sc.format_ok(F.col("response")).alias("format_ok"))
 
 
 @register(
@@ -152,17 +151,25 @@ def l6(spark, d):
                     s["coherence_score"].alias("coherence_score"), s["verdict"].alias("verdict"))
 
 
+def _outside_sql(v, hi):
+    return f"coalesce(len(list_filter({v}, lambda x: x < 0 OR x > {hi})) > 0, false)"
+
+
 @register(
     "l7_physical_limits", "L7",
     sql=f"""SELECT window_id, reason = '' AS physical_ok, reason FROM (
-              SELECT window_id, CASE WHEN coalesce(len(list_filter(v, lambda x: x < 0 OR x > 50)) > 0, false)
-                                     THEN 'Invalid speed detected' ELSE '' END AS reason
-              FROM (SELECT window_id, {values_sql(tag_sql('response', 'future_speeds'))} AS v FROM answer))""",
+              SELECT window_id, CASE WHEN {_outside_sql('v', 50)} THEN 'Invalid speed detected'
+                                     WHEN {_outside_sql('h', 200)} THEN 'Invalid headway detected'
+                                     WHEN {_outside_sql('l', 50)} THEN 'Invalid leader speed detected' ELSE '' END AS reason
+              FROM (SELECT window_id, {values_sql(tag_sql('response', 'future_speeds'))} AS v,
+                           {values_sql(tag_sql('response', 'future_headway'))} AS h,
+                           {values_sql(tag_sql('response', 'future_leader_speed'))} AS l FROM answer))""",
     views=["answer"],
 )
 def l7(spark, d):
-    a = tb.answer(spark, d).select("window_id", tx.extract_values("response", "future_speeds").alias("v"))
-    chk = sc.physical_check(F.col("v"))
+    a = tb.answer(spark, d).select("window_id", *(tx.extract_values("response", t).alias(c) for t, c in
+                                                  (("future_speeds", "v"), ("future_headway", "h"), ("future_leader_speed", "l"))))
+    chk = sc.physical_check(F.col("v"), F.col("h"), F.col("l"))
     return a.select("window_id", chk["physical_ok"].alias("physical_ok"), chk["reason"].alias("reason"))
 
 

@@ -70,22 +70,36 @@ def read_trajectories(spark: SparkSession, path_glob: str) -> DataFrame:
     )
 
 
+def _text(spark: SparkSession, path: str, schema: str, wholetext: bool = False) -> DataFrame | None:
+    """Text of the files a pattern matches; None where it matches none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(schema).text(path, wholetext=wholetext)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
 def read_tse(spark: SparkSession, folder_glob: str) -> DataFrame:
     """``speed/confidence/cvalue.csv`` (header ``time, 0, 1, ...``) + ``segments.json``
     -> long (traj_id, t, seg_idx, seg_start, avg_speed, confidence, cvalue)."""
     def wide(name, value):
-        w = spark.read.option("header", True).option("inferSchema", False).csv(f"{folder_glob}/{name}.csv")
-        cols = [c for c in w.columns]
-        trimmed = w.toDF(*[c.strip() for c in cols])
-        segs = [c for c in trimmed.columns if c != "time"]
-        trimmed = trimmed.withColumn("traj_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+\.csv$", 1))
-        long = trimmed.unpivot(["traj_id", "time"], segs, "seg_idx", value)
-        return long.select("traj_id", F.col("time").cast("double").alias("t"), F.col("seg_idx").cast("int"),
-                           F.col(value).cast("double").alias(value))
+        # line by line: folders may have different numbers of segments, and each has its own header
+        lines = _text(spark, f"{folder_glob}/{name}.csv", "line string")
+        if lines is None:
+            return spark.createDataFrame([], f"traj_id string, t double, seg_idx int, {value} double")
+        lines = lines.withColumn("traj_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+\.csv$", 1))
+        lines = lines.filter((F.trim("line") != "") & ~F.ltrim("line").startswith("time")).withColumn("f", F.split("line", ","))
+        long = lines.select("traj_id", F.trim(F.col("f")[0]).try_cast("double").alias("t"), F.posexplode(F.slice("f", 2, 1 << 20)).alias("seg_idx", "x"))
+        return long.select("traj_id", "t", "seg_idx", F.trim("x").try_cast("double").alias(value))
 
     s, c, v = wide("speed", "avg_speed"), wide("confidence", "confidence"), wide("cvalue", "cvalue")
     x = s.join(c, ["traj_id", "t", "seg_idx"], "left").join(v, ["traj_id", "t", "seg_idx"], "left")
-    seg = spark.read.text(f"{folder_glob}/segments.json", wholetext=True)
+    seg = _text(spark, f"{folder_glob}/segments.json", "value string", wholetext=True)
+    if seg is None:
+        return x.withColumn("seg_start", F.lit(None).cast("double")).select("traj_id", "seg_idx", "t", "avg_speed", "confidence", "cvalue", "seg_start")
     seg = seg.select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/segments\.json$", 1).alias("traj_id"),
         F.posexplode(F.from_json("value", "array<double>")).alias("seg_idx", "seg_start"),

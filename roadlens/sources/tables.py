@@ -149,7 +149,11 @@ def answer(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("o_custkey") % 60).cast("string"), F.lit(", "),
             (F.col("o_custkey") % 7).cast("string"), F.lit(",3,"),
             F.when(F.col("o_orderkey") % 11 == 0, "bad").otherwise("4"),
-            F.lit("</future_speeds>"),
+            F.lit("</future_speeds><future_headway>"), (F.col("o_custkey") % 230).cast("string"),
+            F.lit(",10,20,30</future_headway><future_leader_speed>"), (F.col("o_custkey") % 55).cast("string"),
+            F.lit(",1,2,3</future_leader_speed><future_reward>0.1,0.2,0.3,0.4</future_reward><reward_coefficients>"),
+            F.when(F.col("o_orderkey") % 7 == 0, "1,2,3").otherwise("1,2,3,4"),
+            F.lit("</reward_coefficients>"),
         ).alias("response"),
     )
 

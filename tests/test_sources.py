@@ -58,3 +58,21 @@ def test_read_traffic_state(spark, tmp_path):
     (tmp_path / "ts.csv").write_text('data,freeflow,congestion,dense\nd_1_300,"[[0, 150]]",[],"[[150, 299]]"\n')
     rows = sorted((r.state, r.start, r.end) for r in fs.read_traffic_state(spark, str(tmp_path / "ts.csv")).collect())
     assert rows == [("dense", 150, 299), ("freeflow", 0, 150)]
+
+
+def test_tse_folders_of_different_width(spark, tmp_path):
+    """Each folder has its own header; a missing table gives an empty frame."""
+    import json
+
+    from roadlens.sources import files as fs
+
+    for name, n in (("a", 3), ("b", 6)):
+        (tmp_path / name).mkdir()
+        for table in ("speed", "confidence", "cvalue"):
+            rows = [f"{t}, " + ", ".join(str(10 * t + j) for j in range(n)) for t in range(2)]
+            (tmp_path / name / f"{table}.csv").write_text("time, " + ", ".join(map(str, range(n))) + "\n" + "\n".join(rows) + "\n")
+        (tmp_path / name / "segments.json").write_text(json.dumps([500.0 * j for j in range(n)]))
+    rows = fs.read_tse(spark, f"{tmp_path}/*").collect()
+    assert len(rows) == 2 * (3 + 6)
+    assert all(r.avg_speed == 10 * r.t + r.seg_idx and r.seg_start == 500.0 * r.seg_idx and r.cvalue == r.avg_speed for r in rows)
+    assert fs.read_tse(spark, f"{tmp_path}/none*").count() == 0
