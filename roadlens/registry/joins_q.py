@@ -37,7 +37,7 @@ def profiles(spark, d):
     views=["veh_log", "tse"],
 )
 def j1(spark, d):
-    v = tb.veh_log(spark, d).select("run_id", "id_num", "step", (F.col("step") * PROBE_SCALE).alias("probe_t"))
+    v = tb.veh_log(spark, d, keep=False).select("run_id", "id_num", "step", (F.col("step") * PROBE_SCALE).alias("probe_t"))
     x = jn.asof_join(v, profiles(spark, d), [], "probe_t", "t", ["profile_mean"])
     return x.select("run_id", "id_num", "step", F.col("t_match"), rnd("profile_mean", 6).alias("profile_mean"))
 
@@ -50,7 +50,7 @@ def j1(spark, d):
     views=["veh_log", "tse"],
 )
 def j2(spark, d):
-    v = tb.veh_log(spark, d).select("run_id", "id_num", "step", "position")
+    v = tb.veh_log(spark, d, keep=False).select("run_id", "id_num", "step", "position")
     x = jn.segment_index(v, "position", tb.tse(spark, d), "seg_start")
     return x.select("run_id", "id_num", "step", F.col("seg_idx").cast("int"))
 
@@ -79,7 +79,7 @@ END_MI = GRADE_FIT[-1][2]
     note="road map: all intervals of the eastbound fits; positions outside the map give grade 0 / altitude NULL",
 )
 def j3(spark, d):
-    v = tb.veh_log(spark, d).select("run_id", "id_num", "step", "position")
+    v = tb.veh_log(spark, d, keep=False).select("run_id", "id_num", "step", "position")
     end_m = END_MI * ph.METERS_PER_MILE_ROAD
     v = v.withColumn("x_mi", F.lit(END_MI) - F.col("position") / ph.METERS_PER_MILE_ROAD)
     inside = (F.col("position") >= 0) & (F.col("position") <= end_m)
@@ -188,7 +188,7 @@ def j8(spark, d):
     views=["veh_log"],
 )
 def j9(spark, d):
-    v = tb.veh_log(spark, d)
+    v = tb.veh_log(spark, d, keep=False)
     x = jn.tail_aligned(v.filter("id_num = 1"), v.filter("id_num = 2"), ["run_id"], "step", ["speed"])
     return x.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n_aligned"),
@@ -256,7 +256,7 @@ def _idm_grid_accel(v, vl, hw, a, b):
     views=["veh_log", "tse"],
 )
 def j12(spark, d):
-    v = tb.veh_log(spark, d).select("run_id", "id_num", "step", "position", (F.col("step") * PROBE_SCALE).alias("probe_t"))
+    v = tb.veh_log(spark, d, keep=False).select("run_id", "id_num", "step", "position", (F.col("step") * PROBE_SCALE).alias("probe_t"))
     times = tb.tse(spark, d).select("t").distinct()
     m = jn.asof_join(v, times, [], "probe_t", "t", [])
     m = m.withColumnRenamed("t_match", "t")

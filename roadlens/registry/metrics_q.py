@@ -329,7 +329,7 @@ def t7(spark, d):
     note="get_timestep_data(limit) of one vehicle: the limit is the operator",
 )
 def t8(spark, d):
-    v = tb.veh_log(spark, d).filter((F.col("run_id") == 0) & (F.col("id_num") == 1))
+    v = tb.veh_log(spark, d, keep=False).filter((F.col("run_id") == 0) & (F.col("id_num") == 1))
     return v.select("step", "speed", "position").orderBy("step").limit(25)
 
 

@@ -216,7 +216,7 @@ def _f31_sql():
     note="per logged row: speed of the own segment, then (speed, distance) of the next 3, -1 beyond the profile",
 )
 def f31(spark, d):
-    v = tb.veh_log(spark, d).select("run_id", "id_num", "step", "position", (F.col("step") * PROBE_SCALE).alias("probe_t"))
+    v = tb.veh_log(spark, d, keep=False).select("run_id", "id_num", "step", "position", (F.col("step") * PROBE_SCALE).alias("probe_t"))
     m = jn.asof_join(v, tb.tse(spark, d).select("t").distinct(), [], "probe_t", "t", []).withColumnRenamed("t_match", "t")
     x = m.join(tf.profile_arrays(tb.tse(spark, d), ["t"], "seg_start", "avg_speed"), "t")
     x = x.withColumn("i", F.size(F.filter("xs", lambda s: s <= F.col("position"))) - 1)

@@ -73,7 +73,7 @@ def w17(spark, d):
     note="k = 3 segments; slices as in the source (down [i, i+k), up [i-k, i), local [i-k, i+k))",
 )
 def d3(spark, d):
-    v = tb.veh_log(spark, d).select("run_id", "id_num", "step", "position", (F.col("step") * PROBE_SCALE).alias("probe_t"))
+    v = tb.veh_log(spark, d, keep=False).select("run_id", "id_num", "step", "position", (F.col("step") * PROBE_SCALE).alias("probe_t"))
     m = jn.asof_join(v, tb.tse(spark, d).select("t").distinct(), [], "probe_t", "t", []).withColumnRenamed("t_match", "t")
     arr = tf.profile_arrays(tb.tse(spark, d), ["t"], "seg_start", "avg_speed")
     x = m.join(maybe_broadcast(arr, 10_000, 1024), "t")
@@ -191,7 +191,7 @@ def k4(spark, d):
     views=["veh_log"],
 )
 def p3(spark, d):
-    v = tb.veh_log(spark, d).filter(F.col("id_num") == 8).select("step", "speed", "position")
+    v = tb.veh_log(spark, d, keep=False).filter(F.col("id_num") == 8).select("step", "speed", "position")
     return v.withColumnsRenamed({"position": "pos"})
 
 
@@ -319,7 +319,7 @@ def d8(spark, d):
     note="as-of profile; target moved back 180 s x 4.2 m/s: linear at the position, the flag from the point before",
 )
 def d10(spark, d):
-    v = tb.veh_log(spark, d).select("run_id", "id_num", "step", "position", (F.col("step") * PROBE_SCALE).alias("probe_t"))
+    v = tb.veh_log(spark, d, keep=False).select("run_id", "id_num", "step", "position", (F.col("step") * PROBE_SCALE).alias("probe_t"))
     m = jn.asof_join(v, tb.tse(spark, d).select("t").distinct(), [], "probe_t", "t", []).withColumnRenamed("t_match", "t")
     g = materialize(tf.speed_limit_profiles(_profiles(spark, d), ["t"]).select(
         "t", "grid_idx", "x", F.col("target_speed").alias("smoothed"), (F.col("raw") - F.col("target_speed") > 1e-9).alias("max_headway")))

@@ -115,7 +115,7 @@ def f24(spark, d):
     views=["veh_log"],
 )
 def f4(spark, d):
-    v = tb.veh_log(spark, d).select("id").distinct()
+    v = tb.veh_log(spark, d, keep=False).select("id").distinct()
     p = tx.vehicle_parts("id")
     return v.select("id", p["id_num"].alias("id_num"), p["controller"].alias("controller"), p["kind"].alias("kind"),
                     tx.leaderboard_id("id").alias("leaderboard_id"))
