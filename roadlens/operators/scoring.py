@@ -80,29 +80,19 @@ def knockout_champion(entrants: DataFrame, key: str, slot: str, score: str) -> D
     """Knock-out bracket per ``key``: round r pairs slots (2i, 2i+1); the higher
     ``score`` wins, ties go to A (the earlier slot); an odd entrant out gets a bye.
 
-    One join per round; the number of rounds (log2 of the largest field) is the only
-    value brought to the driver.
+    A round is one grouping of the entrants by (key, half the slot); dealt by ``key`` once,
+    all rounds stay in their partitions. The number of rounds (log2 of the largest field)
+    is the only value brought to the driver.
     """
-    from ..session import cut_lineage
-
     max_n = entrants.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    cur = entrants.select(key, F.col(slot).alias("_slot"), F.col(slot).alias("champion_slot"), F.col(score).alias("_score"))
+    cur = entrants.select(key, F.col(slot).cast("long").alias("_slot"), F.col(slot).alias("champion_slot"), F.col(score).alias("_score")).repartition(key)
     rounds = 0
     while (1 << rounds) < max_n:
-        a = cur.filter(F.col("_slot") % 2 == 0).select(key, (F.col("_slot") / 2).cast("long").alias("_m"),
-                                                         F.col("champion_slot").alias("_ca"), F.col("_score").alias("_sa"))
-        b = cur.filter(F.col("_slot") % 2 == 1).select(key, (F.floor(F.col("_slot") / 2)).cast("long").alias("_m"),
-                                                         F.col("champion_slot").alias("_cb"), F.col("_score").alias("_sb"))
-        m = a.join(b, on=[key, "_m"], how="left")
-        b_wins = F.col("_cb").isNotNull() & (F.col("_sb") > F.col("_sa"))
-        cur = m.select(
-            key, F.col("_m").alias("_slot"),
-            F.when(b_wins, F.col("_cb")).otherwise(F.col("_ca")).alias("champion_slot"),
-            F.when(b_wins, F.col("_sb")).otherwise(F.col("_sa")).alias("_score"),
-        )
+        side = lambda parity: F.max(F.when(F.col("_slot") % 2 == parity, F.struct("_score", "champion_slot")))
+        m = cur.withColumn("_m", F.floor(F.col("_slot") / 2)).groupBy(key, "_m").agg(side(0).alias("_a"), side(1).alias("_b"))
+        won = F.when(F.col("_b").isNotNull() & (F.col("_b._score") > F.col("_a._score")), F.col("_b")).otherwise(F.col("_a"))
+        cur = m.select(key, F.col("_m").alias("_slot"), won.alias("_w")).select(key, "_slot", "_w.champion_slot", "_w._score")
         rounds += 1
-        if rounds % 8 == 0:
-            cur = cut_lineage(cur)
     return cur.select(key, "champion_slot", F.col("_score").alias("champion_score"))
 
 

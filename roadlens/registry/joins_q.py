@@ -180,7 +180,7 @@ def j8(spark, d):
 
 
 @register(
-    "j9_a19_tail_aligned_rmse", "J9,A19,U3",
+    "j9_a19_tail_aligned_rmse", "J9,A19",
     sql="""WITH a AS (SELECT run_id, max(step) OVER (PARTITION BY run_id, id_num) - step AS r, speed FROM veh_log WHERE id_num = 1),
                 b AS (SELECT run_id, max(step) OVER (PARTITION BY run_id, id_num) - step AS r, speed FROM veh_log WHERE id_num = 2)
            SELECT a.run_id, count(*) AS n_aligned, round(sqrt(avg((a.speed - b.speed) * (a.speed - b.speed))), 6) AS rmse
@@ -241,7 +241,7 @@ def _idm_grid_accel(v, vl, hw, a, b):
 
 
 @register(
-    "j12_interpolate_profile_at_position", "J12,D17",
+    "j12_interpolate_profile_at_position", "J12",
     sql="""WITH prof AS (SELECT DISTINCT t FROM tse),
                 first_prof AS (SELECT min(t) AS t0 FROM prof),
                 probe AS (SELECT run_id, id_num, step, position, step * 3.5e-1 AS probe_t FROM veh_log),

@@ -26,7 +26,7 @@ from .phys_q import with_leader
 from .sqlfrag import LEAD_CTES
 
 
-@register("w5_smoothing", "W5,D1", note="50 passes of 3-tap smoothing as one 101-tap window; checked against the loop in tests")
+@register("w5_smoothing", "W5", note="50 passes of 3-tap smoothing as one 101-tap window; checked against the loop in tests")
 def w5(spark, d):
     x = sr.smooth(tb.drive_type(spark, d), ["traj_id"], "seq", "velocity_kmh", passes=50, mu=0.9)
     return x.select("traj_id", "seq", rnd("smoothed", 6).alias("smoothed"))

@@ -35,7 +35,7 @@ def w13(spark, d):
 
 
 @register(
-    "w17_lane_change_events", "W17,A15,X-6",
+    "w17_lane_change_events", "W17,A15",
     sql="""WITH x AS (SELECT run_id, id_num, step, headway, speed, leader_speed, accel,
                              lag(headway) OVER w AS ph, lag(accel) OVER w AS pa
                       FROM lead_log WHERE leader_speed IS NOT NULL WINDOW w AS (PARTITION BY run_id, id_num ORDER BY step)),
@@ -173,7 +173,7 @@ def d21(spark, d):
 
 
 @register(
-    "k4_json_records_sink", "K4,K5,K6",
+    "k4_json_records_sink", "K4",
     sql=f"""SELECT window_id, {tag_sql('response', 'reasoning')} AS reasoning FROM answer""",
     views=["answer"],
     note="records written as JSON lines and read back",
@@ -196,7 +196,7 @@ def p3(spark, d):
 
 
 @register(
-    "r6_logic_scenario_score", "R6,R5",
+    "r6_logic_scenario_score", "R6",
     sql="""WITH j AS (SELECT window_id, TRY_CAST(regexp_extract(judge_response, '<coherence_score>(.*?)</coherence_score>', 1) AS INT) AS sc
                       FROM judge),
                 e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, lead(CAST(embedding AS DOUBLE[])) OVER (ORDER BY vec_id) AS nv,

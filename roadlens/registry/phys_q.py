@@ -119,7 +119,7 @@ def _fs_sql():
 
 
 @register(
-    "f15_f16_controller_accels", "F15,F16,G2",
+    "f15_f16_controller_accels", "F15,F16",
     sql=f"""SELECT run_id, id_num, step,
                    round(1.3e0 * (1 - (speed / 4.5e1) * (speed / 4.5e1) * (speed / 4.5e1) * (speed / 4.5e1)
                          - ((2e0 + greatest(0e0, speed * 1e0 + speed * (speed - leader_speed) / {lit(2 * (1.3 * 2.0) ** 0.5)})) / h)

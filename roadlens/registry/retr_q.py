@@ -103,7 +103,7 @@ def r1(spark, d):
 
 
 @register(
-    "r4_store_operations", "R4,U4,K5",
+    "r4_store_operations", "R4,U4",
     sql="""WITH s0 AS (SELECT doc_id, text, 'original' AS origin FROM documents),
                 removed AS (SELECT doc_id FROM labels WHERE toxic = 1),
                 replaced AS (SELECT doc_id, concat('[revised] ', text) AS text, 'replaced' AS origin FROM documents
@@ -207,7 +207,7 @@ def l3(spark, d):
 
 
 @register(
-    "l11_window_scores", "L11,A19,A20,F3",
+    "l11_window_scores", "L11,A19,F3",
     sql=f"""WITH w AS (SELECT run_id, id_num, start, speeds, row_number() OVER (ORDER BY run_id, id_num, start) - 1 AS wid
                        FROM win WHERE len(speeds) = 10),
                  a AS (SELECT window_id, {values_sql(tag_sql('response', 'future_speeds'))} AS pred,

@@ -31,7 +31,7 @@ D2_SQL = f"""WITH RECURSIVE
 
 
 @register(
-    "d2_traffic_state_segments", "D2,S8,K6",
+    "d2_traffic_state_segments", "D2",
     sql=D2_SQL + """
 SELECT seg.traj_id, s.st AS state, seg.start, seg."end" FROM seg JOIN s ON s.traj_id = seg.traj_id AND s.seq = seg.lab""",
     views=["drive_type"],
@@ -77,7 +77,7 @@ def w18(spark, d):
 
 
 @register(
-    "d4_window_smoothing_targets", "D4,G6",
+    "d4_window_smoothing_targets", "D4",
     note="array fold per profile; checked against a literal re-statement of the loop in tests (no SQL oracle)",
 )
 def d4(spark, d):

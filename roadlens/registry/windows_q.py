@@ -136,7 +136,7 @@ def w8(spark, d):
 
 
 @register(
-    "w9_cumulative_fuel", "W9,D19",
+    "w9_cumulative_fuel", "W9",
     sql="""SELECT run_id, id_num, step, round(te, 3) AS total_energy, round(tm, 6) AS total_miles,
                   round(te / 3600e0 * 1e-1, 6) AS total_gallons, round(tm / (te / 3600e0 * 1e-1 + 1e-6), 6) AS avg_mpg
            FROM (SELECT run_id, id_num, step,
