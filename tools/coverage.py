@@ -15,12 +15,8 @@ EXTRA = {
     "S3": "`sources.files.read_emissions` (unit test)",
     "S6": "`sources.files.read_rag_json` (unit test)",
     "S7": "`sources.files.read_road_fit` (unit test)",
-    "K5": "open: `operators.sinks.write_json_records` only",
-    "K6": "open: `operators.sinks.write_json_records` only",
     "S8": "`sources.files` (unit test)",
     "D1": "open: its eight steps are queries of their own, no query joins them",
-    "D17": "open",
-    "U3": "open",
     "A20": "open",
     "G2": "open",
     "G6": "open",
@@ -34,11 +30,6 @@ PARTIAL = {
     "K2": "id rewrite only; no 22-column export with its metadata row",
     "K3": "15 vehicles, nothing written",
     "P1": "no timestep and reward base columns",
-    "P7": "counts per drive, the kept rows are not joined",
-    "J13": "no form for drives without a profile",
-    "A17": "no averages and rollup",
-    "A18": "no summary record",
-    "A19": "no mean over columns",
     "W14": "no 1 s memory",
     "W15": "no acceleration lags",
     "F17": "weights of four parts are zero",
