@@ -8,6 +8,7 @@ from ..functions import physics as ph
 from ..functions.numeric import rnd
 from ..operators import emissions as em
 from ..operators import series as sr
+from ..session import ensure_checkpoint_dir, materialize
 from ..sources import tables as tb
 from .core import register
 from .logs_q import fuel_log
@@ -272,3 +273,53 @@ def w20(spark, d):
 def w23(spark, d):
     x = sr.trailing_avg(tb.drive_type(spark, d), ["traj_id"], "seq", "velocity_kmh", 100, "recent_mean", denoise=6)
     return x.select("traj_id", "seq", R("recent_mean"))
+
+
+MILE_ZERO = 74.3
+
+
+@register(
+    "d1_drive_preparation", "D1,W2,W3,W4,W5,W19,K7",
+    sql=f"""WITH g AS (
+              SELECT traj_id, seq, time, velocity_kmh, lat, lon, lead(time) OVER w AS nt, lead(velocity_kmh) OVER w AS nv,
+                     lead(lat) OVER w AS nl, lead(lon) OVER w AS no
+              FROM raw_drive_gaps WINDOW w AS (PARTITION BY traj_id ORDER BY seq)),
+            m AS (SELECT *, CASE WHEN abs(nt - time - 1e-1) > 1e-3 THEN CAST(floor(round((nt - time) / 1e-1, 3)) AS INT) ELSE 1 END AS miss FROM g),
+            e AS (SELECT traj_id, seq AS src, k,
+                    CASE WHEN k = 0 THEN velocity_kmh ELSE velocity_kmh + (nv - velocity_kmh) * k / miss END AS v,
+                    CASE WHEN k = 0 THEN lat ELSE lat + (nl - lat) * k / miss END AS lat,
+                    CASE WHEN k = 0 THEN lon ELSE lon + (no - lon) * k / miss END AS lon
+                  FROM m, unnest(generate_series(0, greatest(coalesce(miss, 1) - 1, 0))) AS u(k)),
+            f AS (SELECT traj_id, CAST(row_number() OVER (PARTITION BY traj_id ORDER BY src, k) - 1 AS BIGINT) AS seq, v, lat, lon FROM e),
+            h AS (SELECT traj_id, seq, v, lat, lon, {hav_sql('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS step_m,
+                         (lon < -86.58e0 AND lon > -86.685e0 AND lat > 35.98e0 AND lat < 36.07e0) AS valid,
+                         coalesce({bearing_sql('radians(lat)', 'radians(lon)', 'radians(lead(lat) OVER w)', 'radians(lead(lon) OVER w)')}, 0e0) AS bearing
+                  FROM f WINDOW w AS (PARTITION BY traj_id ORDER BY seq)),
+            s AS (SELECT *, lead(valid) OVER (PARTITION BY traj_id ORDER BY seq) AS nvalid,
+                         {MILE_ZERO!r}e0 - sum(coalesce(step_m, 0e0)) OVER (PARTITION BY traj_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS mile FROM h),
+            sw AS (SELECT traj_id, seq, bearing > 90 AND bearing < 190 AS east, row_number() OVER (PARTITION BY traj_id ORDER BY seq) - 1 AS n
+                   FROM s WHERE nvalid IS NOT NULL AND valid <> nvalid),
+            p AS (SELECT a.traj_id, row_number() OVER (PARTITION BY a.traj_id ORDER BY a.n) - 1 AS k, a.seq AS start_row, c.seq AS end_row
+                  FROM sw a JOIN sw c ON a.traj_id = c.traj_id AND c.n = a.n + 1 WHERE a.n % 2 = 0 AND a.east)
+            SELECT p.traj_id || '_' || CAST(k AS VARCHAR) || '_' || CAST(end_row - start_row AS VARCHAR) AS name, count(*) AS n_rows,
+                   round(max(mile), 3) AS first_mile, round(min(mile), 3) AS last_mile, round(sum(v), 3) AS sum_velocity
+            FROM p JOIN s ON s.traj_id = p.traj_id AND s.seq >= p.start_row AND s.seq < p.end_row GROUP BY p.traj_id, k, start_row, end_row""",
+    views=["raw_drive_gaps"],
+    note="eastbound, the way the fixture drives; sub-trajectories written and read back",
+)
+def d1(spark, d):
+    """Gap fill, smoothing, GPS distance, mile marker, bearing, geofence, direction, files."""
+    import uuid
+
+    keys = ["traj_id"]
+    x = materialize(sr.gap_fill(tb.raw_drive(spark, d, with_gaps=True), keys, "seq", "time", ["velocity_kmh", "lat", "lon"]))
+    pairs = sr.switch_pairs(sr.bearing_next(x, keys, "seq"), keys, "seq", ph.in_geofence("lat", "lon"), F.col("driving_dir"), keep="East")
+    pairs = pairs.select(*keys, F.concat_ws("_", "traj_id", "k", "n_rows").alias("name"), "start_row", "end_row")
+    smooth = sr.smooth(x, keys, "seq", "velocity_kmh").select(*keys, "seq", "smoothed")
+    rows = sr.gps_distance(x, keys, "seq").join(smooth, [*keys, "seq"]).withColumn("mile_marker", MILE_ZERO - F.col("distance_gps"))
+    inside = rows.join(pairs, keys).filter((F.col("seq") >= F.col("start_row")) & (F.col("seq") < F.col("end_row")))
+    place = f"{ensure_checkpoint_dir(spark)}/drives-{uuid.uuid4().hex}"
+    inside.select("name", "seq", "velocity_kmh", "smoothed", "lat", "lon", "mile_marker").write.parquet(place)
+    return spark.read.parquet(place).groupBy("name").agg(
+        F.count(F.lit(1)).alias("n_rows"), rnd(F.max("mile_marker"), 3).alias("first_mile"), rnd(F.min("mile_marker"), 3).alias("last_mile"),
+        rnd(F.sum("velocity_kmh"), 3).alias("sum_velocity"))

@@ -16,7 +16,6 @@ EXTRA = {
     "S6": "`sources.files.read_rag_json` (unit test)",
     "S7": "`sources.files.read_road_fit` (unit test)",
     "S8": "`sources.files` (unit test)",
-    "D1": "open: its eight steps are queries of their own, no query joins them",
     "A20": "open",
     "G2": "open",
     "G6": "open",
