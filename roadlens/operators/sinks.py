@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 
 
 def write_emissions(df: DataFrame, path: str, time: str = "time", vid: str = "id", partitions: int | None = None) -> None:
@@ -18,11 +17,6 @@ def write_emissions(df: DataFrame, path: str, time: str = "time", vid: str = "id
     df.repartitionByRange(n, time).sortWithinPartitions(time, vid).write.mode("overwrite").parquet(path)
 
 
-def leaderboard(df: DataFrame, id_col: str = "id", cols: list[str] | None = None) -> DataFrame:
-    """K2: leaderboard projection with the id prefix rewrite (unknown kinds raise)."""
-    x = df.withColumn(id_col, tx.leaderboard_id(id_col))
-    return x.select(id_col, *(cols or [c for c in df.columns if c != id_col]))
-
 
 def wide_by_vehicle(df: DataFrame, keys: list[str], veh: str, values: list[str], vehicles: list) -> DataFrame:
     """K3: wide per-step table ``{veh}__{key}`` - pivot with the vehicle list given

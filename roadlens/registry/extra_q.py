@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.numeric import rnd
 from ..operators import joins as jn
 from ..operators import metrics as mt
@@ -16,9 +17,10 @@ from ..operators import traffic as tf
 from ..session import ensure_checkpoint_dir
 from ..sources import tables as tb
 from .core import register
-from .joins_q import PROBE_SCALE
+from .joins_q import PROBE_SCALE, ROAD_CTES, with_road
 from .logs_q import fuel_log, mpg_sql
-from .sqlfrag import LOG_CTES
+from .phys_q import lead_log
+from .sqlfrag import LEAD_CTES, LOG_CTES
 from .traffic_q import D2_SQL
 
 
@@ -154,3 +156,53 @@ def u3(spark, d):
     same = F.col("_na") == F.col("_nb")
     mean = sum((F.col(c) for c in cols[1:]), F.col(cols[0])) / len(cols)
     return out.select("run_id", "id_num", *(F.when(same, rnd(c, 6)).alias(c) for c in cols), F.when(same, rnd(mean, 6)).alias("mean_error"))
+
+
+def _board_id_sql(v):
+    return (f"CASE WHEN {v} LIKE '%#sensor%' THEN 'sensor_' WHEN {v} LIKE '%human%' THEN 'human_' WHEN {v} LIKE '%av%' THEN 'av_' "
+            f"WHEN {v} LIKE '%trajectory%' THEN 'human_' END || {v}")
+
+
+@register(
+    "k2_leaderboard_export", "K2,D19,J3,J4,F4,F12",
+    sql=f"""WITH {ROAD_CTES},
+      n AS (SELECT l.*, a.id AS leader_id, b.id AS follower_id, road.road_grade, road.altitude,
+                   l.position - first_value(l.position) OVER (PARTITION BY l.run_id, l.id_num ORDER BY l.step) AS distance
+            FROM lead_log l JOIN road ON road.run_id = l.run_id AND road.id_num = l.id_num AND road.step = l.step
+            LEFT JOIN veh_log a ON a.run_id = l.run_id AND a.step = l.step AND a.id_num = l.id_num - 1
+            LEFT JOIN veh_log b ON b.run_id = l.run_id AND b.step = l.step AND b.id_num = l.id_num + 1)
+      SELECT round(t, 3) AS time, {_board_id_sql('id')} AS id, round(position, 6) AS x, 0 AS y, round(speed, 6) AS speed, round(headway, 6) AS headway,
+             {_board_id_sql('leader_id')} AS leader_id, {_board_id_sql('follower_id')} AS follower_id, round(speed_difference, 6) AS leader_rel_speed,
+             round(accel, 6) AS target_accel_with_noise_with_failsafe, round(accel, 6) AS target_accel_no_noise_no_failsafe,
+             round(accel, 6) AS target_accel_with_noise_no_failsafe, round(accel, 6) AS target_accel_no_noise_with_failsafe,
+             round(accel, 6) AS realized_accel, round(road_grade, 9) AS road_grade, 'edge0' AS edge_id, 0 AS lane_id, round(distance, 6) AS distance,
+             round(distance, 6) AS relative_position, 'events' AS source_id, 'run_' || CAST(run_id AS VARCHAR) AS run_id, '2026-01-01' AS submission_date,
+             (SELECT count(DISTINCT run_id) FROM veh_log) AS metadata_runs
+      FROM n""",
+    views=["veh_log"], ctes=LEAD_CTES,
+    note="22 columns and a one-row metadata table, both written and read back; the fixture logs one acceleration, "
+         "which fills the four target columns; the submission date is a parameter",
+)
+def k2(spark, d, submission_date="2026-01-01"):
+    x = with_road(spark, lead_log(spark, d))
+    near = tb.veh_log(spark, d).select("run_id", "step", "id_num", "id")
+    side = lambda by, name: near.select("run_id", "step", (F.col("id_num") + by).alias("id_num"), F.col("id").alias(name))
+    keys = ["run_id", "step", "id_num"]
+    first = x.groupBy("run_id", "id_num").agg(F.min_by("position", "step").alias("_p0"))
+    x = x.join(side(1, "_lead"), keys, "left").join(side(-1, "_follow"), keys, "left").join(first, ["run_id", "id_num"])
+    distance = rnd(F.col("position") - F.col("_p0"), 6)
+    accel = rnd("accel", 6)
+    board = x.select(
+        rnd("t", 3).alias("time"), tx.leaderboard_id("id").alias("id"), rnd("position", 6).alias("x"), F.lit(0).alias("y"), rnd("speed", 6).alias("speed"),
+        rnd("headway", 6).alias("headway"), tx.leaderboard_id("_lead").alias("leader_id"), tx.leaderboard_id("_follow").alias("follower_id"),
+        rnd("speed_difference", 6).alias("leader_rel_speed"),
+        *(accel.alias(f"target_accel_{n}_noise_{f}_failsafe") for n, f in (("with", "with"), ("no", "no"), ("with", "no"), ("no", "with"))),
+        accel.alias("realized_accel"), rnd("road_grade", 9).alias("road_grade"), F.lit("edge0").alias("edge_id"), F.lit(0).alias("lane_id"),
+        distance.alias("distance"), distance.alias("relative_position"), F.lit("events").alias("source_id"),
+        F.concat(F.lit("run_"), F.col("run_id").cast("string")).alias("run_id"), F.lit(submission_date).alias("submission_date"))
+    place = _place(spark, "leaderboard")
+    sk.write_emissions(board, f"{place}/emissions")
+    back = spark.read.parquet(f"{place}/emissions")
+    back.agg(F.lit("events").alias("source_id"), F.countDistinct("run_id").alias("metadata_runs"), F.lit(submission_date).alias("submission_date")).write.json(f"{place}/metadata")
+    meta = spark.read.schema("metadata_runs long").json(f"{place}/metadata")
+    return back.crossJoin(F.broadcast(meta))  # one row

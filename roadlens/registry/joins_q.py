@@ -61,25 +61,32 @@ def _values_sql(rows):
 
 END_MI = GRADE_FIT[-1][2]
 
-
-@register(
-    "j3_road_grade_altitude", "J3,D16",
-    sql=f"""WITH g(interval_number, interval_start, interval_end, slope, intercept) AS (VALUES {_values_sql(GRADE_FIT)}),
+ROAD_CTES = f"""g(interval_number, interval_start, interval_end, slope, intercept) AS (VALUES {_values_sql(GRADE_FIT)}),
                  e(interval_number, interval_start, interval_end, quadratic_term, linear_term, intercept) AS (VALUES {_values_sql(ELEVATION_FIT)}),
-                 x AS (SELECT run_id, id_num, step, position, {END_MI!r}e0 - position / 1609.344e0 AS x_mi FROM veh_log)
-            SELECT x.run_id, x.id_num, x.step,
-                   round(coalesce((g.slope * x.x_mi + g.intercept) * pi() / 180, 0e0), 9) AS road_grade,
-                   round((e.quadratic_term * x.x_mi * x.x_mi + e.linear_term * x.x_mi + e.intercept) / 3.2808e0, 6) AS altitude
-            FROM x
+                 at_mile AS (SELECT run_id, id_num, step, position, {END_MI!r}e0 - position / 1609.344e0 AS x_mi FROM veh_log),
+                 road AS (SELECT x.run_id, x.id_num, x.step, coalesce((g.slope * x.x_mi + g.intercept) * pi() / 180, 0e0) AS road_grade,
+                   (e.quadratic_term * x.x_mi * x.x_mi + e.linear_term * x.x_mi + e.intercept) / 3.2808e0 AS altitude
+            FROM at_mile x
             LEFT JOIN g ON x.position >= 0 AND x.position <= {END_MI!r}e0 * 1609.344e0 AND x.x_mi >= g.interval_start
                  AND (x.x_mi < g.interval_end OR (g.interval_number = {len(GRADE_FIT)} AND x.x_mi <= g.interval_end))
             LEFT JOIN e ON x.position >= 0 AND x.position <= {END_MI!r}e0 * 1609.344e0 AND x.x_mi >= e.interval_start
-                 AND (x.x_mi < e.interval_end OR (e.interval_number = {len(ELEVATION_FIT)} AND x.x_mi <= e.interval_end))""",
+                 AND (x.x_mi < e.interval_end OR (e.interval_number = {len(ELEVATION_FIT)} AND x.x_mi <= e.interval_end)))"""
+
+
+@register(
+    "j3_road_grade_altitude", "J3,D16",
+    sql=f"""WITH {ROAD_CTES} SELECT run_id, id_num, step, round(road_grade, 9) AS road_grade, round(altitude, 6) AS altitude FROM road""",
     views=["veh_log"],
     note="road map: all intervals of the eastbound fits; positions outside the map give grade 0 / altitude NULL",
 )
 def j3(spark, d):
     v = tb.veh_log(spark, d, keep=False).select("run_id", "id_num", "step", "position")
+    return with_road(spark, v).select("run_id", "id_num", "step", rnd("road_grade", 9).alias("road_grade"), rnd("altitude", 6).alias("altitude"))
+
+
+def with_road(spark, v):
+    """Adds road_grade (radians, 0 outside the map) and altitude (metres, null outside) at ``position``."""
+    cols = v.columns
     end_m = END_MI * ph.METERS_PER_MILE_ROAD
     v = v.withColumn("x_mi", F.lit(END_MI) - F.col("position") / ph.METERS_PER_MILE_ROAD)
     inside = (F.col("position") >= 0) & (F.col("position") <= end_m)
@@ -96,7 +103,7 @@ def j3(spark, d):
     xm = F.col("x_mi")
     grade = F.coalesce((F.col("slope") * xm + F.col("g_icpt")) * math.pi / 180, F.lit(0.0))
     alt = (F.col("quadratic_term") * xm * xm + F.col("linear_term") * xm + F.col("e_icpt")) / 3.2808
-    return x.select("run_id", "id_num", "step", rnd(grade, 9).alias("road_grade"), rnd(alt, 6).alias("altitude"))
+    return x.select(*cols, grade.alias("road_grade"), alt.alias("altitude"))
 
 
 @register(

@@ -26,7 +26,6 @@ EXTRA = {
 #: IDs of which a part is missing, with what is missing.
 PARTIAL = {
     "S5": "only the row limit; no catalogue calls",
-    "K2": "id rewrite only; no 22-column export with its metadata row",
     "K3": "15 vehicles, nothing written",
     "P1": "no timestep and reward base columns",
     "W14": "no 1 s memory",
@@ -35,7 +34,6 @@ PARTIAL = {
     "F28": "no header",
     "F29": "no documents in the prompt",
     "D3": "no confidence and cvalue, previous distances",
-    "D19": "no grade and altitude columns in one log",
     "R5": "batch capacity rule only",
     "R6": "logic score only",
     "L9": "decided by a score, not by pairwise votes",
