@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: text per block and key bytes per bucket (both only set the task size).
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 3 << 19
 BUCKET_BYTES = 8 << 20
 
 BLOB_SCHEMA = "bucket int, blk int, blob binary"
@@ -113,7 +113,7 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     cache = process_cache("powers")
     got = cache.get(base)
     if got is None or len(got[0]) < n:
-        m = 1 << max(16, (n - 1).bit_length())
+        m = -(-n // (1 << 18)) << 18
         inv = pow(base, -1, 1 << 64)
         a = np.full(m, base, np.uint64)
         b = np.full(m, inv, np.uint64)

@@ -25,7 +25,7 @@ from . import blocks as B
 
 SPACE = "▁"
 UNK_PENALTY = 10.0
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
 
 def vocabulary(path: str | None = None) -> list[tuple[str, float]]:

@@ -137,12 +137,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col:
 
     def extract(batches):
         for batch in batches:
-            x = values(B.utf8(batch.column("text")), chosen)
-            row, at = np.nonzero(x)
-            cut = np.searchsorted(row, np.arange(len(x) + 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(at, pa.int32())),
-                 pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x[row, at]))], names=["doc_id", "label", "at", "x"])
+            texts = B.utf8(batch.column("text"))
+            for start, end in B.text_chunks(texts):
+                x = values(texts[start:end], chosen)
+                row, at = np.nonzero(x)
+                cut = pa.array(np.searchsorted(row, np.arange(len(x) + 1)), pa.int32())
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("label"), pa.ListArray.from_arrays(cut, pa.array(at, pa.int32())),
+                     pa.ListArray.from_arrays(cut, pa.array(x[row, at]))], names=["doc_id", "label", "at", "x"])
 
     rows = sample.select("doc_id", "label", "text").mapInArrow(extract, "doc_id long, label int, at array<int>, x array<double>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["x"]))  # max_rows sparse rows (and repeats of their ids)
@@ -159,7 +162,9 @@ def severity(model: dict):
     """A column function text -> struct(expected_severity, grade, toxic)."""
 
     def score(texts: pd.Series) -> pd.DataFrame:
-        p = probabilities(model, values(B.utf8(texts.tolist()), model["h"]))
+        raw = B.utf8(texts.tolist())
+        parts = [probabilities(model, values(raw[start:end], model["h"])) for start, end in B.text_chunks(raw)]
+        p = np.concatenate([np.zeros((0, GRADES)), *parts])
         mass = np.hstack([np.ones((len(p), 1)), p]) - np.hstack([p, np.zeros((len(p), 1))])
         return pd.DataFrame({"expected_severity": p.sum(axis=1), "grade": mass.argmax(axis=1).astype("int32"), "toxic": p[:, 0] > TOXIC})
 
