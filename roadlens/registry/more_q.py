@@ -22,12 +22,27 @@ from .core import register
 from .joins_q import PROBE_SCALE
 from .logs_q import fuel_log
 from .metrics_q import CUM_CTES, cum_log
-from .phys_q import lead_log
+from .phys_q import _fs_sql, lead_log
 from .sqlfrag import LEAD_CTES, LOG_CTES, fuel_sql, tag_sql
 
 
-@register("w13_relative_speed_from_gap", "W13",
-          note="dormant in the source; automaton form checked against the literal loop in tests (no SQL oracle)")
+@register(
+    "w13_relative_speed_from_gap", "W13",
+    sql="""WITH RECURSIVE r AS (
+             SELECT traj_id, seq, time, velocity_kmh AS v,
+                    (lead(round((lat - 3.597e1) * 1000), 10) OVER w - lag(round((lat - 3.597e1) * 1000), 10) OVER w)
+                    / (lead(time, 10) OVER w - lag(time, 10) OVER w) AS slope
+             FROM raw_drive WINDOW w AS (PARTITION BY traj_id ORDER BY seq)),
+           walk AS (SELECT traj_id, seq, time, v, CAST(NULL AS DOUBLE) AS rel FROM r WHERE seq = 0
+             UNION ALL
+             SELECT r.traj_id, r.seq, r.time, r.v,
+                    CASE WHEN r.v + r.slope < 0 OR r.v + r.slope > 140 THEN NULL
+                         WHEN (r.v + r.slope - walk.v - walk.rel) / (r.time - walk.time) / 3.6e0 NOT BETWEEN -2e1 AND 1e1 THEN NULL ELSE r.slope END
+             FROM walk JOIN r ON r.traj_id = walk.traj_id AND r.seq = walk.seq + 1)
+           SELECT traj_id, seq, round(rel, 6) AS relative_velocity FROM walk""",
+    views=["raw_drive"],
+    note="dormant in the source; the oracle goes row by row",
+)
 def w13(spark, d):
     x = tb.raw_drive(spark, d).withColumn("gap", F.round((F.col("lat") - 35.97) * 1000))
     y = sr.relative_speed_from_gap(x, ["traj_id"], "seq", "time", "velocity_kmh", "gap")
@@ -107,8 +122,12 @@ def lookup_table(spark):
 
 @register(
     "d14_lookup_table_controller", "D14,J10,F16",
-    sql=None,
-    note="grid lookup of logged (speed, leader speed, gap) cells; compared by brute force in tests",
+    sql=f"""WITH c AS (SELECT run_id, floor(speed / 5e-1) AS ei, floor(leader_speed / 5e-1) AS li, floor(headway) AS gi FROM lead_log WHERE leader_speed IS NOT NULL),
+                 k AS (SELECT run_id, ei * 5e-1 AS speed, li * 5e-1 AS leader_speed, gi * 1e0 AS headway FROM c
+                       WHERE ei BETWEEN 0 AND 60 AND li BETWEEN 0 AND 60 AND gi BETWEEN 0 AND 100)
+            SELECT run_id, count(*) AS n_in_grid, round(avg({_fs_sql()}), 6) AS mean_table_accel FROM k GROUP BY run_id""",
+    views=["veh_log"], ctes=LEAD_CTES,
+    note="grid lookup of logged (speed, leader speed, gap) cells",
 )
 def d14(spark, d):
     x = lead_log(spark, d).filter(F.col("leader_speed").isNotNull())

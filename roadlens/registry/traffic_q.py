@@ -78,7 +78,19 @@ def w18(spark, d):
 
 @register(
     "d4_window_smoothing_targets", "D4",
-    note="array fold per profile; checked against a literal re-statement of the loop in tests (no SQL oracle)",
+    sql="""WITH k AS (SELECT t, list(seg_start ORDER BY seg_idx) AS xs, list(avg_speed ORDER BY seg_idx) AS zs FROM tse GROUP BY t),
+                g AS (SELECT t, CAST(i AS INT) AS grid_idx, xs, zs, len(xs) AS n, xs[1] + i * ((xs[len(xs)] - 1 - xs[1]) / 99) AS x0 FROM k, unnest(range(0, 100)) AS u(i)),
+                a AS (SELECT *, len(list_filter(xs, lambda v: v < x0)) AS f FROM g),
+                c AS (SELECT *, list_filter(range(f + 2, n), lambda j: xs[j + 1] >= x0 + 2e3 OR zs[j + 1] - list_avg(list_slice(zs, f + 1, j)) > 15)[1] AS j FROM a),
+                e AS (SELECT *, least(x0 + 2e3, CASE WHEN j IS NULL THEN xs[n] ELSE xs[j + 1] END) AS fin FROM c),
+                p AS (SELECT t, grid_idx, x0, f, fin, xs[i] AS xa, xs[i + 1] AS xb, zs[i] AS za, zs[i + 1] AS zb,
+                             greatest(xs[i], x0) AS lo, least(xs[i + 1], fin) AS hi FROM e, unnest(range(1, n)) AS u(i)),
+                q AS (SELECT *, za + (zb - za) * ((lo + hi) / 2 - xa) / (xb - xa) AS mid FROM p)
+           SELECT t, grid_idx, round(any_value(x0), 6) AS x0,
+                  round(CASE WHEN any_value(f) = 0 THEN 3e1 ELSE sum(CASE WHEN hi > lo THEN mid * (hi - lo) ELSE 0e0 END) / (any_value(fin) - any_value(x0)) END, 6) AS target_speed
+           FROM q GROUP BY t, grid_idx""",
+    views=["tse"],
+    note="array fold per profile; the oracle integrates the profile over the window",
 )
 def d4(spark, d):
     arrs = tf.profile_arrays(tb.tse(spark, d), ["t"], "seg_start", "avg_speed")
