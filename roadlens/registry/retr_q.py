@@ -11,7 +11,8 @@ from ..operators import retrieval as rt
 from ..plans.ordering import dense_position
 from ..sources import tables as tb
 from .core import register
-from .sqlfrag import tag_sql, values_sql
+from .phys_q import lead_log
+from .sqlfrag import LEAD_CTES, tag_sql, values_sql
 
 
 def _dot(a, b):
@@ -206,27 +207,49 @@ def l3(spark, d):
     return x.join(F.broadcast(b), "bi").select("run_id", "id_num", "start", F.col("item_id").alias("prompt_item"))
 
 
+# prediction tag -> logged column
+L11_COLUMNS = {"future_speeds": "speed", "future_headway": "headway", "future_leader_speed": "leader_speed", "future_reward": "position"}
+
+
+def _l11_sql():
+    future = ", ".join(f"list_slice(list({c}) OVER z, 7, 10) AS t_{c}" for c in L11_COLUMNS.values())
+    preds = ", ".join(f"{values_sql(tag_sql('response', t))} AS p_{c}" for t, c in L11_COLUMNS.items())
+    diff = lambda c: f"list_transform(p_{c}, lambda x, i: x - t_{c}[i])"
+    errors = ", ".join(f"CASE WHEN p_{c} IS NULL OR t_{c} IS NULL THEN NULL WHEN len(p_{c}) <> len(t_{c}) THEN 'nan'::DOUBLE "
+                       f"ELSE sqrt({_dot(diff(c), diff(c))} / len(p_{c})) END AS e_{c}" for c in L11_COLUMNS.values())
+    ok = " AND ".join(f"p_{c} IS NOT NULL" for c in L11_COLUMNS.values())
+    out = ", ".join(f"round(e_{c}, 6) AS {t.removeprefix('future_')}_l2" for t, c in L11_COLUMNS.items())
+    return f"""WITH w AS (SELECT run_id, id_num, step AS start, {future}, count(*) OVER z AS n FROM lead_log WHERE leader_speed IS NOT NULL
+                   WINDOW z AS (PARTITION BY run_id, id_num ORDER BY step ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+      a AS (SELECT window_id, window_id % 150 // 15 AS run_id, window_id % 15 AS id_num, window_id // 150 % 40 AS start, {preds} FROM answer),
+      j AS (SELECT a.*, {", ".join(f"t_{c}" for c in L11_COLUMNS.values())} FROM a LEFT JOIN w
+            ON w.run_id = a.run_id AND w.id_num = a.id_num AND w.start = a.start AND n = 10),
+      e AS (SELECT window_id, {ok} AS all_extractable, {errors} FROM j)
+      SELECT window_id, all_extractable, {out},
+             CASE WHEN all_extractable THEN round((e_speed + e_headway + e_leader_speed) / 3, 6) END AS overall_l2 FROM e"""
+
+
 @register(
-    "l11_window_scores", "L11,A19,F3",
-    sql=f"""WITH w AS (SELECT run_id, id_num, start, speeds, row_number() OVER (ORDER BY run_id, id_num, start) - 1 AS wid
-                       FROM win WHERE len(speeds) = 10),
-                 a AS (SELECT window_id, {values_sql(tag_sql('response', 'future_speeds'))} AS pred,
-                              row_number() OVER (ORDER BY window_id) - 1 AS aid FROM answer),
-                 j AS (SELECT w.run_id, w.id_num, w.start, a.pred, list_slice(w.speeds, 7, 10) AS truth FROM w JOIN a ON a.aid = w.wid)
-            SELECT run_id, id_num, start, pred IS NOT NULL AS all_extractable,
-                   round(CASE WHEN pred IS NULL THEN NULL WHEN len(pred) <> len(truth) THEN 'nan'::DOUBLE
-                              ELSE sqrt({_dot('list_transform(pred, lambda x, i: x - truth[i])', 'list_transform(pred, lambda x, i: x - truth[i])')} / len(pred)) END, 6) AS rmse_speed
-            FROM j""",
-    views=["veh_log", "answer"], ctes=[WIN_CTE],
-    note="k-th answer scores the k-th window (windows of 10 rows: 6 seen, 4 future)",
+    "l11_window_scores", "L11,A19,A20,F3",
+    sql=_l11_sql(), views=["veh_log", "answer"], ctes=LEAD_CTES,
+    note="an answer's id names its window (run, vehicle, first step); windows of 10 rows, 6 seen and 4 future; every answer has a row, "
+         "without errors where its window or a tag is missing",
 )
 def l11(spark, d):
-    w = rt.sliding_windows(tb.veh_log(spark, d), ["run_id", "id_num"], "step", ["speed"], 10)
-    w = dense_position(w.withColumn("_one", F.lit(1)), ["_one"], ["run_id", "id_num", "start"],
-                       bucket=F.col("run_id"), name="wid").drop("_one")
-    a = tb.answer(spark, d).select("window_id", tx.extract_values("response", "future_speeds").alias("pred"))
-    a = dense_position(a.withColumn("_one", F.lit(1)), ["_one"], ["window_id"],
-                       bucket=F.floor(F.col("window_id") / 100000), name="wid").drop("_one")
-    x = w.join(a, "wid").withColumn("truth", F.slice(F.transform("rows", lambda r: r["speed"]), 7, 4))
-    return x.select("run_id", "id_num", "start", F.col("pred").isNotNull().alias("all_extractable"),
-                    rnd(vx.rmse("pred", "truth"), 6).alias("rmse_speed"))
+    log = lead_log(spark, d).filter(F.col("leader_speed").isNotNull())
+    w = rt.sliding_windows(log, ["run_id", "id_num"], "step", list(L11_COLUMNS.values()), 10)
+    u = F.col("window_id") % 150
+    a = tb.answer(spark, d).select(
+        "window_id", F.floor(u / 15).alias("run_id"), (F.col("window_id") % 15).alias("id_num"), (F.floor(F.col("window_id") / 150) % 40).alias("start"),
+        *(tx.extract_values("response", t).alias(f"p_{c}") for t, c in L11_COLUMNS.items()))
+    j = a.join(w, ["run_id", "id_num", "start"], "left")
+    for c in L11_COLUMNS.values():
+        truth = F.slice(F.col(f"rows.{c}"), 7, 4)
+        j = j.withColumn(f"e_{c}", F.when(F.col(f"p_{c}").isNotNull() & F.col("rows").isNotNull(), vx.rmse(f"p_{c}", truth)))
+    ok = F.lit(True)
+    for c in L11_COLUMNS.values():
+        ok = ok & F.col(f"p_{c}").isNotNull()
+    overall = F.when(ok, rnd((F.col("e_speed") + F.col("e_headway") + F.col("e_leader_speed")) / 3, 6))
+    return j.select("window_id", ok.alias("all_extractable"), *(rnd(f"e_{c}", 6).alias(f"{t.removeprefix('future_')}_l2") for t, c in L11_COLUMNS.items()),
+                    overall.alias("overall_l2"))
+

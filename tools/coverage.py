@@ -16,7 +16,6 @@ EXTRA = {
     "S6": "`sources.files.read_rag_json` (unit test)",
     "S7": "`sources.files.read_road_fit` (unit test)",
     "S8": "`sources.files` (unit test)",
-    "A20": "open",
     "G2": "open",
     "G6": "open",
     "R8": "not built (approximate; retrieval is exact over the whole store)",
@@ -37,7 +36,6 @@ PARTIAL = {
     "R5": "batch capacity rule only",
     "R6": "logic score only",
     "L9": "decided by a score, not by pairwise votes",
-    "L11": "two of the four error columns",
     "X-2": "counts, not crossing vehicles",
     "X-4": "totals, not MPG; state per key is never dropped",
     "X-6": "rows outside bounds; no state of the row before",
