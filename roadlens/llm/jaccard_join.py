@@ -17,10 +17,12 @@ size range and most elements left from the list's position on; a set passes over
 *Skipping between sets.* First, a list's sets are compared with its leaders only: a set
 with a possible leader is a candidate of that leader and takes over the leader's answers,
 otherwise it leads. Candidates are verified on their whole sets. Sets that verified links
-connect have one answer, so the second pass derives theirs from the first: only pairs
-of different components are left, checked in full. Every pair the index proposes is
-thus verified, refuted by a bound, or already in one component; no list is capped. Lists
-longer than ``LIST`` sets are dealt to tasks in chunks, in pairs of chunks for the second pass.
+connect have one answer, so a second pass derives theirs from the first: for each two
+components that meet in a list, the pair nearest by signature is verified. In a third,
+all possible pairs between the components still different are. Every pair the index
+proposes is thus verified, refuted by a bound, or already in one component; no list is
+capped. Lists longer than ``LIST`` sets are dealt to tasks in chunks, in pairs of chunks
+for the later passes.
 
 Empty texts have empty sets and stand alone. Rows with equal ids are one node of the link
 graph. A null id counts as the smallest. Extra columns are ignored. An empty table gives
@@ -148,8 +150,9 @@ def _leader_pairs(n, left, bits, t: int):
     return np.concatenate(a), np.concatenate(b)
 
 
-def _cross_pairs(n, left, bits, comp, side, t: int):
-    """Possible pairs of one list whose components differ (of different sides where side has two values)."""
+def _cross_pairs(n, left, bits, comp, side, t: int, best: bool):
+    """Possible pairs of one list whose components differ (of different sides where side has
+    two values); with ``best`` only the nearest by signature for each two components."""
     index, a, b = _List(n, left), [], []
     for i in range(len(n)):
         e = index.near(i, t)
@@ -159,13 +162,20 @@ def _cross_pairs(n, left, bits, comp, side, t: int):
         e = e[_possible(n[i], left[i], bits[i], n[e], left[e], bits[e], t)]
         a.append(np.full(len(e), i))
         b.append(e)
-    return np.concatenate(a), np.concatenate(b)
+    a, b = np.concatenate(a), np.concatenate(b)
+    if best and len(a):
+        order = np.lexsort((_popcount(bits[a] ^ bits[b]), np.maximum(comp[a], comp[b]), np.minimum(comp[a], comp[b])))
+        a, b = a[order], b[order]
+        lo, hi = np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])
+        new = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+        a, b = a[new], b[new]
+    return a, b
 
 
 _PAIR = [("a", pa.int64()), ("b", pa.int64())]
 
 
-def _bucket_pairs(t: int, second: bool):
+def _bucket_pairs(t: int, second: bool, best: bool):
     """All lists of a bucket -> candidate pairs of ids."""
 
     def pairs(table):
@@ -192,7 +202,7 @@ def _bucket_pairs(t: int, second: bool):
                 if (comp[z] == comp[s]).all():
                     continue
                 halves = side[z] if side[z].min() != side[z].max() else None
-                x, y = _cross_pairs(n[z], left[z], bits[z], comp[z], halves, t)
+                x, y = _cross_pairs(n[z], left[z], bits[z], comp[z], halves, t, best)
             else:
                 x, y = _leader_pairs(n[z], left[z], bits[z], t)
             a.append(x + s)
@@ -295,20 +305,27 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY
 
     first = entries.select("id", "n", "bits", "token", "pos", own.alias("chunk"), F.col("id").alias("comp"))
     tried = cut_lineage(first.groupBy(slot("token", "chunk").alias("slot")).applyInArrow(
-        _group_pairs(t, False), "a long, b long").filter("a <> b").distinct())
+        _group_pairs(t, False, False), "a long, b long").filter("a <> b").distinct())
     links = cut_lineage(_verified(tried, sets, t))
     joined = cut_lineage(components(links))
 
-    label = entries.join(joined.withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_lists = label.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    second = label.join(open_lists, "token", "left_semi").withColumn("own", own).withColumn("other", other).select(
-        "id", "n", "bits", "token", "pos", "comp", (F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")).alias("chunk"),
-        F.when(F.col("own") == F.col("other"), F.lit(0)).otherwise(F.sign(F.col("own") - F.col("other"))).cast("long").alias("side"))
-    late = second.groupBy(slot("token", "chunk").alias("slot")).applyInArrow(_group_pairs(t, True), "a long, b long").filter("a <> b").distinct()
-    late = cut_lineage(late.join(tried, ["a", "b"], "left_anti"))
-    more = _verified(late, sets, t)
-    root = components(links.unionByName(more))
+    def crossing(joined: DataFrame, best: bool) -> DataFrame:
+        """Untried possible pairs between different components."""
+        label = entries.join(joined.withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        open_lists = label.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+        spread = label.join(open_lists, "token", "left_semi").withColumn("own", own).withColumn("other", other).select(
+            "id", "n", "bits", "token", "pos", "comp", (F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")).alias("chunk"),
+            F.when(F.col("own") == F.col("other"), F.lit(0)).otherwise(F.sign(F.col("own") - F.col("other"))).cast("long").alias("side"))
+        found = spread.groupBy(slot("token", "chunk").alias("slot")).applyInArrow(_group_pairs(t, True, best), "a long, b long")
+        return cut_lineage(found.filter("a <> b").distinct().join(tried, ["a", "b"], "left_anti"))
+
+    for best in (True, False):  # the nearest pair of two components settles most of the others
+        late = crossing(joined, best)
+        links = cut_lineage(links.unionByName(_verified(late, sets, t)))
+        tried = tried.unionByName(late)
+        joined = cut_lineage(components(links))
+    root = joined
 
     named = rows.join(classes.withColumn("class_id", F.col("rep._id")).drop("rep"), ["n", "s1", "s2"], "left")
     out = named.join(root.withColumnRenamed("id", "class_id"), "class_id", "left")
@@ -317,8 +334,8 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY
     return ids.select(*(F.nullif(c, F.lit(NULL_ID)).alias(c) if c != "n_shingles" else c for c in ids.columns))
 
 
-def _group_pairs(t: int, second: bool):
-    pairs = _bucket_pairs(t, second)
+def _group_pairs(t: int, second: bool, best: bool):
+    pairs = _bucket_pairs(t, second, best)
 
     def of_group(key, table):
         return pairs(table)
