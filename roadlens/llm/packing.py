@@ -5,10 +5,10 @@ are packed into sequences by best-fit decreasing inside packing partitions of a
 number of pieces (``pack``). Dual-feasible functions give every partition a lower bound of
 its sequence count: sizes, Martello-Toth thresholds (sizes above ``C - t`` count as ``C``,
 below ``t`` as 0) and Fekete-Schepers' ``u_k``; a partition that meets its bound is
-certified. Rounds follow while the whole table is above its own bound: partitions with a
-gap, and the last unfilled sequences of the others, release the pieces of their unfilled
-sequences, which are dealt anew to fewer partitions and packed again. A round that does
-not lower the count ends it, and the better placing stays.
+certified. Rounds follow while the whole table is above its own bound: partitions with
+a gap release the pieces of the sequences that hold ``RELEASE`` of their free room,
+certified ones those of their emptiest sequence; these are dealt anew to fewer partitions
+and packed again. A round that does not lower the count ends it, and the better placing stays.
 
 Only lengths matter to the bound of the whole table, so the driver sees at most
 ``capacity`` counts. Null text: empty (its document is the end id alone). Rows with equal
@@ -19,6 +19,7 @@ result.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -34,11 +35,13 @@ CAPACITY = 2048
 #: pieces of one packing task
 PIECES = 50_000
 #: words whose ids a Python worker remembers
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 MAX_ROUNDS = 6
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PLACED = PIECE_SCHEMA + ", part int, bin int, offset long, free long, bound long, bins long"
+_PLACED = PIECE_SCHEMA + ", part int, bin int, offset long, released boolean, bins long"
+#: share of a task's free room that its emptiest sequences release
+RELEASE = 0.9
 
 
 def word_ids(path: str | None):
@@ -46,13 +49,13 @@ def word_ids(path: str | None):
 
     The tokenizer drops white space and never joins across it, so a text's ids are its
     words' ids in order. It also parts letters from marks and lowers case, so a word of
-    letters and closing marks has its stem's ids, then the marks'; stems are tokenized
-    many at a time and told apart by the word-end tokens. All other words go one by one.
+    letters and closing marks has its stem's ids, then the marks'. A stem of Latin letters
+    needs the merges only. All other words go through the whole tokenizer one by one.
     """
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     cache = B.process_cache("word_ids")
     if cache.get("path") != (path,):
@@ -60,19 +63,16 @@ def word_ids(path: str | None):
             import public_tokenizers
 
         tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        last = np.zeros(tokenizer.get_vocab_size(), bool)
-        last[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        cache.update(path=(path,), tokenizer=tokenizer, last=last, words={}, stems={})
-    tokenizer, last = cache["tokenizer"], cache["last"]
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        letters = {o: as_bytes(chr(o))[0][0] for o in range(0xC0, 0x100)}
+        cache.update(path=(path,), tokenizer=tokenizer, letters=letters, words={}, stems={})
+    tokenizer, letters = cache["tokenizer"], cache["letters"]
     plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 
     def solve_stems(stems: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(stems), 1000):
-            ids = np.array(tokenizer.encode(" ".join(stems[at:at + 1000]), add_special_tokens=False).ids, "<u4")
-            cut, raw = (4 * (np.flatnonzero(last[ids]) + 1)).tolist(), ids.tobytes()
-            out += [raw[s:e] for s, e in zip([0, *cut], cut)]
-        return out
+        pairs = tokenizer.model.tokenize  # the merges alone: a stem is one lower-case run of letters
+        ids = ([t.id for t in pairs(w if w.isascii() else w.translate(letters))] for w in stems)
+        return [struct.pack(f"<{len(i)}I", *i) for i in ids]
 
     def solve_words(words: list[bytes]) -> list[bytes]:
         parts = []
@@ -163,12 +163,19 @@ def best_fit_decreasing(length: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def _pack_once(pieces: DataFrame, parts: int, seed: int, capacity: int) -> DataFrame:
     """Deal pieces to ``parts`` tasks, pack each; with each piece its sequence, and its task's bound and count."""
 
-    def pack_part(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def pack_part(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         length = frame["length"].to_numpy()
         seq, offset, free = best_fit_decreasing(length, capacity)
         sizes, counts = np.unique(length, return_counts=True)
-        frame = frame.assign(bin=seq.astype("int32"), offset=offset, free=free[seq], bound=lower_bound(sizes, counts, capacity), bins=len(free))
+        order = np.argsort(-free, kind="stable")
+        released = np.zeros(len(free), bool)
+        if len(free) > lower_bound(sizes, counts, capacity):  # a gap: the emptiest sequences
+            released[order[np.cumsum(free[order]) - free[order] < RELEASE * free.sum()]] = True
+        else:  # certified: the emptiest one at most
+            released[order[0]] = True
+        released &= free > 0
+        frame = frame.assign(bin=seq.astype("int32"), offset=offset, released=released[seq], bins=len(free))
         return frame[[c.split()[0] for c in _PLACED.split(", ")]]
 
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(seed)), F.lit(parts)).cast("int"))
@@ -191,9 +198,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES) ->
     number = (F.col("part").cast("long") * F.lit(1 << 31) + F.col("bin"))
     done, open_ = None, placed
     for step in range(1, MAX_ROUNDS + 1):
-        closed = open_.filter("free = 0").withColumn("sequence_id", number + F.lit((step - 1) << 56))
+        closed = open_.filter("not released").withColumn("sequence_id", number + F.lit((step - 1) << 56))
         kept = closed if done is None else done.unionByName(closed)
-        left = open_.filter("free > 0")
+        left = open_.filter("released")
         if total <= bound:
             break
         m, old = left.agg(F.count("*"), F.countDistinct("part", "bin")).first()
