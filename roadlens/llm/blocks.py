@@ -268,13 +268,19 @@ def unpack_sorted(blob: bytes) -> tuple[np.ndarray, int]:
 
 
 def key_blobs(blk: int, uniq: np.ndarray, n_buckets: int, width: int, extra: np.ndarray | None = None) -> list[tuple]:
-    """Rows of BLOB_SCHEMA for sorted distinct ``uniq``: the packed keys, then ``extra`` (a byte per key)."""
+    """Rows of BLOB_SCHEMA for sorted distinct ``uniq``: the packed keys, then ``extra`` (a byte per key;
+    wider counts as bytes up to 255, then four bytes for each of 255 or more)."""
     cut = np.searchsorted(bucket_of(uniq, n_buckets), np.arange(n_buckets + 1))
     out = []
     for b in np.flatnonzero(np.diff(cut)):
         s, e = cut[b], cut[b + 1]
         blob = pack_sorted(uniq[s:e], width)
-        out.append((int(b), int(blk), blob + extra[s:e].tobytes() if extra is not None else blob))
+        if extra is not None:
+            part = extra[s:e]
+            blob += np.minimum(part, 255).astype(np.uint8).tobytes()
+            if part.dtype != np.uint8:
+                blob += part[part >= 255].astype("<u4").tobytes()
+        out.append((int(b), int(blk), blob))
     return out
 
 
@@ -294,14 +300,20 @@ def blobs_in(table: pa.Table) -> list[tuple[int, bytes]]:
 
 def counts_over_blocks(table: pa.Table) -> tuple[list[int], list[int], np.ndarray]:
     """For each key of each blob, in order: in how many documents it stands, summed over
-    the blocks' own (clipped) counts when sent, else one a block. Returns blocks, sizes, counts."""
+    the blocks' own counts when sent (as bytes: clipped), else one a block. Returns blocks, sizes, counts."""
     blks, sizes, keys, weights = [], [], [], []
     for blk, blob in blobs_in(table):
         k, read = unpack_sorted(blob)
         blks.append(blk)
         sizes.append(len(k))
         keys.append(k)
-        weights.append(np.frombuffer(blob, np.uint8, len(k), read).astype(np.int64) if len(blob) > read else np.ones(len(k), np.int64))
+        if len(blob) > read:
+            weight = np.frombuffer(blob, np.uint8, len(k), read).astype(np.int64)
+            if len(blob) > read + len(k):
+                weight[weight == 255] = np.frombuffer(blob, "<u4", -1, read + len(k))
+        else:
+            weight = np.ones(len(k), np.int64)
+        weights.append(weight)
     all_keys = np.concatenate(keys)
     _, inv = np.unique(all_keys, return_inverse=True)
     total = np.bincount(inv, weights=np.concatenate(weights)).astype(np.int64)

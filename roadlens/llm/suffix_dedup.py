@@ -24,7 +24,8 @@ least ``min_bytes``. Interiors that stand once are sorted out first by the two-w
 exchange of ``blocks``; the columns of the others travel through Spark's shuffle files,
 bucketed by interior, which are the sequential external files here. A block sends equal
 units once. Interiors met ``hot`` times or more (a passage inside a large share of all
-rows) do not form one group: their strings go as single 64-bit keys through the exchange.
+rows, a long run of one byte) do not form one group: their strings go as single 64-bit keys
+through the exchange. The bucket decides that, from whole counts and for all blocks alike.
 
 Null or empty text: no bytes. Rows with equal ids are documents of their own. Extra
 columns are ignored. An empty table gives an empty result.
@@ -144,10 +145,13 @@ class _Block:
     def inside(self) -> int:
         return self.min - self.sub + 1
 
-    def units(self, counts, hot: int):
-        """(indices of units to order by columns, of units whose strings go one by one)."""
-        total = np.maximum(counts, self.local)[self.inverse]
-        return np.flatnonzero((total >= 2) & (total < hot)), np.flatnonzero(total >= hot)
+    def units(self, kind):
+        """(indices of units to order by columns, of units whose strings go one by one).
+
+        kind: the bucket's class of each key. It alone decides, so all blocks send an interior the same way.
+        """
+        kind = kind[self.inverse]
+        return np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
 
     def flanks(self, u: np.ndarray) -> np.ndarray:
         """Rows: SUB-1 left bytes (nearest first), SUB-1 right bytes, the two true lengths."""
@@ -234,18 +238,17 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, hot: int = HOT, id
 
     def send_keys(key, table):
         b = _Block(table, min_bytes, nb, width)
-        return B.table_of(B.key_blobs(key[0].as_py(), b.uniq, nb, width, _clipped(b.local)), B.BLOB)
+        return B.table_of(B.key_blobs(key[0].as_py(), b.uniq, nb, width, b.local), B.BLOB)
 
     def count_keys(key, table):
+        """A class per key: 0 stands once, 1 to be ordered by columns, 2 hot."""
         blks, sizes, counts = B.counts_over_blocks(table)
         return B.answer_rows(key[0].as_py(), blks, sizes, np.where(counts >= hot, 2, counts >= 2), False)
 
     shared = by_block.applyInArrow(send_keys, B.BLOB_SCHEMA).groupBy("bucket").applyInArrow(count_keys, B.ANSWER_SCHEMA)
 
     def shared_units(b, answers):
-        """The classes 0, 1 and 2 of count_keys, as counts."""
-        kind = B.answers_in(answers, b.cut, False).astype(np.int64)
-        return b.units(np.choose(kind, [0, 2, hot]), hot)
+        return b.units(B.answers_in(answers, b.cut, False))
 
     def send_units(key, table, answers):
         if not table.num_rows:

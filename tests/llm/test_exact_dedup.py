@@ -90,6 +90,18 @@ def test_suffix_dedup(docs_of, seed, size, hot):
     assert got == bytes_left(pairs, size)
 
 
+@pytest.mark.parametrize("size,hot,run", [(60, 300, 700), (400, 1 << 15, 34000)])
+def test_suffix_dedup_run_in_one_block(docs_of, size, hot, run):
+    """Runs that are hot in one block alone, and strings of their interiors once in other blocks."""
+    letters = "pqrstuvw"
+    pairs = [(1, "".join(c * run + f"end{c}" for c in letters[:8 if size == 60 else 2]))]
+    for i, c in enumerate(letters):
+        pairs.append((10 + i, f"only {i}{i} here " + c * (size + i) + f"end{c} of row {i}"))
+    rows = suffix_dedup.suffix_dedup(docs_of(pairs), size, hot).collect()
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in rows), key=repr)
+    assert got == bytes_left(pairs, size)
+
+
 def test_suffix_dedup_odd(odd_docs):
     rows = suffix_dedup.suffix_dedup(odd_docs, 40).collect()
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in rows), key=repr)
