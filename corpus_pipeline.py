@@ -9,8 +9,8 @@
 
 All but the last return the columns of ``documents`` (any further ones pass through);
 ``n_chars`` follows the text where lines went. Nulls, empty texts, ties and repeated rows
-follow the operators' rules; of rows with equal ids and equal place in a group, the one with
-the smallest text hash stays.
+follow the operators' rules; ids need not be unique, and of a group's rows with equal ids the
+one with the smallest text hash stays.
 """
 
 from __future__ import annotations
@@ -41,20 +41,38 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document without words is linked with nothing and stays."""
-    groups = jaccard_join(docs).select(F.col("doc_id").alias("_id"), "component_id")
-    gone = cut_lineage(groups.filter(~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct())
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    # rows that share an id: the smallest text hash stays
-    twice = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.min(F.xxhash64("text")).alias("_least"))
-    twice = cut_lineage(twice.filter("_rows > 1").drop("_rows"))
-    if twice.isEmpty():
-        return left
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    chosen = left.join(twice, same & (F.xxhash64("text") == F.col("_least")), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice, same, "left_anti").unionByName(chosen)
+    """A document without words is linked with nothing and stays.
+
+    Rows are linked and dropped by a key of their own, the hash of all columns, so ids may be
+    null or repeat. Equal rows share a key and stand once in the join; one of them stays.
+    """
+    key = "_row_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind)))  # maps have no hash
+    twice = cut_lineage(keyed.groupBy(key).count().filter("count > 1").select(key))
+    repeats = not twice.isEmpty()
+
+    def once(rows: DataFrame, keys: DataFrame) -> DataFrame:
+        """``rows`` with one row for each of ``keys``."""
+        keys = _small(keys)
+        return rows.join(keys, key, "left_anti").unionByName(rows.join(keys, key, "left_semi").dropDuplicates([key]))
+
+    single = once(keyed, twice) if repeats else keyed
+    groups = jaccard_join(single.select(key, "text"), id_col=key).withColumnRenamed("doc_id", key)
+    worded = cut_lineage(groups.filter("n_shingles > 0").select(key, "component_id"))
+    # of a group the row with the smallest id stays, then the one with the smallest text hash
+    named = worded.join(single.select(key, F.struct("doc_id", F.xxhash64("text").alias("text"), F.col(key).alias("key")).alias("_rank")), key)
+    first = named.groupBy("component_id").agg(F.min("_rank")["key"].alias(key)).select(key)
+    gone = cut_lineage(worded.join(first, key, "left_anti").select(key))
+    left = keyed.join(_small(gone), key, "left_anti")
+    if repeats:
+        left = once(left, cut_lineage(twice.join(worded, key, "left_semi")))
+    return left.select(*docs.columns)
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -400,3 +400,17 @@ def test_pipeline_stages_odd(spark, odd_docs, tmp_path):
             ids = sorted((r.doc_id is not None, r.doc_id or 0) for r in docs.collect())
             assert len(ids) == len(set(ids)) and (True, 5) not in ids and (True, 4) in ids
         corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).count()
+
+
+def test_near_duplicates_by_row(spark, docs_of):
+    """Rows that share an id, or have none, go only with a near copy that stays."""
+    import corpus_pipeline
+
+    words = lambda n: " ".join(f"t{n}w{i}" for i in range(60))
+    near = words(1) + " more"
+    pairs = [(None, words(0)), (None, words(1)), (None, words(2)), (5, words(3)), (5, words(4)), (5, near), (6, words(4)),
+             (7, words(5)), (7, words(5)), (8, words(6)), (3, words(6)), (9, ""), (9, ""), (None, None)]
+    left = corpus_pipeline.near_duplicate_stage(spark, docs_of(pairs), SF).collect()
+    want = [(None, words(0)), (None, words(1)), (None, words(2)), (5, words(3)), (5, words(4)), (7, words(5)), (3, words(6)), (9, ""), (9, ""), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in left), key=repr) == sorted(want, key=repr)
+    assert left[0].__fields__ == docs_of(pairs).columns
