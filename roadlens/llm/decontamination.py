@@ -7,8 +7,9 @@ hashes are joined, and every hit fixes a diagonal (document position less item p
 Around it the words are compared one by one: item and document overlap if some ``WINDOW``
 consecutive aligned words (all words of a shorter item) hold at least 80 percent equal ones.
 
-The two default masks leave no gap: whichever 2 of 13 words are replaced, one of them
-still fits between (tests try all). A mask longer than an item is cut to the item's length.
+The masks leave no gap: whichever 2 of 13 words are replaced, one of the two default masks
+still fits between. Items below ``WINDOW`` words have masks of their length (``SHORT``), with
+the same property for all the words the rule lets differ (tests try all).
 
 Items are taken in blocks of at most ``block_words`` words, so what is broadcast has that
 bound; every block meets all documents (a stated query set against all rows). Hits stay
@@ -30,6 +31,10 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 MASKS = ("11110011", "1100101011")
+#: by words of an item below WINDOW: none may differ up to 4 words, one up to 9, two up to 12
+SHORT = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("111", "1101"), 6: ("1111", "11011"), 7: ("11011",),
+         8: ("111011", "110111"), 9: ("1111011", "1101111"), 10: ("111011", "1101011", "1110011"),
+         11: ("1101011", "1110011"), 12: ("111011", "11010011")}
 WINDOW = 13
 PERCENT = 80
 BLOCK_WORDS = 500_000
@@ -53,11 +58,11 @@ class Index:
         runs = B.Runs(B.utf8([t for _, t in items]))
         self.h, self.first, self.count = runs.h, runs.first, runs.count
         self.masks = []
-        lengths = sorted({min(len(m), int(n)) for m in masks for n in self.count if n} | {len(m) for m in masks})
-        for mask in dict.fromkeys(m[:n] for m in masks for n in lengths if n <= len(m)):
+        by_length = {n: SHORT.get(n) or tuple(m[:n] for m in masks) for n in sorted(set(self.count.tolist()) - {0})}
+        for mask in dict.fromkeys(m for some in by_length.values() for m in some):
             hs, item, pos = [], [], []
             for i, n in enumerate(self.count.tolist()):
-                if n and any(mask == m[:min(len(m), n)] for m in masks):
+                if n and mask in by_length[n]:
                     s = _seeds(self.h[self.first[i]:self.first[i + 1]], mask)
                     hs.append(s)
                     item.append(np.full(len(s), i))

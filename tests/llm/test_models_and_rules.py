@@ -325,6 +325,33 @@ def test_masks_leave_no_gap():
     assert all(any(not f & set(e) for f in fits) for e in itertools.combinations(range(decontamination.WINDOW), 2))
 
 
+def test_short_items_leave_no_gap():
+    """Items of 1 to 12 words: every substitution the rule allows is found, at every word."""
+    for n in range(1, decontamination.WINDOW):
+        item = [f"w{j}" for j in range(n)]
+        index = decontamination.Index([(1, " ".join(item))])
+        texts = []
+        for gone in itertools.combinations(range(n), n - -(-80 * n // 100)):
+            texts.append(" ".join(["before", *("sub" if j in gone else w for j, w in enumerate(item)), "after"]).encode())
+        assert [row[0] for row in index.overlaps(texts)] == list(range(len(texts))), n
+
+
+def test_decontamination_short_items(spark, docs_of):
+    """Items and documents of any length against the rule itself."""
+    r = random.Random(12)
+    word = lambda: r.choice("abcd") + r.choice("xyz")
+    items = [[word() for _ in range(n)] for n in range(1, 17) for _ in range(3)]
+    docs = []
+    for i in range(120):
+        part = list(r.choice(items))
+        for _ in range(r.randint(0, 3)):
+            part[r.randrange(len(part))] = "sub"
+        docs.append((i, " ".join([word() for _ in range(r.randint(0, 8))] + part + [word() for _ in range(r.randint(0, 8))])))
+    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    got = {(g.doc_id, g.item_id) for g in decontamination.contamination(docs_of(docs), bench).collect()}
+    assert got == {(i, j) for i, t in docs for j, x in enumerate(items) if plain_overlap(t.split(), x)}
+
+
 def plain_overlap(doc, item):
     n, need = len(item), min(decontamination.WINDOW, len(item))
     for diagonal in range(-n, len(doc)):
