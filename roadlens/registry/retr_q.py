@@ -233,7 +233,7 @@ def _l11_sql():
     "l11_window_scores", "L11,A19,A20,F3",
     sql=_l11_sql(), views=["veh_log", "answer"], ctes=LEAD_CTES,
     note="an answer's id names its window (run, vehicle, first step); windows of 10 rows, 6 seen and 4 future; every answer has a row, "
-         "without errors where its window or a tag is missing",
+         "without errors where its window or a tag is missing; a tag of wrong length has a NaN error, which the mean leaves out",
 )
 def l11(spark, d):
     log = lead_log(spark, d).filter(F.col("leader_speed").isNotNull())
@@ -249,7 +249,8 @@ def l11(spark, d):
     ok = F.lit(True)
     for c in L11_COLUMNS.values():
         ok = ok & F.col(f"p_{c}").isNotNull()
-    overall = F.when(ok, rnd((F.col("e_speed") + F.col("e_headway") + F.col("e_leader_speed")) / 3, 6))
-    return j.select("window_id", ok.alias("all_extractable"), *(rnd(f"e_{c}", 6).alias(f"{t.removeprefix('future_')}_l2") for t, c in L11_COLUMNS.items()),
+    kept = lambda x: F.when(F.isnan(x), x).otherwise(rnd(x, 6))  # noqa: E731  (rnd turns NaN into 0)
+    overall = F.when(ok & F.col("rows").isNotNull(), kept(vx.nan_mean([F.col("e_speed"), F.col("e_headway"), F.col("e_leader_speed")])))
+    return j.select("window_id", ok.alias("all_extractable"), *(kept(F.col(f"e_{c}")).alias(f"{t.removeprefix('future_')}_l2") for t, c in L11_COLUMNS.items()),
                     overall.alias("overall_l2"))
 

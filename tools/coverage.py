@@ -29,10 +29,15 @@ PARTIAL = {
     "P1": "no timestep and reward base columns",
     "W14": "no 1 s memory",
     "W15": "no acceleration lags",
+    "A25": "AVs only, position of vehicle 1",
     "F17": "weights of four parts are zero",
+    "F18": "target-speed branch never run",
+    "F22": "cosine; the negative L2 is called by no query",
     "F28": "no header",
     "F29": "no documents in the prompt",
     "D3": "no confidence and cvalue, previous distances",
+    "D18": "violation counts; no overlay series",
+    "R1": "counts and the first number, not the vectors",
     "R5": "batch capacity rule only",
     "R6": "logic score only",
     "L9": "decided by a score, not by pairwise votes",
