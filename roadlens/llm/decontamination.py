@@ -12,8 +12,10 @@ still fits between. Items below ``WINDOW`` words have masks of their length (``S
 the same property for all the words the rule lets differ (tests try all).
 
 Items are taken in blocks of at most ``block_words`` words, so what is broadcast has that
-bound; every block meets all documents (a stated query set against all rows). Hits stay
-in the task that holds the document; no text is exchanged.
+bound; every block meets all documents (a stated query set against all rows). With several
+blocks the results of one are written to the checkpoint folder before the next index is built,
+so the driver holds one at a time. Hits stay in the task that holds the document; no text is
+exchanged.
 
 Null or empty texts hold nothing, items without words match nothing. Repeated rows are
 judged each; item ids may repeat. Extra columns pass through. An empty benchmark clears
@@ -22,12 +24,15 @@ everything.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from . import blocks as B
 
 MASKS = ("11110011", "1100101011")
@@ -105,14 +110,14 @@ class Index:
 
 
 def index_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS):
-    """Indexes of blocks of items, one after the other; a block comes to the driver at most."""
+    """(index, whether it is the only one) of blocks of items, one after the other; a block comes to the driver at most."""
     words = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+")) + 1
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = benchmark.agg(F.coalesce(F.sum(words), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * int(total) // block_words)) if total > block_words else 1
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
-        yield Index(sorted(((r["id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")))
+        yield Index(sorted(((r["id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))), blocks == 1
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -120,28 +125,50 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     doc_start is the first aligned word of the document, length the aligned words, matched the equal ones.
     """
-    out = None
-    for index in index_blocks(benchmark, text_col="text", block_words=block_words):
-
-        def search(batches, index=index):  # sent with the task: at most block_words words
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), B.utf8(batch.column(1))
-                rows = []
-                for start, end in B.text_chunks(texts):
-                    rows += [(ids[start + d], index.ids[i], s, n, m) for d, i, s, n, m in index.overlaps(texts[start:end])]
-                cols = list(zip(*rows)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["doc_id", "item_id", "doc_start", "length", "matched"])
-
-        part = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(search, "doc_id long, item_id long, doc_start long, length long, matched long")
-        out = part if out is None else out.unionByName(part)
-    return out
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    place = None
+    for index, only in index_blocks(benchmark, text_col="text", block_words=block_words):
+        part = docs.mapInArrow(_search(index), "doc_id long, item_id long, doc_start long, length long, matched long")
+        if only:
+            return part
+        place = place or _new_place(docs)
+        part.write.mode("append").parquet(place)
+        del index, part  # before the next one is built
+    return docs.sparkSession.read.parquet(place)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without the rows that overlap an item; all columns stay."""
-    for index in index_blocks(benchmark, block_words=block_words):
-        docs = docs.filter(~_holds(index)(F.col(text_col)))
-    return docs
+    place = None
+    names = [F.xxhash64(text_col).alias("_t1"), F.xxhash64(F.lit(9), F.col(text_col)).alias("_t2")]  # 128 bits: equal texts go together
+    for index, only in index_blocks(benchmark, block_words=block_words):
+        holds = _holds(index)(F.col(text_col))
+        if only:
+            return docs.filter(~holds)
+        place = place or _new_place(docs)
+        docs.filter(holds).select(*names).distinct().write.mode("append").parquet(place)
+        del index, holds  # before the next one is built
+    gone = docs.sparkSession.read.parquet(place)
+    return docs.join(gone, (names[0] == gone["_t1"]) & (names[1] == gone["_t2"]), "left_anti")
+
+
+def _new_place(docs: DataFrame) -> str:
+    return f"{ensure_checkpoint_dir(docs.sparkSession)}/decontamination-{uuid.uuid4().hex}"
+
+
+def _search(index: Index):
+    """Batches of (doc_id, text) to rows of ``contamination``; sent with the task: at most block_words words."""
+
+    def search(batches):
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), B.utf8(batch.column(1))
+            rows = []
+            for start, end in B.text_chunks(texts):
+                rows += [(ids[start + d], index.ids[i], s, n, m) for d, i, s, n, m in index.overlaps(texts[start:end])]
+            cols = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["doc_id", "item_id", "doc_start", "length", "matched"])
+
+    return search
 
 
 def _holds(index: Index):

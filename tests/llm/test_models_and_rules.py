@@ -352,6 +352,32 @@ def test_decontamination_short_items(spark, docs_of):
     assert got == {(i, j) for i, t in docs for j, x in enumerate(items) if plain_overlap(t.split(), x)}
 
 
+def test_decontamination_holds_one_index(spark, docs_of, monkeypatch):
+    """With many blocks of items, one index is alive at a time, and the rows are those of a single block."""
+    import gc
+    import weakref
+
+    items = [[f"w{(7 * j + k) % 211}" for k in range(20)] for j in range(30)]
+    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    frame = docs_of([(i, "intro " + " ".join(items[i]) if i % 2 else f"clean text {i}") for i in range(30)] + [(None, " ".join(items[3])), (50, None)])
+    want = (sorted(map(repr, decontamination.contamination(frame, bench).collect())), sorted(map(repr, decontamination.decontaminate(frame, bench).collect())))
+    built, alive = [], []
+    plain = decontamination.Index
+
+    def counted(*args):
+        gc.collect()
+        alive.append(sum(r() is not None for r in built))
+        index = plain(*args)
+        built.append(weakref.ref(index))
+        return index
+
+    monkeypatch.setattr(decontamination, "Index", counted)
+    found = decontamination.contamination(frame, bench, block_words=150)
+    left = decontamination.decontaminate(frame, bench, block_words=150)
+    assert len(built) > 4 and max(alive) == 0
+    assert (sorted(map(repr, found.collect())), sorted(map(repr, left.collect()))) == want
+
+
 def plain_overlap(doc, item):
     n, need = len(item), min(decontamination.WINDOW, len(item))
     for diagonal in range(-n, len(doc)):
