@@ -184,6 +184,10 @@ def l2(spark, d):
                                              rnd(F.sum(F.element_at(sp, 10) - F.element_at(sp, 1)), 6).alias("sum_span"))
 
 
+#: ids or steps that one task numbers
+POSITION_BLOCK = 4096
+
+
 @register(
     "l3_l4_window_subset_prompt", "L3,L4",
     sql="""WITH w AS (SELECT run_id, id_num, start, row_number() OVER (ORDER BY run_id, id_num, start) - 1 AS wid
@@ -198,13 +202,14 @@ def l2(spark, d):
 def l3(spark, d):
     w = rt.sliding_windows(tb.veh_log(spark, d), ["run_id", "id_num"], "step", ["step"], 10)
     w = dense_position(w.withColumn("_one", F.lit(1)), ["_one"], ["run_id", "id_num", "start"],
-                       bucket=F.col("run_id"), name="wid").drop("_one")
+                       bucket=F.struct("run_id", "id_num", F.floor(F.col("start") / POSITION_BLOCK)), name="wid").drop("_one")
     sub = w.orderBy(rt.seeded_order(F.col("wid"), 42), "wid").limit(50)
     b = tb.table(spark, d, "benchmark").select("item_id")
-    b = dense_position(b.withColumn("_one", F.lit(1)), ["_one"], ["item_id"], name="bi").drop("_one")
+    block = F.coalesce(F.floor(F.col("item_id") / POSITION_BLOCK), F.lit(-(1 << 62)))  # a null id comes first
+    b = dense_position(b.withColumn("_one", F.lit(1)), ["_one"], ["item_id"], bucket=block, name="bi").drop("_one")
     nb = b.agg(F.count(F.lit(1)).alias("nb"))
     x = sub.crossJoin(F.broadcast(nb)).withColumn("bi", F.pmod(rt.seeded_order(F.col("wid"), 7), F.col("nb")))
-    return x.join(F.broadcast(b), "bi").select("run_id", "id_num", "start", F.col("item_id").alias("prompt_item"))
+    return x.join(b, "bi").select("run_id", "id_num", "start", F.col("item_id").alias("prompt_item"))
 
 
 # prediction tag -> logged column
