@@ -13,7 +13,7 @@ nodes in it, but not in a part named otherwise, are content. So that other layou
 labelled page is seen in further forms: without the names of content, without those of the rest, with
 parts of the rest moved into the article, and with half of its paragraphs in lists or sections. The fit starts from, and is held near, hand-set prior weights, which
 alone decide where no page is labelled. At most ``MAX_PAGES`` pages of at most ``MAX_CHARS`` characters
-(smallest hash first) are read for it; extraction reads every page, whole.
+(distinct ones, smallest hash first) are read for it; extraction reads every page, whole.
 
 White space (and ``br``) becomes one space inside a block, character references are decoded, blocks are
 joined in page order. Scripts, styles, head, form fields and the like are never text. Null html is empty; a
@@ -304,7 +304,9 @@ def train(pages: DataFrame, html_col: str = "html", max_pages: int = MAX_PAGES,
     """Fit on at most ``max_pages`` labelled pages of at most ``max_chars`` characters each."""
     html = F.col(html_col)
     marked = html.rlike(r"(?i)<(article|main)[\s>]|=[\"']?(main|articlebody)\b")
-    rows = pages.filter((F.length(html) <= max_chars) & marked).select(html.alias("html")).orderBy(F.xxhash64("html"), "html").limit(max_pages).collect()
+    fit_rows = pages.filter((F.length(html) <= max_chars) & marked).select(html.alias("html"), F.xxhash64(html).alias("h"))
+    last = fit_rows.select("h").distinct().orderBy("h").limit(max_pages).agg(F.max("h")).first()[0]  # only hashes travel
+    rows = [] if last is None else fit_rows.filter(F.col("h") <= last).distinct().orderBy("h", "html").limit(max_pages).collect()
     return fit(Forest([parse(r.html) for r in rows]) if rows else None)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (decontamination, html_extraction, jaccard_join, line_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup,
+from . import (decontamination, html_extraction, jaccard_join, line_dedup, packing, phrases, prefix_trie, quality_classifier, quality_rules, substring_dedup, suffix_dedup,
                token_count, toxicity)
 
 QUERIES = {
@@ -16,10 +16,14 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.query,
     "op9_decontamination": decontamination.query,
     "op10_jaccard_join": jaccard_join.query,
+    "op11_phrases": phrases.query,
+    "op12_prefix_trie": prefix_trie.query,
     "op13_html_extraction": html_extraction.query,
 }
 
 #: DuckDB SQL of those that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_phrases": phrases.ORACLE_SQL,
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL,
 }
