@@ -98,6 +98,12 @@ def run_update(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return res.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_batch")
 
 
+def after_watermark(condition, event_time):
+    """``condition`` for rows that have an event time, in a form that names the time: a filter without it
+    moves below the watermark, and drops end markers before they count."""
+    return condition | event_time.isNull()
+
+
 def _ntz_text(c) -> F.Column:
     return F.date_format(c.cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss")
 
