@@ -6,10 +6,10 @@ lists. Frequent pairs are ranked again and become the ids of the next round: a p
 of its first and its last k words, both frequent themselves, so four rounds give all phrases of 2 to 5 words.
 
 Jobs. One narrow pass turns texts into *units* (about 4 MB of one language): a dictionary and a code for
-each word. Every round: units count their pairs, map-side, and send them by group of tiles; groups are merged
-over at most ``FAN`` units at a time; groups answer units with the new ids, again at most ``FAN`` units a task; units
-keep the ids by position. Text is read once and never shuffled; a pair that stands everywhere is one entry per
-unit, and a hot tile is never more than 65,536 entries of each. Ranks are dense positions over the counts of
+each word. Every round (words first, then pairs): units count, map-side, and send what they counted by group of words or
+tiles; groups are merged over at most ``FAN`` units a task, ``MERGED`` at a time; groups answer units with the new ids,
+again at most ``FAN`` units a task; units keep the ids by position. Text is read once and never shuffled; a
+word or pair that stands everywhere is one entry per unit, and a hot tile is never more than 65,536 entries of each. Ranks are dense positions over the counts of
 a language, so a language with a third of all rows is spread too. State is written to the checkpoint folder.
 
 Scores are exact: products of up to 38 digits. A candidate inside a longer one of the same count also
@@ -36,14 +36,15 @@ from . import blocks as B
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 UNIT_BYTES = 4 << 20
-FAN = 128
+FAN = 512
+MERGED = 64
 DENSE = 4096
 HOT_RANK, SALTS = 1024, 32
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(46 if c in _BREAKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-UNIT = "unit long, lang string, words array<string>, counts array<long>, codes binary"
+UNIT = "unit long, lang string, n long, words binary, ids binary"
 BLOB = "lang string, grp int, unit long, blob binary"
 
 
@@ -58,29 +59,71 @@ class Store:
         return self.spark.read.parquet(f"{self.place}/{name}")
 
 
+# ---- binary values: parts of several arrays, compressed ----
+
+def _squeeze(*parts: np.ndarray) -> bytes:
+    raw = b"".join(p.tobytes() for p in parts)
+    return np.array([len(raw), *(p.nbytes for p in parts)], "<i8").tobytes() + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _unsqueeze(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    size, *lengths = np.frombuffer(blob, "<i8", len(kinds) + 1).tolist()
+    raw = pa.Codec("zstd", 1).decompress(blob[8 * len(kinds) + 8:], size, asbytes=True)
+    ends = np.cumsum(lengths)
+    return [np.frombuffer(raw[e - n:e], kind) for n, e, kind in zip(lengths, ends, kinds)]
+
+
+def _ints(values: np.ndarray) -> bytes:
+    """Integers from -1 on, one byte plane after the other (ranks of frequent words are small)."""
+    wide = 4 if values.max(initial=0) < (1 << 32) - 2 else 8
+    return _squeeze(np.array([wide], "<i8"), (values + 1).astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T.copy())
+
+
+def _ints_of(blob: bytes) -> np.ndarray:
+    wide, planes = _unsqueeze(blob, "<i8", "u1")
+    return planes.reshape(int(wide[0]), -1).T.copy().view(f"<u{wide[0]}").ravel().astype(np.int64) - 1
+
+
+def _counts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as a byte each, and those of 255 or more in full."""
+    return np.minimum(values, 255).astype(np.uint8), values[values >= 255].astype("<i8")
+
+
+def _counts_of(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    values = low.astype(np.int64)
+    values[low == 255] = high
+    return values
+
+
 # ---- units ----
 
-def encode(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+def encode(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     """(distinct words, code of each word in order with -1 between pieces)."""
     tokens = b".".join(texts).translate(_TABLE).replace(b".", b" . ").split()
     coded = pa.array(tokens, pa.binary()).dictionary_encode()
-    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-    if b"." in words:
-        at = words.index(b".")
+    words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    at = words.index(b".").as_py()
+    if at >= 0:
         codes[codes == at] = -1
         codes[codes > at] -= 1
-        del words[at]
+        words = pa.concat_arrays([words[:at], words[at + 1:]])
     return words, codes
 
 
-def _ints(values: np.ndarray) -> bytes:
-    """Integers from -1 on, in 4 bytes each where they fit (marked by the first byte), else 8."""
-    small = values.max(initial=0) < 1 << 31
-    return bytes([4 if small else 8]) + values.astype("<i4" if small else "<i8").tobytes()
+def pack_words(words: pa.Array, codes: np.ndarray, counts: np.ndarray) -> bytes:
+    sizes = np.array([len(w) for w in words.to_pylist()], "<u4")
+    return _squeeze(sizes, codes.astype("<u4"), *_counts(counts), np.frombuffer(b"".join(words.to_pylist()), np.uint8))
+
 
+def unpack_words(blob: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    sizes, codes, low, high, data = _unsqueeze(blob, "<u4", "<u4", "u1", "<i8", "u1")
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+    return words, codes.astype(np.int64), _counts_of(low, high)
 
-def _ints_of(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<i4" if raw[0] == 4 else "<i8", -1, 1).astype(np.int64)
+
+_UNIT = [("unit", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.binary()), ("ids", pa.binary())]
+_STATE = [("unit", pa.int64()), ("lang", pa.string()), ("ids", pa.binary())]
 
 
 def units_of(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -96,10 +139,9 @@ def units_of(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
             words, codes = encode(held.pop(lang))
             del size[lang]
             number += 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array([first + number], pa.int64()), pa.array([lang], pa.string()), pa.array([[w.decode() for w in words]], pa.list_(pa.string())),
-                 pa.array([np.bincount(codes[codes >= 0], minlength=len(words)).tolist()], pa.list_(pa.int64())), pa.array([_ints(codes)], pa.binary())],
-                names=["unit", "lang", "words", "counts", "codes"])
+            counts = np.bincount(codes[codes >= 0], minlength=len(words))
+            row = (first + number, lang, int(counts.sum()), pack_words(words, np.arange(len(words)), counts), _ints(codes))
+            return B.table_of([row], _UNIT).to_batches()[0]
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -156,116 +198,204 @@ def count_tiles(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[n
     return codes[order], counts[order]
 
 
-def pack(codes: np.ndarray, values: np.ndarray) -> bytes:
-    """Sorted codes and a value for each: tiles, entries per tile, cells (2 bytes), values (1 byte below 255, the rest apart)."""
+def pack(codes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted codes and their counts: tiles (gaps), entries per tile, the two bytes of the cells, counts."""
     tiles, sizes = np.unique(codes >> 16, return_counts=True)
-    return b"".join([np.array([len(tiles), len(codes)], "<i8").tobytes(), tiles.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(),
-                     (codes & 0xFFFF).astype("<u2").tobytes(), np.minimum(values, 255).astype(np.uint8).tobytes(), values[values >= 255].astype("<i8").tobytes()])
+    return _squeeze(np.diff(tiles, prepend=0).astype("<i8"), sizes.astype("<u4"), (codes >> 8 & 255).astype(np.uint8), (codes & 255).astype(np.uint8), *_counts(counts))
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    t, n = (int(x) for x in np.frombuffer(blob, "<i8", 2))
-    at = 16 + 12 * t
-    codes = np.repeat(np.frombuffer(blob, "<i8", t, 16), np.frombuffer(blob, "<u4", t, 16 + 8 * t)) << 16 | np.frombuffer(blob, "<u2", n, at)
-    values = np.frombuffer(blob, np.uint8, n, at + 2 * n).astype(np.int64)
-    values[values == 255] = np.frombuffer(blob, "<i8", -1, at + 3 * n)
-    return codes, values
+    tiles, sizes, upper, lower, low, high = _unsqueeze(blob, "<i8", "<u4", "u1", "u1", "u1", "<i8")
+    return np.repeat(np.cumsum(tiles), sizes) << 16 | upper.astype(np.int64) << 8 | lower, _counts_of(low, high)
+
 
+def _merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for at in range(0, len(blobs), MERGED):
+        parts = [(codes, counts), *map(unpack, blobs[at:at + MERGED])]
+        codes, counts = count_tiles(*(np.concatenate(x) for x in zip(*parts)))
+    return codes, counts
 
-def groups_of(codes: np.ndarray, groups: int) -> np.ndarray:
-    return (B.mix((codes >> 16).astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
+def _merged_words(blobs: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    words, counts = pa.array([], pa.binary()), np.zeros(0, np.int64)
+    for at in range(0, len(blobs), MERGED):
+        parts = [unpack_words(b) for b in blobs[at:at + MERGED]]
+        coded = pa.concat_arrays([words, *(w for w, _, _ in parts)]).dictionary_encode()
+        sums = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(sums, coded.indices.to_numpy(), np.concatenate([counts, *(c for _, _, c in parts)]))
+        words, counts = coded.dictionary, sums
+    return words, counts
 
-def _merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [unpack(b) for b in blobs]
-    return count_tiles(np.concatenate([c for c, _ in parts]), np.concatenate([v for _, v in parts]))
 
+# ---- a round: blobs of units, what is frequent in a group, answers, new ids ----
 
 _BLOB = [("lang", pa.string()), ("grp", pa.int32()), ("unit", pa.int64()), ("blob", pa.binary())]
 
 
-def pair_blobs(state: DataFrame, groups: int) -> DataFrame:
-    """Rows of BLOB: each unit's pairs of neighbouring ids with their counts, by group of tiles."""
+def _by_group(state: DataFrame, column: str, split) -> DataFrame:
+    """Rows of BLOB: what each unit counted, by group (``split`` gives (group, blob) pairs)."""
 
     def count(batches):
         for batch in batches:
             for unit, lang, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                ids = _ints_of(raw)
-                both = (ids[:-1] >= 0) & (ids[1:] >= 0)
-                codes, counts = count_tiles(pair_codes(ids[:-1][both], ids[1:][both]))
-                group = groups_of(codes, groups)
-                rows = [(lang, int(g), unit, pack(codes[group == g], counts[group == g])) for g in np.unique(group)]
-                yield from B.table_of(rows, _BLOB).to_batches()
+                yield from B.table_of([(lang, int(g), unit, blob) for g, blob in split(raw)], _BLOB).to_batches()
 
-    return state.select("unit", "lang", "ids").mapInArrow(count, BLOB)
+    return state.select("unit", "lang", column).mapInArrow(count, BLOB)
 
 
-def frequent_pairs(blobs: DataFrame, units: int, min_count: int) -> DataFrame:
-    """(lang, grp, i, j, f) of pairs with f >= ``min_count``; a task merges at most about FAN units' entries of a group."""
+def word_blobs(units: DataFrame, groups: int) -> DataFrame:
+    def split(raw):
+        words, codes, counts = unpack_words(raw)
+        data = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
+        ends = np.concatenate([[0], np.cumsum([len(w) for w in words.to_pylist()])]).astype(np.int64)
+        sums = B.prefix_sums(B.byte_values()[data])
+        group = (B.span_hash(sums, ends[:-1], ends[1:]) % np.uint64(groups)).astype(np.int64)  # deals words out, no more
+        for g in np.unique(group):
+            mine = np.flatnonzero(group == g)
+            yield g, pack_words(words.take(pa.array(mine)), codes[mine], counts[mine])
 
-    def merge(key, table):
-        codes, counts = _merged(table.column("blob").to_pylist())
-        return B.table_of([(key[0].as_py(), key[1].as_py(), key[2].as_py(), pack(codes, counts))], _BLOB)
+    return _by_group(units, "words", split)
+
+
+def pair_blobs(state: DataFrame, groups: int) -> DataFrame:
+    def split(raw):
+        ids = _ints_of(raw)
+        both = (ids[:-1] >= 0) & (ids[1:] >= 0)
+        codes, counts = count_tiles(pair_codes(ids[:-1][both], ids[1:][both]))
+        group = (B.mix((codes >> 16).astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        codes, counts, group = codes[order], counts[order], group[order]
+        cut = np.flatnonzero(np.diff(group, prepend=-1, append=groups))
+        for s, e in zip(cut, cut[1:]):
+            yield group[s], pack(codes[s:e], counts[s:e])
+
+    return _by_group(state, "ids", split)
+
+
+def _tree(blobs: DataFrame, units: int, merge) -> DataFrame:
+    """Blobs of a group merged until at most FAN are left."""
+
+    def fn(key, table):
+        return B.table_of([(key[0].as_py(), key[1].as_py(), key[2].as_py(), merge(table.column("blob").to_pylist()))], _BLOB)
+
+    while units > FAN:
+        units = math.ceil(units / FAN)
+        blobs = blobs.withColumn("unit", F.pmod(F.xxhash64("unit", F.lit(units)), F.lit(units))).groupBy("lang", "grp", "unit").applyInArrow(fn, BLOB)
+    return blobs
+
+
+def frequent_words(blobs: DataFrame, units: int, min_count: int) -> DataFrame:
+    """(lang, grp, word, f) of words with f >= ``min_count``."""
+
+    def merge(blobs):
+        words, counts = _merged_words(blobs)
+        return pack_words(words, np.zeros(len(words), np.int64), counts)
+
+    def reduce(key, table):
+        words, counts = _merged_words(table.column("blob").to_pylist())
+        often = np.flatnonzero(counts >= min_count)
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(often), pa.string()), "grp": pa.array([key[1].as_py()] * len(often), pa.int32()),
+                         "word": words.take(pa.array(often)).cast(pa.string()), "f": pa.array(counts[often], pa.int64())})
+
+    return _tree(blobs, units, merge).groupBy("lang", "grp").applyInArrow(reduce, "lang string, grp int, word string, f long")
+
+
+def frequent_pairs(blobs: DataFrame, units: int, min_count: int) -> DataFrame:
+    """(lang, grp, i, j, f) of pairs with f >= ``min_count``."""
 
     def reduce(key, table):
         codes, counts = _merged(table.column("blob").to_pylist())
         often = counts >= min_count
         i, j = pair_ids(codes[often])
-        n = len(i)
-        return pa.table({"lang": pa.array([key[0].as_py()] * n, pa.string()), "grp": pa.array([key[1].as_py()] * n, pa.int32()),
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(i), pa.string()), "grp": pa.array([key[1].as_py()] * len(i), pa.int32()),
                          "i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "f": pa.array(counts[often], pa.int64())})
 
-    while units > FAN:
-        units = math.ceil(units / FAN)
-        blobs = blobs.withColumn("unit", F.pmod(F.xxhash64("unit", F.lit(units)), F.lit(units))).groupBy("lang", "grp", "unit").applyInArrow(merge, BLOB)
-    return blobs.groupBy("lang", "grp").applyInArrow(reduce, "lang string, grp int, i long, j long, f long")
+    return _tree(blobs, units, lambda blobs: pack(*_merged(blobs))).groupBy("lang", "grp").applyInArrow(reduce, "lang string, grp int, i long, j long, f long")
 
 
-def next_state(state: DataFrame, blobs: DataFrame, pairs: DataFrame, units: int) -> DataFrame:
-    """(unit, lang, ids) with the id of the pair that starts at each position; units without any go."""
+def _renewed(state: DataFrame, blobs: DataFrame, known: DataFrame, cols: list[str], units: int, find, renew) -> DataFrame:
+    """(unit, lang, ids): groups tell each unit the ids of what it sent (``find``), and units apply them (``renew``)."""
     salts = math.ceil(units / FAN)
 
     def answer(key, mine, known):
-        if not len(mine) or not len(known):
-            return B.table_of([], _BLOB)
-        codes = pair_codes(known.column("i").to_numpy(), known.column("j").to_numpy())
-        order = np.argsort(codes)
-        codes, ids = codes[order], known.column("id").to_numpy()[order]
         rows = []
-        for unit, blob in zip(mine.column("unit").to_pylist(), mine.column("blob").to_pylist()):
-            asked, _ = unpack(blob)
-            at = np.minimum(np.searchsorted(codes, asked), len(codes) - 1)
-            hit = codes[at] == asked
-            if hit.any():
-                rows.append((key[0].as_py(), key[1].as_py(), unit, np.append(hit.sum(), asked[hit]).astype("<i8").tobytes() + _ints(ids[at[hit]])))
+        if len(mine) and len(known):
+            look = find(known)
+            for unit, blob in zip(mine.column("unit").to_pylist(), mine.column("blob").to_pylist()):
+                codes, ids = look(blob)
+                if len(codes):
+                    rows.append((key[0].as_py(), key[1].as_py(), unit, _squeeze(codes.astype("<i8"), ids.astype("<i8"))))
         return B.table_of(rows, _BLOB)
 
-    def renew(key, mine, told):
-        out = []
+    def apply(key, mine, told):
+        rows = []
         if len(mine) and len(told):
-            codes, new = [], []
-            for raw in told.column("blob").to_pylist():
-                n = int.from_bytes(raw[:8], "little")
-                codes.append(np.frombuffer(raw, "<i8", n, 8))
-                new.append(_ints_of(raw[8 * n + 8:]))
-            codes, new = np.concatenate(codes), np.concatenate(new)
+            codes, ids = (np.concatenate(x) for x in zip(*(_unsqueeze(b, "<i8", "<i8") for b in told.column("blob").to_pylist())))
             order = np.argsort(codes)
-            codes, new = codes[order], new[order]
-            for lang, raw in zip(mine.column("lang").to_pylist(), mine.column("ids").to_pylist()):
-                ids = _ints_of(raw)
-                both = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-                asked = pair_codes(ids[both], ids[both + 1])
-                at = np.minimum(np.searchsorted(codes, asked), len(codes) - 1)
-                got = np.full(len(ids), -1, np.int64)
-                got[both] = np.where(codes[at] == asked, new[at], -1)
-                out.append((key[0].as_py(), lang, _ints(got)))
-        return B.table_of(out, [("unit", pa.int64()), ("lang", pa.string()), ("ids", pa.binary())])
+            rows = [(key[0].as_py(), lang, _ints(renew(_ints_of(raw), codes[order], ids[order])))
+                    for lang, raw in zip(mine.column("lang").to_pylist(), mine.column("ids").to_pylist())]
+        return B.table_of(rows, _STATE)
 
     salt = F.pmod(F.xxhash64("unit", F.lit(7)), F.lit(salts)).cast("int")
-    asked = blobs.withColumn("salt", salt)
-    known = pairs.select("lang", "grp", "i", "j", "id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    told = asked.groupBy("lang", "grp", "salt").cogroup(known.groupBy("lang", "grp", "salt")).applyInArrow(answer, BLOB)
-    return state.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(renew, "unit long, lang string, ids binary")
+    copies = known.select("lang", "grp", *cols, "id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    told = blobs.withColumn("salt", salt).groupBy("lang", "grp", "salt").cogroup(copies.groupBy("lang", "grp", "salt")).applyInArrow(answer, BLOB)
+    return state.select("unit", "lang", "ids").groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(apply, "unit long, lang string, ids binary")
+
+
+def _at(codes: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each is among sorted ``codes``, where)."""
+    at = np.minimum(np.searchsorted(codes, asked), len(codes) - 1)
+    return codes[at] == asked, at
+
+
+def word_ids(units: DataFrame, blobs: DataFrame, words: DataFrame, n_units: int) -> DataFrame:
+    """The units with ranks for codes, -1 for rare words."""
+
+    def find(known):
+        import pyarrow.compute as pc
+
+        values, ids = known.column("word").combine_chunks().cast(pa.binary()), known.column("id").to_numpy()
+
+        def look(blob):
+            asked, codes, _ = unpack_words(blob)
+            at = pc.index_in(asked, value_set=values)
+            hit = at.is_valid().to_numpy(zero_copy_only=False)
+            return codes[hit], ids[at.drop_null().to_numpy()]
+
+        return look
+
+    def renew(old, codes, ids):
+        table = np.full(int(max(old.max(initial=0), codes.max())) + 2, -1, np.int64)
+        table[codes] = ids
+        return table[old]  # code -1: the last entry
+
+    return _renewed(units, blobs, words, ["word"], n_units, find, renew)
+
+
+def pair_state(state: DataFrame, blobs: DataFrame, pairs: DataFrame, n_units: int) -> DataFrame:
+    """The units with the id of the pair that starts at each position, -1 where none does; units without any go."""
+
+    def find(known):
+        codes = pair_codes(known.column("i").to_numpy(), known.column("j").to_numpy())
+        order = np.argsort(codes)
+        codes, ids = codes[order], known.column("id").to_numpy()[order]
+
+        def look(blob):
+            asked, _ = unpack(blob)
+            hit, at = _at(codes, asked)
+            return asked[hit], ids[at[hit]]
+
+        return look
+
+    def renew(old, codes, ids):
+        both = np.flatnonzero((old[:-1] >= 0) & (old[1:] >= 0))
+        hit, at = _at(codes, pair_codes(old[both], old[both + 1]))
+        new = np.full(len(old), -1, np.int64)
+        new[both[hit]] = ids[at[hit]]
+        return new
+
+    return _renewed(state, blobs, pairs, ["i", "j"], n_units, find, renew)
 
 
 def ranked(counts: DataFrame, ties: list[str]) -> DataFrame:
@@ -320,25 +450,10 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
     units = store(units_of(docs, lang_col, text_col), "units")
     n_units = max(1, units.count())
     groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_units * UNIT_BYTES // B.BUCKET_BYTES)
-    entries = units.select("unit", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "e"))
-    entries = entries.select("unit", "lang", "code", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
-    counts = store(entries.groupBy("lang", "word").agg(F.sum("n").alias("f")), "counts")
-    totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = store(ranked(counts.filter(F.col("f") >= min_count), ["word"]), "words")
-    told = entries.drop("n").join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("unit").alias("of"), "code", "id")
-
-    def first(key, mine, known):
-        code, ids = known.column("code").to_numpy(), known.column("id").to_numpy()
-        rows = []
-        for lang, raw in zip(mine.column("lang").to_pylist(), mine.column("codes").to_pylist()):
-            codes = _ints_of(raw)
-            table = np.full(int(max(codes.max(initial=0), code.max(initial=0))) + 2, -1, np.int64)
-            table[code] = ids
-            rows.append((key[0].as_py(), lang, _ints(table[codes])))  # code -1: the last entry
-        return B.table_of(rows, [("unit", pa.int64()), ("lang", pa.string()), ("ids", pa.binary())])
-
-    state = store(units.select("unit", "lang", "codes").groupBy("unit").cogroup(told.groupBy("of")).applyInArrow(
-        first, "unit long, lang string, ids binary"), "ids-1")
+    sent = store(word_blobs(units, groups), "words-sent")
+    words = store(ranked(frequent_words(sent, n_units, min_count), ["word"]), "words")
+    totals = store(units.select("lang", "n").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    state = store(word_ids(units, sent, words, n_units), "ids-1")
     none = F.array().cast("array<bigint>")
     parts = words.select("lang", "id", "f", F.array("word").alias("words"), none.alias("lf"), none.alias("rf"))
     found = []
@@ -346,7 +461,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
         blobs = store(pair_blobs(state, groups), f"pairs-{k}")
         pairs = store(ranked(frequent_pairs(blobs, n_units, min_count), ["i", "j"]), f"ranked-{k}")
         if k < max_words:
-            state = store(next_state(state, blobs, pairs, n_units), f"ids-{k}")
+            state = store(pair_state(state, blobs, pairs, n_units), f"ids-{k}")
         parts = store(grown(pairs, parts), f"phrases-{k}")
         found.append(parts)
     out = None
