@@ -7,6 +7,9 @@ reaches the reducer as one partial row per map task, not as its raw rows.
 
 from __future__ import annotations
 
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,6 +230,56 @@ def stat_summary(df: DataFrame, keys, cols, std="pop") -> DataFrame:
     return df.groupBy(*keys).agg(*aggs)
 
 
+#: blocks that a group is cut into for callbacks
+CALLBACK_BLOCKS = 32
+
+
+def stat_callbacks(df: DataFrame, keys, cols, callbacks: dict) -> DataFrame:
+    """User statistics by name, ``{col}_{name}`` per group, as grouped-aggregate pandas UDFs.
+
+    A callback is a pair (partial, final): ``partial(Series) -> list of floats`` on a block of a group's values,
+    ``final(2-d array) -> float`` on the partials of the group's blocks, a row each. A group is cut into up to CALLBACK_BLOCKS
+    blocks by the hash of its rows, so that no task or call holds a hot group. Nulls are left out before; a
+    group without values gives null, and so does a final of NaN."""
+    def partial_of(fn):
+        @F.pandas_udf("array<double>")
+        def run(values: pd.Series) -> Any:
+            values = values.dropna()
+            return [float(x) for x in fn(values)] if len(values) else None
+
+        return run
+
+    def final_of(fn):
+        @F.pandas_udf("double")
+        def run(partials: pd.Series) -> Any:
+            import numpy as np
+
+            kept = [p for p in partials if p is not None]
+            return float(fn(np.array(kept))) if kept else float("nan")
+
+        return run
+
+    block = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(CALLBACK_BLOCKS))
+    named = [(c, name, fns) for c in cols for name, fns in callbacks.items()]
+    parts = df.withColumn("_block", block).groupBy(*keys, "_block").agg(*[partial_of(p)(F.col(c).cast("double")).alias(f"{c}_{name}") for c, name, (p, _) in named])
+    out = parts.groupBy(*keys).agg(*[final_of(f)(f"{c}_{name}").alias(f"{c}_{name}") for c, name, (_, f) in named])
+    return out.withColumns({f"{c}_{name}": F.when(~F.isnan(f"{c}_{name}"), F.col(f"{c}_{name}")) for c, name, _ in named})
+
+
+def moment_callbacks() -> dict:
+    """Mean, population deviation, least and greatest value as callbacks (the deviation by pairwise merging of moments)."""
+    def moments(values):
+        mean = values.mean()
+        return len(values), mean, ((values - mean) ** 2).sum()
+
+    def deviation(parts):
+        n, mean, square = parts.T
+        return ((square.sum() + (n * (mean - (n * mean).sum() / n.sum()) ** 2).sum()) / n.sum()) ** 0.5
+
+    return {"mean": (moments, lambda p: (p[:, 0] * p[:, 1]).sum() / p[:, 0].sum()), "std": (moments, deviation),
+            "min": (lambda v: [v.min()], lambda p: p.min()), "max": (lambda v: [v.max()], lambda p: p.max())}
+
+
 def select_policies(pr: DataFrame, max_headway=350.0, min_headway=0.5, max_crash=None, n=3) -> DataFrame:
     """A16 + T2: mean per policy; keep headway max < a, min > b and crash-free (or crash
     mean < ``max_crash``); top n by system_mpg; mean / sample std (NULL -> 0) / min / max

@@ -3,10 +3,13 @@ responses are input tables; everything here is Column expressions or joins."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import materialize
 
 # ---- fixed values (must equal the studied code base) -------------------------
 ANSWER_TAGS = {
@@ -96,6 +99,44 @@ def knockout_champion(entrants: DataFrame, key: str, slot: str, score: str) -> D
     return cur.select(key, "champion_slot", F.col("_score").alias("champion_score"))
 
 
+def knockout_by_votes(entrants: DataFrame, key: str, slot: str, votes_for: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Knock-out bracket per ``key``, decided by votes on each match.
+
+    Slots are 0, 1, ... without holes. Round r pairs slots (2i, 2i + 1); ``votes_for`` gets the round's
+    matches (key, ``match``, ``a``, ``b``: the entrants' first slots) and returns votes (key, ``match``, ``winner``), any
+    number per match. Valid ones are 'A' and 'B'; the majority wins, a tie or no valid vote is settled by a seeded
+    draw (``draw_winner``), and an odd entrant out gets a bye. Returns (key, champion, n_votes, n_draws):
+    the valid votes cast and the matches drawn on the whole bracket.
+
+    log2 rounds of one grouping and one join, each a plain equi-join on (key, match): a round halves the field. Only the
+    largest field's size comes to the driver. Rows with a null key or slot are left out; an empty table has no champions."""
+    cur = entrants.filter(F.col(key).isNotNull() & F.col(slot).isNotNull()).select(
+        key, F.col(slot).cast("long").alias("_slot"), F.col(slot).cast("long").alias("champion"), F.lit(0).cast("long").alias("n_votes"),
+        F.lit(0).cast("long").alias("n_draws"))
+    field = cur.agg(F.max("_slot")).first()[0]
+    rounds = 0 if field is None else int(field).bit_length()
+    for _ in range(rounds):
+        side = lambda parity: F.max(F.when(F.col("_slot") % 2 == parity, F.struct("champion", "n_votes", "n_draws")))
+        pairs = cur.groupBy(key, F.shiftright("_slot", 1).alias("match")).agg(side(0).alias("_a"), side(1).alias("_b"))
+        pairs = materialize(pairs.select(key, "match", "_a", "_b", F.col("_a.champion").alias("a"), F.col("_b.champion").alias("b")))
+        cast = votes_for(pairs.filter("b is not null").select(key, "match", "a", "b")).groupBy(key, "match").agg(
+            F.count_if(F.col("winner") == "A").cast("long").alias("_va"), F.count_if(F.col("winner") == "B").cast("long").alias("_vb"))
+        x = pairs.join(cast, [key, "match"], "left").withColumns({"_va": F.coalesce("_va", F.lit(0)), "_vb": F.coalesce("_vb", F.lit(0))})
+        first = F.when(F.col("b").isNull() | (F.col("_va") > F.col("_vb")), True).when(F.col("_vb") > F.col("_va"), False).otherwise(
+            draw_winner(F.col(key), F.col("a"), F.col("b")))
+        both = lambda c: F.col(f"_a.{c}") + F.coalesce(F.col(f"_b.{c}"), F.lit(0))
+        drawn = (F.col("b").isNotNull() & (F.col("_va") == F.col("_vb"))).cast("long")
+        cur = x.select(key, F.col("match").alias("_slot"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("champion"),
+                       (both("n_votes") + F.col("_va") + F.col("_vb")).alias("n_votes"), (both("n_draws") + drawn).alias("n_draws"))
+    return cur.select(key, "champion", "n_votes", "n_draws")
+
+
+def draw_winner(key: Column, a: Column, b: Column) -> Column:
+    """The seeded stand-in for a random pick between two entrants: true for the first. Small factors, so no key overflows
+    before it is reduced."""
+    return F.pmod(F.pmod(key.cast("long"), F.lit(7919)) * 31 + a * 17 + b * 13, F.lit(2)) == 0
+
+
 def first_passing(attempts: DataFrame, key: str, attempt: str, passed: Column, payload: list[str]) -> DataFrame:
     """First passing attempt per key; keys with none get a 'No valid response' row."""
     ok = attempts.filter(passed).groupBy(key).agg(

@@ -108,22 +108,29 @@ def _segment_processor(min_rows: int, idle_ms: int):
             import pandas as pd
 
             x = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "tie"])
-            labels = x["label"].to_numpy()
-            last_ms = int(x["ts"].iloc[-1].timestamp() * 1000)
+            labels, at = x["label"].to_numpy(), x["ts"].astype("datetime64[ms]").astype("int64").to_numpy()
+            out = []
             if self.drive.exists():
-                start, cur, n, before = self.drive.get()
-                last_ms = max(last_ms, before)
+                start, cur, n, last = self.drive.get()
             else:
-                start, cur, n = 0, labels[0], 0
-                self.handle.registerTimer(last_ms + idle_ms)  # one timer a drive; it moves itself on when it fires
-            out = []
-            for j in np.flatnonzero(labels != np.concatenate([[cur], labels[:-1]])):  # only the flips are visited
-                i = n + int(j)
-                if i - start >= min_rows:
-                    out.append((key[0], cur, start, i))
-                    start = i
-                cur = labels[j]
-            self.drive.update((int(start), str(cur), int(n + len(labels)), last_ms))
+                start, cur, n, last = 0, labels[0], 0, int(at[0])
+                self.handle.registerTimer(int(at[-1]) + idle_ms + 1)  # one timer a drive; it moves itself on when it fires
+            # rows come before timers in a micro-batch: a silence is seen here too, wherever the rows are cut
+            quiet = np.flatnonzero(np.diff(at, prepend=last) > idle_ms).tolist()
+            edges = sorted({0, *quiet, len(at)})
+            for lo, hi in zip(edges, edges[1:]):
+                if lo in quiet:
+                    out.append((key[0], cur, start, n - 1))
+                    start, cur, n = 0, labels[lo], 0
+                part = labels[lo:hi]
+                for j in np.flatnonzero(part != np.concatenate([[cur], part])[:-1]):  # only the flips are visited
+                    i = n + int(j)
+                    if i - start >= min_rows:
+                        out.append((key[0], cur, start, i))
+                        start = i
+                    cur = part[j]
+                n += len(part)
+            self.drive.update((int(start), str(cur), int(n), max(int(at[-1]), last)))
             yield pd.DataFrame(out, columns=["traj_id", "state", "start", "end"])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -132,8 +139,8 @@ def _segment_processor(min_rows: int, idle_ms: int):
             out = []
             if self.drive.exists():
                 start, cur, n, last_ms = self.drive.get()
-                if last_ms + idle_ms > timerValues.getCurrentWatermarkInMs():
-                    self.handle.registerTimer(last_ms + idle_ms)
+                if last_ms + idle_ms >= timerValues.getCurrentWatermarkInMs():
+                    self.handle.registerTimer(last_ms + idle_ms + 1)
                 else:
                     out.append((key[0], cur, start, n - 1))
                     self.drive.clear()
@@ -147,9 +154,9 @@ def _segment_processor(min_rows: int, idle_ms: int):
 
 def closed_segments(events: DataFrame, key: str, velocity: Column, min_rows: int = 100, idle: str = "30 days", delay: str = "10 minutes",
                     tie: str = "event_id") -> DataFrame:
-    """X-5 for append mode: a traffic-state segment is emitted once, when it closes. The last one of a drive
-    closes when the watermark passes the drive's last row by ``idle``; its state is dropped then, and
-    rows after that are a new drive numbered from 0. Rows with a null key are left out."""
+    """X-5 for append mode: a traffic-state segment is emitted once, when it closes. A drive ends with a silence of more than
+    ``idle``: its last segment closes when the watermark (or its next row) is that far, its state is dropped, and
+    later rows are a new drive numbered from 0. Rows with a null key or time are left out."""
     from ..operators.traffic import traffic_state
 
     x = events.withWatermark("event_time", delay).select(F.col(key).cast("string").alias("key"), F.col("event_time").alias("ts"), F.col(tie).alias("tie"),
