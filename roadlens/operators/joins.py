@@ -1,7 +1,7 @@
 """Join shapes the domain needs beyond a plain equi-join.
 
-* as-of (J1): an equi-join on time cells with the interval as its condition, never a bare
-  inequality join (``rt <= t`` alone plans as a nested-loop join);
+* as-of (J1): both sides united, the last right row carried forward inside and across time cells,
+  never an inequality join (``rt <= t`` alone plans as a nested-loop join);
 * point-in-segment (J2): the segment starts of a road are a bounded list (one row per
   road, array of starts); a row finds its segment by counting starts <= position;
 * interval payload (J3/J12): bounded dimension (road map, knot list) broadcast behind
@@ -10,14 +10,32 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.broadcast import join_small, maybe_broadcast
 
 
-#: coarse cells of the right side's own ordering (rows of a small table per key)
-COARSE = 256
+#: rows of both sides that a time cell of the as-of join holds on average, and the most cells (two levels of a search)
+ASOF_CELL_ROWS = 100_000
+ASOF_CELLS = 4096
+
+
+def _time_cells(rows: DataFrame, t: str, cells: int) -> Column:
+    """Number of the cell of ``t``: cells hold about equally many ``rows``, wherever the times are. Their bounds are
+    quantiles read once (``cells`` numbers); a row finds its own by a search in two short arrays."""
+    if cells <= 1:
+        return F.lit(0)
+    at = [k / cells for k in range(1, cells)]
+    bounds = sorted(set(rows.agg(F.percentile_approx(t, at, 10 * cells)).first()[0] or []))
+    width = max(1, math.isqrt(len(bounds)))
+    blocks = [bounds[k:k + width] for k in range(0, len(bounds), width)]
+    numbers = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    block = F.greatest(F.size(F.filter(numbers([x[0] for x in blocks]), lambda x: x <= F.col(t))) - 1, F.lit(0))
+    inner = F.element_at(F.array(*[numbers(x) for x in blocks]), block + 1)
+    return block * width + F.size(F.filter(inner, lambda x: x <= F.col(t)))
 
 
 def asof_join(
@@ -28,50 +46,42 @@ def asof_join(
     right_t: str,
     payload: list[str],
     clamp_first: bool = True,
+    cell_rows: int | None = None,
 ) -> DataFrame:
     """For each left row, the right row with the largest ``right_t <= left_t`` per key
     (``bisect_right - 1``); before the first right row, the first one when ``clamp_first``
-    (the source's ``max(i, 0)``), else NULL. Of right rows with equal times one is taken.
-
-    A right row holds from its time to the next one's. The time axis is cut into as many
-    cells as a key has right rows on average (count and span are read first), so these
-    intervals meet about two cells per right row, and the join is an equi-join on (keys,
-    cell) with the interval as its condition: the left side is neither sorted nor
-    gathered, whatever its size, and Spark may broadcast a small right side or split a
-    hot cell. The next time is found inside coarse cells and, across them, in a table of
-    ``COARSE`` rows per key.
+    (the source's ``max(i, 0)``), else NULL. Of right rows with equal times one is taken. A null
+    time or key on the left has no match; on the right it is left out.
+
+    Both sides are united and carry the last right row forward: inside (keys, time cell) by a window, across
+    cells by a table of one row per key and cell in use. Cells are quantiles of all times, so a burst of times
+    or a hot key is many cells of about ``cell_rows`` rows, and no left row ever meets more than its one
+    match (an equi-join on cells pairs all rows of a full cell).
     """
     match = right_t + "_match"
     kinds = {f.name: f.dataType for f in right.schema.fields}
-    r = right.select(*keys, F.col(right_t).cast("double").alias("_rt"), F.col(right_t).alias(match), *payload).filter("_rt is not null")
-    r = r.dropDuplicates([*keys, "_rt"])
-    n_keys = F.approx_count_distinct(F.struct(*keys)) if keys else F.lit(1)
-    n, lo, hi, k = r.agg(F.count(F.lit(1)), F.min("_rt"), F.max("_rt"), F.max(F.lit(1)) if not keys else n_keys).first()
-    if not n:
-        return left.select("*", F.lit(None).cast(kinds[right_t]).alias(match), *(F.lit(None).cast(kinds[c]).alias(c) for c in payload))
-    cells = max(1, -(-n // max(1, k)))
-    width = (hi - lo) / cells or 1.0
-
-    def cell(t):
-        return F.least(F.greatest(F.floor((t - lo) / width), F.lit(0)), F.lit(cells)).cast("long")
-
-    r = r.withColumn("_g", F.floor(cell(F.col("_rt")) / (cells // COARSE + 1)).cast("long"))
-    inner = Window.partitionBy(*keys, "_g").orderBy("_rt")
-    outer = Window.partitionBy(*keys).orderBy("_g")
-    firsts = r.groupBy(*keys, "_g").agg(F.min("_rt").alias("_f"))
-    firsts = firsts.select(*keys, "_g", F.lead("_f").over(outer).alias("_nf"), F.lag("_f").over(outer).isNull().alias("_head"))
-    r = r.withColumn("_n", F.lead("_rt").over(inner)).withColumn("_p", F.lag("_rt").over(inner)).join(firsts, [*keys, "_g"])
-    r = r.withColumn("_n", F.coalesce("_n", "_nf")).withColumn("_first", F.col("_head") & F.col("_p").isNull() & F.lit(clamp_first))
-    start = F.when(F.col("_first"), F.lit(0).cast("long")).otherwise(cell(F.col("_rt")))
-    stop = F.when(F.col("_n").isNull(), F.lit(cells).cast("long")).otherwise(cell(F.col("_n")))
-    r = r.withColumn("_c", F.explode(F.sequence(start, stop))).drop("_g", "_nf", "_head", "_p")
-    rk = {c: f"_k_{c}" for c in keys}
-    r = r.withColumnsRenamed(rk)
-    x = left.withColumn("_lt", F.col(left_t).cast("double")).withColumn("_lc", cell(F.col("_lt")))
-    on = (F.col("_lc") == F.col("_c")) & (F.col("_first") | (F.col("_lt") >= F.col("_rt"))) & (F.col("_n").isNull() | (F.col("_lt") < F.col("_n")))
-    for c, kc in rk.items():
-        on = on & (x[c] == r[kc])
-    return x.join(r, on, "left").select(*left.columns, match, *payload)
+    own = [F.col(right_t).alias(match), *[F.col(c) for c in payload]]
+    r = right.select(*keys, F.col(right_t).cast("double").alias("_t"), F.struct(*own).alias("_row")).filter("_t is not null").dropna(subset=keys or None)
+    r = r.dropDuplicates([*keys, "_t"]).select(*keys, "_t", F.lit(0).alias("_o"), "_row")
+    x = left.select(*keys, F.col(left_t).cast("double").alias("_t"), F.lit(1).alias("_o"), F.struct(*left.columns).alias("_left"))
+    rows = x.unionByName(r, allowMissingColumns=True)
+    n = rows.count()
+    cells = min(ASOF_CELLS, -(-n // (cell_rows or ASOF_CELL_ROWS)))
+    rows = rows.withColumn("_cell", _time_cells(rows, "_t", cells))
+    before = Window.partitionBy(*keys, "_cell").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("_in", F.last("_row", ignorenulls=True).over(before)).filter("_o = 1 and _t is not null")
+    dated = F.when(F.col("_row").isNotNull(), F.col("_t"))
+    table = rows.groupBy(*keys, "_cell").agg(F.max_by("_row", dated).alias("_last"), F.min_by("_row", dated).alias("_lead"))
+    over = Window.partitionBy(*keys).orderBy("_cell")
+    whole = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    table = table.select(*keys, "_cell", F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
+                         F.first("_lead", ignorenulls=True).over(whole).alias("_head"))
+    found = inside.select(*keys, "_cell", "_left", "_in").join(table, [*keys, "_cell"], "left")
+    row = F.coalesce("_in", "_carry", *(["_head"] if clamp_first else []))
+    cols = [*[F.col(f"_left.`{c}`").alias(c) for c in left.columns]]
+    out = found.withColumn("_row", row).select(*cols, *[F.col(f"_row.`{c}`").alias(c) for c in (match, *payload)])
+    none = [F.lit(None).cast(kinds[right_t]).alias(match), *[F.lit(None).cast(kinds[c]).alias(c) for c in payload]]
+    return out.unionByName(left.filter(F.col(left_t).isNull()).select(*left.columns, *none))
 
 
 def segment_index(df: DataFrame, pos: str, starts: DataFrame, start_col: str, keys: list[str] | None = None,

@@ -108,9 +108,22 @@ def sliding_windows(df: DataFrame, keys: list[str], seq: str, cols: list[str], w
     return x.filter(F.size("rows") == w).select(*keys, F.col(seq).alias("start"), "rows")
 
 
+def future_rows(df: DataFrame, windows: DataFrame, keys: list[str], seq: str, cols: list[str], seen: int, w: int) -> DataFrame:
+    """For the windows named by (keys, ``start``), the last ``w - seen`` of their ``w`` rows as arrays ``t_{col}``; windows that are
+    not full are left out. Only the rows that some named window needs meet it, by an equi-join on (keys, seq): the log is
+    neither windowed nor copied. ``seq`` must be dense."""
+    steps = list(range(seen, w))
+    need = windows.distinct().select(*keys, "start", F.explode(F.array(*[F.lit(k) for k in steps])).alias("_k")).withColumn(seq, F.col("start") + F.col("_k"))
+    met = df.select(*keys, seq, *cols).join(need, [*keys, seq])
+    at = lambda c: F.array(*[F.max(F.when(F.col("_k") == k, F.col(c))) for k in steps]).alias(f"t_{c}")
+    return met.groupBy(*keys, "start").agg(F.count(F.lit(1)).alias("_n"), *[at(c) for c in cols]).filter(F.col("_n") == len(steps)).drop("_n")
+
+
 def seeded_order(key: Column, seed: int) -> Column:
-    """Seeded pseudo-random order used by L3/L4 (reproducible in SQL: integer hash)."""
-    return F.pmod(key.cast("long") * 2654435761 + F.lit(seed) * 97, F.lit(4294967291))
+    """Seeded pseudo-random order used by L3/L4 and P9 (reproducible in SQL: integer hash). Exact for any 64-bit key: the
+    product passes 64 bits."""
+    prime = 4294967291
+    return F.pmod(F.pmod(key.cast("long"), F.lit(prime)).cast("decimal(38,0)") * 2654435761 + seed * 97, F.lit(prime)).cast("long")
 
 
 def masked_items(groups: DataFrame, key: str, pos: str, item: str, mask: str = "[MASK]") -> DataFrame:

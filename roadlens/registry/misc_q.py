@@ -261,7 +261,7 @@ def p1(spark, d):
 )
 def p9(spark, d):
     e = tb.table(spark, d, "events")
-    keep = F.pmod(F.col("event_id") * 2654435761 + 42, F.lit(1000)) < 300
+    keep = F.pmod(F.pmod("event_id", F.lit(1000)) * (2654435761 % 1000) + 42, F.lit(1000)) < 300  # reduced first: no key overflows
     return e.filter(keep).select("event_id", "user_id", "value").sortWithinPartitions("value")
 
 

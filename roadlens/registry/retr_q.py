@@ -242,20 +242,19 @@ def _l11_sql():
 )
 def l11(spark, d):
     log = lead_log(spark, d).filter(F.col("leader_speed").isNotNull())
-    w = rt.sliding_windows(log, ["run_id", "id_num"], "step", list(L11_COLUMNS.values()), 10)
     u = F.col("window_id") % 150
     a = tb.answer(spark, d).select(
         "window_id", F.floor(u / 15).alias("run_id"), (F.col("window_id") % 15).alias("id_num"), (F.floor(F.col("window_id") / 150) % 40).alias("start"),
         *(tx.extract_values("response", t).alias(f"p_{c}") for t, c in L11_COLUMNS.items()))
-    j = a.join(w, ["run_id", "id_num", "start"], "left")
+    truth = rt.future_rows(log, a.select("run_id", "id_num", "start"), ["run_id", "id_num"], "step", list(L11_COLUMNS.values()), 6, 10)
+    j = a.join(truth, ["run_id", "id_num", "start"], "left")
     for c in L11_COLUMNS.values():
-        truth = F.slice(F.col(f"rows.{c}"), 7, 4)
-        j = j.withColumn(f"e_{c}", F.when(F.col(f"p_{c}").isNotNull() & F.col("rows").isNotNull(), vx.rmse(f"p_{c}", truth)))
+        j = j.withColumn(f"e_{c}", F.when(F.col(f"p_{c}").isNotNull() & F.col(f"t_{c}").isNotNull(), vx.rmse(f"p_{c}", F.col(f"t_{c}"))))
     ok = F.lit(True)
     for c in L11_COLUMNS.values():
         ok = ok & F.col(f"p_{c}").isNotNull()
     kept = lambda x: F.when(F.isnan(x), x).otherwise(rnd(x, 6))  # noqa: E731  (rnd turns NaN into 0)
-    overall = F.when(ok & F.col("rows").isNotNull(), kept(vx.nan_mean([F.col("e_speed"), F.col("e_headway"), F.col("e_leader_speed")])))
+    overall = F.when(ok & F.col("t_speed").isNotNull(), kept(vx.nan_mean([F.col("e_speed"), F.col("e_headway"), F.col("e_leader_speed")])))
     return j.select("window_id", ok.alias("all_extractable"), *(kept(F.col(f"e_{c}")).alias(f"{t.removeprefix('future_')}_l2") for t, c in L11_COLUMNS.items()),
                     overall.alias("overall_l2"))
 
