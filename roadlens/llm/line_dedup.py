@@ -29,6 +29,14 @@ BROADCAST_LINES = 200_000
 SALTS = 64
 
 
+def free_name(name: str, taken) -> str:
+    """``name``, with underscores added until no column of ``taken`` has it (names differ by more than case)."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _hash(line):
     return F.xxhash64(F.trim(line))
 
@@ -46,24 +54,26 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, percent: int, mi
 
 def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", percent: int = PERCENT, min_pages: int = MIN_PAGES,
                      broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """``pages`` with boilerplate lines taken out of ``text_col``, plus _lines and _dropped (counts)."""
-    found = cut_lineage(boilerplate(pages, host_col, text_col, percent, min_pages)).withColumnRenamed("host", "_host").withColumnRenamed("drop", "_drop")
-    size = found.agg(F.coalesce(F.sum(F.size("_drop") + 4), F.lit(0))).first()[0]
-    same = F.col(host_col).eqNullSafe(F.col("_host"))
+    """``pages`` with boilerplate lines taken out of ``text_col``, plus _lines and _dropped (counts; with a further
+    underscore where ``pages`` has such a column, see ``free_name``)."""
+    host, drop, salt, spread_, kept_ = (free_name(n, pages.columns) for n in ("_host", "_drop", "_salt", "_spread", "_kept"))
+    found = cut_lineage(boilerplate(pages, host_col, text_col, percent, min_pages)).toDF(host, drop)
+    size = found.agg(F.coalesce(F.sum(F.size(drop) + 4), F.lit(0))).first()[0]
+    same = F.col(host_col).eqNullSafe(F.col(host))
     if size <= broadcast_lines:
         joined = pages.join(F.broadcast(found), same, "left")
     else:
-        salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        spread = pages.withColumn("_spread", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
-        joined = spread.join(salted, same & (F.col("_spread") == F.col("_salt")), "left").drop("_spread", "_salt")
+        salted = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = pages.withColumn(spread_, F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
+        joined = spread.join(salted, same & (F.col(spread_) == F.col(salt)), "left").drop(spread_, salt)
     lines = F.split(text_col, "\n", -1)
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("_drop", _hash(x))))
-    out = joined.withColumn("_kept", kept)
+    kept = F.when(F.col(drop).isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(drop, _hash(x))))
+    out = joined.withColumn(kept_, kept)
     n_lines = F.coalesce(F.size(lines), F.lit(0))
     return out.select(
-        *(F.array_join("_kept", "\n").alias(c) if c == text_col else F.col(c) for c in pages.columns),
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("_lines"),
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n_lines - F.size("_kept")).cast("long").alias("_dropped"))
+        *(F.array_join(kept_, "\n").alias(c) if c == text_col else F.col(c) for c in pages.columns),
+        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias(free_name("_lines", pages.columns)),
+        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n_lines - F.size(kept_)).cast("long").alias(free_name("_dropped", pages.columns)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

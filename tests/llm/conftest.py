@@ -22,4 +22,4 @@ def odd_docs(docs_of):
     long = " ".join(f"w{i % 977}x{i % 13}" for i in range(30000))
     pairs = [(1, None), (2, ""), (3, "   \n\t "), (4, long), (5, long), (6, "one two three"), (6, "one two three"), (6, "other text"),
              (None, "no id here at all"), (7, "a " * 60), (8, "a " * 45 + "b"), (9, "\n\n\n"), (10, "é ü 日本   x")]
-    return docs_of(pairs).withColumns({c: F.lit("clash") for c in ("_id", "_text", "blk", "bucket", "length", "host", "h", "label", "g", "piece")})
+    return docs_of(pairs).withColumns({c: F.lit("clash") for c in ("_id", "_text", "blk", "bucket", "length", "host", "h", "label", "g", "piece", "_host", "_drop", "_salt", "_spread", "_kept", "_lines", "_dropped", "_row_key", "_rank", "_again")})

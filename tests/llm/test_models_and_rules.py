@@ -175,9 +175,14 @@ def test_line_dedup(spark, limit):
         host = r.choice([None, "a", "a", "b", "c", ""])
         lines = [r.choice(["menu", " menu", "cookies ", f"line {r.randint(0, 200)}", "", "  ", "tail", "a\ttab"]) for _ in range(r.randint(0, 8))]
         rows.append((host, None if i % 40 == 0 else "\n".join(lines)))
-    frame = spark.createDataFrame(rows, "source string, text string").withColumn("_host", F.lit(1)).withColumn("_lines2", F.lit(2)).drop("_host")
+    frame = spark.createDataFrame(rows, "source string, text string")
     got = line_dedup.drop_boilerplate(frame, percent=20, min_pages=5, broadcast_lines=limit)
     assert sorted(((x.source, x._lines, x._dropped, x.text) for x in got.collect()), key=repr) == plain_lines(rows, 20, 5)
+    clash = ["_host", "_drop", "_salt", "_spread", "_kept", "_lines", "_dropped", "_Dropped_", "host", "drop", "h", "hs", "n", "pages", "site"]
+    odd = frame.withColumns({c: F.lit(f"mine {c}") for c in clash})
+    got = line_dedup.drop_boilerplate(odd, percent=20, min_pages=5, broadcast_lines=limit).collect()
+    assert sorted(((x.source, x._lines_, x._dropped__, x.text) for x in got), key=repr) == plain_lines(rows, 20, 5)
+    assert all(x[c] == f"mine {c}" for x in got for c in clash)
     assert line_dedup.drop_boilerplate(frame.limit(0)).count() == 0
 
 
@@ -450,11 +455,21 @@ def test_pipeline_stages_odd(spark, odd_docs, tmp_path):
             docs = stage(spark, docs, str(tmp_path))
             assert docs.columns == start.columns
         if start is plain:
-            ids = sorted((r.doc_id is not None, r.doc_id or 0) for r in docs.collect())
-            assert len(ids) == len(set(ids)) and (True, 5) not in ids and (True, 4) in ids
+            rows = [(r.doc_id, r.text) for r in docs.collect()]
+            assert len(rows) == len(set(rows)) and 5 not in dict(rows) and 4 in dict(rows)
+            assert {(6, "one two three"), (6, "other text")} <= set(rows)
         corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).count()
 
 
+def test_rows_of_one_hash_are_told_apart(spark):
+    import corpus_pipeline
+
+    rows = spark.createDataFrame([("a", 7, 1), ("b", 7, 2), ("b", 7, 2), ("c", 8, 1), ("c", 8, 1), ("d", 9, 1)], "text string, key long, again long")
+    keyed, twice = corpus_pipeline._keyed(rows, "key", "again")
+    keys = {r.text: r.key for r in keyed.collect()}
+    assert len(set(keys.values())) == 4 and {r.key for r in twice.collect()} == {keys["b"], keys["c"]} and set(keyed.columns) == {"text", "key"}
+
+
 def test_near_duplicates_by_row(spark, docs_of):
     """Rows that share an id, or have none, go only with a near copy that stays."""
     import corpus_pipeline
