@@ -21,8 +21,8 @@ connect have one answer, so a second pass derives theirs from the first: for eac
 components that meet in a list, the pair nearest by signature is verified. In a third,
 all possible pairs between the components still different are. Every pair the index
 proposes is thus verified, refuted by a bound, or already in one component; no list is
-capped. Lists longer than ``LIST`` sets are dealt to tasks in chunks, in pairs of chunks
-for the later passes.
+capped. Lists longer than ``LIST`` sets are dealt to tasks in chunks; in the later passes only
+entries outside a list's largest component go to more than one of its chunks.
 
 Empty texts have empty sets and stand alone. Rows with equal ids are one node of the link
 graph. A null id counts as the smallest. Extra columns are ignored. An empty table gives
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ensure_checkpoint_dir
 from . import blocks as B
-from .graph import components
+from .graph import components, few
 
 SHINGLE = 5
 SIMILARITY = 80  # percent
@@ -50,6 +50,8 @@ SKIP = 64  # entries of a skip block
 BITS = 512
 #: ids (8 bytes each) that may be broadcast to thin out a table
 BROADCAST_IDS = 500_000
+#: pairs that a task verifies
+VERIFY_PAIRS = 5000
 
 
 class _Sets:
@@ -218,15 +220,40 @@ def table_of_pairs(a, b) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
+def _small(ids: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(ids) if rows <= BROADCAST_IDS else ids
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """Pairs whose whole sets reach the similarity."""
-    ids = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    needed = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-    left = needed.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = needed.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    inter = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").filter(
-        100 * inter >= t * (F.size("x") + F.size("y") - inter)).select("a", "b").distinct()
+    """Pairs whose whole sets reach the similarity.
+
+    A pair is checked in the slot of its ``b``. A slot gets the sets of its own ``b`` once, and each ``a`` that any of
+    its pairs names once: the set of a leader of very many goes to every slot, not along with every pair."""
+    n = pairs.count()
+    if not n:
+        return pairs
+    slots = max(1, -(-n // VERIFY_PAIRS))
+    at = pairs.select("a", "b", F.pmod(F.xxhash64("b", F.lit(11)), F.lit(slots)).cast("int").alias("slot"))
+    wanted = at.select("slot", F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = cut_lineage(few(wanted, n))
+    held = sets.join(_small(wanted, wanted.count()), "id").select("slot", "id", "shingles")
+
+    def check(key, pairs, held):
+        kept = []
+        if len(pairs) and len(held):
+            of = {}
+            column = held.column("shingles").combine_chunks()
+            values, ends = column.flatten().to_numpy(), np.asarray(column.value_lengths()).cumsum()
+            for i, e, m in zip(held.column("id").to_pylist(), ends, np.asarray(column.value_lengths())):
+                of.setdefault(i, []).append(values[e - m:e])
+            for x, y in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+                for p in of.get(x, ()):  # an id may stand for several sets
+                    if any(100 * (both := len(np.intersect1d(p, q, assume_unique=True))) >= t * (len(p) + len(q) - both) for q in of.get(y, ())):
+                        kept.append((x, y))
+                        break
+        return B.table_of(kept, _PAIR)
+
+    return at.groupBy("slot").cogroup(held.groupBy("slot")).applyInArrow(check, "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,21 +337,35 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY
     joined = cut_lineage(components(links))
 
     def crossing(joined: DataFrame, best: bool) -> DataFrame:
-        """Untried possible pairs between different components."""
-        label = entries.join(joined.withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        open_lists = label.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-        spread = label.join(open_lists, "token", "left_semi").withColumn("own", own).withColumn("other", other).select(
-            "id", "n", "bits", "token", "pos", "comp", (F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")).alias("chunk"),
-            F.when(F.col("own") == F.col("other"), F.lit(0)).otherwise(F.sign(F.col("own") - F.col("other"))).cast("long").alias("side"))
+        """Untried possible pairs between different components.
+
+        The largest component of a list is dealt to chunks; only entries of the others meet each of them, and
+        each other, chunk by chunk."""
+        label = entries.join(_small(joined.withColumnRenamed("root", "comp"), joined.count()), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        parts = label.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
+        lists = parts.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("comps"))
+        lists = cut_lineage(lists.filter("comps > 1").select("token", F.col("top.comp").alias("major"), F.ceil(F.col("top.n") / LIST).cast("int").alias("cm"),
+                                                             F.ceil((F.col("all") - F.col("top.n")) / LIST).cast("int").alias("cv")))
+        mine = label.join(_small(lists, lists.count()), "token").withColumn("in_major", F.col("comp") == F.col("major"))
+        mine = mine.withColumns({"m": F.pmod(F.xxhash64("id", F.lit(3)), F.col("cm")).cast("int"), "v": F.pmod(F.xxhash64("id", F.lit(5)), F.col("cv")).cast("int")})
+        upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+        place = lambda chunk, side: F.struct(chunk.cast("int").alias("chunk"), side.cast("long").alias("side"))
+        lead = F.transform(upto("cv"), lambda o: place(F.col("m") * F.col("cv") + o, F.lit(0)))
+        visit = F.transform(upto("cm"), lambda o: place(o * F.col("cv") + F.col("v"), F.lit(1)))
+        among = F.transform(upto("cv"), lambda o: place(
+            (F.col("cm") + F.least(o, F.col("v"))) * F.col("cv") + F.greatest(o, F.col("v")), F.signum((F.col("v") - o).cast("double"))))
+        spread = mine.select("id", "n", "bits", "token", "pos", "comp", F.explode(F.when(F.col("in_major"), lead).otherwise(F.concat(visit, among))).alias("at"))
+        spread = spread.select("id", "n", "bits", "token", "pos", "comp", "at.chunk", "at.side")
         found = spread.groupBy(slot("token", "chunk").alias("slot")).applyInArrow(_group_pairs(t, True, best), "a long, b long")
         return cut_lineage(found.filter("a <> b").distinct().join(tried, ["a", "b"], "left_anti"))
 
     for best in (True, False):  # the nearest pair of two components settles most of the others
         late = crossing(joined, best)
-        links = cut_lineage(links.unionByName(_verified(late, sets, t)))
+        more = cut_lineage(_verified(late, sets, t))
+        links = links.unionByName(more)
         tried = tried.unionByName(late)
-        joined = cut_lineage(components(links))
+        if not more.isEmpty():
+            joined = cut_lineage(components(links))
     root = joined
 
     named = rows.join(classes.withColumn("class_id", F.col("rep._id")).drop("rep"), ["n", "s1", "s2"], "left")

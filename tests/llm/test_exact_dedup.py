@@ -175,6 +175,44 @@ def test_jaccard_join(docs_of, monkeypatch, seed, list_size):
     assert 1 < len({c for _, _, c in want}) < len(want) - 20
 
 
+def twins(size):
+    """Two different words of ``size`` bytes whose polynomials modulo a power of two agree from 1,024 bytes on."""
+    marks = [bin(i).count("1") % 2 for i in range(size)]
+    return "".join("ab"[m] for m in marks), "".join("ba"[m] for m in marks)
+
+
+@pytest.mark.parametrize("size", [256, 1024, 4096])
+def test_structured_long_words_stay_apart(docs_of, size):
+    a, b = twins(size)
+    shared = [f"w{i}" for i in range(19)]
+    pairs = [(1, " ".join([*shared, a])), (2, " ".join([*shared, b])), (3, " ".join([a] * 5)), (4, " ".join([b] * 5)), (5, a), (6, b), (7, b)]
+    got = substring_dedup.substring_dedup(docs_of(pairs)).collect()
+    assert sorted(map(tuple, got), key=repr) == words_left(pairs, 20)
+    got = jaccard_join.jaccard_join(docs_of(pairs)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == components_of(pairs)
+    runs = B.Runs([a.encode(), b.encode()])
+    assert len(set(runs.h.tolist())) == 2
+
+
+def test_large_group_of_near_copies(docs_of, monkeypatch):
+    """Many near copies of one text in chunks of lists, beside texts that share words with them."""
+    monkeypatch.setattr(jaccard_join, "LIST", 16)
+    monkeypatch.setattr(jaccard_join, "VERIFY_PAIRS", 50)
+    r = random.Random(12)
+    base = [f"w{r.randint(0, 400)}" for _ in range(80)]
+    pairs = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(len(w))] = f"x{r.randint(0, 10**6)}"
+        pairs.append((i, " ".join(w)))
+    for i in range(160, 220):  # parts of the text: near each other or not, never near the whole
+        at = r.randint(0, 30)
+        pairs.append((i, " ".join(base[at:at + r.randint(20, 40)])))
+    got = jaccard_join.jaccard_join(docs_of(pairs)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == components_of(pairs)
+
+
 def test_jaccard_join_odd(odd_docs):
     got = jaccard_join.jaccard_join(odd_docs).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=repr) == components_of([(r.doc_id, r.text) for r in odd_docs.collect()])
