@@ -147,3 +147,22 @@ def markdown_rows(rows: Column, cols: list[str]) -> Column:
     """'| a | b |' per row of an ordered ARRAY<STRUCT>, newline joined."""
     return F.array_join(F.transform(rows, lambda r: F.concat(
         F.lit("| "), F.concat_ws(" | ", *[r[c].cast("string") for c in cols]), F.lit(" |"))), "\n")
+
+
+def frame_text(rows: Column, cols: dict[str, str], max_rows: int | None = None) -> Column:
+    """a window (ordered ARRAY<STRUCT>) as text for a prompt: shape, columns with their types, and a table. ``cols``: name -> type
+    as shown; values are cast as they are (round before). Longer windows keep the first and last ``max_rows // 2`` rows."""
+    if max_rows is not None:
+        half = max_rows // 2
+        rows = F.when(F.size(rows) > max_rows, F.concat(F.slice(rows, 1, half), F.slice(rows, F.size(rows) - half + 1, half))).otherwise(rows)
+    names = list(cols)
+    head = "\n\nColumns:\n" + "".join(f"- {c} ({kind})\n" for c, kind in cols.items()) + "\nData:\n"
+    head += "| " + " | ".join(names) + " |\n| " + " | ".join("-" * len(c) for c in names) + " |\n"
+    shape = F.concat(F.lit("DataFrame with shape: "), F.size(rows).cast("string"), F.lit(f" rows \u00d7 {len(names)} columns"))
+    return F.concat(shape, F.lit(head), markdown_rows(rows, names), F.lit("\n"))
+
+
+def documents_text(docs: Column, fields: list[str]) -> Column:
+    """retrieved documents (ordered ARRAY<STRUCT>) as the prompt has them, numbered from 0; none: a sentence that says so."""
+    one = lambda d, i: F.concat(F.lit("Situation n:"), i.cast("string"), F.lit(" \n"), kv_text([(f, d[f]) for f in fields]), F.lit("\n\n"))
+    return F.when(F.size(docs) > 0, F.array_join(F.transform(docs, one), "")).otherwise(F.lit("No similar situations found in the database."))

@@ -333,3 +333,15 @@ def skip_sparse(df: DataFrame, keys, col: str, max_null_frac=0.5) -> DataFrame:
         .filter(F.col("_f") <= max_null_frac)
         .drop("_f")
     )
+
+
+def step_context(c: DataFrame, run: str = "run_id", step: str = "step", id_num: str = "id_num", vid: str = "id", humans: bool = False) -> DataFrame:
+    """For every AV and step, (avg_miles, avg_gallons with 1e-6 each, time_frac of the run's last step, av_pos, headway and
+    leader_speed where ``c`` has them). Averages are over the AVs, and the humans too if flagged."""
+    av = F.col(vid).contains("av")
+    counted = (av | F.col(vid).contains("human")) if humans else av
+    g = c.groupBy(run, step).agg(F.avg(F.when(counted, F.col("total_miles"))).alias("avg_miles"),
+                                 F.avg(F.when(counted, F.col("total_gallons") + 1e-6)).alias("avg_gallons"))
+    last = c.groupBy(run).agg(F.max(step).alias("_last"))
+    own = c.filter(av).select(run, step, id_num, F.col("position").alias("av_pos"), *[x for x in ("headway", "leader_speed") if x in c.columns])
+    return own.join(g, [run, step]).join(last, run).withColumn("time_frac", F.col(step) / F.col("_last")).drop("_last")

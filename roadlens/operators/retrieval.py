@@ -133,3 +133,38 @@ def masked_items(groups: DataFrame, key: str, pos: str, item: str, mask: str = "
     x = g.select(key, "_items", F.posexplode("_items").alias("masked_pos", "hint"))
     prompt = F.array_join(F.transform("_items", lambda v, i: F.when(i == F.col("masked_pos"), F.lit(mask)).otherwise(v)), "\n")
     return x.select(key, "masked_pos", prompt.alias("prompt"), "hint")
+
+
+def nearest_by_distance(queries: DataFrame, qid: str, qvec: str, store: DataFrame, did: str, dvec: str, k: int) -> DataFrame:
+    """F22 / R2 with the negative L2 distance as the score: the ``k`` greatest per query over the whole store, ties by document id."""
+    st = store.select(F.col(did).alias("doc_id"), vx.as_double(dvec).alias("_dv"))
+    q = queries.select(F.col(qid).alias("query_id"), vx.as_double(qvec).alias("_qv"))
+    pairs = against_all(q, st).select("query_id", "doc_id", vx.neg_l2("_qv", "_dv").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def scenario_score(judge_text: Column, tag: str = "score") -> Column:
+    """The judge's integer score as a share of its scale; null where the tag is missing or no integer."""
+    return tx.extract_tag(judge_text, tag).try_cast("int") / SCENARIO_SCALE
+
+
+def admission_score(logic: Column, scenario: Column, weight: float = LOGIC_WEIGHT) -> Column:
+    """Weighted mean of logic and scenario score; null if either is."""
+    return weight * logic + (1 - weight) * scenario
+
+
+def window_records(windows: DataFrame, key: str, state: list[str], retrieved: DataFrame, response: str, first_cols: dict[str, str]) -> DataFrame:
+    """The record of each window. ``windows``: one row each with its first row's columns and the model's ``response``;
+    ``retrieved``: (``key``, rank, doc_id) and the documents' ``state`` columns.
+
+    Returns ``key``; ``situation`` and ``documents`` as the prompt has them; action_explanation and situation_analysis (tags task1, task2);
+    ``action``, the numbers of task1's action tag (null if any is bad); ``first_cols`` renamed; ``retrieved_ids``, best first
+    (empty for a window without documents)."""
+    docs = retrieved.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", *state))).alias("_docs"))  # k of a window
+    x = windows.join(docs, key, "left").withColumn("_docs", F.coalesce("_docs", F.array().cast(docs.schema["_docs"].dataType)))
+    task1 = tx.extract_tag(F.col(response), "task1")
+    return x.select(key, tx.kv_text([(c, F.col(c)) for c in state]).alias("situation"), tx.documents_text(F.col("_docs"), state).alias("documents"),
+                    task1.alias("action_explanation"), tx.extract_tag(F.col(response), "task2").alias("situation_analysis"),
+                    tx.extract_values(task1, "action").alias("action"), *[F.col(c).alias(n) for c, n in first_cols.items()],
+                    F.transform("_docs", lambda d: d["doc_id"]).alias("retrieved_ids"))

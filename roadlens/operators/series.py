@@ -286,3 +286,24 @@ def lane_change_flags(df, keys, seq, headway="headway", accel="accel", speed="sp
     flag = (F.when((diff <= -lc_thresh) & (da > 0.9 * dt) & safe, -1)
             .when((diff >= lc_thresh) & (da > 0.9 * dt) & safe, 1).otherwise(0))
     return x.withColumn(name, F.coalesce(flag, F.lit(0))).drop("_ph", "_pa")
+
+
+def memory_features(df, keys, seq, values: dict[str, int], long_values: dict[str, int], lags: dict[str, int], per: int = 10) -> DataFrame:
+    """The stacked state of a row, zero where the log does not reach back.
+
+    ``values``: column -> n: ``{c}_past_{i}``, i = 1..n, the value of this row (1), the row before (2), ... ``lags``: column
+    -> n: ``{c}_{i}``, the value i rows before. ``long_values``: column -> n: ``{c}_second_{j}``, j = 0..n-1, memory that
+    takes the current value at every ``per``-th row (``seq % per = 0``) and pushes the older ones on. One bounded frame."""
+    n_long = max(long_values.values(), default=0)
+    reach = max([n - 1 for n in values.values()] + list(lags.values()) + [per * n_long], default=0)
+
+    def build(w):
+        cols = {f"{c}_past_{i}": F.coalesce(F.lag(c, i - 1).over(w), F.lit(0.0)) for c, n in values.items() for i in range(1, n + 1)}
+        cols |= {f"{c}_{i}": F.coalesce(F.lag(c, i).over(w), F.lit(0.0)) for c, n in lags.items() for i in range(1, n + 1)}
+        for c, n in long_values.items():
+            full = F.when(F.col(seq) % per == 0, F.col(c))
+            for j in range(n):  # exactly one full second among these rows
+                cols[f"{c}_second_{j}"] = F.coalesce(F.last(full, ignorenulls=True).over(w.rowsBetween(-per * (j + 1) + 1, -per * j)), F.lit(0.0))
+        return cols
+
+    return over_blocks(df, keys, seq, reach, 0, build)

@@ -33,3 +33,16 @@ def write_json_records(df: DataFrame, path: str) -> None:
 def write_subtrajectories(df: DataFrame, path: str, key: str = "traj_id") -> None:
     """K7: one folder per sub-trajectory (partitioned by its name)."""
     df.repartition(key).write.mode("overwrite").partitionBy(key).parquet(path)
+
+
+def write_wide(df: DataFrame, path: str, keys: list[str], veh: str, values: list[str], vehicles: list, base: dict[str, F.Column]) -> None:
+    """K3: the wide step table as it is stored: all text, ``base`` columns first, then ``{veh}__{key}``, missing values as the text NULL."""
+    steps = df.groupBy(*keys).agg(*[c.alias(n) for n, c in base.items()])
+    wide = steps.join(wide_by_vehicle(df, keys, veh, values, vehicles), keys)
+    wide.select(*keys, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL")).alias(c) for c in wide.columns if c not in keys]).write.parquet(path)
+
+
+def vehicle_columns(wide: DataFrame, veh: str, keys: list[str] | None = None, base: tuple[str, ...] = ("timestep", "reward")) -> list[str]:
+    """The base columns, then the columns of one vehicle, of all keys or those given."""
+    own = [c for c in wide.columns if c.startswith(f"{veh}__") and (not keys or any(c.endswith(f"__{k}") for k in keys))]
+    return [*base, *own]

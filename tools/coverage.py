@@ -9,41 +9,11 @@ sys.path.insert(0, ROOT)
 
 from roadlens.registry import load_all  # noqa: E402
 
-EXTRA = {
-    "S1": "`sources.files.read_trajectories` (unit test)",
-    "S2": "`sources.files.read_tse` (unit test)",
-    "S3": "`sources.files.read_emissions` (unit test)",
-    "S6": "`sources.files.read_rag_json` (unit test)",
-    "S7": "`sources.files.read_road_fit` (unit test)",
-    "S8": "`sources.files` (unit test)",
-    "G2": "open",
-    "G6": "open",
-    "R8": "not built (approximate; retrieval is exact over the whole store)",
-    "L12": "composed from F1/F3 + R3 + J4 (no separate query)",
-}
+EXTRA = {}
 
 #: IDs of which a part is missing, with what is missing.
 PARTIAL = {
-    "S5": "only the row limit; no catalogue calls",
-    "K3": "15 vehicles, nothing written",
-    "P1": "no timestep and reward base columns",
-    "W14": "no 1 s memory",
-    "W15": "no acceleration lags",
-    "A25": "AVs only, position of vehicle 1",
-    "F17": "weights of four parts are zero",
-    "F18": "target-speed branch never run",
-    "F22": "cosine; the negative L2 is called by no query",
-    "F28": "no header",
-    "F29": "no documents in the prompt",
-    "D3": "no confidence and cvalue, previous distances",
-    "D18": "violation counts; no overlay series",
-    "R1": "counts and the first number, not the vectors",
-    "R5": "batch capacity rule only",
-    "R6": "logic score only",
-    "L9": "decided by a score, not by pairwise votes",
-    "X-2": "counts, not crossing vehicles",
-    "X-4": "totals, not MPG; state per key is never dropped",
-    "X-6": "rows outside bounds; no state of the row before",
+    "R5": "batch rulings only: capacity, and the score that decides; no replacement inside a batch",
 }
 
 
