@@ -6,12 +6,15 @@ rule fails documents of under 20 words or with over 30 % repeated words.
 
 *Outliers.* The others' statistics become the vector (log words, mean word length, square
 roots of the shares of marks, repeated lines and repeated words). Per language and source
-a minimum-covariance-determinant estimate is made: start from medians and median
-deviations, then concentration steps - the ``SUBSET`` share of the group with the smallest
-Mahalanobis distances gives the next mean and covariance - and a consistency factor for
-normal data. ``FLOOR`` is added to each standard deviation squared, for most clean texts
-agree on zero marks and repeats and a covariance of zero would reject any deviation.
-Documents whose squared distance exceeds ``CUTOFF`` are rejected.
+a minimum-covariance-determinant estimate is made, from three deterministic starts: medians with
+median deviations; these with the correlations of squashed scores; mean and covariance of the half
+nearest to the medians. From each, concentration steps - the ``SUBSET`` share of the group with the
+smallest Mahalanobis distances gives the next mean and covariance - go on until no group's determinant
+falls by more than ``TOLERANCE`` (or ``MAX_STEPS``), and every group takes the start that ends with the
+smallest determinant. A consistency factor makes it right for normal data. ``FLOOR`` is added to each
+standard deviation squared, for most clean texts agree on zero marks and repeats and a covariance of
+zero would reject any deviation. Documents whose squared distance exceeds the ``KEEP`` quantile of
+the chi-square distribution are rejected.
 
 Distances and medians are taken from counts over bins of fixed width (whole bins go into
 the subset), so nothing depends on how rows lie in partitions and a group of any size is
@@ -34,9 +37,10 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 SUBSET = 0.75
-STEPS = 4
+MAX_STEPS = 20
+TOLERANCE = 1e-3
+KEEP = 0.999
 MIN_GROUP = 50
-CUTOFF = 20.0
 FLOOR = (0.15, 0.2, 0.08, 0.25, 0.25)
 BROADCAST_GROUPS = 20_000
 SALTS = 64
@@ -135,45 +139,96 @@ def _chi2_cdf(x: float, odd: int) -> float:
     return out
 
 
-def consistency(share: float) -> float:
-    """Factor that makes the covariance of the nearest ``share`` right for normal data."""
-    lo, hi = 0.0, 100.0
+def chi2_quantile(share: float, odd: int = DIM) -> float:
+    lo, hi = 0.0, 200.0
     for _ in range(200):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if _chi2_cdf(mid, DIM) < share else (lo, mid)
-    return share / _chi2_cdf(lo, DIM + 2)
+        lo, hi = (mid, hi) if _chi2_cdf(mid, odd) < share else (lo, mid)
+    return lo
 
 
-def robust_outliers(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """rows (doc_id, lang, source, x0..) -> rows with d2 (null where the group is too small)."""
-    counts = rows.groupBy("lang", "source").count().withColumn(
-        "g", F.when(F.col("count") >= MIN_GROUP, F.struct("lang", "source", F.lit(1).alias("own"))).otherwise(F.struct("lang", F.lit(None).cast("string").alias("source"), F.lit(0).alias("own"))))
-    counts = cut_lineage(counts.withColumn("members", F.sum("count").over(Window.partitionBy("g"))).filter(F.col("members") >= MIN_GROUP)
-                         .select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "g"))
-    n = counts.count()
-    key = counts.hint("broadcast") if n <= BROADCAST_GROUPS else counts
-    rows = cut_lineage(rows.join(key, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s"))
-    held = rows.filter("g is not null")
+def consistency(share: float) -> float:
+    """Factor that makes the covariance of the nearest ``share`` right for normal data."""
+    return share / _chi2_cdf(chi2_quantile(share), DIM + 2)
+
+
+PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
+
+
+def _moments(rows: DataFrame, factor: float = 1.0) -> DataFrame:
+    return rows.groupBy("g").agg(*(F.avg(X[i]).alias(f"m_{i}") for i in range(DIM)),
+                                 *((factor * F.covar_pop(X[i], X[j]) + F.lit(FLOOR[i] ** 2 if i == j else 0.0)).alias(f"s_{i}_{j}") for i, j in PAIRS))
+
+
+def starts(held: DataFrame, n: int) -> list[DataFrame]:
+    """The three first estimates (g, m_i, s_i_j) of every group."""
     middle = None
     for i in range(DIM):
         part = _binned_quantile(held, F.col(X[i]), 0.5, ["g"], f"m_{i}")
         middle = part if middle is None else middle.join(part, "g")
     middle = cut_lineage(middle)
-    near, start = _with_groups(held, middle, n), middle
+    near, spread = _with_groups(held, middle, n), middle
     for i in range(DIM):
-        start = start.join(_binned_quantile(near, F.abs(F.col(X[i]) - F.col(f"m_{i}")), 0.5, ["g"], f"d_{i}"), "g")
+        spread = spread.join(_binned_quantile(near, F.abs(F.col(X[i]) - F.col(f"m_{i}")), 0.5, ["g"], f"d_{i}"), "g")
+    spread = cut_lineage(spread.select("g", *(f"m_{i}" for i in range(DIM)), *((F.pow(1.4826 * F.col(f"d_{i}"), 2) + FLOOR[i] ** 2).alias(f"v_{i}") for i in range(DIM))))
+    centre = [f"m_{i}" for i in range(DIM)]
+    scored = _with_groups(held, spread, n).withColumns({f"z_{i}": (F.col(X[i]) - F.col(f"m_{i}")) / F.sqrt(f"v_{i}") for i in range(DIM)})
     zero = F.lit(0.0)
-    groups = cut_lineage(start.select("g", *(f"m_{i}" for i in range(DIM)), *(
-        (F.pow(1.4826 * F.col(f"d_{i}"), 2) + FLOOR[i] ** 2 if i == j else zero).alias(f"s_{i}_{j}") for i in range(DIM) for j in range(i + 1))))
+    plain = spread.select("g", *centre, *((F.col(f"v_{i}") if i == j else zero).alias(f"s_{i}_{j}") for i, j in PAIRS))
+    squashed = scored.groupBy("g").agg(*(F.avg(F.tanh(f"z_{i}") * F.tanh(f"z_{j}")).alias(f"r_{i}_{j}") for i, j in PAIRS)).join(spread, "g")
+    corr = lambda i, j: F.coalesce(F.try_divide(F.col(f"r_{i}_{j}"), F.sqrt(F.col(f"r_{i}_{i}") * F.col(f"r_{j}_{j}"))), zero)
+    signed = squashed.select("g", *centre, *((F.col(f"v_{i}") if i == j else corr(i, j) * F.sqrt(F.col(f"v_{i}") * F.col(f"v_{j}"))).alias(f"s_{i}_{j}") for i, j in PAIRS))
+    away = scored.withColumn("away", F.sqrt(sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(1, DIM)), F.col("z_0") * F.col("z_0"))))
+    edge = _binned_quantile(away, F.col("away"), 0.5, ["g"], "edge")
+    inner = _with_groups(away.select("doc_id", *X, "g", "away"), edge, n).filter(F.floor(F.col("away") * BIN) < F.round(F.col("edge") * BIN))
+    return [cut_lineage(x) for x in (plain, signed, _moments(inner))]
+
+
+def log_determinant(groups: DataFrame) -> DataFrame:
+    """(g, logdet) of the estimates as they are used."""
+    return _cholesky(groups).select("g", (2 * sum((F.log(f"l_{i}_{i}") for i in range(1, DIM)), F.log("l_0_0"))).alias("logdet"))
+
+
+def concentrate(held: DataFrame, groups: DataFrame, n: int, max_steps: int = MAX_STEPS) -> tuple[DataFrame, int]:
+    """Concentration steps until no determinant falls any more: (estimates with logdet, steps taken)."""
     factor = consistency(SUBSET)
-    for _ in range(steps):
+    before = None
+    for step in range(1, max_steps + 1):
         far = _distance(held, groups, n)
         limit = _binned_quantile(far, F.sqrt("d2"), SUBSET, ["g"], "edge")
         subset = _with_groups(far, limit, n).filter(F.floor(F.sqrt("d2") * BIN) < F.round(F.col("edge") * BIN))
-        groups = cut_lineage(subset.groupBy("g").agg(
-            *(F.avg(X[i]).alias(f"m_{i}") for i in range(DIM)),
-            *((factor * F.covar_pop(X[i], X[j]) + F.lit(FLOOR[i] ** 2 if i == j else 0.0)).alias(f"s_{i}_{j}") for i in range(DIM) for j in range(i + 1))))
-    return _distance(rows, groups, n)
+        groups = cut_lineage(_moments(subset, factor))
+        now = cut_lineage(log_determinant(groups))
+        if before is not None:
+            fall = now.join(before.withColumnRenamed("logdet", "was"), "g").agg(F.max(F.col("was") - F.col("logdet"))).first()[0]  # one number
+            if fall is None or fall <= TOLERANCE:
+                break
+        before = now
+    return groups.join(now, "g"), step
+
+
+def robust_outliers(rows: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
+    """rows (doc_id, lang, source, x0..) -> rows with d2 (null where the group is too small)."""
+    counts = rows.groupBy("lang", "source").count().withColumn(
+        "g", F.when(F.col("count") >= MIN_GROUP, F.struct("lang", "source", F.lit(1).alias("own"))).otherwise(F.struct("lang", F.lit(None).cast("string").alias("source"), F.lit(0).alias("own"))))
+    counts = cut_lineage(counts.withColumn("members", F.sum("count").over(Window.partitionBy("g"))).filter(F.col("members") >= MIN_GROUP)
+                         .select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "g"))
+    n = counts.count()
+    key = counts.hint("broadcast") if n <= BROADCAST_GROUPS else counts
+    rows = cut_lineage(rows.join(key, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s"))
+    held = rows.filter("g is not null").select("doc_id", *X, "g")
+    first = starts(held, n)
+    # a group's starts are groups of their own from here on
+    tagged = lambda g, k: F.struct(F.col(g).alias("of"), F.lit(k).alias("start"))
+    groups = None
+    for k, x in enumerate(first):
+        x = x.withColumn("g", tagged("g", k))
+        groups = x if groups is None else groups.unionByName(x)
+    tries = held.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in range(len(first))]))).withColumn("g", F.struct(F.col("g").alias("of"), F.col("_k").alias("start"))).drop("_k")
+    ended, _ = concentrate(tries, groups, n * len(first), max_steps)
+    cols = [c for c in ended.columns if c not in ("g", "logdet")]
+    best = ended.groupBy(F.col("g.of").alias("g")).agg(F.min_by(F.struct(*cols), F.struct("logdet", "g.start")).alias("b")).select("g", "b.*")
+    return _distance(rows, cut_lineage(best), n)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,7 +237,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     passed = robust_outliers(stats.filter("not base_failed"))
     out = passed.unionByName(stats.filter("base_failed"), allowMissingColumns=True)
-    return out.select(*names, F.sqrt("d2").alias("distance"), (~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= CUTOFF)).alias("kept"))
+    return out.select(*names, F.sqrt("d2").alias("distance"), (~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= chi2_quantile(KEEP))).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -231,6 +231,38 @@ def test_robust_distances(spark):
     assert min(got[i] for i in range(n // 5)) > 5 * np.quantile(mine, 0.999)
 
 
+def test_smallest_determinant_of_the_starts_wins(spark):
+    """Correlated data with a tilted cloud of outliers: steps fall to an end, and the estimate used is the least of three."""
+    from pyspark.sql import functions as F
+
+    q = quality_rules
+    r = np.random.default_rng(9)
+    x = r.normal(0, 1, (1500, q.DIM)) @ (np.tril(r.normal(0, 1.5, (q.DIM, q.DIM))) + np.eye(q.DIM)).T
+    x[:330] = x[:330] * 0.3 + r.normal(0, 1, q.DIM) * 9
+    names = "doc_id long, " + ", ".join(f"{c} double" for c in q.X)
+    held = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], names).withColumn("g", F.struct(F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("own")))
+    ends = []
+    for first in q.starts(held, 1):
+        dets = [q.log_determinant(q.concentrate(held, first, 1, k)[0]).first().logdet for k in (1, 2, 20)]
+        assert dets[0] + 0.05 >= dets[1] >= dets[2] - 0.05  # whole bins: not quite monotone
+        groups, steps = q.concentrate(held, first, 1)
+        assert 1 < steps < q.MAX_STEPS
+        ends.append((groups.first().logdet, groups))
+    rows = held.select("doc_id", *q.X, F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    got = {z.doc_id: z.d2 for z in q.robust_outliers(rows).collect()}
+    best = min(ends, key=lambda e: e[0])[1]
+    want = {z.doc_id: z.d2 for z in q._distance(held, best.drop("logdet"), 1).collect()}
+    assert got == pytest.approx(want)
+    assert sum(got[i] > q.chi2_quantile(q.KEEP) for i in range(330)) > 320 and sum(got[i] > q.chi2_quantile(q.KEEP) for i in range(330, 1500)) < 60
+
+
+def test_chi_square_quantiles():
+    r = np.random.default_rng(2).normal(0, 1, (400000, 5))
+    d = (r**2).sum(axis=1)
+    for share in (0.5, 0.75, 0.99, 0.999):
+        assert (d <= quality_rules.chi2_quantile(share)).mean() == pytest.approx(share, abs=0.002)
+
+
 def test_consistency_factor():
     r = np.random.default_rng(1)
     x = r.normal(0, 1, (200000, quality_rules.DIM))
