@@ -168,3 +168,28 @@ def window_records(windows: DataFrame, key: str, state: list[str], retrieved: Da
                     task1.alias("action_explanation"), tx.extract_tag(F.col(response), "task2").alias("situation_analysis"),
                     tx.extract_values(task1, "action").alias("action"), *[F.col(c).alias(n) for c, n in first_cols.items()],
                     F.transform("_docs", lambda d: d["doc_id"]).alias("retrieved_ids"))
+
+
+def admit_batch(store: DataFrame, newcomers: DataFrame, retrieved: DataFrame, max_size: int) -> DataFrame:
+    """What a batch of newcomers does to a store of at most ``max_size`` documents.
+
+    ``store`` (doc_id, score), ``newcomers`` (new_id, arrival, score), ``retrieved`` (new_id, doc_id): the documents that each newcomer's
+    window had retrieved. While there is room, newcomers are added as they arrive. Each other one aims at the worst-scored document it
+    retrieved (ties: smallest id) and takes its place if its score is strictly higher; of several that aim at one document the
+    best does (ties: the earlier). Returns (doc_id, score, origin, replaced_id), origin ``kept``, ``added`` or ``replaces``. Newcomers without
+    a score or without retrieved documents of the store come in only while there is room. Only the store's size comes to the driver."""
+    from ..plans.broadcast import maybe_broadcast
+
+    room = max(0, max_size - store.count())
+    added = newcomers.orderBy("arrival", "new_id").limit(room)
+    rest = newcomers.join(maybe_broadcast(added.select("new_id"), room), "new_id", "left_anti")
+    small = maybe_broadcast(store.select("doc_id", F.col("score").alias("_old")), max_size)
+    aims = retrieved.join(small, "doc_id").groupBy("new_id").agg(F.min(F.struct("_old", "doc_id")).alias("_aim"))
+    better = rest.join(aims, "new_id").filter(F.col("score") > F.col("_aim._old"))
+    order = F.struct(F.col("score"), -F.col("arrival"), -F.col("new_id"))
+    winners = better.groupBy(F.col("_aim.doc_id").alias("doc_id")).agg(F.max_by(F.struct("new_id", "score"), order).alias("_w"))
+    x = store.join(winners, "doc_id", "left")
+    won = F.col("_w").isNotNull()
+    kept = x.select(F.when(won, F.col("_w.new_id")).otherwise(F.col("doc_id")).alias("doc_id"), F.when(won, F.col("_w.score")).otherwise(F.col("score")).alias("score"),
+                    F.when(won, "replaces").otherwise("kept").alias("origin"), F.when(won, F.col("doc_id")).alias("replaced_id"))
+    return kept.unionByName(added.select(F.col("new_id").alias("doc_id"), "score", F.lit("added").alias("origin"), F.lit(None).cast("long").alias("replaced_id")))

@@ -279,3 +279,28 @@ def a25(spark, d):
     x = mt.step_context(cum_log(spark, d), humans=True)
     return x.select("run_id", "step", "id_num", rnd("avg_miles", 9).alias("avg_miles"), rnd("avg_gallons", 9).alias("avg_gallons"),
                     rnd("time_frac", 6).alias("time_frac"), "av_pos")
+
+
+ADMISSION_ROOM = 3
+
+
+@register(
+    "r5_batch_admission", "R5",
+    sql=f"""WITH u AS (SELECT vec_id, label, (vec_id * 37 % 101) / 1e2 AS score, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt({_dot('CAST(embedding AS DOUBLE[])', 'CAST(embedding AS DOUBLE[])')})) AS v FROM embeddings),
+                 s AS (SELECT * FROM u WHERE label < 5), n AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS r FROM u WHERE label >= 5 AND vec_id % 20 = 0),
+                 t AS (SELECT new_id, doc_id, old FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY cs DESC, doc_id) AS k FROM (
+                         SELECT n.vec_id AS new_id, s.vec_id AS doc_id, s.score AS old, {_dot('n.v', 's.v')} AS cs FROM n CROSS JOIN s)) WHERE k <= 5),
+                 a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY old, doc_id) AS w FROM t) WHERE w = 1),
+                 c AS (SELECT n.vec_id AS new_id, n.score, a.doc_id FROM n JOIN a ON a.new_id = n.vec_id WHERE n.r > {ADMISSION_ROOM} AND n.score > a.old),
+                 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, new_id) AS w FROM c) WHERE w = 1)
+            SELECT coalesce(b.new_id, s.vec_id) AS doc_id, coalesce(b.score, s.score) AS score, CASE WHEN b.new_id IS NULL THEN 'kept' ELSE 'replaces' END AS origin, b.doc_id AS replaced_id
+            FROM s LEFT JOIN b ON b.doc_id = s.vec_id
+            UNION ALL SELECT vec_id, score, 'added', NULL FROM n WHERE r <= {ADMISSION_ROOM}""",
+    note="store: the vectors of five labels; newcomers: the stated queries of the others, each with its five nearest; room for three",
+)
+def r5(spark, d):
+    e = tb.table(spark, d, "embeddings").withColumn("score", F.col("vec_id") * 37 % 101 / 100)
+    old, new = e.filter("label < 5"), e.filter("label >= 5 and vec_id % 20 = 0")
+    near = rt.top_k(new, "vec_id", "embedding", old, "vec_id", "embedding", 5).select(F.col("query_id").alias("new_id"), "doc_id")
+    return rt.admit_batch(old.select(F.col("vec_id").alias("doc_id"), "score"), new.select(F.col("vec_id").alias("new_id"), F.col("vec_id").alias("arrival"), "score"),
+                          near, old.count() + ADMISSION_ROOM)

@@ -12,9 +12,7 @@ from roadlens.registry import load_all  # noqa: E402
 EXTRA = {}
 
 #: IDs of which a part is missing, with what is missing.
-PARTIAL = {
-    "R5": "batch rulings only: capacity, and the score that decides; no replacement inside a batch",
-}
+PARTIAL = {}
 
 
 def main():
