@@ -1,12 +1,13 @@
 """Operator 8 - quality classifier on random-indexing word vectors.
 
-*Word vectors.* Tokens are runs of letters (case kept) and runs of marks. A token belongs to
-one of ``VOCAB`` hash buckets. Each bucket has a fixed sparse index vector (``ONES`` entries
-of +1 or -1 among ``DIM``); a bucket's context vector is the sum of the index vectors of the
-tokens up to ``REACH`` places before or after its occurrences, over **all** documents.
-A task adds its texts into one VOCAB x DIM table of fixed size, and the tables are summed
-by slices, in two exchanges, as streams. Vectors are damped (signed square root), centred
-and scaled to length one.
+*Word vectors.* Tokens are runs of letters (case kept) and runs of marks. Every token that stands
+often enough has a vector of its own: all those whose corpus count reaches the least power of 2^(1/16)
+that at most ``OWN`` tokens reach. The rest share ``VOCAB`` hash buckets (``shared_share`` tells how many
+occurrences do). Each row has a fixed sparse index vector (``ONES`` entries of +1 or -1 among ``DIM``);
+its context vector is the sum of the index vectors of the tokens up to ``REACH`` places before or after its
+occurrences, over **all** documents. Counts are summed map-side first; a task adds its texts into one
+table of fixed size, and the tables are summed by slices, in two exchanges, as streams. Vectors are
+damped (signed square root), centred and scaled to length one.
 
 *Documents* are the mean of their tokens' vectors and the mean of the squares.
 
@@ -31,8 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import blocks as B
 
+OWN = 1 << 15
 VOCAB = 1 << 14
 DIM = 64
 ONES = 4
@@ -43,64 +46,121 @@ THRESHOLD = 0.3
 SLICES = 128
 FANS = 16
 CHUNK = 1 << 19
+#: text added to the table at once (adding costs the table's size)
+CONTEXT_CHUNK = 1 << 23
+STEPS_PER_DOUBLING = 16
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - (VOCAB - 1).bit_length())).astype(np.int64)
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """(places, signs) of each bucket's index vector."""
-    h = B.mix(np.arange(VOCAB * ONES, dtype=np.uint64) + np.uint64(0xABCDEF)).reshape(VOCAB, ONES)
+NONE = np.zeros(0, np.uint64)
+
+
+def rows_of(h: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Table row of each token: its own (``own`` is sorted), or its bucket's, behind those."""
+    if not len(own):
+        return bucket(h)
+    at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+    return np.where(own[at] == h, at, len(own) + bucket(h))
+
+
+def index_vectors(own: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray]:
+    """(places, signs) of each row's index vector."""
+    shared = B.mix(np.arange(VOCAB * ONES, dtype=np.uint64) + np.uint64(0xABCDEF)).reshape(VOCAB, ONES)
+    h = np.concatenate([B.mix(own[:, None] * np.uint64(ONES) + np.arange(ONES, dtype=np.uint64) + np.uint64(0x1357)), shared])
     return (h % np.uint64(DIM)).astype(np.int64), np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0)
 
 
+def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(h, n): occurrences of every token of the corpus."""
+
+    def count(batches):
+        for batch in batches:
+            texts = B.utf8(batch.column(0))
+            for start, end in B.text_chunks(texts, CONTEXT_CHUNK):
+                h, n = np.unique(_tokens(texts[start:end]).h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    return docs.select(text_col).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def frequent_tokens(counts: DataFrame, own: int = OWN) -> np.ndarray:
+    """Hashes of the tokens with a vector of their own, sorted: at most ``own``."""
+    counts = cut_lineage(counts.withColumn("step", F.floor(F.log2("n") * STEPS_PER_DOUBLING).cast("long")))
+    steps = sorted(counts.groupBy("step").count().collect(), key=lambda r: -r["step"])  # a row per step: under 64 * STEPS_PER_DOUBLING
+    least, total = None, 0
+    for r in steps:
+        total += r["count"]
+        if total > own:
+            break
+        least = r["step"]
+    if least is None:
+        return NONE
+    return np.sort(np.array([r["h"] for r in counts.filter(F.col("step") >= least).select("h").collect()], np.int64).view(np.uint64))
+
+
+def shared_share(counts: DataFrame, own: np.ndarray) -> float:
+    """Share of all token occurrences whose token shares a bucket's vector."""
+    table = counts.sparkSession.createDataFrame([(int(h),) for h in own.view(np.int64)], "h long")
+    rest, total = counts.join(F.broadcast(table.withColumn("own", F.lit(1))), "h", "left").agg(
+        F.sum(F.when(F.col("own").isNull(), F.col("n"))), F.sum("n")).first()
+    return float(rest or 0) / total if total else 0.0
+
+
 def _tokens(texts: list[bytes]) -> B.Runs:
     return B.Runs(texts, lower=False, marks=True)
 
 
-def add_contexts(table: np.ndarray, texts: list[bytes], index) -> None:
-    """Add the contexts of all tokens of ``texts`` to ``table`` (VOCAB x DIM)."""
+def add_contexts(table: np.ndarray, texts: list[bytes], index, own: np.ndarray = NONE) -> None:
+    """Add the contexts of all tokens of ``texts`` to ``table`` (a row per row of the index)."""
     place, sign = index
     runs = _tokens(texts)
-    ids, doc = bucket(runs.h), runs.doc
+    ids, doc = rows_of(runs.h, own), runs.doc
     flat = table.ravel()
     for gap in range(1, REACH + 1):
         a, b = ids[:-gap], ids[gap:]
         ok = doc[:-gap] == doc[gap:]
         for x, y in ((a[ok], b[ok]), (b[ok], a[ok])):
             for k in range(ONES):
-                flat += np.bincount(x * DIM + place[y, k], weights=sign[y, k], minlength=VOCAB * DIM)
+                flat += np.bincount(x * DIM + place[y, k], weights=sign[y, k], minlength=len(flat))
 
 
-def context_table(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Context vectors of all buckets over all documents (VOCAB x DIM numbers)."""
-    height = VOCAB // SLICES
+def context_table(docs: DataFrame, text_col: str = "text", own: np.ndarray = NONE) -> np.ndarray:
+    """Context vectors of all rows over all documents ((len(own) + VOCAB) x DIM numbers)."""
+    size = len(own) + VOCAB
+    height = -(-size // SLICES)
 
     def gather(batches):
-        index, table, some = index_vectors(), np.zeros((VOCAB, DIM)), False
+        index, table, some = index_vectors(own), np.zeros((size, DIM)), False
         for batch in batches:
             texts = B.utf8(batch.column(0))
-            for start, end in B.text_chunks(texts):
-                add_contexts(table, texts[start:end], index)
+            for start, end in B.text_chunks(texts, CONTEXT_CHUNK):
+                add_contexts(table, texts[start:end], index, own)
                 some = True
         if some:
-            parts = [table[s * height:(s + 1) * height].astype("<i8").tobytes() for s in range(SLICES)]
+            squeeze = pa.Codec("zstd", 1)
+            parts = [squeeze.compress(table[s * height:(s + 1) * height].astype("<i8").tobytes(), asbytes=True) for s in range(SLICES)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, key = np.zeros(height * DIM, np.int64), 0
+        total, key, squeeze = None, 0, pa.Codec("zstd", 1)
         for batch in batches:
             key = batch.column("slice")[0].as_py()
+            n = max(0, min(height, size - key * height)) * DIM
+            total = np.zeros(n, np.int64) if total is None else total
             for raw in batch.column("sums"):
-                total += np.frombuffer(raw.as_buffer(), "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "sums"])
+                total += np.frombuffer(squeeze.decompress(raw.as_buffer(), 8 * n, asbytes=True), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([squeeze.compress(total.tobytes(), asbytes=True)], pa.binary())], names=["slice", "sums"])
 
     parts = docs.select(text_col).mapInArrow(gather, "slice int, sums binary").withColumn("fan", F.spark_partition_id() % FANS)
     sums = parts.groupBy("slice", "fan").applyInArrow(add, "slice int, sums binary").groupBy("slice").applyInArrow(add, "slice int, sums binary")
-    table = np.zeros((VOCAB, DIM))
+    table = np.zeros((size, DIM))
+    squeeze = pa.Codec("zstd", 1)
     for row in sums.collect():  # SLICES rows of fixed size
-        table[row["slice"] * height:(row["slice"] + 1) * height] = np.frombuffer(row["sums"], "<i8").reshape(height, DIM)
+        part = table[row["slice"] * height:(row["slice"] + 1) * height]
+        part[:] = np.frombuffer(squeeze.decompress(row["sums"], part.size * 8, asbytes=True), "<i8").reshape(part.shape)
     return table
 
 
@@ -114,14 +174,14 @@ def word_vectors(table: np.ndarray) -> np.ndarray:
     return damped.astype(np.float32)
 
 
-def pool(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
+def pool(texts: list[bytes], vectors: np.ndarray, own: np.ndarray = NONE) -> np.ndarray:
     """Mean vector and mean square of each text's tokens."""
     out = np.zeros((len(texts), 2 * DIM))
     for start, end in B.text_chunks(texts, CHUNK):
         runs = _tokens(texts[start:end])
         full = np.flatnonzero(runs.count > 0)
         if len(full):
-            v = vectors[bucket(runs.h)]
+            v = vectors[rows_of(runs.h, own)]
             n = runs.count[full][:, None]
             out[start + full, :DIM] = np.add.reduceat(v, runs.first[full], axis=0, dtype=np.float64) / n
             out[start + full, DIM:] = np.add.reduceat(v * v, runs.first[full], axis=0, dtype=np.float64) / n
@@ -164,28 +224,29 @@ def _held_out(doc_id):
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
     """Word vectors of the corpus and the calibrated network."""
-    vectors = word_vectors(context_table(docs, text_col))
+    own = frequent_tokens(token_counts(docs, text_col))
+    vectors = word_vectors(context_table(docs, text_col, own))
     picked = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~_held_out(id_col)).groupBy(F.col(id_col).alias("doc_id"))
               .agg(F.min(F.col(label_col)).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")
 
     def features(batches):
         for batch in batches:
-            x = pool(B.utf8(batch.column("text")), vectors).astype("<f4")
+            x = pool(B.utf8(batch.column("text")), vectors, own).astype("<f4")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
     rows = sample.select("doc_id", "label", "text").mapInArrow(features, "doc_id long, label int, x binary").collect()  # max_rows vectors
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     y = np.array([float(r["label"] > 0) for r in rows])
     if not len(y) or y.min() == y.max():
-        return {"vectors": vectors, "net": None, "share": float(y.mean()) if len(y) else 0.5}
+        return {"vectors": vectors, "own": own, "net": None, "share": float(y.mean()) if len(y) else 0.5}
     x = np.array([np.frombuffer(r["x"], "<f4") for r in rows], np.float64)
     last = B.mix(np.array([r["doc_id"] for r in rows], np.int64).view(np.uint64)) % np.uint64(5) == 0
     if last.all() or not last.any() or y[~last].min() == y[~last].max():
         last = np.zeros(len(y), bool)
     net = fit_network(x[~last], y[~last])
     net["t"] = temperature(logits(net, x[last]), y[last]) if last.any() else 1.0
-    return {"vectors": vectors, "net": net, "share": float(y.mean())}
+    return {"vectors": vectors, "own": own, "net": net, "share": float(y.mean())}
 
 
 def score(model: dict):
@@ -194,7 +255,7 @@ def score(model: dict):
     def prob(texts: pd.Series) -> pd.Series:
         if model["net"] is None:
             return pd.Series(np.full(len(texts), model["share"]))
-        z = logits(model["net"], pool(B.utf8(texts.tolist()), model["vectors"])) / model["net"]["t"]
+        z = logits(model["net"], pool(B.utf8(texts.tolist()), model["vectors"], model["own"])) / model["net"]["t"]
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
     return F.pandas_udf(prob, "double")

@@ -11,7 +11,7 @@ above zero, the strongest ``MAX_FEATURES`` of them. A feature's value is log(1 +
 occurrences per thousand words).
 
 *Model*: P(grade >= k) = sigmoid(w.x - c_k) with one w and ordered cut points c_1 < c_2 <
-c_3 (first cut, then positive steps), by full-batch Newton-like gradient steps on the
+c_3 (first cut, then positive steps), by full-batch gradient steps (Adam) on the
 negative log likelihood with an L2 penalty. Expected severity is the sum of the three
 probabilities (0 to 3). A document is toxic when its
 probability of a grade above 0 exceeds ``TOXIC``.

@@ -1,7 +1,9 @@
 """Operators 1, 2, 4, 6, 7, 8, 9 and the pipeline: library restatements, brute force, held-out accuracy."""
 
+import functools
 import itertools
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -9,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from roadlens.llm import blocks as B
 from roadlens.llm import decontamination, line_dedup, packing, quality_classifier, quality_rules, token_count, toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -306,6 +309,55 @@ def test_toxicity_on_unseen_documents(spark):
     assert all(0 <= r.s.expected_severity <= 3 for r in rows)
 
 
+def plain_runs(text, marks):
+    """Tokens of a text by regular expression: letters, digits and longer characters; with ``marks`` other visible ones too."""
+    return re.findall(rb"[0-9A-Za-z\x80-\xff]+" + (rb"|[!-/:-@\[-`{-~]+" if marks else b""), text)
+
+
+def test_toxicity_against_plain_python(spark):
+    """Severity of every document from the model's numbers by loops over words and stems."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    weight = dict(zip(model["h"].tolist(), model["w"].tolist()))
+    assert len(weight) > 20
+    of = functools.cache(lambda token: int(B.Runs([token]).h[0]))
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    for row in docs.collect():
+        tokens = plain_runs((row.text or "").encode().lower(), False)
+        count = Counter()
+        for t in tokens:
+            count[of(t)] += 1
+            count[(of(t[:toxicity.HEAD]) + 1) % 2**64] += 1
+        z = sum(weight[f] * np.log1p(1000.0 * c / len(tokens)) for f, c in count.items() if f in weight)
+        p = [1 / (1 + np.exp(-(z - c))) for c in model["c"].tolist()]
+        assert list(p) == sorted(p, reverse=True)
+        mass = [1 - p[0], p[0] - p[1], p[1] - p[2], p[2]]
+        r = got[row.doc_id]
+        assert r.expected_severity == pytest.approx(sum(p), abs=1e-9) and r.toxic == (p[0] > toxicity.TOXIC) and r.grade == int(np.argmax(mass))
+
+
+def test_quality_scores_against_plain_python(spark):
+    """Scores of every document from the model's numbers by loops over tokens."""
+    q, small = quality_classifier, "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = q.train(docs, labels)
+    got = dict(docs.select("doc_id", q.score(model)("text").alias("s")).collect())
+    of, net = {}, model["net"]
+    for row in docs.collect():
+        total, squares, n = np.zeros(q.DIM), np.zeros(q.DIM), 0
+        for t in plain_runs((row.text or "").encode(), True):
+            if t not in of:
+                h = B.Runs([t], lower=False, marks=True).h
+                at = model["own"].tolist().index(h[0]) if h[0] in model["own"] else len(model["own"]) + q.bucket(h)[0]
+                of[t] = model["vectors"][at].astype(float)
+            total, squares, n = total + of[t], squares + of[t] ** 2, n + 1
+        x = np.concatenate([total, squares]) / max(n, 1)
+        z = [min(max((v - m) / s, -6), 6) for v, m, s in zip(x, net["mean"], net["scale"])]
+        hidden = [np.tanh(sum(a * w for a, w in zip(z, net["p"][0][:, k])) + net["p"][1][k]) for k in range(q.HIDDEN)]
+        logit = (sum(a * w for a, w in zip(hidden, net["p"][2])) + net["p"][3][0]) / net["t"]
+        assert got[row.doc_id] == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-4)
+
+
 def test_toxicity_odd(spark, odd_docs):
     labels = spark.createDataFrame([(4, 0, None), (6, 0, 1), (None, 1, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
     for frame in (odd_docs, odd_docs.limit(0)):
@@ -338,6 +390,32 @@ def test_context_table_is_the_sum_over_documents(docs_of):
     assert np.array_equal(got, want)
 
 
+def test_frequent_tokens_have_vectors_of_their_own(spark, docs_of):
+    q = quality_classifier
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plain = Counter(t for r in docs.collect() for t in plain_runs((r.text or "").encode(), True))
+    counts = q.token_counts(docs)
+    assert sorted(r.n for r in counts.collect()) == sorted(plain.values())
+    own = q.frequent_tokens(counts, 300)
+    of = {int(q._tokens([t]).h[0]): n for t, n in plain.items()}
+    least = min(of[int(h)] for h in own)
+    assert 200 < len(own) <= 300 and {h for h, n in of.items() if n >= least} == set(own.tolist())
+    assert q.shared_share(counts, own) == pytest.approx(sum(n for n in plain.values() if n < least) / sum(plain.values()))
+    rows = q.rows_of(np.array(list(of), np.uint64), own)
+    assert len(set(rows[rows < len(own)].tolist())) == len(own)  # no two of them share a row
+    small = [r.text for r in docs.limit(12).collect()]
+    got, want = q.context_table(docs_of(list(enumerate(small))), own=own), np.zeros((len(own) + q.VOCAB, q.DIM))
+    place, sign = q.index_vectors(own)
+    for t in small:
+        ids = q.rows_of(q._tokens([(t or "").encode()]).h, own).tolist()
+        for i, a in enumerate(ids):
+            for j in range(max(0, i - q.REACH), min(len(ids), i + q.REACH + 1)):
+                if i != j:
+                    np.add.at(want[a], place[ids[j]], sign[ids[j]])
+    assert np.array_equal(got, want)
+    assert len(q.frequent_tokens(q.token_counts(docs.limit(0)))) == 0 and q.shared_share(counts.limit(0), own) == 0
+
+
 def test_quality_classifier_held_out(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = [r for r in quality_classifier.query(spark, SF).collect()]
