@@ -11,10 +11,12 @@ at an end, and a symbol of round ``r`` spans at most ``2^r`` words outside runs,
 ``r`` rounds the two parses agree from word ``2 (2^r - 1)`` on. ``rounds_for`` takes the
 most rounds for which the symbol over a window's middle word still lies in the agreeing
 part, together with ``w/2 - 2^r + 1`` words before its start and ``w/2`` from it on.
-That context is the symbol's key. Spark exchanges the keys of all blocks (see
-``blocks``); a window is a candidate if its middle symbol's key stands anywhere else, or
-if a run touches it (runs may be cut differently at its ends). Candidates are then
-verified: their full word sequences, as 96-bit fingerprints, are exchanged the same way,
+
+Spark exchanges names round by round, over all blocks (see ``blocks``): first the names of round 1, then those of
+round 2 for symbols made of repeated ones only, and so on; a symbol whose name stands once in the corpus ends there.
+The highest symbols that are left send that context as a last key. A window is a candidate if its middle
+symbol was left by all rounds, or if a run touches it (runs may be cut differently at its ends). Candidates
+are then verified: their full word sequences, as 96-bit fingerprints, are exchanged the same way,
 and the first holder in (id, position) order keeps the words.
 
 Null or empty text: no words. Rows with equal ids are documents of their own, in (id,
@@ -45,14 +47,16 @@ def rounds_for(window: int) -> int:
     return r
 
 
-def recompress(words: B.Words, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start word of each symbol after ``rounds`` rounds, whether a word is in a named run)."""
+def recompress(words: B.Words, rounds: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """((names, start words) of the symbols after each round, whether a word is in a named run)."""
     name, start, doc = words.h, np.arange(len(words.h)), words.doc
     in_run = np.zeros(len(words.h) + 1, np.int64)
+    levels = []
     for r in range(rounds):
         n = len(name)
         if n < 2:
-            break
+            levels.append((name, start))
+            continue
         # runs of one symbol
         head = np.ones(n, bool)
         head[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
@@ -74,38 +78,54 @@ def recompress(words: B.Words, rounds: int) -> tuple[np.ndarray, np.ndarray]:
         joined[:-1] = np.where(pair[:-1], B.mix(name[:-1] * np.uint64(5) + B.mix(name[1:] + np.uint64(11))), name[:-1])
         keep = ~second
         name, start, doc = joined[keep], start[keep], doc[keep]
-    return start, np.cumsum(in_run[:-1]) > 0
+        levels.append((name, start))
+    return levels or [(name, start)], np.cumsum(in_run[:-1]) > 0
 
 
 class _Block:
-    """What all three passes derive from a block's texts alone."""
+    """What all passes derive from a block's texts, and from the answers that it got so far."""
 
     def __init__(self, table: pa.Table, window: int, n_buckets: int, width: int):
         self.ids, self.texts = B.block_docs(table)
         self.words = B.Words(self.texts)
-        self.window = window
+        self.window, self.n_buckets, self.width = window, n_buckets, width
         r = rounds_for(window)
         before, after = window // 2 - 2 ** r + 1, window - window // 2
-        self.start, self.in_run = recompress(self.words, r)
-        n = len(self.words.h)
+        self.levels, self.in_run = recompress(self.words, r)
+        self.n = len(self.words.h)
+        start = self.levels[-1][1]
         ctx, inside = self.words.windows(before + after)
-        lo = self.start - before
-        ok = (lo >= 0) & (lo < len(ctx))
-        ok[ok] = inside[lo[ok]]
-        self.anchored = np.flatnonzero(ok)
-        keys = B.truncate(ctx[lo[self.anchored]], width)
-        self.uniq, self.inverse, self.local = np.unique(keys, return_inverse=True, return_counts=True)
-        self.cut = B.bucket_cuts(self.uniq, n_buckets)
-        self.n = n
+        lo = start - before
+        self.anchored = (lo >= 0) & (lo < len(ctx))
+        self.anchored[self.anchored] = inside[lo[self.anchored]]
+        self.surroundings = np.zeros(len(start), np.uint64)
+        self.surroundings[self.anchored] = ctx[lo[self.anchored]]
+
+    def exchange(self, answers, phase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The keys that a round sends: (symbols of its level that the rounds before left, distinct keys, index of each
+        symbol's key, how often a key stands here). A round's keys are the names of its level; the last round's are the
+        surroundings of the highest symbols."""
+        left = np.ones(len(self.levels[0][1]), bool)
+        for k in range(phase + 1):
+            if 0 < k < len(self.levels) and len(left):  # a symbol goes on if all that it is made of does
+                left = np.minimum.reduceat(left, np.searchsorted(self.levels[k - 1][1], self.levels[k][1])) if len(self.levels[k][1]) else left[:0]
+            names = self.levels[k][0] if k < len(self.levels) else self.surroundings
+            left = left & self.anchored if k == len(self.levels) else left
+            uniq, inverse, local = np.unique(B.truncate(names[left], self.width), return_inverse=True, return_counts=True)
+            if k < phase:
+                again = B.answers_in(_phase(answers, k, self.n_buckets), B.bucket_cuts(uniq, self.n_buckets), True) | (local > 1)
+                left = left.copy()
+                left[left] = again[inverse]
+        return left, uniq, inverse, local
 
     def candidates(self, answers):
-        """Window starts to verify, with 96-bit fingerprints (high 64, low 32)."""
-        again = B.answers_in(answers, self.cut, True) | (self.local > 1)
-        shared = np.zeros(len(self.start) + 1, bool)
-        shared[self.anchored] = again[self.inverse]
+        """Window starts to verify, with 96-bit fingerprints (high 64, low 32): those whose middle is in a symbol that all
+        rounds left, or that a run touches."""
+        start = self.levels[-1][1]
+        shared = np.append(self.exchange(answers, len(self.levels) + 1)[0], False)
         high, inside = self.words.windows(self.window)
         p = np.flatnonzero(inside)
-        symbol = np.searchsorted(self.start, p + self.window // 2, side="right") - 1
+        symbol = np.searchsorted(start, p + self.window // 2, side="right") - 1
         runs = np.concatenate([[0], np.cumsum(self.in_run)])
         p = p[shared[symbol] | (runs[p + self.window] > runs[p])]
         second = B.mix(self.words.h + np.uint64(0x2545F4914F6CDD1D))
@@ -113,6 +133,13 @@ class _Block:
         return p, high[p], (low[p] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def _phase(answers: pa.Table, phase: int, n_buckets: int) -> pa.Table:
+    """The answers of one round, under the numbers of their buckets."""
+    bucket = np.asarray(answers.column("bucket"))
+    mine = answers.filter(pa.array(bucket // n_buckets == phase))
+    return mine.set_column(mine.schema.get_field_index("bucket"), "bucket", pa.array(np.asarray(mine.column("bucket")) % n_buckets, pa.int32()))
+
+
 def _first_of_each(high, low):
     """(positions of first occurrences in order, index of each entry's first occurrence among them)."""
     order = np.lexsort((np.arange(len(high)), low, high))
@@ -145,12 +172,23 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     blocked = B.blocked(docs, n_blocks, id_col, text_col)
     by_block = blocked.groupBy("blk")
 
-    def send_keys(key, table):
-        b = _Block(table, window, n_buckets, width)
-        return B.table_of(B.key_blobs(key[0].as_py(), b.uniq, n_buckets, width), B.BLOB)
+    rounds = rounds_for(window) or 1
+
+    def send(phase):
+        def fn(key, table, answers=None):
+            if not table.num_rows:
+                return B.table_of([], B.BLOB)
+            b = _Block(table, window, n_buckets, width)
+            return B.table_of(B.key_blobs(key[0].as_py(), b.exchange(answers, phase)[1], n_buckets, width), B.BLOB)
+
+        return (lambda key, table: fn(key, table)) if not phase else (lambda key, table, answers: fn(key, table, answers))
 
-    shared = by_block.applyInArrow(send_keys, B.BLOB_SCHEMA).groupBy("bucket").applyInArrow(
-        B.repeated_in_blocks(), B.ANSWER_SCHEMA)
+    known = None
+    for phase in range(rounds + 1):  # a name that stands once in all blocks ends there, with all symbols made of it
+        sent = by_block.applyInArrow(send(0), B.BLOB_SCHEMA) if known is None else by_block.cogroup(known.groupBy("blk")).applyInArrow(send(phase), B.BLOB_SCHEMA)
+        told = sent.groupBy("bucket").applyInArrow(B.repeated_in_blocks(), B.ANSWER_SCHEMA).withColumn("bucket", F.col("bucket") + phase * n_buckets)
+        known = told if known is None else known.unionByName(told)
+    shared, last = known, rounds + 1
 
     def send_windows(key, table, answers):
         if not table.num_rows:
@@ -184,7 +222,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
         new[1:] = (h[1:] != h[:-1]) | (lo[1:] != lo[:-1])
         first = np.zeros(len(order), bool)
         first[order[new]] = True
-        return B.answer_rows(key[0].as_py() + n_buckets, blks, sizes, first, True)
+        return B.answer_rows(key[0].as_py() + last * n_buckets, blks, sizes, first, True)
 
     firsts = by_block.cogroup(shared.groupBy("blk")).applyInArrow(send_windows, B.BLOB_SCHEMA).groupBy("bucket").applyInArrow(
         find_first, B.ANSWER_SCHEMA)
@@ -193,13 +231,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
         rows = []
         if table.num_rows:
             b = _Block(table, window, n_buckets, width)
-            phase = np.asarray(answers.column("bucket")) >= n_buckets
-            p, high, low = b.candidates(answers.filter(pa.array(~phase)))
+            p, high, low = b.candidates(answers)
             lead, place = _first_of_each(high, low)
             order, cut = _by_bucket(high[lead], n_buckets)
-            late = answers.filter(pa.array(phase))
-            late = late.set_column(late.schema.get_field_index("bucket"), "bucket",
-                                   pa.array(np.asarray(late.column("bucket")) - n_buckets, pa.int32()))
+            late = _phase(answers, last, n_buckets)
             kept = np.zeros(len(lead), bool)
             kept[order] = B.answers_in(late, cut, True)
             gone = np.ones(len(p), bool)

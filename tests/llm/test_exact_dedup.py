@@ -58,6 +58,41 @@ def test_substring_dedup(docs_of, seed, window):
     assert sorted(map(tuple, got), key=repr) == words_left(pairs, window)
 
 
+def test_substring_candidates_come_from_shared_names(docs_of, monkeypatch):
+    """Equal passages have equal symbols in any block; with names of the block's own, none is found."""
+    r = random.Random(31)
+    words = lambda n: [f"u{r.randint(0, 10**9)}" for _ in range(n)]
+    passage = words(60)
+    pairs = [(i, " ".join(words(r.randint(5, 40)) + (passage if i % 3 == 0 else []) + words(r.randint(5, 40)))) for i in range(60)]
+    run = lambda: sorted(map(tuple, substring_dedup.substring_dedup(docs_of(pairs)).collect()), key=repr)
+    whole = run()
+    assert whole == words_left(pairs, 20) and sum(row[2] for row in whole) > 19 * 59
+    real = substring_dedup.recompress
+
+    def own_names(words, rounds):
+        levels, in_run = real(words, rounds)
+        return [(B.mix(name + np.uint64(len(words.data)) + np.arange(len(name), dtype=np.uint64)), start) for name, start in levels], in_run
+
+    monkeypatch.setattr(substring_dedup, "recompress", own_names)
+    assert sum(row[2] for row in run()) == 0
+
+
+def test_symbols_of_equal_passages():
+    """Inside equal passages the parses agree but near their ends, round by round."""
+    r = random.Random(5)
+    passage = [r.choice("abcdefgh") + str(r.randint(0, 3)) for _ in range(80)]
+    texts = [" ".join([f"x{r.randint(0, 99)}" for _ in range(r.randint(0, 9))] + passage + [f"y{r.randint(0, 99)}" for _ in range(5)]).encode() for _ in range(12)]
+    for rounds in (1, 2, 3):
+        seen = []
+        for t in texts:
+            words = B.Words([t])
+            at = len(t.split()) - 85
+            name, start = substring_dedup.recompress(words, rounds)[0][-1]
+            edge = 2 * (2**rounds - 1) + 2**rounds
+            seen.append([(int(s) - at, int(n)) for n, s in zip(name, start) if at + edge <= s < at + 80 - edge])
+        assert all(x == seen[0] for x in seen) and len(seen[0]) > 5
+
+
 def test_substring_dedup_odd(odd_docs):
     pairs = [(r.doc_id, r.text) for r in odd_docs.collect()]
     assert sorted(map(tuple, substring_dedup.substring_dedup(odd_docs).collect()), key=repr) == words_left(pairs, 20)
