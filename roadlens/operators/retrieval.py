@@ -126,8 +126,18 @@ def seeded_order(key: Column, seed: int) -> Column:
     return F.pmod(F.pmod(key.cast("long"), F.lit(prime)).cast("decimal(38,0)") * 2654435761 + seed * 97, F.lit(prime)).cast("long")
 
 
-def masked_items(groups: DataFrame, key: str, pos: str, item: str, mask: str = "[MASK]") -> DataFrame:
-    """For each item of a group, the group's items with that one masked (others kept)."""
+#: items of a group that may be masked one by one: its prompts hold the square of that
+MASK_ITEMS = 10_000
+
+
+def masked_items(groups: DataFrame, key: str, pos: str, item: str, mask: str = "[MASK]", max_items: int = MASK_ITEMS) -> DataFrame:
+    """For each item of a group, the group's items with that one masked (others kept).
+
+    n prompts of n items each: the output grows with the square of a group, so a group of more than ``max_items`` is refused
+    (counted first, on the map side), not cut, and no task gathers more than that."""
+    largest = groups.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if largest > max_items:
+        raise ValueError(f"a group has {largest} items; at most {max_items} can be masked one by one")
     g = groups.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(item).alias("v")))).alias("_it"))
     g = g.select(key, F.transform("_it", lambda s: s["v"]).alias("_items"))
     x = g.select(key, "_items", F.posexplode("_items").alias("masked_pos", "hint"))
