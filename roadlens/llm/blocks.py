@@ -70,6 +70,31 @@ def process_cache(name: str) -> dict:
     return mod.__dict__.setdefault(name, {})
 
 
+def forget_words() -> None:
+    """Frees the word memos that token operators left in this worker."""
+    memos = [m for name in ("word_ids", "token_count") for m in _memos(process_cache(name)) if m]
+    if memos:
+        for memo in memos:
+            memo.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker outlives its task, and what it holds is missing to the next stage."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def _memos(cache: dict) -> list[dict]:
+    counter = cache.get("counter")
+    return [m for m in (cache.get("words"), cache.get("stems"), counter and counter.memo) if m]
+
+
 def remembered(cache: dict, wanted: set, solve, limit: int) -> dict:
     """{key: solve(key)} for ``wanted``. ``solve`` takes a list of keys that are not remembered.
 
@@ -95,6 +120,8 @@ def remembered(cache: dict, wanted: set, solve, limit: int) -> dict:
 
 # ---- 64-bit fingerprints (all arithmetic wraps modulo 2^64) ----
 
+#: powers that a worker keeps (16 bytes each); longer tables, for very long texts, go with their task
+POWERS_KEPT = 1 << 22
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 
@@ -119,7 +146,9 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
         a = np.full(m, base, np.uint64)
         b = np.full(m, inv, np.uint64)
         a[0] = b[0] = 1
-        got = cache[base] = (np.multiply.accumulate(a), np.multiply.accumulate(b))
+        got = (np.multiply.accumulate(a), np.multiply.accumulate(b))
+        if m <= POWERS_KEPT:
+            cache[base] = got
     return got[0][:n], got[1][:n]
 
 
@@ -162,6 +191,7 @@ class Words:
     """
 
     def __init__(self, texts: list[bytes]):
+        forget_words()
         self.data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         space = np.zeros(256, bool)
         space[[32, 9, 10, 11, 12, 13]] = True
@@ -203,6 +233,7 @@ class Runs:
     """
 
     def __init__(self, texts: list[bytes], lower: bool = True, marks: bool = False):
+        forget_words()
         joined = b"\n".join(texts) + b"\n"
         self.data = np.frombuffer(joined.lower() if lower else joined, np.uint8)
         kind = np.zeros(len(self.data) + 1, np.int8)

@@ -178,6 +178,7 @@ def _holds(index: Index):
         raw, out = B.utf8(texts.tolist()), np.zeros(len(texts), bool)
         for start, end in B.text_chunks(raw):
             out[[start + row[0] for row in index.overlaps(raw[start:end])]] = True
+        B.give_back()
         return pd.Series(out)
 
     return F.pandas_udf(holds, "boolean")

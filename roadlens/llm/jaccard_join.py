@@ -97,6 +97,7 @@ def set_classes(docs: DataFrame, n_blocks: int, k: int, id_col: str, text_col: s
             n, s1, s2 = (np.concatenate(r) if r else np.zeros(0, np.int64) for r in rows)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("blk"), pa.array(n), pa.array(s1), pa.array(s2)],
                                              names=["_id", "blk", "n", "s1", "s2"])
+        B.give_back()
 
     return B.blocked(docs, n_blocks, id_col, text_col).mapInArrow(fingerprint, "_id long, blk int, n long, s1 long, s2 long").withColumn(
         "_id", F.coalesce("_id", F.lit(NULL_ID)))
@@ -251,6 +252,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
                     if any(100 * (both := len(np.intersect1d(p, q, assume_unique=True))) >= t * (len(p) + len(q) - both) for q in of.get(y, ())):
                         kept.append((x, y))
                         break
+            del of, values
+        B.give_back()
         return B.table_of(kept, _PAIR)
 
     return at.groupBy("slot").cogroup(held.groupBy("slot")).applyInArrow(check, "a long, b long")
@@ -283,6 +286,7 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY
         if not table.num_rows:
             return B.table_of([], B.BLOB)
         _, _, keys, _, counts = class_sets(table, notes)
+        B.give_back()
         return B.table_of(B.key_blobs(key[0].as_py(), keys, n_buckets, width, np.minimum(counts, 255).astype(np.uint8)), B.BLOB)
 
     def rank_keys(key, table):
@@ -307,16 +311,19 @@ def jaccard_join(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY
         n = sets.size[sets.doc]
         use = np.flatnonzero((pos < n - (t * n + 99) // 100 + 1) & (rank[order] > 0))
         docs_used = np.unique(sets.doc[use])
-        bits = np.zeros((len(ids), BITS), np.int64)
+        bits = np.zeros((len(ids), BITS), np.uint8)  # parity only: wrapping is right
         np.add.at(bits, (sets.doc, (sets.h % np.uint64(BITS)).astype(np.int64)), 1)
-        packed = np.packbits((bits & 1).astype(np.uint8), axis=1)
+        packed = np.packbits(bits & 1, axis=1)
         cut = np.searchsorted(sets.doc[use], np.arange(len(ids) + 1))
         h = sets.h.view(np.int64)
         out = []
         for d in docs_used.tolist():
             u = use[cut[d]:cut[d + 1]]
             out.append((ids[d], int(sets.size[d]), packed[d].tobytes(), h[order[u]], pos[u], rank[order[u]], h[sets.at[d]:sets.at[d + 1]]))
-        return B.table_of(out, kinds)
+        out = B.table_of(out, kinds)
+        del sets, keys, inverse, rank, order, pos, n, use, h
+        B.give_back()
+        return out
 
     table = f"{ensure_checkpoint_dir(spark)}/jaccard-{uuid.uuid4().hex}"
     by_block.cogroup(ranks.unionByName(chosen).groupBy("blk")).applyInArrow(
@@ -379,7 +386,9 @@ def _group_pairs(t: int, second: bool, best: bool):
     pairs = _bucket_pairs(t, second, best)
 
     def of_group(key, table):
-        return pairs(table)
+        out = pairs(table)
+        B.give_back()
+        return out
 
     return of_group
 

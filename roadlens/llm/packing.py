@@ -18,6 +18,7 @@ result.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -44,10 +45,11 @@ _PLACED = PIECE_SCHEMA + ", part int, bin int, offset long, released boolean, bi
 RELEASE = 0.9
 
 
-def word_ids(path: str | None):
-    """A function set[bytes] of words -> dict word -> little-endian 32-bit ids.
+def word_ids(path: str | None, memo_words: int = MEMO_WORDS):
+    """A function set[bytes] of words -> dict word -> little-endian 32-bit ids; for a tokenizer of other rules, a
+    function of that kind over whole texts (its ``whole`` is true).
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its
+    The tokenizer of ``word_bpe_49k.json`` drops white space and never joins across it, so a text's ids are its
     words' ids in order. It also parts letters from marks and lowers case, so a word of
     letters and closing marks has its stem's ids, then the marks'. A stem of Latin letters
     needs the merges only. All other words go through the whole tokenizer one by one.
@@ -59,14 +61,23 @@ def word_ids(path: str | None):
 
     cache = B.process_cache("word_ids")
     if cache.get("path") != (path,):
-        if path is None:
-            import public_tokenizers
+        import public_tokenizers
 
-        tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
+        known = public_tokenizers.path("word_bpe_49k.json")
+        tokenizer = Tokenizer.from_file(path or known)
+        same = path is None or _rules(tokenizer) == _rules(Tokenizer.from_file(known))
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         letters = {o: as_bytes(chr(o))[0][0] for o in range(0xC0, 0x100)}
-        cache.update(path=(path,), tokenizer=tokenizer, letters=letters, words={}, stems={})
+        cache.update(path=(path,), tokenizer=tokenizer, letters=letters, words={}, stems={}, same=same)
     tokenizer, letters = cache["tokenizer"], cache["letters"]
+    if not cache["same"]:
+        whole = lambda t: np.array(tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+        def of_texts(texts: set[bytes]) -> dict:
+            return {t: whole(t) for t in texts}
+
+        of_texts.whole = True
+        return of_texts
     plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 
     def solve_stems(stems: list[str]) -> list[bytes]:
@@ -80,7 +91,7 @@ def word_ids(path: str | None):
             m = plain.fullmatch(t := w.decode())
             parts.append((m[1].lower(), m[2]) if m else t)
         stems = {p[0] for p in parts if isinstance(p, tuple)}
-        known = B.remembered(cache["stems"], stems, solve_stems, MEMO_WORDS)
+        known = B.remembered(cache["stems"], stems, solve_stems, memo_words)
         marks, out = {"": b""}, []
         for p in parts:
             tail = p if isinstance(p, str) else p[1]
@@ -89,21 +100,30 @@ def word_ids(path: str | None):
             out.append(marks[tail] if isinstance(p, str) else known[p[0]] + marks[tail])
         return out
 
-    return lambda words: B.remembered(cache["words"], words, solve_words, MEMO_WORDS)
+    return lambda words: B.remembered(cache["words"], words, solve_words, memo_words)
+
+
+def _rules(tokenizer) -> list:
+    """What decides how a text is cut into words and a word into pieces, but for the vocabulary."""
+    rules = json.loads(tokenizer.to_str())
+    model = {k: v for k, v in rules["model"].items() if k not in ("vocab", "merges")}
+    return [model, *(rules.get(k) for k in ("normalizer", "pre_tokenizer", "post_processor", "added_tokens"))]
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = 0,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", memo_words: int = MEMO_WORDS) -> DataFrame:
     """One row per piece of each document's ids (its words' ids, then ``end_id``)."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        look_up = word_ids(path)
+        look_up = word_ids(path, memo_words)
+        whole = getattr(look_up, "whole", False)
         for batch in batches:
             cols = [[], [], [], [], []]
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 256):
-                words = [(t.as_py() or "").encode().split() for t in texts[at:at + 256]]
+                raw_texts = [(t.as_py() or "").encode() for t in texts[at:at + 256]]
+                words = [[t] if whole else t.split() for t in raw_texts]
                 memo = look_up(set().union(*words))
                 for doc_id, ws in zip(ids[at:at + 256], words):
                     raw = b"".join(map(memo.__getitem__, ws)) + end
@@ -218,9 +238,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES) ->
     return out.select(*names, "sequence_id", "offset")
 
 
-def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """Tokenize and pack all documents."""
-    return pack(token_pieces(docs, capacity, path), capacity)
+def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, memo_words: int = MEMO_WORDS) -> DataFrame:
+    """Tokenize and pack all documents. ``memo_words``: words that a worker remembers (memory against time, never results)."""
+    return pack(token_pieces(docs, capacity, path, memo_words=memo_words), capacity)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
