@@ -28,6 +28,8 @@ from roadlens.llm.toxicity import severity, train
 from roadlens.session import cut_lineage, ensure_checkpoint_dir
 
 
+#: words that a worker remembers while packing: fewer than alone, for workers keep memory over all stages
+MEMO_WORDS = 50_000
 #: seed of the second hash of a row
 SECOND_HASH = 40961
 
@@ -95,7 +97,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_fit_packing(docs)
+    return best_fit_packing(docs, memo_words=MEMO_WORDS)
 
 
 STAGES = [
