@@ -37,6 +37,8 @@ CAPACITY = 2048
 PIECES = 50_000
 #: words whose ids a Python worker remembers
 MEMO_WORDS = 300_000
+#: documents whose distinct words are looked up at once
+BATCH = 1024
 MAX_ROUNDS = 6
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -121,11 +123,11 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
         for batch in batches:
             cols = [[], [], [], [], []]
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 256):
-                raw_texts = [(t.as_py() or "").encode() for t in texts[at:at + 256]]
+            for at in range(0, len(ids), BATCH):
+                raw_texts = [(t.as_py() or "").encode() for t in texts[at:at + BATCH]]
                 words = [[t] if whole else t.split() for t in raw_texts]
                 memo = look_up(set().union(*words))
-                for doc_id, ws in zip(ids[at:at + 256], words):
+                for doc_id, ws in zip(ids[at:at + BATCH], words):
                     raw = b"".join(map(memo.__getitem__, ws)) + end
                     n = len(raw) // 4
                     for k, s in enumerate(range(0, n, capacity)):

@@ -12,10 +12,9 @@ at an end, and a symbol of round ``r`` spans at most ``2^r`` words outside runs,
 most rounds for which the symbol over a window's middle word still lies in the agreeing
 part, together with ``w/2 - 2^r + 1`` words before its start and ``w/2`` from it on.
 
-Spark exchanges names round by round, over all blocks (see ``blocks``): first the names of round 1, then those of
-round 2 for symbols made of repeated ones only, and so on; a symbol whose name stands once in the corpus ends there.
-The highest symbols that are left send that context as a last key. A window is a candidate if its middle
-symbol was left by all rounds, or if a run touches it (runs may be cut differently at its ends). Candidates
+Spark exchanges the names of the highest symbols over all blocks (see ``blocks``); a symbol whose name stands
+once in the corpus ends there. Those left send that context as a second key. A window is a candidate if its middle
+symbol was left by both, or if a run touches it (runs may be cut differently at its ends). Candidates
 are then verified: their full word sequences, as 96-bit fingerprints, are exchanged the same way,
 and the first holder in (id, position) order keeps the words.
 
@@ -91,9 +90,10 @@ class _Block:
         self.window, self.n_buckets, self.width = window, n_buckets, width
         r = rounds_for(window)
         before, after = window // 2 - 2 ** r + 1, window - window // 2
-        self.levels, self.in_run = recompress(self.words, r)
+        levels, self.in_run = recompress(self.words, r)
+        self.names, self.start = levels[-1]
         self.n = len(self.words.h)
-        start = self.levels[-1][1]
+        start = self.start
         ctx, inside = self.words.windows(before + after)
         lo = start - before
         self.anchored = (lo >= 0) & (lo < len(ctx))
@@ -102,27 +102,26 @@ class _Block:
         self.surroundings[self.anchored] = ctx[lo[self.anchored]]
 
     def exchange(self, answers, phase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The keys that a round sends: (symbols of its level that the rounds before left, distinct keys, index of each
-        symbol's key, how often a key stands here). A round's keys are the names of its level; the last round's are the
-        surroundings of the highest symbols."""
-        left = np.ones(len(self.levels[0][1]), bool)
+        """The keys of an exchange: (symbols that those before left, distinct keys, index of each symbol's key, how often a
+        key stands here). First the names of the highest symbols, then the surroundings of those left."""
+        left = np.ones(len(self.start), bool)
         for k in range(phase + 1):
-            if 0 < k < len(self.levels) and len(left):  # a symbol goes on if all that it is made of does
-                left = np.minimum.reduceat(left, np.searchsorted(self.levels[k - 1][1], self.levels[k][1])) if len(self.levels[k][1]) else left[:0]
-            names = self.levels[k][0] if k < len(self.levels) else self.surroundings
-            left = left & self.anchored if k == len(self.levels) else left
+            names = self.surroundings if k else self.names
+            left = left & self.anchored if k else left
             uniq, inverse, local = np.unique(B.truncate(names[left], self.width), return_inverse=True, return_counts=True)
             if k < phase:
                 again = B.answers_in(_phase(answers, k, self.n_buckets), B.bucket_cuts(uniq, self.n_buckets), True) | (local > 1)
                 left = left.copy()
                 left[left] = again[inverse]
+            if k:
+                break
         return left, uniq, inverse, local
 
     def candidates(self, answers):
-        """Window starts to verify, with 96-bit fingerprints (high 64, low 32): those whose middle is in a symbol that all
-        rounds left, or that a run touches."""
-        start = self.levels[-1][1]
-        shared = np.append(self.exchange(answers, len(self.levels) + 1)[0], False)
+        """Window starts to verify, with 96-bit fingerprints (high 64, low 32): those whose middle is in a symbol that both
+        exchanges left, or that a run touches."""
+        start = self.start
+        shared = np.append(self.exchange(answers, 2)[0], False)
         high, inside = self.words.windows(self.window)
         p = np.flatnonzero(inside)
         symbol = np.searchsorted(start, p + self.window // 2, side="right") - 1
@@ -172,8 +171,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     blocked = B.blocked(docs, n_blocks, id_col, text_col)
     by_block = blocked.groupBy("blk")
 
-    rounds = rounds_for(window) or 1
-
     def send(phase):
         def fn(key, table, answers=None):
             if not table.num_rows:
@@ -184,11 +181,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
         return (lambda key, table: fn(key, table)) if not phase else (lambda key, table, answers: fn(key, table, answers))
 
     known = None
-    for phase in range(rounds + 1):  # a name that stands once in all blocks ends there, with all symbols made of it
+    for phase in (0, 1):  # a symbol whose name, or surroundings, stand once in all blocks ends there
         sent = by_block.applyInArrow(send(0), B.BLOB_SCHEMA) if known is None else by_block.cogroup(known.groupBy("blk")).applyInArrow(send(phase), B.BLOB_SCHEMA)
         told = sent.groupBy("bucket").applyInArrow(B.repeated_in_blocks(), B.ANSWER_SCHEMA).withColumn("bucket", F.col("bucket") + phase * n_buckets)
         known = told if known is None else known.unionByName(told)
-    shared, last = known, rounds + 1
+    shared, last = known, 2
 
     def send_windows(key, table, answers):
         if not table.num_rows:
