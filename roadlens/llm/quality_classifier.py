@@ -49,6 +49,8 @@ CHUNK = 1 << 19
 #: text added to the table at once (adding costs the table's size)
 CONTEXT_CHUNK = 1 << 23
 STEPS_PER_DOUBLING = 16
+#: leading bits of a hash that address the rows of frequent tokens
+SLOT_BITS = 22
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -58,11 +60,20 @@ def bucket(h: np.ndarray) -> np.ndarray:
 NONE = np.zeros(0, np.uint64)
 
 
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def rows_of(h: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Table row of each token: its own (``own`` is sorted), or its bucket's, behind those."""
+    """Table row of each token: its own (``own`` is sorted, one a slot), or its bucket's, behind those."""
     if not len(own):
         return bucket(h)
-    at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+    cache = B.process_cache("own_rows")
+    if not np.array_equal(cache.get("own", NONE), own):
+        table = np.zeros(1 << SLOT_BITS, np.int32)
+        table[_slots(own)] = np.arange(len(own), dtype=np.int32)
+        cache.update(own=own, table=table)
+    at = cache["table"][_slots(h)]  # addressed directly: a search in the sorted hashes takes most of the time otherwise
     return np.where(own[at] == h, at, len(own) + bucket(h))
 
 
@@ -87,7 +98,8 @@ def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def frequent_tokens(counts: DataFrame, own: int = OWN) -> np.ndarray:
-    """Hashes of the tokens with a vector of their own, sorted: at most ``own``."""
+    """Hashes of the tokens with a vector of their own, sorted: at most ``own``. Of tokens whose hashes share the first
+    ``SLOT_BITS`` bits (one in 128 of them) the first alone has one."""
     counts = cut_lineage(counts.withColumn("step", F.floor(F.log2("n") * STEPS_PER_DOUBLING).cast("long")))
     steps = sorted(counts.groupBy("step").count().collect(), key=lambda r: -r["step"])  # a row per step: under 64 * STEPS_PER_DOUBLING
     least, total = None, 0
@@ -98,7 +110,8 @@ def frequent_tokens(counts: DataFrame, own: int = OWN) -> np.ndarray:
         least = r["step"]
     if least is None:
         return NONE
-    return np.sort(np.array([r["h"] for r in counts.filter(F.col("step") >= least).select("h").collect()], np.int64).view(np.uint64))
+    h = np.sort(np.array([r["h"] for r in counts.filter(F.col("step") >= least).select("h").collect()], np.int64).view(np.uint64))
+    return h[np.unique(_slots(h), return_index=True)[1]]
 
 
 def shared_share(counts: DataFrame, own: np.ndarray) -> float:
