@@ -2,11 +2,11 @@
 
 Index: ``tables`` sets of ``bits`` orthonormal hyperplanes (seeded, so the same on every run) give each unit vector a bucket
 per table; equal vectors are one entry that carries its ``k`` smallest ids. A query probes the
-buckets whose flipped bits cost it the least margin, in every table. Probes and entries meet by an equi-join on (table,
-bucket, chunk): a bucket of any size is cut into chunks of about ``CHUNK`` entries and probes go to each, so no task
-holds a large bucket. What meets is scored by the same dot product as the exact search (R2), each task keeps
-the best per query before the exchange, and the last step drops repeats. There is no plan over all pairs; what
-a query costs is the size of the buckets it probes.
+buckets whose flipped bits cost it the least margin, in every table. A table's entries are cut into parts of about ``CHUNK``
+by the hash of their ids, so a bucket of any size is spread over the parts; each block of queries meets each part in one
+call, which scores a query with the entries of its probed buckets only (matrix products by bucket, then the same dot product
+as the exact search, R2) and gives its ``k`` best. The last step drops repeats. There is no plan over all pairs, and pairs
+are never shuffled; what a query costs is the size of the buckets it probes.
 
 ``calibrate`` picks the number of probes: the fewest that find ``target`` of the true neighbours inside a bounded sample.
 Recall on the whole store is at least about that (neighbours only get nearer with more rows) and is measured by ``recall``.
@@ -25,7 +25,8 @@ from ..session import materialize
 
 TABLES, MAX_BITS, SEED = 8, 12, 17
 SAMPLE_ROWS, SAMPLE_QUERIES, TARGET = 2000, 200, 0.96
-CHUNK = 10_000
+#: entries of a table and queries that one call has at most (about), queries and pairs that it scores at a time
+CHUNK, QUERY_BLOCK, QUERY_SLICE, PAIRS = 65536, 8192, 1024, 1 << 21
 
 
 @dataclass(frozen=True)
@@ -124,8 +125,6 @@ def approx_top_k(queries: DataFrame, qid: str, qvec: str, store: DataFrame, did:
         return store.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
     h, probes = setting
     entries = index(store, did, dvec, h, k)
-    # a row per bucket: at most tables * 2^bits of them, whatever the store's size
-    sizes = F.broadcast(entries.groupBy("tab", "bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")))
 
     def probe(batches):
         import pyarrow as pa
@@ -134,17 +133,21 @@ def approx_top_k(queries: DataFrame, qid: str, qvec: str, store: DataFrame, did:
             if not batch.num_rows:
                 continue
             qv = batch.column("qv")
-            got = _probed(_projected(np.asarray(qv.flatten()).reshape(-1, h.dim), h), probes)
-            n, width = len(got), got.shape[1] * got.shape[2]
-            row = pa.array(np.repeat(np.arange(n), width))
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.repeat(np.arange(h.tables), got.shape[2]), n), pa.int32()), pa.array(got.ravel(), pa.int32()),
-                                              batch.column("query_id").take(row), qv.take(row)], names=["tab", "bucket", "query_id", "qv"])
+            got = _probed(_projected(np.asarray(qv.flatten()).reshape(-1, h.dim), h), probes).astype(np.uint16)
+            row = pa.array(np.repeat(np.arange(len(got)), h.tables))
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(h.tables), len(got)), pa.int32()), batch.column("query_id").take(row), qv.take(row),
+                                              pa.array([p.tobytes() for q in got for p in q], pa.binary())], names=["tab", "query_id", "qv", "probed"])
 
     q = queries.select(F.col(qid).cast("long").alias("query_id"), vx.as_double(qvec).alias("v")).filter((F.size("v") == h.dim) & F.col("query_id").isNotNull())
-    asked = q.select("query_id", vx.unit("v").alias("qv")).mapInArrow(probe, "tab int, bucket int, query_id long, qv array<double>")
-    asked = asked.join(sizes, ["tab", "bucket"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    held = entries.join(sizes, ["tab", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("ids"), F.col("chunks")).cast("int")).drop("chunks")
-    met = held.join(asked, ["tab", "bucket", "chunk"]).select("query_id", "ids", vx.dot("qv", "dv").alias("score"))
+    asked = q.select("query_id", vx.unit("v").alias("qv")).mapInArrow(probe, "tab int, query_id long, qv array<double>, probed binary")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = max(1, -(-entries.count() // (h.tables * CHUNK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    at = lambda n, *cols: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+    asked = asked.withColumn("block", at(blocks, "query_id", "qv")).withColumn("part", every(parts))
+    held = entries.withColumn("part", at(parts, "ids")).withColumn("block", every(blocks))
+    cell = ["tab", "part", "block"]
+    met = asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInArrow(_met_in_cell(k), "query_id long, ids array<long>, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("ids")[0])
     # an entry meets a query once a table at most, so the k best are among the first k * tables
     met = met.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k * h.tables).drop("_r").distinct()
@@ -153,6 +156,98 @@ def approx_top_k(queries: DataFrame, qid: str, qvec: str, store: DataFrame, did:
     return docs.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
+def _met_in_cell(k: int):
+    """The call of a cell (a table's part and a block of queries): each query meets the entries of the buckets it probes, a bucket
+    at a time as a matrix product; its ``k`` best leave the cell, scored anew in the order of ``vectors.dot``. A vector
+    that holds a null has null scores (last), NaN is the greatest score."""
+    pairs_held, slice_rows = PAIRS, QUERY_SLICE
+
+    def matrix(column):
+        import pyarrow as pa
+
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        values = column.flatten()
+        shape = (len(column), -1)
+        return values.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(shape), values.is_null().to_numpy(zero_copy_only=False).reshape(shape).any(axis=1)
+
+    def exact(q, v):
+        total = np.zeros(len(q))
+        for j in range(q.shape[1]):
+            total += q[:, j] * v[:, j]
+        return total
+
+    def first_k(i, score, place):
+        order = np.lexsort((place, -score, i))
+        i = i[order]
+        return order[np.arange(len(i)) - np.searchsorted(i, i) < k]
+
+    def run(asked, held):
+        import pyarrow as pa
+
+        kept = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, bool))]  # query, entry, score, without a score
+        if asked.num_rows and held.num_rows:
+            held = held.take(pa.array(np.argsort(held["bucket"].to_numpy(), kind="stable")))
+            bucket = held["bucket"].to_numpy()
+            names, start = np.unique(bucket, return_index=True)
+            end = np.append(start[1:], len(bucket))
+            (v, v_null), (q, q_null) = matrix(held["dv"]), matrix(asked["qv"])
+            first = held["ids"].combine_chunks()
+            first = first.flatten().to_numpy()[first.offsets.to_numpy()[:-1] - first.offsets[0].as_py()]
+            probed = np.frombuffer(b"".join(asked["probed"].to_pylist()), np.uint16).reshape(len(q), -1).astype(np.int64)
+            plain = np.isfinite(v).all() and np.isfinite(q).all() and not v_null.any() and not q_null.any()
+            slack = 64 * (q.shape[1] + 4) * np.finfo(float).eps  # unit vectors
+
+            def key(i, j, s):
+                if plain:
+                    return s
+                s = np.where(np.isnan(s), np.inf, s)
+                return np.where(q_null[i] | v_null[j], -np.inf, s)
+
+            def settled(i, j, s):
+                """Only what can be among the k best of its query."""
+                i, j, s = np.concatenate(i), np.concatenate(j), np.concatenate(s)
+                order = np.lexsort((-s, i))
+                i, j, s = i[order], j[order], s[order]
+                head = np.searchsorted(i, i)
+                last = np.minimum(head + k, np.searchsorted(i, i, "right")) - 1
+                near = s >= s[last] - slack
+                i, j, s, last, head = i[near], j[near], s[near], s[last][near], (last - head + 1 == k)[near]
+                return i, j, s, i[head], last[head]
+
+            for a in range(0, len(q), slice_rows):
+                rows = np.arange(a, min(a + slice_rows, len(q)))
+                order = np.argsort(probed[rows], axis=None, kind="stable")
+                want, who = probed[rows].ravel()[order], a + order // probed.shape[1]
+                lo, hi = np.searchsorted(want, names), np.searchsorted(want, names, "right")
+                least = np.full(len(q), -np.inf)
+                i_s, j_s, s_s, n = [], [], [], 0
+                for b in np.flatnonzero(hi > lo):
+                    i, part = who[lo[b]:hi[b]], v[start[b]:end[b]]
+                    with np.errstate(all="ignore"):
+                        s = q[i] @ part.T
+                    s = key(i[:, None], np.arange(start[b], end[b])[None, :], s)
+                    x, y = np.nonzero(s >= (least[i] - slack)[:, None])
+                    i_s.append(i[x])
+                    j_s.append(start[b] + y)
+                    s_s.append(s[x, y])
+                    n += len(x)
+                    if n > pairs_held:
+                        i, j, s, full, bound = settled(i_s, j_s, s_s)
+                        least[full] = bound
+                        i_s, j_s, s_s, n = [i], [j], [s], len(i) // 2
+                if not i_s:
+                    continue
+                i, j, _, _, _ = settled(i_s, j_s, s_s)
+                with np.errstate(all="ignore"):
+                    s = np.concatenate([exact(q[i[c:c + (1 << 16)]], v[j[c:c + (1 << 16)]]) for c in range(0, len(i), 1 << 16)])
+                best = first_k(i, key(i, j, s), first[j])
+                kept.append((i[best], j[best], s[best], q_null[i[best]] | v_null[j[best]]))
+        i, j, s, none = (np.concatenate(x) for x in zip(*kept))
+        return pa.table({"query_id": asked["query_id"].take(pa.array(i)), "ids": held["ids"].take(pa.array(j)), "score": pa.array(s, mask=none)})
+
+    return run
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(n_queries, n_true, n_found): how many of the exact neighbours were found."""
     both = exact.select("query_id", "doc_id").join(found.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
