@@ -230,39 +230,61 @@ def stat_summary(df: DataFrame, keys, cols, std="pop") -> DataFrame:
     return df.groupBy(*keys).agg(*aggs)
 
 
-#: blocks that a group is cut into for callbacks
-CALLBACK_BLOCKS = 32
+#: rows of a block of a group, and of a lot of blocks (about)
+CALLBACK_ROWS = 1 << 16
 
 
 def stat_callbacks(df: DataFrame, keys, cols, callbacks: dict) -> DataFrame:
-    """User statistics by name, ``{col}_{name}`` per group, as grouped-aggregate pandas UDFs.
+    """User statistics by name, ``{col}_{name}`` per group, as Python functions in Arrow batches.
 
     A callback is a pair (partial, final): ``partial(Series) -> list of floats`` on a block of a group's values,
-    ``final(2-d array) -> float`` on the partials of the group's blocks, a row each. A group is cut into up to CALLBACK_BLOCKS
-    blocks by the hash of its rows, so that no task or call holds a hot group. Nulls are left out before; a
-    group without values gives null, and so does a final of NaN."""
-    def partial_of(fn):
-        @F.pandas_udf("array<double>")
-        def run(values: pd.Series) -> Any:
-            values = values.dropna()
-            return [float(x) for x in fn(values)] if len(values) else None
+    ``final(2-d array) -> float`` on the partials of the group's blocks, a row each. A group of more than CALLBACK_ROWS rows (counted
+    first) is cut into blocks of about that many by the hash of its rows, so that no task or call holds a hot group. A worker
+    takes blocks by lots of about CALLBACK_ROWS rows, for a batch of its own costs more than a short block's work. Nulls
+    are left out before; a group without values gives null, and so does a final of NaN."""
+    from ..session import cut_lineage
 
-        return run
+    named = [(c, name, fns) for c in cols for name, fns in callbacks.items()]
+    sizes = cut_lineage(df.groupBy(*[F.col(c).alias(f"_h_{c}") for c in keys]).agg(F.count(F.lit(1)).alias("_n")))
+    lots = max(1, -(-(sizes.agg(F.sum("_n")).first()[0] or 0) // CALLBACK_ROWS))
+    hot = F.broadcast(sizes.filter(F.col("_n") > CALLBACK_ROWS))  # of n rows, less than n / CALLBACK_ROWS groups
+    block = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.coalesce(F.ceil(F.col("_n") / CALLBACK_ROWS), F.lit(1)))
+    cut = df.join(hot, [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in keys], "left").select(
+        *keys, block.alias("_block"), *[F.col(c).cast("double").alias(f"_v_{c}") for c in cols])
+    kinds = dict(df.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keys] + [f"`{c}_{name}` array<double>" for c, name, _ in named])
+
+    def partials(rows):
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
+
+        code = np.zeros(rows.num_rows, int)
+        for c in [*keys, "_block"]:
+            at = rows[c].combine_chunks().dictionary_encode(null_encoding="encode")
+            code = np.unique(code * (len(at.dictionary) + 1) + at.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        edges = np.append(np.flatnonzero(np.diff(code[order], prepend=-1)), len(order))
+        out = {c: rows[c].take(pa.array(order[edges[:-1]])) for c in keys}
+        for c in cols:
+            values = pd.Series(rows[f"_v_{c}"].to_numpy()[order])
+            blocks = [values.iloc[lo:hi].dropna() for lo, hi in zip(edges, edges[1:])]
+            for name, (partial, _) in callbacks.items():
+                out[f"{c}_{name}"] = pa.array([[float(x) for x in partial(v)] if len(v) else None for v in blocks], pa.list_(pa.float64()))
+        return pa.table(out)
 
     def final_of(fn):
         @F.pandas_udf("double")
-        def run(partials: pd.Series) -> Any:
+        def run(partials: pd.Series) -> pd.Series:
             import numpy as np
 
-            kept = [p for p in partials if p is not None]
-            return float(fn(np.array(kept))) if kept else float("nan")
+            return partials.map(lambda rows: float(fn(np.stack(rows))) if len(rows) else float("nan")).astype(float)
 
         return run
 
-    block = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(CALLBACK_BLOCKS))
-    named = [(c, name, fns) for c in cols for name, fns in callbacks.items()]
-    parts = df.withColumn("_block", block).groupBy(*keys, "_block").agg(*[partial_of(p)(F.col(c).cast("double")).alias(f"{c}_{name}") for c, name, (p, _) in named])
-    out = parts.groupBy(*keys).agg(*[final_of(f)(f"{c}_{name}").alias(f"{c}_{name}") for c, name, (_, f) in named])
+    parts = cut.withColumn("_lot", F.pmod(F.xxhash64(*keys, "_block"), F.lit(lots))).groupBy("_lot").applyInArrow(partials, schema)
+    out = parts.groupBy(*keys).agg(*[F.collect_list(f"{c}_{name}").alias(f"{c}_{name}") for c, name, _ in named])  # a partial a block
+    out = out.select(*keys, *[final_of(f)(f"{c}_{name}").alias(f"{c}_{name}") for c, name, (_, f) in named])
     return out.withColumns({f"{c}_{name}": F.when(~F.isnan(f"{c}_{name}"), F.col(f"{c}_{name}")) for c, name, _ in named})
 
 

@@ -147,7 +147,7 @@ def g5_platoons(spark, d):
                   min(headway_max) AS headway_max_min, max(headway_max) AS headway_max_max
            FROM policy_run GROUP BY cp_path""",
     views=["policy_run"],
-    note="callbacks by name as grouped-aggregate pandas UDFs over blocks of a group; a14_metric_summary_pop is the Column form",
+    note="callbacks by name over blocks of a group, by lots in Arrow batches; a14_metric_summary_pop is the Column form",
 )
 def g4(spark, d):
     x = mt.stat_callbacks(tb.policy_run(spark, d), ["cp_path"], ["system_mpg", "headway_max"], mt.moment_callbacks())
