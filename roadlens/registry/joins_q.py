@@ -207,6 +207,10 @@ def j9(spark, d):
 SWEEP = {"v0": 35.0, "T": 1.0, "s0": 7.0, "delta": 4}
 
 
+#: steps of a run that one task sweeps
+SWEEP_STEPS = 4096
+
+
 def idm_grid(spark):
     a = spark.range(5, 24).select((F.col("id") / 10.0).alias("a"))
     b = spark.range(13, 30).select((F.col("id") / 10.0).alias("b"))
@@ -233,9 +237,12 @@ def j10(spark, d):
     x = em.attach_leader(em.platoon_leader(fuel_log(spark, d)))
     x = x.filter(F.col("leader_speed").isNotNull()).withColumn("headway", ph.headway("leader_position", "position"))
     grid = maybe_broadcast(idm_grid(spark), 19 * 17)
-    x = x.select("run_id", "speed", "leader_speed", "headway", "accel").crossJoin(grid)
+    # rows of a run's block come together before the grid multiplies them, so one sum a block and grid point is exchanged
+    block = F.floor(F.col("step") / SWEEP_STEPS)
+    x = x.select("run_id", block.alias("_b"), "speed", "leader_speed", "headway", "accel").repartition("run_id", "_b").crossJoin(grid)
     pred = _idm_grid_accel(F.col("speed"), F.col("leader_speed"), F.col("headway"), F.col("a"), F.col("b"))
-    err = x.groupBy("run_id", "a", "b").agg(F.sqrt(F.avg(F.pow(pred - F.col("accel"), 2))).alias("rmse"))
+    part = x.withColumn("_e", F.pow(pred - F.col("accel"), 2)).groupBy("run_id", "_b", "a", "b").agg(F.sum("_e").alias("_s"), F.count("_e").alias("_n"))
+    err = part.groupBy("run_id", "a", "b").agg(F.sqrt(F.try_divide(F.sum("_s"), F.sum("_n"))).alias("rmse"))
     best = err.groupBy("run_id").agg(F.min_by(F.struct("a", "b"), F.struct("rmse", "a", "b")).alias("_b"), F.min("rmse").alias("r"))
     return best.select("run_id", F.col("_b.a").alias("best_a"), F.col("_b.b").alias("best_b"), rnd("r", 6).alias("best_rmse"))
 
