@@ -226,6 +226,19 @@ def switch_pairs(df, keys, seq, flag: Column, direction: Column, keep: str = "We
     return pairs.select(*keys, "k", "start_row", "end_row", (F.col("end_row") - F.col("start_row")).alias("n_rows"))
 
 
+#: positions that one block of a drive has where rows meet the pairs of ``switch_pairs``
+PAIR_BLOCK = 1024
+
+
+def rows_inside(df, pairs, keys, seq, start="start_row", end="end_row") -> DataFrame:
+    """Rows of ``df`` with each of the ``pairs`` of their key whose ``[start, end)`` holds them. Both sides meet by key and block of
+    positions, so a row is compared with the few pairs that touch its block, not with all of a drive, and a long drive is many tasks."""
+    block = lambda c: F.floor(c / PAIR_BLOCK).cast("long")
+    p = pairs.filter(F.col(start) < F.col(end)).withColumn("_b", F.explode(F.sequence(block(F.col(start)), block(F.col(end) - 1))))
+    x = df.withColumn("_b", block(F.col(seq))).join(p, [*keys, "_b"])
+    return x.filter((F.col(seq) >= F.col(start)) & (F.col(seq) < F.col(end))).drop("_b")
+
+
 def relative_speed_from_gap(df, keys, seq, time, velocity_kmh, gap, delta=10, acc_lo=-20.0, acc_hi=10.0,
                             v_lo=0.0, v_hi=140.0, name="relative_velocity") -> DataFrame:
     """W13 (dormant in the source): central difference of the gap over +/-delta rows,

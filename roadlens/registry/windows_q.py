@@ -317,7 +317,7 @@ def d1(spark, d):
     pairs = pairs.select(*keys, F.concat_ws("_", "traj_id", "k", "n_rows").alias("name"), "start_row", "end_row")
     smooth = sr.smooth(x, keys, "seq", "velocity_kmh").select(*keys, "seq", "smoothed")
     rows = sr.gps_distance(x, keys, "seq").join(smooth, [*keys, "seq"]).withColumn("mile_marker", MILE_ZERO - F.col("distance_gps"))
-    inside = rows.join(pairs, keys).filter((F.col("seq") >= F.col("start_row")) & (F.col("seq") < F.col("end_row")))
+    inside = sr.rows_inside(rows, pairs, keys, "seq")
     place = f"{ensure_checkpoint_dir(spark)}/drives-{uuid.uuid4().hex}"
     inside.select("name", "seq", "velocity_kmh", "smoothed", "lat", "lon", "mile_marker").write.parquet(place)
     return spark.read.parquet(place).groupBy("name").agg(
