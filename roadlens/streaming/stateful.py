@@ -95,7 +95,7 @@ def running_mpg(events: DataFrame, key: str, speed: Column, tie: str = "event_id
 SEGMENT_OUT = "traj_id string, state string, start long, end long"
 
 
-def _segment_processor(min_rows: int, idle_ms: int):
+def _segment_processor(min_rows: int, idle_ms: int, names: list[str]):
     from pyspark.sql.streaming import StatefulProcessor
 
     class Segments(StatefulProcessor):
@@ -107,30 +107,34 @@ def _segment_processor(min_rows: int, idle_ms: int):
             import numpy as np
             import pandas as pd
 
-            x = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "tie"])
-            labels, at = x["label"].to_numpy(), x["ts"].astype("datetime64[ms]").astype("int64").to_numpy()
+            # a hot drive's rows are kept as numbers, not as frames of texts and times
+            us, tie, code = (np.concatenate(c) for c in zip(*((x["us"].to_numpy(np.int64), x["tie"].to_numpy(), x["code"].to_numpy(np.int8)) for x in rows)))
+            order = np.lexsort((tie, us))
+            at, code = us[order] // 1000, code[order]
+            del us, tie, order
             out = []
             if self.drive.exists():
                 start, cur, n, last = self.drive.get()
+                cur = names.index(cur)
             else:
-                start, cur, n, last = 0, labels[0], 0, int(at[0])
+                start, cur, n, last = 0, int(code[0]), 0, int(at[0])
                 self.handle.registerTimer(int(at[-1]) + idle_ms + 1)  # one timer a drive; it moves itself on when it fires
             # rows come before timers in a micro-batch: a silence is seen here too, wherever the rows are cut
             quiet = np.flatnonzero(np.diff(at, prepend=last) > idle_ms).tolist()
             edges = sorted({0, *quiet, len(at)})
             for lo, hi in zip(edges, edges[1:]):
                 if lo in quiet:
-                    out.append((key[0], cur, start, n - 1))
-                    start, cur, n = 0, labels[lo], 0
-                part = labels[lo:hi]
-                for j in np.flatnonzero(part != np.concatenate([[cur], part])[:-1]):  # only the flips are visited
+                    out.append((key[0], names[cur], start, n - 1))
+                    start, cur, n = 0, int(code[lo]), 0
+                part = code[lo:hi]
+                for j in np.flatnonzero(part != np.concatenate([np.array([cur], np.int8), part])[:-1]):  # only the flips are visited
                     i = n + int(j)
                     if i - start >= min_rows:
-                        out.append((key[0], cur, start, i))
+                        out.append((key[0], names[cur], start, i))
                         start = i
-                    cur = part[j]
+                    cur = int(part[j])
                 n += len(part)
-            self.drive.update((int(start), str(cur), int(n), max(int(at[-1]), last)))
+            self.drive.update((int(start), names[cur], int(n), max(int(at[-1]), last)))
             yield pd.DataFrame(out, columns=["traj_id", "state", "start", "end"])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -157,13 +161,14 @@ def closed_segments(events: DataFrame, key: str, velocity: Column, min_rows: int
     """X-5 for append mode: a traffic-state segment is emitted once, when it closes. A drive ends with a silence of more than
     ``idle``: its last segment closes when the watermark (or its next row) is that far, its state is dropped, and
     later rows are a new drive numbered from 0. Rows with a null key or time are left out."""
-    from ..operators.traffic import traffic_state
+    from ..operators.traffic import STATES, traffic_state
 
-    x = events.withWatermark("event_time", delay).select(F.col(key).cast("string").alias("key"), F.col("event_time").alias("ts"), F.col(tie).alias("tie"),
-                                                         traffic_state(velocity).alias("label"))
+    code = F.array_position(F.array(*[F.lit(s) for s in STATES]), traffic_state(velocity)) - 1
+    x = events.withWatermark("event_time", delay).select(F.col(key).cast("string").alias("key"), F.col("event_time").alias("ts"), F.unix_micros("event_time").alias("us"),
+                                                         F.col(tie).alias("tie"), code.cast("byte").alias("code"))
     x = x.filter(ops.after_watermark(F.col("key").isNotNull(), F.col("ts"))).filter(F.col("ts").isNotNull())
     idle_ms = int(events.sparkSession.sql(f"SELECT unix_millis(timestamp '1970-01-01 00:00:00+00:00' + interval {idle})").first()[0])
-    return x.groupBy("key").transformWithStateInPandas(_segment_processor(min_rows, idle_ms), SEGMENT_OUT, "append", "eventTime")
+    return x.groupBy("key").transformWithStateInPandas(_segment_processor(min_rows, idle_ms, list(STATES)), SEGMENT_OUT, "append", "eventTime")
 
 
 # ---- X-6 ----------------------------------------------------------------------
