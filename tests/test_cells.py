@@ -64,3 +64,29 @@ def test_index_search_shuffles_no_pairs(spark):
     assert "Join" not in x._jdf.queryExecution().optimizedPlan().toString()
     exact = rt.top_k(e.filter("vec_id % 20 = 0"), "vec_id", "v", e, "vec_id", "v", 5)
     assert sorted(map(tuple, x.select("query_id", "rank", "doc_id", "score").collect())) == sorted(map(tuple, exact.select("query_id", "rank", "doc_id", "score").collect()))
+
+
+def test_only_hot_groups_are_cut_into_blocks(spark, monkeypatch):
+    from roadlens.operators import metrics as mt
+
+    monkeypatch.setattr(mt, "CALLBACK_ROWS", 50)
+    rows = [("hot", i, float(i)) for i in range(400)] + [(f"g{i % 5}", i, float(i)) for i in range(60)] + [(None, i, 1.0) for i in range(3)] + [("none", 0, None)]
+    df = spark.createDataFrame(rows, "g string, i long, x double")
+    callbacks = {"blocks": (lambda v: [float(len(v))], lambda p: len(p)), "n": (lambda v: [float(len(v))], lambda p: p.sum())}
+    got = {r.g: (r.x_blocks, r.x_n) for r in mt.stat_callbacks(df, ["g"], ["x"], callbacks).collect()}
+    assert got.pop("none") == (None, None) and got[None] == (1, 3)
+    assert got["hot"][1] == 400 and 4 <= got["hot"][0] <= 8
+    assert all(got[f"g{k}"] == (1, 12) for k in range(5))
+
+
+def test_rows_meet_their_drive_pairs_by_block(spark):
+    from pyspark.sql import functions as F
+
+    from roadlens.operators import series as sr
+
+    rows = spark.createDataFrame([("a", i) for i in range(3000)] + [("b", i) for i in range(40)] + [(None, 5)], "t string, seq long")
+    pairs = spark.createDataFrame([("a", "x", 5, 7), ("a", "y", 1000, 2500), ("a", "z", 2500, 2501), ("b", "w", 30, 90), ("b", "e", 3, 3), (None, "n", 0, 9)],
+                                  "t string, name string, start_row long, end_row long")
+    x = sr.rows_inside(rows, pairs, ["t"], "seq")
+    assert {r["name"]: r["n"] for r in x.groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()} == {"x": 2, "y": 1500, "z": 1, "w": 10}
+    assert "_b" in x._jdf.queryExecution().optimizedPlan().toString() and set(x.columns) == {"t", "seq", "name", "start_row", "end_row"}
