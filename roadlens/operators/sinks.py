@@ -31,8 +31,14 @@ def write_json_records(df: DataFrame, path: str) -> None:
 
 
 def write_subtrajectories(df: DataFrame, path: str, key: str = "traj_id") -> None:
-    """K7: one folder per sub-trajectory (partitioned by its name)."""
-    df.repartition(key).write.mode("overwrite").partitionBy(key).parquet(path)
+    """K7: one folder per sub-trajectory (partitioned by its name).
+
+    Small rows, many folders: a task's time goes with its folders, not its bytes, so the number of tasks is given (left to itself, Spark
+    merges them by bytes into a few), and each task moves its own folders to their place; the driver would one after another."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    out = df.repartition(n, key).write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    out.partitionBy(key).parquet(path)
 
 
 def write_wide(df: DataFrame, path: str, keys: list[str], veh: str, values: list[str], vehicles: list, base: dict[str, F.Column]) -> None:
