@@ -45,6 +45,9 @@ FLOOR = (0.15, 0.2, 0.08, 0.25, 0.25)
 BROADCAST_GROUPS = 20_000
 SALTS = 64
 BIN = 64
+#: rows of numbers that a task of a step should have at least, and groups whose bins one task takes
+ROWS_A_TASK = 1 << 14
+GROUPS_A_TASK = 1 << 8
 SPACES = " \t\n\x0b\x0c\r"
 MARKS = "#*$%&|<>"
 DIM = 5
@@ -92,9 +95,15 @@ def _vector() -> list[Column]:
 X = [f"x{i}" for i in range(DIM)]
 
 
-def _binned_quantile(rows: DataFrame, value: Column, q: float, by: list[str], name: str) -> DataFrame:
-    """Upper edge of the bin that holds the q-quantile of each group."""
-    bins = rows.groupBy(*by, F.floor(value * BIN).alias("bin")).count()
+def _few(rows: DataFrame, n: int, most: int = ROWS_A_TASK) -> DataFrame:
+    """The same rows in no more partitions than ``n`` rows need, ``most`` a partition. A step's tables are small however many partitions the
+    texts come in, and each partition of a step costs files in every exchange and checkpoint."""
+    return rows.coalesce(max(1, -(-n // most)))
+
+
+def _binned_quantile(rows: DataFrame, value: Column, q: float, by: list[str], name: str, n: int) -> DataFrame:
+    """Upper edge of the bin that holds the q-quantile of each of about ``n`` groups."""
+    bins = _few(rows.groupBy(*by, F.floor(value * BIN).alias("bin")).count(), n, GROUPS_A_TASK)
     run = Window.partitionBy(*by).orderBy("bin")
     total = Window.partitionBy(*by)
     return bins.withColumn("c", F.sum("count").over(run)).withColumn("m", F.sum("count").over(total)).filter(
@@ -164,13 +173,13 @@ def starts(held: DataFrame, n: int) -> list[DataFrame]:
     """The three first estimates (g, m_i, s_i_j) of every group."""
     middle = None
     for i in range(DIM):
-        part = _binned_quantile(held, F.col(X[i]), 0.5, ["g"], f"m_{i}")
+        part = _binned_quantile(held, F.col(X[i]), 0.5, ["g"], f"m_{i}", n)
         middle = part if middle is None else middle.join(part, "g")
-    middle = cut_lineage(middle)
+    middle = cut_lineage(_few(middle, n))
     near, spread = _with_groups(held, middle, n), middle
     for i in range(DIM):
-        spread = spread.join(_binned_quantile(near, F.abs(F.col(X[i]) - F.col(f"m_{i}")), 0.5, ["g"], f"d_{i}"), "g")
-    spread = cut_lineage(spread.select("g", *(f"m_{i}" for i in range(DIM)), *((F.pow(1.4826 * F.col(f"d_{i}"), 2) + FLOOR[i] ** 2).alias(f"v_{i}") for i in range(DIM))))
+        spread = spread.join(_binned_quantile(near, F.abs(F.col(X[i]) - F.col(f"m_{i}")), 0.5, ["g"], f"d_{i}", n), "g")
+    spread = cut_lineage(_few(spread, n).select("g", *(f"m_{i}" for i in range(DIM)), *((F.pow(1.4826 * F.col(f"d_{i}"), 2) + FLOOR[i] ** 2).alias(f"v_{i}") for i in range(DIM))))
     centre = [f"m_{i}" for i in range(DIM)]
     scored = _with_groups(held, spread, n).withColumns({f"z_{i}": (F.col(X[i]) - F.col(f"m_{i}")) / F.sqrt(f"v_{i}") for i in range(DIM)})
     zero = F.lit(0.0)
@@ -179,9 +188,9 @@ def starts(held: DataFrame, n: int) -> list[DataFrame]:
     corr = lambda i, j: F.coalesce(F.try_divide(F.col(f"r_{i}_{j}"), F.sqrt(F.col(f"r_{i}_{i}") * F.col(f"r_{j}_{j}"))), zero)
     signed = squashed.select("g", *centre, *((F.col(f"v_{i}") if i == j else corr(i, j) * F.sqrt(F.col(f"v_{i}") * F.col(f"v_{j}"))).alias(f"s_{i}_{j}") for i, j in PAIRS))
     away = scored.withColumn("away", F.sqrt(sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(1, DIM)), F.col("z_0") * F.col("z_0"))))
-    edge = _binned_quantile(away, F.col("away"), 0.5, ["g"], "edge")
+    edge = _binned_quantile(away, F.col("away"), 0.5, ["g"], "edge", n)
     inner = _with_groups(away.select("doc_id", *X, "g", "away"), edge, n).filter(F.floor(F.col("away") * BIN) < F.round(F.col("edge") * BIN))
-    return [cut_lineage(x) for x in (plain, signed, _moments(inner))]
+    return [cut_lineage(_few(x, n)) for x in (plain, signed, _moments(inner))]
 
 
 def log_determinant(groups: DataFrame) -> DataFrame:
@@ -195,9 +204,9 @@ def concentrate(held: DataFrame, groups: DataFrame, n: int, max_steps: int = MAX
     before = None
     for step in range(1, max_steps + 1):
         far = _distance(held, groups, n)
-        limit = _binned_quantile(far, F.sqrt("d2"), SUBSET, ["g"], "edge")
+        limit = _binned_quantile(far, F.sqrt("d2"), SUBSET, ["g"], "edge", n)
         subset = _with_groups(far, limit, n).filter(F.floor(F.sqrt("d2") * BIN) < F.round(F.col("edge") * BIN))
-        groups = cut_lineage(_moments(subset, factor))
+        groups = cut_lineage(_few(_moments(subset, factor), n))
         now = cut_lineage(log_determinant(groups))
         if before is not None:
             fall = now.join(before.withColumnRenamed("logdet", "was"), "g").agg(F.max(F.col("was") - F.col("logdet"))).first()[0]  # one number
@@ -216,6 +225,7 @@ def robust_outliers(rows: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
     n = counts.count()
     key = counts.hint("broadcast") if n <= BROADCAST_GROUPS else counts
     rows = cut_lineage(rows.join(key, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s"))
+    rows = _few(rows, rows.count())
     held = rows.filter("g is not null").select("doc_id", *X, "g")
     first = starts(held, n)
     # a group's starts are groups of their own from here on
@@ -228,7 +238,7 @@ def robust_outliers(rows: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
     ended, _ = concentrate(tries, groups, n * len(first), max_steps)
     cols = [c for c in ended.columns if c not in ("g", "logdet")]
     best = ended.groupBy(F.col("g.of").alias("g")).agg(F.min_by(F.struct(*cols), F.struct("logdet", "g.start")).alias("b")).select("g", "b.*")
-    return _distance(rows, cut_lineage(best), n)
+    return _distance(rows, cut_lineage(_few(best, n)), n)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
