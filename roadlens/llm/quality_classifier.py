@@ -45,7 +45,9 @@ MAX_ROWS = 8_000
 THRESHOLD = 0.3
 SLICES = 128
 FANS = 16
-CHUNK = 1 << 19
+CHUNK = 1 << 17
+#: tokens whose vectors are added up at once
+PIECE = 1 << 11
 #: text added to the table at once (adding costs the table's size)
 CONTEXT_CHUNK = 1 << 23
 STEPS_PER_DOUBLING = 16
@@ -192,12 +194,15 @@ def pool(texts: list[bytes], vectors: np.ndarray, own: np.ndarray = NONE) -> np.
     out = np.zeros((len(texts), 2 * DIM))
     for start, end in B.text_chunks(texts, CHUNK):
         runs = _tokens(texts[start:end])
-        full = np.flatnonzero(runs.count > 0)
-        if len(full):
-            v = vectors[rows_of(runs.h, own)]
-            n = runs.count[full][:, None]
-            out[start + full, :DIM] = np.add.reduceat(v, runs.first[full], axis=0, dtype=np.float64) / n
-            out[start + full, DIM:] = np.add.reduceat(v * v, runs.first[full], axis=0, dtype=np.float64) / n
+        rows = rows_of(runs.h, own)
+        for d in np.flatnonzero(runs.count):
+            sums = out[start + d]
+            for a in range(runs.first[d], runs.first[d + 1], PIECE):
+                v = vectors[rows[a:min(a + PIECE, runs.first[d + 1])]]  # stays in a core's cache
+                sums[:DIM] += v.sum(axis=0, dtype=np.float64)
+                v *= v
+                sums[DIM:] += v.sum(axis=0, dtype=np.float64)
+            sums /= runs.count[d]
     return out
 
 
