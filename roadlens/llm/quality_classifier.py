@@ -50,6 +50,8 @@ CHUNK = 1 << 17
 PIECE = 1 << 11
 #: text added to the table at once (adding costs the table's size)
 CONTEXT_CHUNK = 1 << 23
+#: text whose tokens are found at once
+TOKEN_CHUNK = 1 << 19
 STEPS_PER_DOUBLING = 16
 #: leading bits of a hash that address the rows of frequent tokens
 SLOT_BITS = 22
@@ -93,7 +95,7 @@ def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             texts = B.utf8(batch.column(0))
             for start, end in B.text_chunks(texts, CONTEXT_CHUNK):
-                h, n = np.unique(_tokens(texts[start:end]).h, return_counts=True)
+                h, n = np.unique(np.concatenate([runs.h for _, runs in _token_pieces(texts[start:end])]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     return docs.select(text_col).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -128,11 +130,17 @@ def _tokens(texts: list[bytes]) -> B.Runs:
     return B.Runs(texts, lower=False, marks=True)
 
 
+def _token_pieces(texts: list[bytes]):
+    """(number of the first text, tokens) of pieces: finding tokens takes some 30 times the size of the text."""
+    for start, end in B.text_chunks(texts, TOKEN_CHUNK):
+        yield start, _tokens(texts[start:end])
+
+
 def add_contexts(table: np.ndarray, texts: list[bytes], index, own: np.ndarray = NONE) -> None:
     """Add the contexts of all tokens of ``texts`` to ``table`` (a row per row of the index)."""
     place, sign = index
-    runs = _tokens(texts)
-    ids, doc = rows_of(runs.h, own), runs.doc
+    pieces = [(rows_of(runs.h, own), runs.doc + start) for start, runs in _token_pieces(texts or [b""])]
+    ids, doc = (np.concatenate(x) for x in zip(*pieces))
     flat = table.ravel()
     for gap in range(1, REACH + 1):
         a, b = ids[:-gap], ids[gap:]
