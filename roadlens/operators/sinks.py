@@ -5,9 +5,10 @@ Each writer takes a target folder; callers on a cluster pass a shared location.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.layout import read_folders, write_folders
 
 
 def write_emissions(df: DataFrame, path: str, time: str = "time", vid: str = "id", partitions: int | None = None) -> None:
@@ -34,11 +35,17 @@ def write_subtrajectories(df: DataFrame, path: str, key: str = "traj_id") -> Non
     """K7: one folder per sub-trajectory (partitioned by its name).
 
     Small rows, many folders: a task's time goes with its folders, not its bytes, so the number of tasks is given (left to itself, Spark
-    merges them by bytes into a few), and each task moves its own folders to their place; the driver would one after another."""
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    out = df.repartition(n, key).write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    out.partitionBy(key).parquet(path)
+    merges them by bytes into a few), and each task puts its own folders in their place; the driver would one after another."""
+    write_folders(df, path, key, _folder_tasks(df.sparkSession))
+
+
+def read_subtrajectories(spark: SparkSession, path: str, schema: str, key: str = "traj_id") -> DataFrame:
+    """K7: the rows of all folders of ``write_subtrajectories``, with their names as ``key``, one of the columns of ``schema``."""
+    return read_folders(spark, path, key, schema, _folder_tasks(spark))
+
+
+def _folder_tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
 
 def write_wide(df: DataFrame, path: str, keys: list[str], veh: str, values: list[str], vehicles: list, base: dict[str, F.Column]) -> None:

@@ -302,7 +302,7 @@ def k7(spark, d):
         "name", F.concat_ws("_", F.col("traj_id").cast("string"), F.col("draw").cast("string"), F.col("_len").cast("string")))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sinks/subtraj-{uuid.uuid4().hex[:10]}"
     sk.write_subtrajectories(c.select("name", "seq", "speed"), path, key="name")
-    back = spark.read.schema("seq long, speed double, name string").parquet(path)
+    back = sk.read_subtrajectories(spark, path, "seq long, speed double, name string", key="name")
     return back.groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
